@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference processes complete month-end snapshots only; it has no
+watermark, window, state or late-data logic.  Monthly refresh is the batch
+read-through snapshot in ``segmint.sources.snapshots.snapshot_or_build``.
+"""
