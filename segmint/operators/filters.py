@@ -170,6 +170,7 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
     out = df
     for col, value in criteria.items():
         kind = (kinds or {}).get(col) or column_kinds(out, [col], cut, always_range)[col]
+        _check_shape(col, kind, value)
         if kind == "categorical":
             spec: Filter = MemberFilter(col, list(value or []))
             out = apply_filters(out, [spec], mandatory=True)
@@ -182,6 +183,22 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
     return out
 
 
+def _check_shape(col: str, kind: str, value) -> None:
+    """The value must have the shape the column's control would produce."""
+    if kind == "categorical":
+        ok = value is None or isinstance(value, (list, set, frozenset))
+        want = "a list of values"
+    elif kind in ("numeric", "datetime"):
+        ok = isinstance(value, tuple) and len(value) == 2
+        want = "a (low, high) tuple"
+    else:
+        ok = value is None or isinstance(value, str)
+        want = "a regex string"
+    if not ok:
+        raise ValueError(f"{col} is {kind} on the narrowed frame; its criterion must be {want}, "
+                         f"got {value!r}")
+
+
 def numeric_options(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Control options for numeric columns: distinct count, min, max.
 

@@ -63,7 +63,7 @@ CHANNEL_NAMES = {
 KEY = "PERS_ID"
 MODEL_VARIABLES = ["MONTHLY_INCOME", "TENURE"] + [
     f"{a}_AVG_{m}" for a in list(SPEND_CLASSES.values()) + list(INCOME_CLASSES.values())
-    for m in ("CNT", "AMT")] + [n for pair in CHANNEL_NAMES.values() for n in pair]
+    for m in ("CNT", "AMT")] + [c for c, _ in CHANNEL_NAMES.values()] + [a for _, a in CHANNEL_NAMES.values()]
 REPORTING_VARIABLES = ["REGION", "PREF_CITY", "SOC_SEG"]
 
 
