@@ -97,15 +97,30 @@ def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequ
     return out.drop("__near")
 
 
+MAX_CENTRES = 10_000
+
+
+def collect_centres(centres_df: DataFrame, columns: Sequence[str], label: str,
+                    limit: int = MAX_CENTRES) -> tuple[list, list[list[float]]]:
+    """Bring a centre table (one row per label) to the driver, after checking its size."""
+    n = centres_df.count()
+    if n > limit:
+        raise ValueError(f"{n} centres exceed the limit of {limit}")
+    rows = centres_df.select(label, *columns).orderBy(label).collect()
+    return [r[label] for r in rows], [[float(r[c]) for c in columns] for r in rows]
+
+
 def inertia(df: DataFrame, columns: Sequence[str], label: str,
             centres_df: DataFrame) -> DataFrame:
     """Total squared distance of every row to the centre of its label (M5).
 
     ``centres_df`` holds one row per label with the centre coordinates in the
-    same column names; it has at most k rows and is broadcast.
+    same column names.  It is broadcast only after its row count is checked
+    against ``MAX_CENTRES``; above that the join is left to the planner.
     """
     c = centres_df.select(F.col(label), *[F.col(x).alias(f"__c_{x}") for x in columns])
-    joined = df.select(label, *columns).join(F.broadcast(c), label)
+    small = centres_df.count() <= MAX_CENTRES
+    joined = df.select(label, *columns).join(F.broadcast(c) if small else c, label)
     d = None
     for x in columns:
         t = (F.col(x) - F.col(f"__c_{x}")) * (F.col(x) - F.col(f"__c_{x}"))
@@ -139,18 +154,26 @@ def _fit_centres(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: floa
     return _canonical([c.tolist() for c in model.clusterCenters()])
 
 
-def prepare_vectors(df: DataFrame, columns: Sequence[str], features: str = "features") -> DataFrame:
-    """Checkpoint the feature rows, assemble vectors and persist them for the iterations."""
-    base = cut_lineage(df.select(*columns))
+def prepare_vectors(df: DataFrame, columns: Sequence[str], features: str = "features",
+                    checkpoint: bool = True) -> DataFrame:
+    """Assemble vectors and persist them for the iterations.
+
+    With ``checkpoint`` the feature rows are first written to the reliable
+    checkpoint; callers whose input is already a checkpoint (plus cheap,
+    deterministic arithmetic) pass ``False``.
+    """
+    base = df.select(*columns)
+    if checkpoint:
+        base = cut_lineage(base)
     return assemble(base, columns, features).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (42,),
                max_iter: int = 300, tol: float = 1e-4, init_mode: str = "k-means||",
-               vectors: DataFrame | None = None) -> KMeansFit:
+               vectors: DataFrame | None = None, checkpoint: bool = True) -> KMeansFit:
     """Fit k-means for every seed and keep the lowest inertia."""
     own = vectors is None
-    vecs = vectors if vectors is not None else prepare_vectors(df, columns)
+    vecs = vectors if vectors is not None else prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
         fits = [(s, _fit_centres(vecs, k, s, max_iter, tol, init_mode, "features")) for s in seeds]
         costs = inertias(vecs, columns, [c for _, c in fits])
@@ -171,7 +194,7 @@ def inertias(df: DataFrame, columns: Sequence[str], centre_sets: Sequence[Sequen
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int = 3,
                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 4, checkpoint: bool = True) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
 
     Fits run concurrently (each is a chain of small Spark jobs); the inertias
@@ -179,7 +202,7 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
     result is computed by Spark from the rows, not assembled on the driver.
     """
     ks = list(range(k_min, k_max + 1))
-    vecs = prepare_vectors(df, columns)
+    vecs = prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
         def one(k):
             return _fit_centres(vecs, k, seed, max_iter, tol, "k-means||", "features")
@@ -216,7 +239,7 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
         x = F.col(c).cast("double")
         zexpr.append(((x - F.lit(m)) / F.lit(s)).alias(zc) if s else (x - F.lit(m)).alias(zc))
     scaled = chosen.select(*zexpr)
-    fit = fit_kmeans(scaled, scaled_cols, k, seeds, max_iter, tol)
+    fit = fit_kmeans(scaled, scaled_cols, k, seeds, max_iter, tol, checkpoint=False)
     labelled = chosen.select("*", *zexpr)
     labelled = assign_nearest(labelled, scaled_cols, fit.centres, "Cluster")
     return labelled.select(id_col, *model_cols, "Cluster", *reporting_cols), fit

@@ -117,26 +117,38 @@ def customers(spark: SparkSession, root: str) -> DataFrame:
                     F.col("c_nationkey").alias("NATION_KEY")))
 
 
-def segment_attrs(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
-    """``(PERS_ID, REGION, TENURE)``: region by nation, tenure from the first order.
+def customer_profile(spark: SparkSession, root: str) -> DataFrame:
+    """``(PERS_ID, REGION, PREF_CITY, SOC_SEG, MONTHLY_INCOME)`` from one customer scan.
 
-    TENURE is whole months from the first order to the snapshot month,
-    in years; customers without an order up to the snapshot have none.
+    Nation and region are dimension tables; the planner broadcasts them on
+    its own size check, so the customer rows are never shuffled for them.
     """
-    snap = month_end_of(as_of, 1)
-    c = table(spark, root, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, root, "nation").select("n_nationkey", "n_regionkey")
+    c = table(spark, root, "customer")
+    n = table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, root, "region").select("r_regionkey", "r_name")
-    region = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
-              .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-              .select(F.col("c_custkey").alias(KEY), F.col("r_name").alias("REGION")))
+    return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
+            .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            .select(F.col("c_custkey").alias(KEY), F.col("r_name").alias("REGION"),
+                    F.col("n_name").alias("PREF_CITY"), F.col("c_mktsegment").alias("SOC_SEG"),
+                    F.col("c_acctbal").alias("MONTHLY_INCOME")))
+
+
+def tenure(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
+    """``(PERS_ID, TENURE)``: whole months from the first order to the snapshot
+    month, in years; one aggregate over the order history up to the snapshot."""
+    snap = month_end_of(as_of, 1)
     o = table(spark, root, "orders")
     first = (o.where(F.col("o_orderdate") < F.lit(month_start_of(as_of, 0)))
              .groupBy(F.col("o_custkey").alias(KEY))
              .agg(F.min("o_orderdate").alias("__first")))
-    tenure = first.select(KEY, ((F.lit(snap.year * 12 + snap.month) - months_index("__first"))
-                                / F.lit(12.0)).alias("TENURE"))
-    return region.join(tenure, KEY, "left")
+    return first.select(KEY, ((F.lit(snap.year * 12 + snap.month) - months_index("__first"))
+                              / F.lit(12.0)).alias("TENURE"))
+
+
+def segment_attrs(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
+    """``(PERS_ID, REGION, TENURE)``: the segment attributes block."""
+    prof = customer_profile(spark, root).select(KEY, "REGION")
+    return prof.join(tenure(spark, root, as_of), KEY, "left")
 
 
 def event_fact(spark: SparkSession, root: str) -> DataFrame:

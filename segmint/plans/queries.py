@@ -36,8 +36,8 @@ PRICE_VARS = ["l_quantity", "l_extendedprice", "disc_price", "charge"]
 LI_DESCRIBE = ["l_quantity", "l_extendedprice", "l_discount"]
 LI_MODEL = ["l_quantity", "l_discount", "l_tax"]
 LI_K = 7                      # clusters given by l_linenumber - 1
-ELBOW_K_MAX = 6
-FINAL_K = 5
+ELBOW_K_MAX = 10              # elbow sweep k = 3..10
+FINAL_K = 17                  # the golden run's k
 PREC = 6                      # presentation precision of summed/averaged floats
 IMPUTE_TEXT = {"PREF_CITY": "Undefined", "REGION": "Undefined", "SOC_SEG": "Undefined"}
 IMPUTE_NUM = {"AVG_MB_IB_TRN_CNT": 0, "AVG_POS_TRN_CNT": 0, "AVG_ATM_TRN_CNT": 0, "MONTHLY_INCOME": 0}
@@ -365,11 +365,9 @@ def q_centroid_update(spark, root):
 
 
 def q_assign_nearest(spark, root):
-    rows = _li_centres(spark, root).orderBy("Cluster").collect()     # k = 7 rows
-    centres = [[r[c] for c in LI_MODEL] for r in rows]
+    ids, centres = mdl.collect_centres(_li_centres(spark, root), LI_MODEL, "Cluster")
     li = _lineitem_labelled(spark, root)
     out = mdl.assign_nearest(li, LI_MODEL, centres, "Nearest")
-    ids = [r["Cluster"] for r in rows]
     mapped = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("Nearest") + 1)
     return out.select("l_orderkey", "l_linenumber", mapped.alias("Nearest"))
 
@@ -386,7 +384,7 @@ def _model_input(spark, root):
 
 def q_kmeans_fit(spark, root):
     z = mdl.cut_lineage(_model_input(spark, root))
-    fit = mdl.fit_kmeans(z, SEG_MODEL, FINAL_K)
+    fit = mdl.fit_kmeans(z, SEG_MODEL, FINAL_K, checkpoint=False)
     return mdl.assign_nearest(z, SEG_MODEL, fit.centres, "Cluster").select(d.KEY, "Cluster")
 
 

@@ -65,10 +65,10 @@ def customer_wide(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.E
     ``active_only`` keeps the reference's base (customers active in the last
     month, a semi join); ``False`` builds the row for every customer.
     """
-    base = d.customers(spark, root).select(d.KEY, "PREF_CITY", "SOC_SEG", "MONTHLY_INCOME")
+    base = d.customer_profile(spark, root)
     if active_only:
         base = semi_join(base, d.active_keys(spark, root, as_of), d.KEY)
-    blocks = [d.segment_attrs(spark, root, as_of),
+    blocks = [d.tenure(spark, root, as_of),
               spend_income_block(spark, root, as_of),
               event_channel_block(spark, root, event_as_of),
               branch_block(spark, root, as_of)]

@@ -36,4 +36,5 @@ def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     rows = df.collect()
     assert len(rows) == 2 + 6 * 3
+    assert len(df.columns) == 2 + 17
     assert df.columns[:2] == ["row_order", "row_label"]
