@@ -127,27 +127,35 @@ def describe_by(df: DataFrame, group: str, variables: Sequence[str],
     """``groupby(group).describe()`` in long form (A10).
 
     Columns: ``variable, <group>, count, mean, std, min, p25, p50, p75, max``
-    (std is the sample std, ddof 1; quartiles are exact and linear).
+    (std is the sample std, ddof 1; quartiles are exact and linear; nulls are
+    ignored per variable).
+
+    Pass 1 counts the non-null values per group and variable (a light
+    aggregate) to bound the largest group.  Bounded: pass 2 is ONE aggregate
+    over the unpivoted ``(group, variable, value)`` rows that yields every
+    statistic, quartiles included.  Unbounded: pass 2 computes the moments and
+    ``exact_quantiles`` takes the distributed ranked path.
     """
     variables = list(variables)
-    aggs = []
-    for v in variables:
-        x = F.col(v).cast("double")
-        aggs += [F.count(x).alias(f"{v}__count"), F.avg(x).alias(f"{v}__mean"),
-                 F.stddev_samp(x).alias(f"{v}__std"), F.min(x).alias(f"{v}__min"),
-                 F.max(x).alias(f"{v}__max")]
-    moments = df.groupBy(group).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(v).alias("variable"),
-                              F.col(f"{v}__count").alias("count"), F.col(f"{v}__mean").alias("mean"),
-                              F.col(f"{v}__std").alias("std"), F.col(f"{v}__min").alias("min"),
-                              F.col(f"{v}__max").alias("max")) for v in variables])
-    moments = moments.select(group, F.inline(rows))
     names = {p: f"p{int(round(p * 100))}" for p in probs}
-    qs = exact_quantiles(to_long(df, [group], variables), [group, "variable"],
-                         probs=probs, max_group_rows=max_group_rows)
+    counts = df.groupBy(group).agg(*[F.count(v).alias(f"__n{i}") for i, v in enumerate(variables)])
+    maxes = [F.max(f"__n{i}") for i in range(len(variables))]
+    top = maxes[0] if len(maxes) == 1 else F.greatest(*maxes)
+    biggest = counts.agg(top.alias("m")).first()["m"]
+    long = to_long(df, [group], variables).where(F.col("value").isNotNull())
+    moments = [F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+               F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+               F.max("value").alias("max")]
+    if biggest is not None and biggest <= max_group_rows:
+        pa = F.array(*[F.lit(float(p)) for p in probs])
+        out = long.groupBy("variable", group).agg(*moments, F.percentile("value", pa).alias("__qs"))
+        qcols = [F.col("__qs")[i].alias(names[p]) for i, p in enumerate(probs)]
+        return out.select("variable", group, "count", "mean", "std", "min", *qcols, "max")
+    mom = long.groupBy("variable", group).agg(*moments)
+    qs = exact_quantiles(long, [group, "variable"], probs=probs, max_group_rows=0)
     qwide = qs.groupBy(group, "variable").agg(
         *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(names[p]) for p in probs])
-    out = moments.join(qwide, [group, "variable"], "left")
+    out = mom.join(qwide, [group, "variable"], "left")
     return out.select("variable", group, "count", "mean", "std", "min",
                       *[names[p] for p in probs], "max")
 
@@ -233,7 +241,9 @@ def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "
 
     Rows: ``Count``, ``CountShare %``, then per variable ``<var>_mean``,
     ``_min``, ``_25%``, ``_50%``, ``_75%``, ``_max`` (``_std`` on request, Q14).
-    Values are rounded like NumPy to ``digits``.
+    ``Count`` is the first variable's count, as in the reference (R3); the
+    share is ``100 * Count / sum(Count)`` over the k cluster rows.  Values are
+    rounded like NumPy to ``digits``.
     """
     variables = list(variables)
     stats = list(PROFILE_STATS)
@@ -252,12 +262,15 @@ def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "
         F.concat_ws("_", F.col("variable"), F.col("__label")).alias("row_label"),
         F.col(cluster).cast("int").alias(cluster),
         np_round(F.col("value"), digits).alias("value"))
-    share = cluster_share(labelled, cluster, digits)
-    head = share.select(F.col(cluster).cast("int").alias(cluster), F.inline(F.array(
+    sizes = desc.where(F.col("variable") == F.lit(variables[0])).select(cluster, "count")
+    share = np_round(F.lit(100.0) * F.col("count") / F.sum("count").over(Window.partitionBy()), digits)
+    sizes = sizes.select(cluster, "count", share.alias("__share"))
+    share = F.col("__share")
+    head = sizes.select(F.col(cluster).cast("int").alias(cluster), F.inline(F.array(
         F.struct(F.lit(0).alias("row_order"), F.lit("Count").alias("row_label"),
-                 F.col("Count").cast("double").alias("value")),
+                 F.col("count").cast("double").alias("value")),
         F.struct(F.lit(1).alias("row_order"), F.lit("CountShare %").alias("row_label"),
-                 F.col("CountShare").alias("value")))))
+                 share.alias("value")))))
     return head.select("row_order", "row_label", cluster, "value").unionByName(cells)
 
 

@@ -260,3 +260,17 @@ def test_share_rounds_like_numpy(spark):
     got = {r.Cluster: r.CountShare for r in st.cluster_share(df).collect()}
     assert got[0] == float(np.round(100 / 32, 2))        # 3.125 -> 3.12 (half to even)
     assert got[1] == float(np.round(100 * 31 / 32, 2))
+
+
+def test_describe_ranked_path_equals_bounded_path(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(g), float(x), None if i % 17 == 0 else float(y))
+            for i, (g, x, y) in enumerate(zip(rng.integers(0, 3, 900), rng.normal(size=900),
+                                              rng.integers(0, 20, 900)))]
+    df = spark.createDataFrame(data, "Cluster int, x double, y double").repartition(4)
+    a = {(r.variable, r.Cluster): r for r in st.describe_by(df, "Cluster", ["x", "y"]).collect()}
+    b = {(r.variable, r.Cluster): r for r in st.describe_by(df, "Cluster", ["x", "y"], max_group_rows=0).collect()}
+    assert a.keys() == b.keys()
+    for key in a:
+        for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max"):
+            assert math.isclose(a[key][c], b[key][c], rel_tol=1e-12, abs_tol=1e-12), (key, c)
