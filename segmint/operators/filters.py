@@ -159,46 +159,48 @@ def column_kinds(df: DataFrame, columns: Sequence[str], cut: int = CATEGORICAL_C
 
 def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGORICAL_CUT,
                 always_range: Iterable[str] = (), kinds: Mapping[str, str] | None = None) -> DataFrame:
-    """Dispatch each criterion by the column's kind, narrowing in order.
-
-    ``criteria`` maps a column to the chosen value: a list for categorical
-    columns (empty list: no rows, as an untouched multiselect gives), a
-    ``(lo, hi)`` pair for numeric or datetime columns, a pattern for text.
-    Like the reference, each column is classified on the frame already
-    narrowed by the criteria before it, unless ``kinds`` fixes them up front.
+    """Apply criteria column by column, narrowing in order.
+
+    A chosen value carries its own meaning: a list is a membership test (an
+    empty list gives no rows), a ``(lo, hi)`` pair a closed range (numeric,
+    or datetime at midnight), a string a regex search.  A range chosen on a
+    column the reference would show as a multiselect is the same rows as
+    ticking every value inside it, so it needs no special case.
+
+    ``None`` means the control was left untouched; then the column's kind,
+    decided on the frame narrowed so far (fewer than ``cut`` distinct values:
+    categorical), gives the reference's default: categorical -> empty
+    selection -> no rows; numeric -> ``(0, max)``; datetime -> ``(min, max)``
+    (both drop nulls); text -> no filter.
     """
+    types = {f.name: f.dataType for f in df.schema.fields}
     out = df
     for col, value in criteria.items():
-        kind = (kinds or {}).get(col) or column_kinds(out, [col], cut, always_range)[col]
-        _check_shape(col, kind, value)
-        if kind == "categorical":
-            spec: Filter = MemberFilter(col, list(value or []))
-            out = apply_filters(out, [spec], mandatory=True)
-        elif kind == "numeric":
-            out = apply_filters(out, [RangeFilter(col, tuple(value))], mandatory=True)
-        elif kind == "datetime":
-            out = apply_filters(out, [DateRangeFilter(col, tuple(value))], mandatory=True)
+        dtype = types[col]
+        is_time = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if value is None:
+            kind = (kinds or {}).get(col) or column_kinds(out, [col], cut, always_range)[col]
+            if kind == "categorical":
+                out = out.where(F.lit(False))
+            elif kind == "numeric":
+                hi = out.agg(F.max(col).alias("m")).first()["m"]
+                out = out.where(F.lit(False)) if hi is None else \
+                    apply_filters(out, [RangeFilter(col, (0.0, float(hi)))])
+            elif kind == "datetime":
+                out = out.where(F.col(col).isNotNull())
+            continue
+        if isinstance(value, str):
+            spec: Filter = RegexFilter(col, value)
+        elif isinstance(value, tuple):
+            if len(value) != 2:
+                raise ValueError(f"{col}: a range needs (low, high), got {value!r}")
+            spec = DateRangeFilter(col, value) if is_time else RangeFilter(col, value)
         else:
-            out = apply_filters(out, [RegexFilter(col, value)])
+            spec = MemberFilter(col, list(value))
+        out = apply_filters(out, [spec], mandatory=True)
     return out
 
 
-def _check_shape(col: str, kind: str, value) -> None:
-    """The value must have the shape the column's control would produce."""
-    if kind == "categorical":
-        ok = value is None or isinstance(value, (list, set, frozenset))
-        want = "a list of values"
-    elif kind in ("numeric", "datetime"):
-        ok = isinstance(value, tuple) and len(value) == 2
-        want = "a (low, high) tuple"
-    else:
-        ok = value is None or isinstance(value, str)
-        want = "a regex string"
-    if not ok:
-        raise ValueError(f"{col} is {kind} on the narrowed frame; its criterion must be {want}, "
-                         f"got {value!r}")
-
-
 def numeric_options(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Control options for numeric columns: distinct count, min, max.
 

@@ -251,8 +251,9 @@ def oracle_sql() -> dict[str, str]:
     fr, fm = q.SEGMENT_FORM["ranges"], q.SEGMENT_FORM["members"]
     strict = [_between(c, b) for c, b in q.STRICT_RANGES.items()] + \
              [f"{c} IN ({_in(v)})" for c, v in q.STRICT_MEMBERS.items()]
-    auto = [f"SOC_SEG IN ({_in(q.AUTO_CRITERIA['SOC_SEG'])})",
-            _between("MONTHLY_INCOME", q.AUTO_CRITERIA["MONTHLY_INCOME"]),
+    # MONTHLY_INCOME untouched: numeric on the full frame -> (0, max)
+    auto = ["MONTHLY_INCOME BETWEEN 0.0 AND (SELECT max(MONTHLY_INCOME) FROM wide)",
+            f"SOC_SEG IN ({_in(q.AUTO_CRITERIA['SOC_SEG'])})",
             f"PREF_CITY IN ({_in(q.AUTO_CRITERIA['PREF_CITY'])})"]
     opt_cols = ["MONTHLY_INCOME", "TENURE", "AVG_MB_IB_TRN_CNT", "URGENT_AVG_AMT"]
     options = "\nUNION ALL\n".join(

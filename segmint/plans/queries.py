@@ -56,7 +56,7 @@ SEGMENT_FORM = {
     "members": {"SOC_SEG": ["BUILDING", "FURNITURE", "AUTOMOBILE"], "REGION": [],
                 "PREF_CITY": []},
 }
-AUTO_CRITERIA = {"SOC_SEG": ["BUILDING", "MACHINERY"], "MONTHLY_INCOME": (1000.0, 9000.0),
+AUTO_CRITERIA = {"MONTHLY_INCOME": None, "SOC_SEG": ["BUILDING", "MACHINERY"],
                  "PREF_CITY": ["NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8",
                                "NATION_13", "NATION_21"]}
 DATE_RANGE = ("1996-01-01", "1996-03-31")

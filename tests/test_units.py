@@ -79,17 +79,23 @@ def test_filter_auto_dispatch(spark):
     kinds = flt.column_kinds(df, ["x", "cat", "name", "ts"])
     assert kinds == {"x": "numeric", "cat": "categorical", "name": "text", "ts": "datetime"}
     out = flt.filter_auto(df, {"cat": ["A"], "x": (10.0, 120.0), "name": "1[13]$",
-                               "ts": ("2020-01-12", "2020-04-30")},
-                          kinds={"name": "text", "ts": "datetime"})
+                               "ts": ("2020-01-12", "2020-04-30")})
     assert rows(out, "id") == [(11,), (13,), (111,), (113,)]
-    # after narrowing to < 88 rows, x is categorical (the reference's rule) and a
-    # range no longer fits its control
+    # after narrowing to < 88 rows, x is categorical (the reference's rule); a
+    # range on it is the same rows as ticking every value inside the range
     small = df.where(F.col("id") < 50)
     assert flt.column_kinds(small, ["x"]) == {"x": "categorical"}
-    with pytest.raises(ValueError):
-        flt.filter_auto(small, {"x": (1.0, 2.0)})
-    fixed = flt.filter_auto(small, {"x": (1.0, 2.0)}, kinds={"x": "numeric"})
-    assert fixed.count() == 2
+    assert flt.filter_auto(small, {"x": (1.0, 2.0)}).count() == 2
+    assert flt.filter_auto(small, {"x": [1.0, 2.0, 99.0]}).count() == 2
+
+
+def test_filter_auto_untouched_defaults(spark):
+    d = [(1, -5.0, "a", dt.datetime(2020, 1, 1)), (2, 3.0, "b", None), (3, None, "a", dt.datetime(2020, 1, 2))]
+    df = spark.createDataFrame(d, "id long, x double, cat string, ts timestamp")
+    assert flt.filter_auto(df, {"cat": None}).count() == 0                      # empty multiselect
+    assert rows(flt.filter_auto(df, {"x": None}, kinds={"x": "numeric"}), "id") == [(2,)]   # (0, max)
+    assert rows(flt.filter_auto(df, {"ts": None}, kinds={"ts": "datetime"}), "id") == [(1,), (3,)]
+    assert flt.filter_auto(df, {"cat": "zz" and None}, kinds={"cat": "text"}).count() == 3
 
 
 def test_regex_null_never_matches(spark):
