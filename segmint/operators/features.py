@@ -96,9 +96,15 @@ def channel_averages(fact: DataFrame, key: str, channels: Mapping[str, Column],
 
 
 def semi_join(base: DataFrame, other: DataFrame, base_key: str, other_key: str | None = None) -> DataFrame:
-    """Rows of ``base`` whose key occurs in ``other`` (J3, uncorrelated IN)."""
+    """Rows of ``base`` whose key occurs in ``other`` (J3, uncorrelated IN).
+
+    The other side is reduced to distinct keys first: the distinct is combined
+    map-side, so a key repeated across a third of all fact rows is shuffled as
+    one row per map task, and the join then sees unique keys (its hash
+    partitioning is reused by a sort-merge join; small key sets broadcast).
+    """
     other_key = other_key or base_key
-    keys = other.select(F.col(other_key).alias(base_key))
+    keys = other.select(F.col(other_key).alias(base_key)).distinct()
     return base.join(keys, base_key, "left_semi")
 
 

@@ -194,7 +194,7 @@ def inertias(df: DataFrame, columns: Sequence[str], centre_sets: Sequence[Sequen
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int = 3,
                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 4, checkpoint: bool = True) -> DataFrame:
+                parallelism: int = 8, checkpoint: bool = True) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
 
     Fits run concurrently (each is a chain of small Spark jobs); the inertias
