@@ -146,6 +146,26 @@ def _canonical(centres: list[list[float]]) -> list[list[float]]:
     return sorted([list(map(float, c)) for c in centres])
 
 
+def mean_variance(df: DataFrame, columns: Sequence[str]) -> float:
+    """Mean of the per-column population variances (one aggregate)."""
+    row = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    vals = [row[c] or 0.0 for c in columns]
+    return sum(vals) / len(vals) if vals else 0.0
+
+
+def mllib_epsilon(tol: float, mean_var: float, k: int) -> float:
+    """MLlib convergence distance equivalent to a relative k-means tolerance.
+
+    The reference's solver stops when the SUM over centres of the squared
+    centre shift is at most ``tol * mean feature variance``.  MLlib stops when
+    EVERY centre moved at most ``epsilon``.  With
+    ``epsilon = sqrt(tol * mean_var / k)`` all-centres-converged implies the
+    reference's condition, so the stop is never looser than the reference's.
+    """
+    scaled = tol * mean_var
+    return max((scaled / max(k, 1)) ** 0.5, 1e-12)
+
+
 def _fit_centres(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float,
                  init_mode: str, features: str) -> list[list[float]]:
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode=init_mode,
@@ -171,11 +191,15 @@ def prepare_vectors(df: DataFrame, columns: Sequence[str], features: str = "feat
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (42,),
                max_iter: int = 300, tol: float = 1e-4, init_mode: str = "k-means||",
                vectors: DataFrame | None = None, checkpoint: bool = True) -> KMeansFit:
-    """Fit k-means for every seed and keep the lowest inertia."""
+    """Fit k-means for every seed and keep the lowest inertia.
+
+    ``tol`` is relative, as in the reference's solver (see ``mllib_epsilon``).
+    """
     own = vectors is None
     vecs = vectors if vectors is not None else prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
-        fits = [(s, _fit_centres(vecs, k, s, max_iter, tol, init_mode, "features")) for s in seeds]
+        eps = mllib_epsilon(tol, mean_variance(vecs, columns), k)
+        fits = [(s, _fit_centres(vecs, k, s, max_iter, eps, init_mode, "features")) for s in seeds]
         costs = inertias(vecs, columns, [c for _, c in fits])
         best = min(range(len(fits)), key=lambda i: costs[i])
         return KMeansFit(k=len(fits[best][1]), centres=fits[best][1], inertia=costs[best], seed=fits[best][0])
@@ -204,8 +228,10 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
     ks = list(range(k_min, k_max + 1))
     vecs = prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
+        mv = mean_variance(vecs, columns)
+
         def one(k):
-            return _fit_centres(vecs, k, seed, max_iter, tol, "k-means||", "features")
+            return _fit_centres(vecs, k, seed, max_iter, mllib_epsilon(tol, mv, k), "k-means||", "features")
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
             centre_sets = list(pool.map(one, ks))
         aggs = [F.sum(nearest(columns, cs)["d"]).alias(f"k{k}") for k, cs in zip(ks, centre_sets)]
