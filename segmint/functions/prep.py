@@ -77,6 +77,21 @@ def fill_selected(df: DataFrame, columns: Iterable[str], value: float = 0,
     return df
 
 
+def select_variables(df: DataFrame, id_col: str, model: Iterable[str],
+                     reporting: Iterable[str] = ()) -> DataFrame:
+    """``id + model + reporting`` columns, each once.
+
+    A reporting column that is also a model column is kept once, in the model
+    block; unknown names raise before any data is read.
+    """
+    model = list(dict.fromkeys(model))
+    reporting = [c for c in dict.fromkeys(reporting) if c not in model and c != id_col]
+    missing = [c for c in [id_col, *model, *reporting] if c not in df.columns]
+    if missing:
+        raise ValueError(f"unknown columns: {missing}")
+    return df.select(id_col, *model, *reporting)
+
+
 def cap_value(col: Column | str, cap: float = 30.0, fill: float = 0.0) -> Column:
     """Null becomes ``fill``, then values are capped at ``cap`` (X11)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -250,12 +250,12 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
     Returns the client table ``(id, model..., Cluster, reporting...)`` with
     the model columns in their original units, and the fit.
     """
-    from segmint.functions.prep import fill_selected
+    from segmint.functions.prep import fill_selected, select_variables
 
-    model_cols = list(model_cols)
-    reporting_cols = [c for c in reporting_cols if c not in model_cols and c != id_col]
-    chosen = fill_selected(df.select(id_col, *model_cols, *reporting_cols),
-                           model_cols + reporting_cols, 0, fill_text)
+    chosen = select_variables(df, id_col, model_cols, reporting_cols)
+    model_cols = chosen.columns[1:1 + len(dict.fromkeys(model_cols))]
+    reporting_cols = chosen.columns[1 + len(model_cols):]
+    chosen = fill_selected(chosen, model_cols + reporting_cols, 0, fill_text)
     chosen = cut_lineage(chosen)
     stats = standard_stats(chosen, model_cols)
     scaled_cols = [f"__z_{c}" for c in model_cols]

@@ -203,10 +203,11 @@ def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool =
             .where(F.col("__x").isNotNull() & F.col("__y").isNotNull()))
     r = F.covar_pop("__x", "__y") / F.nullif(F.stddev_pop("__x") * F.stddev_pop("__y"), F.lit(0.0))
     per_pair = long.groupBy("__pair").agg(r.alias("r"))
-    # pairs without any complete row still appear, with a null r
+    # pairs without any complete row still appear, with a null r; the per-pair
+    # result has at most v*(v+1)/2 rows by construction, so it is broadcast
     spark = df.sparkSession
     all_pairs = spark.range(len(pairs)).select(F.col("id").cast("int").alias("__pair"))
-    per_pair = all_pairs.join(per_pair, "__pair", "left")
+    per_pair = all_pairs.join(F.broadcast(per_pair), "__pair", "left")
     first = F.array(*[F.lit(a) for a, _ in pairs])
     second = F.array(*[F.lit(b) for _, b in pairs])
     a = F.element_at(first, F.col("__pair") + 1)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmint.functions.dates import month_end, month_end_of, snapshot_label
-from segmint.functions.prep import cap_value, dedup_first, fill_selected, flag_to_int, impute_defaults
+from segmint.functions.prep import (cap_value, dedup_first, fill_selected, flag_to_int, impute_defaults,
+                                   select_variables)
 from segmint.operators import features as feat
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
@@ -131,7 +132,7 @@ def q_income_pivot(spark, root):
 
 
 def q_select_model_vars(spark, root):
-    seg = _seg(spark, root).select(d.KEY, *SEG_MODEL, *SEG_REPORT)
+    seg = select_variables(_seg(spark, root), d.KEY, SEG_MODEL, SEG_REPORT)
     return fill_selected(seg, SEG_MODEL + SEG_REPORT, 0, "0")
 
 

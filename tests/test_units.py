@@ -280,3 +280,17 @@ def test_describe_ranked_path_equals_bounded_path(spark):
     for key in a:
         for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max"):
             assert math.isclose(a[key][c], b[key][c], rel_tol=1e-12, abs_tol=1e-12), (key, c)
+
+
+def test_select_variables_overlap_and_unknown(people):
+    out = prep.select_variables(people, "id", ["x", "x"], ["cat", "x", "id"])
+    assert out.columns == ["id", "x", "cat"]
+    with pytest.raises(ValueError):
+        prep.select_variables(people, "id", ["nope"])
+
+
+def test_strip_timezone_keeps_wall_clock(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 31, 10, 30),)], "ts timestamp")
+    out = df.select(prep.strip_timezone("ts").alias("t"))
+    assert str(out.schema["t"].dataType) == "TimestampNTZType()"
+    assert out.first().t == dt.datetime(2024, 1, 31, 10, 30)
