@@ -27,6 +27,19 @@ def test_query_matches_oracle(spark, con, name):
     assert res["match"], res
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "TimestampNTZType()": "TIMESTAMP", "DateType()": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_column_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF001)
+    ours = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(SQL[name])
+    theirs = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert ours == theirs
+
+
 def test_every_query_has_oracle_or_is_model():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"elbow_curve", "feature_vectors", "kmeans_fit", "segment_customers"}
