@@ -63,6 +63,14 @@ def standardize(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
     return df.select(*out)
 
 
+def prepare_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Preparation before k-means (M2): select, fill nulls with 0, standardise."""
+    from segmint.functions.prep import fill_selected
+
+    chosen = fill_selected(df.select(*keep, *columns), columns, 0, None)
+    return standardize(chosen, columns, keep=keep)
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """Model columns as one vector column (P7).  Inputs must be non-null."""
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)

@@ -352,8 +352,7 @@ def q_standardize(spark, root):
 
 
 def q_prepare_features(spark, root):
-    seg = fill_selected(_seg(spark, root).select(d.KEY, *SEG_MODEL), SEG_MODEL, 0, None)
-    return _round_cols(mdl.standardize(seg, SEG_MODEL, keep=[d.KEY]), SEG_MODEL)
+    return _round_cols(mdl.prepare_features(_seg(spark, root), SEG_MODEL, keep=[d.KEY]), SEG_MODEL)
 
 
 def _li_centres(spark, root):
@@ -379,8 +378,7 @@ def q_inertia_given_labels(spark, root):
 
 
 def _model_input(spark, root):
-    seg = fill_selected(_seg(spark, root).select(d.KEY, *SEG_MODEL), SEG_MODEL, 0, None)
-    return mdl.standardize(seg, SEG_MODEL, keep=[d.KEY])
+    return mdl.prepare_features(_seg(spark, root), SEG_MODEL, keep=[d.KEY])
 
 
 def q_kmeans_fit(spark, root):
