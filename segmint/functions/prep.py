@@ -132,6 +132,12 @@ def dedup_first(df: DataFrame, key: str | list[str], order_by: list[str]) -> Dat
     combines map-side before the shuffle; a hot key that holds a third of all
     rows still arrives at its reducer as one partial row per map task, never
     as one sorted window partition.  The full struct makes ties deterministic.
+
+    A struct buffer is variable-length, so Spark runs this as a sort-based
+    aggregate (partial on the map side, final on the reduce side).  The
+    hash-based alternative - ``min`` of the ordering columns, then a join back
+    to fetch the row - would shuffle every input row and put a hot key's rows
+    in one join partition; sorting partial aggregates is the cheaper price.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys and c not in order_by]

@@ -64,3 +64,19 @@ def test_view_layer_equals_dataframe_builder(spark):
     b = views.final_view(spark, SF0001)
     assert a.columns == b.columns
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+@pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
+def test_command_line_run(spark, tmp_dir):
+    from segmint.__main__ import parse_args, run
+    args = parse_args(["--data", SF0001, "--out", tmp_dir, "--k", "4", "--elbow-max", "5",
+                       "--filters", '{"ranges": {"MONTHLY_INCOME": [-1000, 10000]}, "members": {"SOC_SEG": []}}'])
+    out = run(args, spark)
+    clients = spark.read.option("header", True).csv(out["clients"])
+    assert clients.columns == ["PERS_ID", "MONTHLY_INCOME", "AVG_MB_IB_TRN_AMT", "URGENT_AVG_AMT",
+                               "Cluster", "REGION", "SOC_SEG"]
+    profile = spark.read.option("header", True).csv(out["profile"])
+    assert profile.count() == 2 + 6 * 3 and len(profile.columns) == 2 + 4
+    assert spark.read.option("header", True).csv(out["elbow"]).count() == 3
+    with pytest.raises(SystemExit):
+        run(parse_args(["--data", SF0001, "--out", tmp_dir + "/x", "--model", "NOPE"]), spark)
