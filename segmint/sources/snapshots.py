@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +56,16 @@ def read_snapshot(spark: SparkSession, root: str, snap_date, snap_col: str = "sn
 
 
 def snapshot_exists(spark: SparkSession, root: str, snap_date, snap_col: str = "snap_date") -> bool:
-    """Whether the month's partition folder exists (Hadoop FileSystem, any scheme)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{snap_col}={snap_date}")
-    return path.getFileSystem(conf).exists(path)
+    """Whether the month's partition folder holds data (any filesystem scheme).
+
+    Resolving the folder's schema lists its files and reads one footer; a
+    missing folder raises ``AnalysisException``.
+    """
+    try:
+        spark.read.parquet(f"{root}/{snap_col}={snap_date}").schema
+        return True
+    except AnalysisException:
+        return False
 
 
 def snapshot_or_build(spark: SparkSession, root: str, as_of,
