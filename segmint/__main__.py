@@ -15,9 +15,11 @@ import os
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
 from segmint.operators import stats as st
+from segmint.plans import domain as d
 from segmint.plans import wide
 from segmint.session import checkpoint_dir, cut_lineage, get_session
 from segmint.sources import catalog, sinks
+from segmint.sources.snapshots import snapshot_or_build
 
 
 def parse_args(argv=None) -> argparse.Namespace:
@@ -31,6 +33,9 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--filters", default="{}",
                    help='JSON {"ranges": {col: [lo, hi]}, "members": {col: [...]}}; [0, 0] and [] are off')
     p.add_argument("--active-only", action="store_true", help="only customers active in the last month")
+    p.add_argument("--snapshot-root", default=None,
+                   help="read-through store of monthly wide rows (partitioned by snap_date); "
+                        "reused when the month exists, built and written otherwise")
     p.add_argument("--seeds", type=int, nargs="+", default=[42])
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
@@ -46,8 +51,13 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         raise SystemExit(f"not in the variable catalogue: {bad}")
     spec = json.loads(args.filters)
     ranges = {c: tuple(v) for c, v in spec.get("ranges", {}).items()}
-    population = flt.filter_segment(wide.customer_wide(spark, args.data, active_only=args.active_only),
-                                    ranges, spec.get("members", {}))
+    if args.snapshot_root:
+        source = snapshot_or_build(
+            spark, args.snapshot_root, d.AS_OF,
+            lambda snap: wide.customer_wide(spark, args.data, active_only=args.active_only)).drop("snap_date")
+    else:
+        source = wide.customer_wide(spark, args.data, active_only=args.active_only)
+    population = flt.filter_segment(source, ranges, spec.get("members", {}))
     population = cut_lineage(population)
     out = {}
 

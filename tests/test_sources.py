@@ -80,3 +80,10 @@ def test_command_line_run(spark, tmp_dir):
     assert spark.read.option("header", True).csv(out["elbow"]).count() == 3
     with pytest.raises(SystemExit):
         run(parse_args(["--data", SF0001, "--out", tmp_dir + "/x", "--model", "NOPE"]), spark)
+    # read-through monthly store: the second run reuses the written month
+    snap = os.path.join(tmp_dir, "store")
+    a = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/s1", "--k", "3", "--snapshot-root", snap]), spark)
+    assert os.path.isdir(os.path.join(snap, "snap_date=2001-07-31"))
+    b = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/s2", "--k", "3", "--snapshot-root", snap]), spark)
+    assert spark.read.option("header", True).csv(a["clients"]).count() == \
+        spark.read.option("header", True).csv(b["clients"]).count()
