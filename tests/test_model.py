@@ -106,3 +106,20 @@ def test_partition_invariance(spark):
         corr = st.correlation_long(df, ["x", "y"])
         outs.append((sorted(tuple(r) for r in prof.collect()), sorted(tuple(r) for r in corr.collect())))
     assert outs[0] == outs[1]
+
+
+@pytest.mark.skipif(not os.path.exists(GOLDEN_CLIENT), reason="golden files not available")
+def test_kmeans_quality_matches_golden_run(spark):
+    """Our fit on the golden client file reaches the inertia of the reference's own labels."""
+    schema = ("idx long, PERS_ID string, MONTHLY_INCOME double, DEPO_AMOUNT double, "
+              "LOAN_AMOUNT double, Cluster int, REGION string, GENDER string")
+    from segmint.sources.readers import read_csv
+    client = read_csv(spark, GOLDEN_CLIENT, schema)
+    variables = ["MONTHLY_INCOME", "DEPO_AMOUNT", "LOAN_AMOUNT"]
+    z = mdl.standardize(client, variables, keep=["PERS_ID", "Cluster"])
+    golden = mdl.inertia(z, variables, "Cluster", mdl.centroid_update(z, variables, "Cluster")).first().inertia
+    assert abs(golden - 148.733) < 0.01
+    fit = mdl.fit_kmeans(z, variables, 17, seeds=(42, 1, 2))
+    assert fit.inertia <= golden * 1.03, (fit.inertia, golden)
+    labelled, _ = mdl.segment(client, "PERS_ID", variables, ["REGION", "GENDER"], 17, seeds=(42,))
+    assert labelled.count() == 287 and labelled.select("Cluster").distinct().count() == 17
