@@ -87,3 +87,10 @@ def test_command_line_run(spark, tmp_dir):
     b = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/s2", "--k", "3", "--snapshot-root", snap]), spark)
     assert spark.read.option("header", True).csv(a["clients"]).count() == \
         spark.read.option("header", True).csv(b["clients"]).count()
+
+
+def test_catalog_missing_columns(spark):
+    cat = catalog.load_catalog(spark)
+    df = spark.createDataFrame([(1, 2.0)], "PERS_ID long, MONTHLY_INCOME double")
+    missing = {r.variable for r in catalog.missing_columns(cat, df).collect()}
+    assert "MONTHLY_INCOME" not in missing and "TENURE" in missing

@@ -294,3 +294,23 @@ def test_strip_timezone_keeps_wall_clock(spark):
     out = df.select(prep.strip_timezone("ts").alias("t"))
     assert str(out.schema["t"].dataType) == "TimestampNTZType()"
     assert out.first().t == dt.datetime(2024, 1, 31, 10, 30)
+
+
+def test_category_options_and_approx_counts(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 4.0)], "c string, x double")
+    got = {r.value: r.n_rows for r in flt.category_options(df, "c").collect()}
+    assert got == {"a": 2, "b": 1, None: 1}
+    r = flt.numeric_options(df, ["x"], exact=False).first()
+    assert (r.n_distinct, r.min_value, r.max_value) == (3, 1.0, 4.0)
+
+
+def test_empty_to_null(spark):
+    df = spark.createDataFrame([("",), ("x",), (None,)], "s string")
+    assert [r.s for r in prep.empty_to_null(df).collect()] == [None, "x", None]
+
+
+def test_cluster_conf_sizes_partitions():
+    from segmint.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4, 8000)
+    assert conf["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (256 << 20))
+    assert int(cluster_conf(1, 16)["spark.sql.shuffle.partitions"]) == 32
