@@ -130,18 +130,23 @@ def describe_by(df: DataFrame, group: str, variables: Sequence[str],
     (std is the sample std, ddof 1; quartiles are exact and linear; nulls are
     ignored per variable).
 
-    Pass 1 counts the non-null values per group and variable (a light
-    aggregate) to bound the largest group.  Bounded: pass 2 is ONE aggregate
+    Pass 1 bounds the largest group: the total row count (no columns read),
+    and only if that exceeds ``max_group_rows`` the non-null values per group
+    and variable.  Bounded: pass 2 is ONE aggregate
     over the unpivoted ``(group, variable, value)`` rows that yields every
     statistic, quartiles included.  Unbounded: pass 2 computes the moments and
     ``exact_quantiles`` takes the distributed ranked path.
     """
     variables = list(variables)
     names = {p: f"p{int(round(p * 100))}" for p in probs}
-    counts = df.groupBy(group).agg(*[F.count(v).alias(f"__n{i}") for i, v in enumerate(variables)])
-    maxes = [F.max(f"__n{i}") for i in range(len(variables))]
-    top = maxes[0] if len(maxes) == 1 else F.greatest(*maxes)
-    biggest = counts.agg(top.alias("m")).first()["m"]
+    # The total row count bounds every group; it reads no columns.  Only
+    # when it exceeds the limit are the groups counted one by one.
+    biggest = df.count()
+    if biggest > max_group_rows:
+        counts = df.groupBy(group).agg(*[F.count(v).alias(f"__n{i}") for i, v in enumerate(variables)])
+        maxes = [F.max(f"__n{i}") for i in range(len(variables))]
+        top = maxes[0] if len(maxes) == 1 else F.greatest(*maxes)
+        biggest = counts.agg(top.alias("m")).first()["m"]
     long = to_long(df, [group], variables).where(F.col("value").isNotNull())
     moments = [F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
                F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
