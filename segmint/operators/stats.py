@@ -77,11 +77,11 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "val
                 .select(*groups, F.posexplode(F.col("__qs")).alias("__i", "q"))
                 .select(*groups, F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
                                               F.col("__i") + 1).alias("p"), "q"))
-    return _ranked_quantiles(data, sizes, groups, probs, stats["g"], partitions)
+    return _ranked_quantiles(data, groups, probs, stats["g"], partitions)
 
 
-def _ranked_quantiles(data: DataFrame, sizes: DataFrame, groups: list[str],
-                      probs: Sequence[float], n_groups: int, partitions: int | None) -> DataFrame:
+def _ranked_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float],
+                      n_groups: int, partitions: int | None) -> DataFrame:
     spark = data.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 1. Range-partition on (group, value): a hot group spans many partitions.
@@ -97,6 +97,8 @@ def _ranked_quantiles(data: DataFrame, sizes: DataFrame, groups: list[str],
                                                   F.min("__pos").alias("__first"))
     w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__start", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+    # group sizes from the runs: the source lineage is not evaluated again
+    sizes = runs.groupBy(*groups).agg(F.sum("__cnt").alias("__n"))
     # 3. Wanted ranks: floor(h) and floor(h)+1 per group and p.
     pa = F.array(*[F.lit(float(p)) for p in probs])
     targets = (sizes.select(*groups, "__n", F.explode(pa).alias("p"))
