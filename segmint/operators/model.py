@@ -9,12 +9,16 @@ Design notes for scale
   and one tree aggregate per iteration).  The input is written to the
   reliable checkpoint first: iterations re-read files, and a lost executor
   recomputes from them rather than from the feature lineage.
-* Labels and inertia are computed by our own nearest-centre expression from
-  the (collected, k x v) centres: no join, no cross join, no UDF.  Clusters
-  are renumbered canonically (centres in ascending lexicographic order), so
-  the numbering does not depend on the seed's arbitrary order.
-* The elbow sweep fits every k (optionally concurrently) and then computes
-  all inertias in ONE pass over the data.
+* Fitted models label rows with MLlib's own assignment (JVM, no generated
+  code, any k x v); inertia then needs v terms per row, the centre of each
+  row's label coming from one constant array per dimension.  Clusters are
+  numbered canonically (centres in ascending lexicographic order), so the
+  numbering does not depend on the seed's arbitrary order.
+* Given centres (``assign_nearest``) are tested by an unrolled, generated
+  expression when k x v is small, else by NumPy over Arrow batches: an
+  unrolled test of hundreds of terms exceeds what the code generator compiles.
+* The elbow sweep fits every k concurrently; each k's inertia is one
+  aggregate over its assignment.  No join, no cross join.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -84,15 +90,45 @@ def _sq_dist(columns: Sequence[str], centre: Sequence[float]) -> Column:
     return total
 
 
+# Largest k * v for which the nearest-centre test is unrolled into generated
+# code.  Larger problems (the reference allows k = 30 over 21 variables, 630
+# terms) exceed the 64 KB method limit or exhaust the code compiler.
+UNROLL_TERMS = 256
+
+
+def _nearest_vectorised(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Nearest centre for large k x v: NumPy over Arrow batches, one task per partition."""
+    table = np.asarray(centres, dtype="float64")
+
+    @F.pandas_udf("struct<d double, c int>")
+    def near(x: pd.DataFrame) -> pd.DataFrame:
+        pts = x.to_numpy(dtype="float64")
+        best_d = np.full(len(pts), np.inf)
+        best_c = np.zeros(len(pts), dtype="int32")
+        for i, ctr in enumerate(table):          # k passes of n x v: memory stays O(n x v)
+            dist = ((pts - ctr) ** 2).sum(axis=1)
+            better = dist < best_d               # strict: ties keep the lower index
+            best_d[better] = dist[better]
+            best_c[better] = i
+        return pd.DataFrame({"d": best_d, "c": best_c})
+
+    return near(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
+
+
 def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
     """``struct(d, c)`` of the nearest centre: squared distance and index (M4).
 
-    ``array_min`` over ``struct(distance, index)`` breaks ties by the lower
-    index, the same rule as ``argmin``.
+    Ties go to the lower index, the same rule as ``argmin``.  Up to
+    ``UNROLL_TERMS`` terms every distance is unrolled into the stage's
+    generated code; beyond it the distances are computed with NumPy over
+    Arrow batches (``_nearest_vectorised``), the case the built-in
+    expressions cannot compile.
     """
-    cands = [F.struct(_sq_dist(columns, ctr).alias("d"), F.lit(i).alias("c"))
-             for i, ctr in enumerate(centres)]
-    return F.array_min(F.array(*cands))
+    if len(centres) * len(columns) <= UNROLL_TERMS:
+        cands = [F.struct(_sq_dist(columns, ctr).alias("d"), F.lit(i).alias("c"))
+                 for i, ctr in enumerate(centres)]
+        return F.array_min(F.array(*cands))
+    return _nearest_vectorised(columns, centres)
 
 
 def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]],
@@ -105,6 +141,20 @@ def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequ
     return out.drop("__near")
 
 
+def label_distance(columns: Sequence[str], centres: Sequence[Sequence[float]], label: str) -> Column:
+    """Squared distance of a row to the centre of its label: v terms for any k.
+
+    The centre coordinates of each dimension are one constant array indexed by
+    the label, so the expression does not grow with k.
+    """
+    total = None
+    for j, c in enumerate(columns):
+        coord = F.element_at(F.array(*[F.lit(float(ctr[j])) for ctr in centres]), F.col(label) + 1)
+        t = (F.col(c) - coord) * (F.col(c) - coord)
+        total = t if total is None else total + t
+    return total
+
+
 MAX_CENTRES = 10_000
 
 
@@ -148,10 +198,8 @@ class KMeansFit:
     centres: list[list[float]]          # canonical order
     inertia: float
     seed: int
-
-
-def _canonical(centres: list[list[float]]) -> list[list[float]]:
-    return sorted([list(map(float, c)) for c in centres])
+    model: object = None                # the MLlib model
+    order: list[int] | None = None      # order[MLlib index] = canonical index
 
 
 def mean_variance(df: DataFrame, columns: Sequence[str]) -> float:
@@ -174,26 +222,48 @@ def mllib_epsilon(tol: float, mean_var: float, k: int) -> float:
     return max((scaled / max(k, 1)) ** 0.5, 1e-12)
 
 
-def _fit_centres(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float,
-                 init_mode: str, features: str) -> list[list[float]]:
+def _fit_model(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float,
+               init_mode: str) -> KMeansFit:
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode=init_mode,
-                featuresCol=features, predictionCol="__pred")
+                featuresCol="features", predictionCol="__pred")
     model = km.fit(vectors)
-    return _canonical([c.tolist() for c in model.clusterCenters()])
+    raw = [list(map(float, c.tolist())) for c in model.clusterCenters()]
+    canon = sorted(range(len(raw)), key=lambda i: raw[i])
+    order = [0] * len(raw)
+    for new, old in enumerate(canon):
+        order[old] = new
+    return KMeansFit(k=len(raw), centres=[raw[i] for i in canon], inertia=float("nan"),
+                     seed=seed, model=model, order=order)
 
 
-def prepare_vectors(df: DataFrame, columns: Sequence[str], features: str = "features",
+def label(fit: KMeansFit, vectors: DataFrame, label_col: str = "Cluster") -> DataFrame:
+    """Cluster of every row of an assembled frame (``features`` column), canonical numbering.
+
+    MLlib's own assignment runs in the JVM (no generated code, any k x v); the
+    index is mapped to the canonical numbering with one constant array.
+    """
+    out = fit.model.transform(vectors)
+    remap = F.element_at(F.array(*[F.lit(o) for o in fit.order]), F.col("__pred") + 1)
+    return out.withColumn(label_col, remap).drop("__pred")
+
+
+def _inertia_of(fit: KMeansFit, vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
+    lab = label(fit, vectors, "__lab")
+    return lab.agg(F.sum(label_distance(columns, fit.centres, "__lab")).alias("Inertia"))
+
+
+def prepare_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
                     checkpoint: bool = True) -> DataFrame:
-    """Assemble vectors and persist them for the iterations.
+    """Assemble ``features`` and persist the rows for the iterations.
 
-    With ``checkpoint`` the feature rows are first written to the reliable
-    checkpoint; callers whose input is already a checkpoint (plus cheap,
-    deterministic arithmetic) pass ``False``.
+    With ``checkpoint`` the rows are first written under the checkpoint folder;
+    callers whose input is already written there (plus cheap, deterministic
+    arithmetic) pass ``False``.  ``keep`` carries extra columns (ids).
     """
-    base = df.select(*columns)
+    base = df.select(*keep, *[c for c in columns if c not in keep])
     if checkpoint:
         base = cut_lineage(base)
-    return assemble(base, columns, features).persist(StorageLevel.MEMORY_AND_DISK)
+    return assemble(base, columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (42,),
@@ -202,36 +272,34 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[in
     """Fit k-means for every seed and keep the lowest inertia.
 
     ``tol`` is relative, as in the reference's solver (see ``mllib_epsilon``).
+    Inertia is recomputed from the final assignment, not MLlib's training
+    cost, which lags one update behind (T2).
     """
     own = vectors is None
     vecs = vectors if vectors is not None else prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
         eps = mllib_epsilon(tol, mean_variance(vecs, columns), k)
-        fits = [(s, _fit_centres(vecs, k, s, max_iter, eps, init_mode, "features")) for s in seeds]
-        costs = inertias(vecs, columns, [c for _, c in fits])
-        best = min(range(len(fits)), key=lambda i: costs[i])
-        return KMeansFit(k=len(fits[best][1]), centres=fits[best][1], inertia=costs[best], seed=fits[best][0])
+        best = None
+        for s in seeds:
+            fit = _fit_model(vecs, k, s, max_iter, eps, init_mode)
+            fit.inertia = float(_inertia_of(fit, vecs, columns).first()["Inertia"] or 0.0)
+            if best is None or fit.inertia < best.inertia:
+                best = fit
+        return best
     finally:
         if own:
             vecs.unpersist()
 
 
-def inertias(df: DataFrame, columns: Sequence[str], centre_sets: Sequence[Sequence[Sequence[float]]]
-             ) -> list[float]:
-    """Inertia of several centre sets in ONE pass over ``df``."""
-    aggs = [F.sum(nearest(columns, cs)["d"]).alias(f"__i{n}") for n, cs in enumerate(centre_sets)]
-    row = df.agg(*aggs).first()
-    return [float(row[f"__i{n}"] or 0.0) for n in range(len(centre_sets))]
-
-
 def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int = 3,
                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
                 parallelism: int = 8, checkpoint: bool = True) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
 
-    Fits run concurrently (each is a chain of small Spark jobs); the inertias
-    are then one aggregate over the data whose single row is unpivoted, so the
-    result is computed by Spark from the rows, not assembled on the driver.
+    Fits run concurrently (each is a chain of small Spark jobs); each k's
+    inertia is an aggregate over its own assignment (v terms per row), and the
+    one-row results are unioned and written, so the curve is computed by
+    Spark from the rows, not assembled on the driver.
     """
     ks = list(range(k_min, k_max + 1))
     vecs = prepare_vectors(df, columns, checkpoint=checkpoint)
@@ -239,13 +307,15 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
         mv = mean_variance(vecs, columns)
 
         def one(k):
-            return _fit_centres(vecs, k, seed, max_iter, mllib_epsilon(tol, mv, k), "k-means||", "features")
+            return _fit_model(vecs, k, seed, max_iter, mllib_epsilon(tol, mv, k), "k-means||")
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
-            centre_sets = list(pool.map(one, ks))
-        aggs = [F.sum(nearest(columns, cs)["d"]).alias(f"k{k}") for k, cs in zip(ks, centre_sets)]
-        one_row = vecs.agg(*aggs)
-        rows = F.array(*[F.struct(F.lit(k).alias("K"), F.col(f"k{k}").alias("Inertia")) for k in ks])
-        return cut_lineage(one_row.select(F.inline(rows)))
+            fits = list(pool.map(one, ks))
+        parts = [_inertia_of(f, vecs, columns).select(F.lit(k).alias("K"), "Inertia")
+                 for k, f in zip(ks, fits)]
+        curve = parts[0]
+        for p in parts[1:]:
+            curve = curve.unionByName(p)
+        return cut_lineage(curve)
     finally:
         vecs.unpersist()
 
@@ -272,8 +342,10 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
         m, s = stats[c]
         x = F.col(c).cast("double")
         zexpr.append(((x - F.lit(m)) / F.lit(s)).alias(zc) if s else (x - F.lit(m)).alias(zc))
-    scaled = chosen.select(*zexpr)
-    fit = fit_kmeans(scaled, scaled_cols, k, seeds, max_iter, tol, checkpoint=False)
-    labelled = chosen.select("*", *zexpr)
-    labelled = assign_nearest(labelled, scaled_cols, fit.centres, "Cluster")
-    return labelled.select(id_col, *model_cols, "Cluster", *reporting_cols), fit
+    vecs = assemble(chosen.select("*", *zexpr), scaled_cols, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fit = fit_kmeans(vecs, scaled_cols, k, seeds, max_iter, tol, vectors=vecs)
+        labelled = label(fit, vecs, "Cluster").select(id_col, *model_cols, "Cluster", *reporting_cols)
+        return cut_lineage(labelled), fit
+    finally:
+        vecs.unpersist()

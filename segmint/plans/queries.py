@@ -382,9 +382,11 @@ def _model_input(spark, root):
 
 
 def q_kmeans_fit(spark, root):
-    z = mdl.cut_lineage(_model_input(spark, root))
-    fit = mdl.fit_kmeans(z, SEG_MODEL, FINAL_K, checkpoint=False)
-    return mdl.assign_nearest(z, SEG_MODEL, fit.centres, "Cluster").select(d.KEY, "Cluster")
+    vecs = mdl.prepare_vectors(_model_input(spark, root), SEG_MODEL, keep=[d.KEY])
+    fit = mdl.fit_kmeans(vecs, SEG_MODEL, FINAL_K, vectors=vecs)
+    out = mdl.cut_lineage(mdl.label(fit, vecs, "Cluster").select(d.KEY, "Cluster"))
+    vecs.unpersist()
+    return out
 
 
 def q_elbow_curve(spark, root):

@@ -123,3 +123,21 @@ def test_kmeans_quality_matches_golden_run(spark):
     assert fit.inertia <= golden * 1.03, (fit.inertia, golden)
     labelled, _ = mdl.segment(client, "PERS_ID", variables, ["REGION", "GENDER"], 17, seeds=(42,))
     assert labelled.count() == 287 and labelled.select("Cluster").distinct().count() == 17
+
+
+def test_large_k_times_v_nearest_and_elbow(spark):
+    """k = 30 over 21 variables: beyond the unrolled form; labels and inertia stay exact."""
+    rng = np.random.default_rng(4)
+    cols = [f"v{i}" for i in range(21)]
+    pts = rng.normal(size=(400, 21))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in pts], ", ".join(f"{c} double" for c in cols))
+    centres = rng.normal(size=(30, 21))
+    lab = mdl.assign_nearest(df, cols, centres.tolist(), "Cluster", distance="d").collect()
+    dist = ((pts[:, None, :] - centres[None]) ** 2).sum(-1)
+    assert [r.Cluster for r in lab] == list(dist.argmin(1))
+    assert np.allclose([r.d for r in lab], dist.min(1), rtol=1e-12)
+    curve = {r.K: r.Inertia for r in mdl.elbow_curve(df, cols, 30, k_min=28).collect()}
+    assert sorted(curve) == [28, 29, 30]
+    fit = mdl.fit_kmeans(df, cols, 30)
+    d = mdl.assign_nearest(df, cols, fit.centres, "Cluster", distance="d").agg(F.sum("d")).first()[0]
+    assert math.isclose(fit.inertia, d, rel_tol=1e-9)
