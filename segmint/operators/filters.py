@@ -204,21 +204,19 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
 def numeric_options(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Control options for numeric columns: distinct count, min, max.
 
-    One aggregate over the (possibly already narrowed) frame, unpivoted to
-    ``(column_name, n_distinct, min_value, max_value)``.  ``exact=False`` uses
-    HLL++ for the distinct count, which avoids the per-column row expansion an
-    exact multi-column distinct count needs.
+    ``(column_name, n_distinct, min_value, max_value)`` over the (possibly
+    already narrowed) frame.  The columns are unpivoted and grouped by name:
+    one distinct aggregate, where a multi-column ``count(DISTINCT ...)``
+    would expand every row once per column through a multi-aggregate plan
+    (four times slower at 21 columns).  ``exact=False`` uses HLL++.
     """
-    aggs = []
-    for c in columns:
-        nd = F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01)
-        aggs += [nd.cast("long").alias(f"{c}__nd"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.max(c).cast("double").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__nd").alias("n_distinct"),
-                              F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"))
-                     for c in columns])
-    return wide.select(F.inline(rows))
+    from segmint.operators.stats import to_long
+
+    long = to_long(df, [], list(columns), "column_name", "value")
+    nd = F.count_distinct("value") if exact else F.approx_count_distinct("value", 0.01)
+    return long.groupBy("column_name").agg(nd.cast("long").alias("n_distinct"),
+                                           F.min("value").alias("min_value"),
+                                           F.max("value").alias("max_value"))
 
 
 def category_options(df: DataFrame, column: str) -> DataFrame:
