@@ -31,6 +31,9 @@ from segmint.session import cut_lineage
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
 # Largest group for which the single-task built-in ``percentile`` is allowed.
 MAX_GROUP_ROWS = 2_000_000
+# Rows per range partition of the distributed quantile sort (a group larger
+# than this spans several partitions, i.e. several tasks).
+ROWS_PER_RANGE_PARTITION = 2_000_000
 # Largest lookup table we allow ourselves to broadcast (rows).
 MAX_BROADCAST_ROWS = 200_000
 
@@ -66,7 +69,8 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "val
     groups = list(groups)
     data = long_df.select(*groups, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     sizes = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    stats = sizes.agg(F.max("__n").alias("mx"), F.count(F.lit(1)).alias("g")).first()
+    stats = sizes.agg(F.max("__n").alias("mx"), F.count(F.lit(1)).alias("g"),
+                      F.sum("__n").alias("total")).first()
     if stats["g"] == 0:
         spark = long_df.sparkSession
         schema = long_df.select(*groups).schema.add("p", "double").add("q", "double")
@@ -77,13 +81,14 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "val
                 .select(*groups, F.posexplode(F.col("__qs")).alias("__i", "q"))
                 .select(*groups, F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
                                               F.col("__i") + 1).alias("p"), "q"))
+    if partitions is None:
+        cap = int(long_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, min(cap, -(-int(stats["total"]) // ROWS_PER_RANGE_PARTITION)))
     return _ranked_quantiles(data, groups, probs, stats["g"], partitions)
 
 
 def _ranked_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float],
-                      n_groups: int, partitions: int | None) -> DataFrame:
-    spark = data.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                      n_groups: int, parts: int) -> DataFrame:
     # 1. Range-partition on (group, value): a hot group spans many partitions.
     #    Partition ids and local positions are fixed by writing the sorted
     #    frame to the reliable checkpoint, so every later read agrees.
