@@ -72,7 +72,6 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         prepared = mdl.prepare_features(population, args.model, keep=["PERS_ID"])
         write("elbow", mdl.elbow_curve(prepared, args.model, args.elbow_max, checkpoint=False))
     clients, fit = mdl.segment(population, "PERS_ID", args.model, args.reporting, args.k, tuple(args.seeds))
-    clients = cut_lineage(clients)
     write("clients", clients)
     write("profile", st.profile_wide(st.profile_long(clients, args.model, "Cluster"), args.k)
           .orderBy("row_order"))

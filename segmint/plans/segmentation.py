@@ -29,7 +29,6 @@ def run_segmentation(spark: SparkSession, root: str, model_cols, reporting_cols,
                      ) -> SegmentationResult:
     src = wide.customer_wide(spark, root, active_only=active_only)
     chosen = flt.filter_segment(src, ranges, members)
-    clients, fit = mdl.segment(chosen, "PERS_ID", model_cols, reporting_cols, k, seeds)
-    clients = mdl.cut_lineage(clients)
+    clients, fit = mdl.segment(chosen, "PERS_ID", model_cols, reporting_cols, k, seeds)   # written table
     long = st.profile_long(clients, model_cols, "Cluster")
     return SegmentationResult(clients, long, st.profile_wide(long, k), fit)
