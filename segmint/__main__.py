@@ -19,12 +19,18 @@ from segmint.plans import domain as d
 from segmint.plans import wide
 from segmint.session import checkpoint_dir, cut_lineage, get_session
 from segmint.sources import catalog, sinks
+from segmint.functions.prep import impute_defaults
+from segmint.sources.readers import read_wide_csv
 from segmint.sources.snapshots import snapshot_or_build
 
+# The application's defaults for missing values in its input file.
+APP_TEXT_FILL = {"PREF_CITY": "Undefined", "PAYROLL_TP": "Undefined", "SOC_SEG": "Undefined"}
+APP_NUMBER_FILL = {"AVG_MB_IB_TRN_CNT": 0, "AVG_POS_TRN_CNT": 0, "AVG_ATM_TRN_CNT": 0, "MONTHLY_INCOME": 0}
+
 
 def parse_args(argv=None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="segmint", description=__doc__.splitlines()[0])
-    p.add_argument("--data", required=True, help="folder with the source tables (Parquet)")
+    p.add_argument("--data", default=None, help="folder with the source tables (Parquet)")
     p.add_argument("--out", required=True, help="output folder")
     p.add_argument("--model", nargs="+", default=["MONTHLY_INCOME", "AVG_MB_IB_TRN_AMT", "URGENT_AVG_AMT"])
     p.add_argument("--reporting", nargs="*", default=["REGION", "SOC_SEG"])
@@ -36,6 +42,10 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--snapshot-root", default=None,
                    help="read-through store of monthly wide rows (partitioned by snap_date); "
                         "reused when the month exists, built and written otherwise")
+    p.add_argument("--wide-csv", default=None,
+                   help="start from a wide customer table exported as CSV instead of the source tables")
+    p.add_argument("--catalog", default=catalog.DEFAULT_CATALOG,
+                   help="variable catalogue JSON (model_variables, reporting_variables)")
     p.add_argument("--seeds", type=int, nargs="+", default=[42])
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
@@ -44,14 +54,19 @@ def parse_args(argv=None) -> argparse.Namespace:
 def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     spark = spark or get_session(args.master)
     checkpoint_dir(spark)
-    cat = catalog.load_catalog(spark)
+    cat = catalog.load_catalog(spark, args.catalog)
     bad = [r.variable for r in catalog.unknown_selections(cat, args.model, "model").collect()]
     bad += [r.variable for r in catalog.unknown_selections(cat, args.reporting, "reporting").collect()]
     if bad:
         raise SystemExit(f"not in the variable catalogue: {bad}")
     spec = json.loads(args.filters)
     ranges = {c: tuple(v) for c, v in spec.get("ranges", {}).items()}
-    if args.snapshot_root:
+    if args.wide_csv:
+        numeric = [r.variable for r in cat.where("role = 'model'").collect()] + list(ranges)
+        source = impute_defaults(read_wide_csv(spark, args.wide_csv, numeric), APP_TEXT_FILL, APP_NUMBER_FILL)
+    elif not args.data:
+        raise SystemExit("give --data (source tables) or --wide-csv")
+    elif args.snapshot_root:
         source = snapshot_or_build(
             spark, args.snapshot_root, d.AS_OF,
             lambda snap: wide.customer_wide(spark, args.data, active_only=args.active_only)).drop("snap_date")
@@ -74,7 +89,7 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     clients, fit = mdl.segment(population, "PERS_ID", args.model, args.reporting, args.k, tuple(args.seeds))
     write("clients", clients)
     write("profile", st.profile_wide(st.profile_long(clients, args.model, "Cluster"), args.k)
-          .orderBy("row_order"))
+          .orderBy("row_order").drop("row_order"))
     out["inertia"] = str(fit.inertia)
     return out
 

@@ -62,3 +62,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     df = (spark.read.schema(schema).option("header", header)
           .option("mode", "PERMISSIVE").csv(path))
     return nan_to_null(df)
+
+
+def read_wide_csv(spark: SparkSession, path: str, numeric: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """A wide customer table exported as CSV (the application's file input).
+
+    The schema is built from the header line (one line read): columns named
+    in ``numeric`` are doubles, all others text - no inference pass over the
+    data.  An unnamed first column (a pandas row index written with the file)
+    is dropped.
+    """
+    header = spark.read.text(path).first()
+    if header is None:
+        raise ValueError(f"{path} is empty")
+    names = [h.strip().strip('"') for h in header[0].split(",")]
+    wanted = set(numeric)
+    fields = [T.StructField(n or "__row_index", T.DoubleType() if n in wanted else T.StringType())
+              for n in names]
+    df = read_csv(spark, path, T.StructType(fields))
+    return df.drop("__row_index") if "__row_index" in df.columns else df
