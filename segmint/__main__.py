@@ -19,13 +19,14 @@ from segmint.plans import domain as d
 from segmint.plans import wide
 from segmint.session import checkpoint_dir, cut_lineage, get_session
 from segmint.sources import catalog, sinks
-from segmint.functions.prep import impute_defaults
+from segmint.functions.prep import cap_value, flag_to_int, impute_defaults
 from segmint.sources.readers import read_wide_csv
 from segmint.sources.snapshots import snapshot_or_build
 
 # The application's defaults for missing values in its input file.
 APP_TEXT_FILL = {"PREF_CITY": "Undefined", "PAYROLL_TP": "Undefined", "SOC_SEG": "Undefined"}
 APP_NUMBER_FILL = {"AVG_MB_IB_TRN_CNT": 0, "AVG_POS_TRN_CNT": 0, "AVG_ATM_TRN_CNT": 0, "MONTHLY_INCOME": 0}
+STRICT_FLAGS = ["IS_INT_BNK_USER", "IS_MOB_BNK_USER"]
 
 
 def parse_args(argv=None) -> argparse.Namespace:
@@ -46,6 +47,9 @@ def parse_args(argv=None) -> argparse.Namespace:
                    help="start from a wide customer table exported as CSV instead of the source tables")
     p.add_argument("--catalog", default=catalog.DEFAULT_CATALOG,
                    help="variable catalogue JSON (model_variables, reporting_variables)")
+    p.add_argument("--strict", action="store_true",
+                   help="previous application's rules: every filter applies (empty list: no rows), "
+                        "TENURE null -> 0 and capped at 30, text flags '1' -> 1 else 0")
     p.add_argument("--seeds", type=int, nargs="+", default=[42])
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
@@ -72,8 +76,16 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
             lambda snap: wide.customer_wide(spark, args.data, active_only=args.active_only)).drop("snap_date")
     else:
         source = wide.customer_wide(spark, args.data, active_only=args.active_only)
-    population = flt.filter_segment(source, ranges, spec.get("members", {}))
+    if args.strict:
+        if "TENURE" in source.columns:
+            source = source.withColumn("TENURE", cap_value("TENURE", 30.0))
+        for flag in STRICT_FLAGS:
+            if flag in source.columns:
+                source = source.withColumn(flag, flag_to_int(flag))
+    population = flt.filter_segment(source, ranges, spec.get("members", {}), mandatory=args.strict)
     population = cut_lineage(population)
+    if population.isEmpty():
+        raise SystemExit("no customer passes the filters")
     out = {}
 
     def write(name, df):
@@ -82,7 +94,9 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         out[name] = path
 
     write("population", st.population_metrics(population))
-    write("correlation", st.correlation_long(population, args.model, lower_only=True))
+    corr = st.correlation_long(population, args.model, lower_only=True)
+    write("correlation", corr)
+    write("redundant", st.redundant_pairs(corr))
     if args.elbow_max >= 3:
         prepared = mdl.prepare_features(population, args.model, keep=["PERS_ID"])
         write("elbow", mdl.elbow_curve(prepared, args.model, args.elbow_max, checkpoint=False))

@@ -78,6 +78,15 @@ def test_command_line_run(spark, tmp_dir):
     profile = spark.read.option("header", True).csv(out["profile"])
     assert profile.count() == 2 + 6 * 3 and profile.columns == ["row_label", "0", "1", "2", "3"]
     assert spark.read.option("header", True).csv(out["elbow"]).count() == 3
+    assert "redundant" in out
+    # previous application's rules: an empty selection filters everything out
+    with pytest.raises(SystemExit):
+        run(parse_args(["--data", SF0001, "--out", tmp_dir + "/strict", "--k", "3", "--strict",
+                        "--filters", '{"members": {"SOC_SEG": []}}']), spark)
+    ok = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/strict2", "--k", "3", "--strict",
+                         "--filters", '{"ranges": {"TENURE": [0, 30]}, "members": {"SOC_SEG": ["BUILDING", '
+                         '"MACHINERY", "FURNITURE", "AUTOMOBILE", "HOUSEHOLD"]}}']), spark)
+    assert spark.read.option("header", True).csv(ok["clients"]).count() == 150
     with pytest.raises(SystemExit):
         run(parse_args(["--data", SF0001, "--out", tmp_dir + "/x", "--model", "NOPE"]), spark)
     # read-through monthly store: the second run reuses the written month
