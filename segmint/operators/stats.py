@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from segmint.session import cut_lineage
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
-# Largest group for which the single-task built-in ``percentile`` is allowed.
+# Largest group for which the single-task built-in ``percentile`` is allowed
+# (session setting ``segmint.quantiles.maxGroupRows`` overrides).
 MAX_GROUP_ROWS = 2_000_000
 # Rows per range partition of the distributed quantile sort (a group larger
 # than this spans several partitions, i.e. several tasks).
@@ -38,6 +39,11 @@ ROWS_PER_RANGE_PARTITION = 2_000_000
 MAX_BROADCAST_ROWS = 200_000
 
 
+def _conf_int(df: DataFrame, key: str, default: int) -> int:
+    """An integer setting from the session (cluster operators may override)."""
+    return int(df.sparkSession.conf.get(key, str(default)))
+
+
 def np_round(col: Column | str, digits: int) -> Column:
     """Round like NumPy's ``round`` (scale, round half to even, unscale).
 
@@ -59,13 +65,15 @@ def to_long(df: DataFrame, ids: Sequence[str], variables: Sequence[str],
 
 
 def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "value",
-                    probs: Sequence[float] = DEFAULT_PROBS, max_group_rows: int = MAX_GROUP_ROWS,
+                    probs: Sequence[float] = DEFAULT_PROBS, max_group_rows: int | None = None,
                     partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group (pandas ``describe``).
 
     Returns ``(groups..., p, q)``.  Nulls are ignored; a group's quantile at
     ``p`` is ``v[lo] + (v[lo+1] - v[lo]) * frac`` with ``h = p*(n-1)``.
     """
+    if max_group_rows is None:
+        max_group_rows = _conf_int(long_df, "segmint.quantiles.maxGroupRows", MAX_GROUP_ROWS)
     groups = list(groups)
     data = long_df.select(*groups, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     sizes = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
@@ -83,7 +91,8 @@ def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "val
                                               F.col("__i") + 1).alias("p"), "q"))
     if partitions is None:
         cap = int(long_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(1, min(cap, -(-int(stats["total"]) // ROWS_PER_RANGE_PARTITION)))
+        per = _conf_int(long_df, "segmint.quantiles.rowsPerRangePartition", ROWS_PER_RANGE_PARTITION)
+        partitions = max(1, min(cap, -(-int(stats["total"]) // per)))
     return _ranked_quantiles(data, groups, probs, stats["g"], partitions)
 
 
@@ -130,7 +139,7 @@ def _ranked_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float]
 
 def describe_by(df: DataFrame, group: str, variables: Sequence[str],
                 probs: Sequence[float] = DEFAULT_PROBS,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                max_group_rows: int | None = None) -> DataFrame:
     """``groupby(group).describe()`` in long form (A10).
 
     Columns: ``variable, <group>, count, mean, std, min, p25, p50, p75, max``
@@ -144,6 +153,8 @@ def describe_by(df: DataFrame, group: str, variables: Sequence[str],
     statistic, quartiles included.  Unbounded: pass 2 computes the moments and
     ``exact_quantiles`` takes the distributed ranked path.
     """
+    if max_group_rows is None:
+        max_group_rows = _conf_int(df, "segmint.quantiles.maxGroupRows", MAX_GROUP_ROWS)
     variables = list(variables)
     names = {p: f"p{int(round(p * 100))}" for p in probs}
     # The total row count bounds every group; it reads no columns.  Only
@@ -249,7 +260,7 @@ PROFILE_LABELS = {"mean": "mean", "min": "min", "p25": "25%", "p50": "50%", "p75
 
 def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "Cluster",
                  digits: int = 2, with_std: bool = False,
-                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                 max_group_rows: int | None = None) -> DataFrame:
     """Cluster profile as ``(row_order, row_label, <cluster>, value)``.
 
     Rows: ``Count``, ``CountShare %``, then per variable ``<var>_mean``,

@@ -314,3 +314,18 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * 1024 ** 4, 8000)
     assert conf["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (256 << 20))
     assert int(cluster_conf(1, 16)["spark.sql.shuffle.partitions"]) == 32
+
+
+def test_quantile_thresholds_from_session(spark):
+    import os
+    from segmint.session import checkpoint_dir
+    root = checkpoint_dir(spark).replace("file:", "")
+    before = len(os.listdir(root))
+    df = spark.createDataFrame([(0, float(i)) for i in range(11)], "g int, value double")
+    spark.conf.set("segmint.quantiles.maxGroupRows", "0")
+    try:
+        got = {r.p: r.q for r in st.exact_quantiles(df, ["g"], "value").collect()}
+    finally:
+        spark.conf.unset("segmint.quantiles.maxGroupRows")
+    assert got == {0.25: 2.5, 0.5: 5.0, 0.75: 7.5}
+    assert len(os.listdir(root)) == before + 1          # the ranked path wrote its sorted table
