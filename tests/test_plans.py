@@ -47,3 +47,19 @@ def test_projection_is_pruned(spark):
     plan = _plan(q.q_channel_branch(spark, SF0001))
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_returnflag:string,l_shipdate" in plan \
         or "l_quantity" not in plan
+
+
+def test_wide_row_shuffles_each_input_once_at_scale(spark):
+    """Blocks too large to broadcast: one exchange per aggregate, the base once, orders once."""
+    from conftest import SF001
+    from segmint.plans import wide
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(wide.customer_wide(spark, SF001))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 8, plan
+    assert plan.count("BroadcastExchange") == 2          # nation and region only
