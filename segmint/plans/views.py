@@ -82,9 +82,9 @@ SELECT c.c_custkey AS PERS_ID, r.r_name AS REGION, n.n_name AS PREF_CITY, c.c_mk
 FROM {p}src_customer c
 LEFT JOIN {p}src_nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN {p}src_region r ON n.n_regionkey = r.r_regionkey
-WHERE c.c_custkey IN (SELECT DISTINCT o_custkey FROM {p}src_orders
-                      WHERE o_orderdate >= DATE'{last_lo}' AND o_orderdate < DATE'{hi}'
-                        AND o_orderstatus = '{d.ACTIVE_STATUS}')"""),
+LEFT SEMI JOIN (SELECT DISTINCT o_custkey FROM {p}src_orders
+                WHERE o_orderdate >= DATE'{last_lo}' AND o_orderdate < DATE'{hi}'
+                  AND o_orderstatus = '{d.ACTIVE_STATUS}') a ON c.c_custkey = a.o_custkey"""),
         (f"{p}segm", f"""
 SELECT o_custkey AS PERS_ID_03,
        ({snap.year * 12 + snap.month} - (year(min(o_orderdate)) * 12 + month(min(o_orderdate)))) / 12D AS TENURE
