@@ -96,11 +96,14 @@ FROM {p}src_events
 WHERE ts BETWEEN DATE'{e_lo}' AND DATE'{e_hi}' AND value > 0 AND event_type IN ({_in_list(all_types)})
 GROUP BY user_id"""),
         (f"{p}branch", f"""
-SELECT o.o_custkey AS PERS_ID_06, COUNT(*) / 3D AS {bcnt},
-       CAST(ROUND(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) / 3, 1) AS DOUBLE) AS {bamt}
-FROM {p}src_lineitem l JOIN {p}src_orders o ON l.l_orderkey = o.o_orderkey
-WHERE l.l_shipdate BETWEEN DATE'{w_lo}' AND DATE'{w_hi}' AND l.l_extendedprice > 0
-  AND l.l_returnflag != '{d.BRANCH_EXCLUDED_RETURNFLAG}'
+SELECT o.o_custkey AS PERS_ID_06, SUM(l.n) / 3D AS {bcnt},
+       CAST(ROUND(SUM(l.amt) / 3, 1) AS DOUBLE) AS {bamt}
+FROM (SELECT l_orderkey, COUNT(*) AS n, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS amt
+      FROM {p}src_lineitem
+      WHERE l_shipdate BETWEEN DATE'{w_lo}' AND DATE'{w_hi}' AND l_extendedprice > 0
+        AND l_returnflag != '{d.BRANCH_EXCLUDED_RETURNFLAG}'
+      GROUP BY l_orderkey) l
+JOIN {p}src_orders o ON l.l_orderkey = o.o_orderkey
 GROUP BY o.o_custkey"""),
         (f"{p}final", f"""
 SELECT T_1.PERS_ID, T_1.REGION, T_1.PREF_CITY, T_1.SOC_SEG, T_1.MONTHLY_INCOME, T_4.TENURE,
