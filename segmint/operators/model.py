@@ -17,8 +17,8 @@ Design notes for scale
 * Given centres (``assign_nearest``) are tested by an unrolled, generated
   expression when k x v is small, else by NumPy over Arrow batches: an
   unrolled test of hundreds of terms exceeds what the code generator compiles.
-* The elbow sweep fits every k concurrently; each k's inertia is one
-  aggregate over its assignment.  No join, no cross join.
+* The elbow sweep fits every k concurrently; the inertias of all k share
+  passes over the data (batched by term count).  No join, no cross join.
 """
 
 from __future__ import annotations
@@ -247,9 +247,34 @@ def label(fit: KMeansFit, vectors: DataFrame, label_col: str = "Cluster") -> Dat
     return out.withColumn(label_col, remap).drop("__pred")
 
 
-def _inertia_of(fit: KMeansFit, vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
-    lab = label(fit, vectors, "__lab")
-    return lab.agg(F.sum(label_distance(columns, fit.centres, "__lab")).alias("Inertia"))
+def inertia_frame(fits: Sequence[tuple[int, KMeansFit]], vectors: DataFrame,
+                  columns: Sequence[str]) -> DataFrame:
+    """``(K, Inertia)`` of several fitted models, sharing passes over the data.
+
+    Every model of a batch labels the rows in one chain of ``transform``
+    calls (each into its own column) and one aggregate sums every model's
+    v-term distances, so a batch costs one pass.  Batches hold at most
+    ``UNROLL_TERMS`` distance terms, which keeps the generated code small.
+    """
+    per = max(1, UNROLL_TERMS // max(1, len(columns)))
+    parts = []
+    for start in range(0, len(fits), per):
+        batch = fits[start:start + per]
+        df = vectors
+        sums = []
+        for key, fit in batch:
+            pred, lab = f"__p{key}", f"__l{key}"
+            model = fit.model.copy().setPredictionCol(pred)
+            df = model.transform(df)
+            df = df.withColumn(lab, F.element_at(F.array(*[F.lit(o) for o in fit.order]), F.col(pred) + 1))
+            sums.append(F.sum(label_distance(columns, fit.centres, lab)).alias(f"__i{key}"))
+        rows = F.array(*[F.struct(F.lit(key).alias("K"), F.col(f"__i{key}").alias("Inertia"))
+                         for key, _ in batch])
+        parts.append(df.agg(*sums).select(F.inline(rows)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def prepare_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
@@ -279,12 +304,12 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[in
     vecs = vectors if vectors is not None else prepare_vectors(df, columns, checkpoint=checkpoint)
     try:
         eps = mllib_epsilon(tol, mean_variance(vecs, columns), k)
-        best = None
-        for s in seeds:
-            fit = _fit_model(vecs, k, s, max_iter, eps, init_mode)
-            fit.inertia = float(_inertia_of(fit, vecs, columns).first()["Inertia"] or 0.0)
-            if best is None or fit.inertia < best.inertia:
-                best = fit
+        fits = [_fit_model(vecs, k, s, max_iter, eps, init_mode) for s in seeds]
+        costs = {r["K"]: float(r["Inertia"] or 0.0)
+                 for r in inertia_frame(list(enumerate(fits)), vecs, columns).collect()}
+        for i, fit in enumerate(fits):
+            fit.inertia = costs[i]
+        best = min(fits, key=lambda f: f.inertia)
         return best
     finally:
         if own:
@@ -296,10 +321,10 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
                 parallelism: int = 8, checkpoint: bool = True) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
 
-    Fits run concurrently (each is a chain of small Spark jobs); each k's
-    inertia is an aggregate over its own assignment (v terms per row), and the
-    one-row results are unioned and written, so the curve is computed by
-    Spark from the rows, not assembled on the driver.
+    Fits run concurrently (each is a chain of small Spark jobs); the inertias
+    of all k share passes over the data (``inertia_frame``), and the result is
+    written, so the curve is computed by Spark from the rows, not assembled
+    on the driver.
     """
     ks = list(range(k_min, k_max + 1))
     vecs = prepare_vectors(df, columns, checkpoint=checkpoint)
@@ -310,11 +335,7 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
             return _fit_model(vecs, k, seed, max_iter, mllib_epsilon(tol, mv, k), "k-means||")
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
             fits = list(pool.map(one, ks))
-        parts = [_inertia_of(f, vecs, columns).select(F.lit(k).alias("K"), "Inertia")
-                 for k, f in zip(ks, fits)]
-        curve = parts[0]
-        for p in parts[1:]:
-            curve = curve.unionByName(p)
+        curve = inertia_frame(list(zip(ks, fits)), vecs, columns)
         return cut_lineage(curve)
     finally:
         vecs.unpersist()
