@@ -136,17 +136,25 @@ def column_kinds(df: DataFrame, columns: Sequence[str], cut: int = CATEGORICAL_C
     """Classify columns as ``categorical``, ``numeric``, ``datetime`` or ``text``.
 
     Categorical: fewer than ``cut`` distinct values (unless listed in
-    ``always_range``).  One aggregate with ``approx_count_distinct`` (HLL++,
-    near-exact at such small cardinalities) serves all columns; no distinct
-    values are brought to the driver.
+    ``always_range``).  One aggregate with ``approx_count_distinct`` (HLL++)
+    serves all columns; columns whose estimate lies within 10 % of the cut are
+    counted exactly, so the decision is the exact one.  No distinct values are
+    brought to the driver.
     """
     always_range = set(always_range)
     types = {f.name: f.dataType for f in df.schema.fields}
     row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
+    counts = {c: row[c] for c in columns}
+    # The cut is exact in the reference; re-count exactly only where the
+    # estimate is close enough to the cut to fall on either side of it.
+    near = [c for c in columns if abs(counts[c] - cut) <= max(2, cut // 10)]
+    if near:
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first()
+        counts.update({c: exact[c] for c in near})
     kinds = {}
     for c in columns:
         dtype = types[c]
-        if row[c] < cut and c not in always_range:
+        if counts[c] < cut and c not in always_range:
             kinds[c] = "categorical"
         elif is_numeric(dtype):
             kinds[c] = "numeric"

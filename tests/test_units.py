@@ -329,3 +329,9 @@ def test_quantile_thresholds_from_session(spark):
         spark.conf.unset("segmint.quantiles.maxGroupRows")
     assert got == {0.25: 2.5, 0.5: 5.0, 0.75: 7.5}
     assert len(os.listdir(root)) == before + 1          # the ranked path wrote its sorted table
+
+
+def test_column_kinds_exact_at_the_cut(spark):
+    for n, kind in ((87, "categorical"), (88, "numeric"), (89, "numeric")):
+        df = spark.createDataFrame([(float(i % n),) for i in range(400)], "x double")
+        assert flt.column_kinds(df, ["x"]) == {"x": kind}, n
