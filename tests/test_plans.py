@@ -72,3 +72,26 @@ def test_wide_row_shuffles_each_input_once_at_scale(spark, form):
     assert plan.count("Exchange hashpartitioning") == 8, plan
     assert plan.count("BroadcastExchange") == 2          # nation and region only
     assert plan.count("LeftSemi") == 1
+
+
+def test_month_snapshots_prune_partition_folders(spark, tmp_dir):
+    """On a store partitioned by snapshot, the three months are partition filters, not a row filter."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from segmint.sources import snapshots
+    from segmint.plans import domain as d
+    orders = d.table(spark, SF0001, "orders")
+    trn = orders.select(F.col("o_custkey").alias("PERS_ID"), F.col("o_totalprice").alias("AMT"),
+                        F.last_day("o_orderdate").alias("snap_date"))
+    root = f"{tmp_dir}/trn_store"
+    snapshots.write_snapshot(trn.where(F.col("snap_date") >= F.lit(dt.date(2001, 1, 1))), root)
+    got = snapshots.month_snapshots(spark.read.parquet(root), d.AS_OF)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = _plan(got)
+    import re
+    assert re.search(r"PartitionFilters: \[[^\]]*snap_date[^\]]*2001-07-31", plan), plan
+    assert "DataFilters: []" in plan
+    assert {r.snap_date for r in got.select("snap_date").distinct().collect()} <= \
+        {dt.date(2001, 5, 31), dt.date(2001, 6, 30), dt.date(2001, 7, 31)}
+    want = trn.where(F.col("snap_date").isin(dt.date(2001, 5, 31), dt.date(2001, 6, 30), dt.date(2001, 7, 31)))
+    assert got.count() == want.count()
