@@ -167,15 +167,18 @@ def channel_predicates() -> dict[str, Column]:
     return {name: F.col("EVENT_TYPE").isin(types) for name, types in CHANNEL_EVENT_TYPES.items()}
 
 
-def branch_fact(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTHS) -> DataFrame:
+def branch_fact(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTHS,
+                lineitem: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
     """Per-order branch rows in the window: ``(PERS_ID, N, AMT)``.
 
     Lines are filtered and pre-aggregated per order *before* the join to
     orders, so the join sees one row per order; the aggregate's hash
-    partitioning on the order key is reused by the join.
+    partitioning on the order key is reused by the join.  ``lineitem`` and
+    ``orders`` may be given as tables bucketed by order key, which removes
+    the shuffle of both sides.
     """
-    li = table(spark, root, "lineitem")
-    o = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    li = lineitem if lineitem is not None else table(spark, root, "lineitem")
+    o = (orders if orders is not None else table(spark, root, "orders")).select("o_orderkey", "o_custkey")
     lo, hi = month_end_of(as_of, months), month_end_of(as_of, 1)
     lines = li.where(F.col("l_shipdate").between(F.lit(lo), F.lit(hi))
                      & (F.col("l_extendedprice") > 0)

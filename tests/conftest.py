@@ -18,6 +18,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="segmint-test-")
     s = get_session("local[4]", 4, app_name="segmint-tests",
                     extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
+                           "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
                            "spark.local.dir": scratch,
                            "spark.ui.showConsoleProgress": "false"})
     yield s

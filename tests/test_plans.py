@@ -95,3 +95,27 @@ def test_month_snapshots_prune_partition_folders(spark, tmp_dir):
         {dt.date(2001, 5, 31), dt.date(2001, 6, 30), dt.date(2001, 7, 31)}
     want = trn.where(F.col("snap_date").isin(dt.date(2001, 5, 31), dt.date(2001, 6, 30), dt.date(2001, 7, 31)))
     assert got.count() == want.count()
+
+
+def test_bucketed_facts_join_without_shuffle(spark):
+    """lineitem and orders bucketed by order key: the branch join shuffles neither side."""
+    from segmint.plans import domain as d
+    from segmint.sources.sinks import write_bucketed
+    write_bucketed(d.table(spark, SF0001, "lineitem"), "li_by_order", "l_orderkey", 8)
+    write_bucketed(d.table(spark, SF0001, "orders"), "orders_by_order", "o_orderkey", 8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fact = d.branch_fact(spark, SF0001, lineitem=spark.table("li_by_order"),
+                             orders=spark.table("orders_by_order"))
+        plan = _plan(fact)
+        plain = _plan(d.branch_fact(spark, SF0001))
+        rows = sorted(map(tuple, fact.collect()))
+        want = sorted(map(tuple, d.branch_fact(spark, SF0001).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+    assert plain.count("Exchange hashpartitioning") == 2
+    assert rows == want
