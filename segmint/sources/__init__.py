@@ -2,12 +2,12 @@
 
 from segmint.sources.catalog import load_catalog, missing_columns, unknown_selections
 from segmint.sources.readers import jdbc_options, read_csv, read_jdbc, read_table, read_wide_csv
-from segmint.sources.sinks import write_client_table, write_profile
+from segmint.sources.sinks import write_bucketed, write_client_table, write_profile
 from segmint.sources.snapshots import (month_snapshots, read_snapshot, snapshot_exists,
                                        snapshot_or_build, union_months, write_snapshot)
 
 __all__ = [
     "load_catalog", "missing_columns", "unknown_selections", "jdbc_options", "read_csv",
-    "read_jdbc", "read_table", "read_wide_csv", "write_client_table", "write_profile", "month_snapshots",
+    "read_jdbc", "read_table", "read_wide_csv", "write_bucketed", "write_client_table", "write_profile", "month_snapshots",
     "read_snapshot", "snapshot_exists", "snapshot_or_build", "union_months", "write_snapshot",
 ]
