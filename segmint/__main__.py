@@ -99,7 +99,7 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     write("redundant", st.redundant_pairs(corr))
     if args.elbow_max >= 3:
         prepared = mdl.prepare_features(population, args.model, keep=["PERS_ID"])
-        write("elbow", mdl.elbow_curve(prepared, args.model, args.elbow_max, checkpoint=False))
+        write("elbow", mdl.elbow_curve(prepared, args.model, args.elbow_max, key="PERS_ID"))
     clients, fit = mdl.segment(population, "PERS_ID", args.model, args.reporting, args.k, tuple(args.seeds))
     write("clients", clients)
     write("profile", st.profile_wide(st.profile_long(clients, args.model, "Cluster"), args.k)

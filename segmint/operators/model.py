@@ -277,15 +277,30 @@ def inertia_frame(fits: Sequence[tuple[int, KMeansFit]], vectors: DataFrame,
     return out
 
 
+def stable_layout(df: DataFrame, key: str) -> DataFrame:
+    """Rows hash-partitioned by ``key`` into the default parallelism, sorted within.
+
+    k-means|| samples per partition, so a fit depends on how rows are laid
+    out (SURVEY trap T4).  With this layout, written once, the fit no longer
+    depends on upstream shuffle-partition counts or join order; the cost is
+    one shuffle of the model input, about one iteration's worth of work.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
 def prepare_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
-                    checkpoint: bool = True) -> DataFrame:
+                    checkpoint: bool = True, layout_key: str | None = None) -> DataFrame:
     """Assemble ``features`` and persist the rows for the iterations.
 
     With ``checkpoint`` the rows are first written under the checkpoint folder;
     callers whose input is already written there (plus cheap, deterministic
-    arithmetic) pass ``False``.  ``keep`` carries extra columns (ids).
+    arithmetic) pass ``False``.  ``keep`` carries extra columns (ids);
+    ``layout_key`` (one of them) fixes the row layout, see ``stable_layout``.
     """
     base = df.select(*keep, *[c for c in columns if c not in keep])
+    if layout_key is not None:
+        base = stable_layout(base, layout_key)
     if checkpoint:
         base = cut_lineage(base)
     return assemble(base, columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -318,7 +333,7 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[in
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int = 3,
                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 8, checkpoint: bool = True) -> DataFrame:
+                parallelism: int = 8, checkpoint: bool = True, key: str | None = None) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
 
     Fits run concurrently (each is a chain of small Spark jobs); the inertias
@@ -327,7 +342,7 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
     on the driver.
     """
     ks = list(range(k_min, k_max + 1))
-    vecs = prepare_vectors(df, columns, checkpoint=checkpoint)
+    vecs = prepare_vectors(df, columns, keep=[key] if key else (), checkpoint=checkpoint, layout_key=key)
     try:
         mv = mean_variance(vecs, columns)
 
@@ -355,7 +370,7 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
     model_cols = chosen.columns[1:1 + len(dict.fromkeys(model_cols))]
     reporting_cols = chosen.columns[1 + len(model_cols):]
     chosen = fill_selected(chosen, model_cols + reporting_cols, 0, fill_text)
-    chosen = cut_lineage(chosen)
+    chosen = cut_lineage(stable_layout(chosen, id_col))
     stats = standard_stats(chosen, model_cols)
     scaled_cols = [f"__z_{c}" for c in model_cols]
     zexpr = []

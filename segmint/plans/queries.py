@@ -382,7 +382,7 @@ def _model_input(spark, root):
 
 
 def q_kmeans_fit(spark, root):
-    vecs = mdl.prepare_vectors(_model_input(spark, root), SEG_MODEL, keep=[d.KEY])
+    vecs = mdl.prepare_vectors(_model_input(spark, root), SEG_MODEL, keep=[d.KEY], layout_key=d.KEY)
     fit = mdl.fit_kmeans(vecs, SEG_MODEL, FINAL_K, vectors=vecs)
     out = mdl.cut_lineage(mdl.label(fit, vecs, "Cluster").select(d.KEY, "Cluster"))
     vecs.unpersist()
@@ -390,7 +390,7 @@ def q_kmeans_fit(spark, root):
 
 
 def q_elbow_curve(spark, root):
-    return mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX)
+    return mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX, key=d.KEY)
 
 
 def q_segment_customers(spark, root):

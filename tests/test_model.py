@@ -141,3 +141,19 @@ def test_large_k_times_v_nearest_and_elbow(spark):
     fit = mdl.fit_kmeans(df, cols, 30)
     d = mdl.assign_nearest(df, cols, fit.centres, "Cluster", distance="d").agg(F.sum("d")).first()[0]
     assert math.isclose(fit.inertia, d, rel_tol=1e-9)
+
+
+def test_stable_layout_makes_the_fit_independent_of_upstream_partitioning(spark):
+    """SURVEY trap T4: without a fixed layout the same rows can give another fit."""
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(3000, 3))
+    base = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pts)],
+                                 "id long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    got = []
+    for n in (1, 7):
+        src = base.repartition(n).sortWithinPartitions(F.rand(n))
+        vecs = mdl.prepare_vectors(src, cols, keep=["id"], layout_key="id")
+        got.append(mdl.fit_kmeans(vecs, cols, 8, vectors=vecs).centres)
+        vecs.unpersist()
+    assert got[0] == got[1]
