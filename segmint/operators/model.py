@@ -6,9 +6,11 @@ Design notes for scale
   the 2*v numbers come to the driver and re-enter the plan as literals, so
   the scaled columns are plain codegen'd arithmetic.
 * Fitting uses MLlib ``KMeans`` (k-means|| init, one broadcast of k centres
-  and one tree aggregate per iteration).  The input is written to the
-  reliable checkpoint first: iterations re-read files, and a lost executor
-  recomputes from them rather than from the feature lineage.
+  and one tree aggregate per iteration).  The input is laid out by customer
+  id (``stable_layout``, so the fit does not depend on upstream
+  partitioning) and written under the checkpoint folder first: iterations
+  re-read files, and a lost executor recomputes from them rather than from
+  the feature lineage.
 * Fitted models label rows with MLlib's own assignment (JVM, no generated
   code, any k x v); inertia then needs v terms per row, the centre of each
   row's label coming from one constant array per dimension.  Clusters are
