@@ -127,3 +127,20 @@ def test_command_line_from_the_reference_client_file(spark, tmp_dir):
     assert [r.row_label for r in profile.collect()][:3] == ["Count", "CountShare %", "MONTHLY_INCOME_mean"]
     assert len(profile.columns) == 1 + 17
     assert float(out["inertia"]) <= 148.733 * 1.03
+
+
+@pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
+def test_module_entry_point(tmp_dir):
+    """`python -m segmint` in its own process: own session, checkpoint folder unset."""
+    import json
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, TMPDIR=tmp_dir)
+    proc = subprocess.run([sys.executable, "-m", "segmint", "--data", SF0001, "--out", tmp_dir + "/o",
+                           "--k", "3", "--master", "local[2]"], cwd=root, env=env,
+                          capture_output=True, text=True, timeout=600)
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    out = json.loads(proc.stdout.strip().splitlines()[-1])
+    assert set(out) >= {"population", "correlation", "redundant", "clients", "profile", "inertia"}
+    assert os.path.isdir(out["clients"])
