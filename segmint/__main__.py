@@ -12,6 +12,9 @@ import argparse
 import json
 import os
 
+from pyspark.sql import functions as F
+
+from segmint.functions.dates import month_end_of
 from segmint.functions.prep import cap_value, flag_to_int, impute_defaults
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
@@ -93,7 +96,9 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         sinks.write_profile(df, path) if name != "clients" else sinks.write_client_table(df, path)
         out[name] = path
 
-    write("population", st.population_metrics(population))
+    snap = month_end_of(d.AS_OF, 1)
+    write("population", st.population_metrics(population)
+          .withColumn("data_as_of", F.date_format(F.lit(snap), "yyyy-MM-dd")))
     corr = st.correlation_long(population, args.model, lower_only=True)
     write("correlation", corr)
     write("redundant", st.redundant_pairs(corr))

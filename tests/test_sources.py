@@ -79,6 +79,8 @@ def test_command_line_run(spark, tmp_dir):
     assert profile.count() == 2 + 6 * 3 and profile.columns == ["row_label", "0", "1", "2", "3"]
     assert spark.read.option("header", True).csv(out["elbow"]).count() == 3
     assert "redundant" in out
+    pop = spark.read.option("header", True).csv(out["population"]).first()
+    assert pop.data_as_of == "2001-07-31" and int(pop.n_rows) > 0
     # previous application's rules: an empty selection filters everything out
     with pytest.raises(SystemExit):
         run(parse_args(["--data", SF0001, "--out", tmp_dir + "/strict", "--k", "3", "--strict",
