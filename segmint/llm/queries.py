@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from segmint.llm._util import table
+from segmint.llm.bpe import encode_documents
 from segmint.llm.exact_dedup import exact_dedup
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with the row that stays of its group of equal texts."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup,)}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's tokens and of what they decode to."""
+    coded = encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
