@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from segmint.llm._util import table
 from segmint.llm.bpe import encode_documents
 from segmint.llm.exact_dedup import exact_dedup
+from segmint.llm.simhash import hex_fingerprint, near_duplicates
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 64-bit SimHash and the smallest doc_id that it is linked to, through others or not."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, d=4)
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with the row that stays of its group of equal texts."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -27,7 +34,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
