@@ -17,6 +17,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
@@ -201,20 +202,23 @@ class BytePairEncoder:
         return b"".join(b"".join(map(self.tokens.__getitem__, ids[k:k + BLOCK_PIECES].tolist())) for k in range(0, len(ids), BLOCK_PIECES))
 
 
-_made: dict[int, BytePairEncoder] = {}
+_made: dict[str, BytePairEncoder] = {}
 
 
 def encoder(shared) -> BytePairEncoder:
-    """The worker's encoder for a broadcast (tokens, pattern)."""
-    if shared.id not in _made:
+    """The worker's encoder for a broadcast (digest, tokens, pattern)."""
+    digest, tokens, pattern = shared.value
+    if digest not in _made:
         _made.clear()
-        _made[shared.id] = BytePairEncoder(*shared.value)
-    return _made[shared.id]
+        _made[digest] = BytePairEncoder(tokens, pattern)
+    return _made[digest]
 
 
 def share_vocabulary(docs: DataFrame, vocabulary: str, pattern: str):
     """Broadcast the vocabulary file (its size is fixed) from the driver; executors need no copy of the file."""
-    return docs.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    tokens = read_ranks(vocabulary)
+    digest = hashlib.sha256(repr((tokens, pattern)).encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast((digest, tokens, pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = False, rows_at_once: int = 256) -> DataFrame:
