@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmint.llm._util import table
+from segmint.llm._util import id_crc_mod, table
 from segmint.llm.bpe import encode_documents
 from segmint.llm.exact_dedup import exact_dedup
+from segmint.llm.langid import identify
 from segmint.llm.simhash import hex_fingerprint, near_duplicates
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,13 +29,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the three quarters that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = id_crc_mod("doc_id", 4) == 2
+    found = identify(docs, docs.where(~held & F.col("lang").isNotNull()))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digests of every document's tokens and of what they decode to."""
     coded = encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op7_language_id, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
