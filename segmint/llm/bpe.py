@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmint.llm._util import arrow_schema
+from segmint.llm.hashing import HashTable
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
@@ -48,41 +49,12 @@ class PairTable:
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
         keys = np.array([a << 20 | b for a, b in pairs], dtype=np.int64)
-        values = np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))
-        self.bits = max(4, int(len(keys) * 4 - 1).bit_length()) if len(keys) else 4
-        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.values = np.full(1 << self.bits, NONE, dtype=np.int32)
-        slot = self._slot(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] == -1)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            left = np.ones(len(keys), dtype=bool)
-            left[put] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table = HashTable(keys, np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs)))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """NONE where there is no such pair, or an id is negative (padding)."""
-        shape = left.shape
-        left, right = left.ravel().astype(np.int64), right.ravel().astype(np.int64)
-        keys = np.where((left < 0) | (right < 0), np.int64(-1), left << 20 | right)
-        slot = self._slot(keys)
-        out = self.values[slot].copy()
-        there = self.keys[slot]
-        out[there != keys] = NONE
-        on = np.flatnonzero((there != keys) & (there != -1) & (keys != -1))
-        while len(on):
-            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[slot[on]]
-            hit = there == keys[on]
-            out[on[hit]] = self.values[slot[on[hit]]]
-            on = on[~hit & (there != -1)]
-        out[keys == -1] = NONE
-        return out.reshape(shape)
+        found = self.table.get(left.astype(np.int64) << 20 | right, NONE)
+        return np.where((left < 0) | (right < 0), NONE, found)
 
 
 class BytePairEncoder:

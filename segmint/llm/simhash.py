@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmint.llm._util import arrow_schema, cut, map_arrow, text_bytes
@@ -64,12 +64,16 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, text_key (a hash of the text, to find the row again), fp (the 64 bits as a signed long)."""
     def rows(b: dict[str, list]) -> dict[str, list]:
         fps = [fingerprint(t, shingle, seed) for t in b["text"]]
-        return {"doc_id": b["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
+        return {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), text_bytes()), rows, "doc_id long, text_key long, fp long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def position_groups(matches: int, size: int) -> list[tuple[int, ...]]:
@@ -236,13 +240,24 @@ def _by_neighbours(posted: DataFrame, groups: list[tuple[int, ...]], d: int) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, d: int = 4, most: int = MOST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp long, component_id (smallest doc_id reachable over links of at most d bits)."""
+    """One row per row of ``docs``: doc_id, fp long, component_id (smallest doc_id reachable over links of at most d bits),
+    root (one fingerprint of the component, the same for all of it) and text_key."""
     rows = cut(fingerprints(docs, shingle, seed))
     held = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(held.select("fp"), d, most))
     named = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root", "text_key")
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each component of ``found``: the smallest doc_id; rows without an id stay only where none has one."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
+    own = docs.withColumns({"__id_own": F.col("doc_id").cast("long"), "__key_own": text_key()})
+    own = own.join(kept, own["__id_own"].eqNullSafe(kept["__id"]) & (own["__key_own"] == kept["__key"]), "left_semi")
+    once = F.row_number().over(Window.partitionBy("__id_own", "__key_own").orderBy(F.lit(0)))  # the same row, repeated
+    return own.withColumn("__no", once).where("__no = 1").select(*[own[c] for c in docs.columns])
 
 
 def hex_fingerprint(fp: str = "fp"):
