@@ -16,6 +16,7 @@ from segmint.llm.langid import identify
 from segmint.llm.lattice_lm import score_documents
 from segmint.llm.mixing import mix
 from segmint.llm.simhash import hex_fingerprint, near_duplicates
+from segmint.llm.substring import remove_repeats
 from segmint.llm.token_counts import count_tokens
 from segmint.llm.toxicity import fit as fit_toxicity
 from segmint.llm.toxicity import score as score_toxicity
@@ -45,6 +46,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 13-word windows that an earlier one has."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents with the row that stays of its group of equal texts."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -94,7 +100,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts)}
+    op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts)}
 
 
 def _mixing_sql() -> str:
