@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_terms:
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
     marks = marks.where(F.col("toxic").isin(0, 1) & (draw < share))
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(marks, "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(marks), "doc_id")  # 2 * per_class small rows
     sample = cut(found.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))  # copies count once
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
