@@ -107,12 +107,15 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, i
 
 
 def take(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, int], share: tuple[int, int] = (4, 5), epochs: int = 2, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as ``mix`` takes them.  Rows of the same doc_id are told apart by their tokens."""
+    """The rows of ``docs``, all columns, as often as ``mix`` takes them.  Rows of the same doc_id are told apart by leaf and tokens."""
     found = select(cut(named(docs, levels)), list(levels), weights, share, epochs, seed)
-    key = ["__id", "__n", "__no"]
-    chosen = found.select(F.col("doc_id").alias("__id"), F.col("n_tokens").alias("__n"), "copies")
-    chosen = chosen.withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__n").orderBy(F.desc("copies")))).withColumnRenamed("copies", "__copies")
-    own = docs.withColumns({"__id2": F.col("doc_id").cast("long"), "__n2": n_words()})
-    own = own.withColumn("__no2", F.row_number().over(Window.partitionBy("__id2", "__n2").orderBy(F.col("text").cast("string"))))
-    met = own.join(chosen, F.col("__id2").eqNullSafe(F.col("__id")) & (F.col("__n2") == F.col("__n")) & (F.col("__no2") == F.col("__no")))
-    return met.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[met[c] for c in docs.columns]).drop(*key)
+    same = ["__id", *(f"__{n}" for n in levels), "__n"]
+    leaf = {f"__{n}": n for n in levels}
+    chosen = found.select(F.col("doc_id").alias("__id"), *[F.col(n).alias(k) for k, n in leaf.items()], F.col("n_tokens").alias("__n"), "copies")
+    chosen = chosen.withColumn("__no", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies")))).withColumnRenamed("copies", "__copies")
+    own = docs.withColumns({"__id_own": F.col("doc_id").cast("long"), "__n_own": n_words()} | {f"{k}_own": F.coalesce(levels[n].cast("string"), F.lit("")) for k, n in leaf.items()})
+    own = own.withColumn("__no_own", F.row_number().over(Window.partitionBy(*[f"{c}_own" for c in same]).orderBy(F.col("text").cast("string"))))
+    on = own["__no_own"] == chosen["__no"]
+    for c in same:
+        on = on & own[f"{c}_own"].eqNullSafe(chosen[c])
+    return own.join(chosen, on).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[own[c] for c in docs.columns])
