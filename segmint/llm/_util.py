@@ -49,7 +49,8 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 def id_crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (null ids: as the empty text, so 0)."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")) % n
+    own = F.col(col) if isinstance(col, str) else col
+    return F.crc32(F.coalesce(own.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def text_bytes(col: str = "text") -> Column:
