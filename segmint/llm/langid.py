@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.ml.classification import LinearSVC, LogisticRegression
@@ -135,27 +136,15 @@ def fit(docs: DataFrame, per_language: int = 1000, seed: int = 7) -> LanguageMod
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``__lang`` and ``__score`` after them."""
+    """All columns of ``docs`` with ``__lang`` and ``__score`` after them; only the text goes through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_columns(docs, "text", "__lang string, __score double", lambda texts: zip(*map(shared.value.predict, texts)))
 
+    @F.pandas_udf("struct<lang: string, score: double>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(map(shared.value.predict, texts), columns=["lang", "score"])
 
-def with_columns(docs: DataFrame, text: str, ddl: str, of) -> DataFrame:
-    """``docs`` and the columns that ``of`` makes from a list of texts, row by row."""
-    added = arrow_schema(docs.sparkSession, ddl)
-    frame = docs.withColumn("__text", F.col(text).cast("string"))
-    whole = frame.drop("__text").schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    schema = pa.schema([*to_arrow_schema(whole), *added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                new = [pa.array(v, f.type) for v, f in zip(of(b.column(b.num_columns - 1).to_pylist()), added)]
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns[:-1], schema)), *new], schema=schema)
-
-    return frame.mapInArrow(run, StructType([*whole.fields, *StructType.fromDDL(ddl).fields]))
+    marked = docs.withColumn("__found", found.asNondeterministic()(F.col("text").cast("string")))  # not evaluated again by a filter on it
+    return marked.select(*[marked[c] for c in docs.columns], F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 1000) -> DataFrame:
