@@ -21,27 +21,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmint.llm import bpe, exact_dedup, langid, mixing, queries, simhash
-from segmint.llm._util import cut, id_crc_mod, table
+from segmint.llm._util import bounded, cut, id_crc_mod, table
 
 
+@bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where((id_crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
     found = langid.predict(docs, model).where(F.col("__lang") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
+@bounded
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs, exact_dedup.exact_dedup(docs))
 
 
+@bounded
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, cut(simhash.near_duplicates(docs, shingle=4, seed=42, d=4)))
 
 
+@bounded
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take(docs, queries.tree(), queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_EPOCHS, queries.MIX_SEED)
 
 
+@bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = bpe.encode_documents(docs, queries.VOCABULARY, queries.PATTERN, decode=True)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

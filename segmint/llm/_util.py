@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage (session first) with Arrow batches of at most 1,000 rows, where the session has not chosen
+    another number than Spark's 10,000: ten thousand whole texts are too much for a batch."""
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, "1000")
+        return f(spark, *args)
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` in the shared checkpoint folder and go on from the written table."""
     return cut_lineage(df)

@@ -34,7 +34,7 @@ from segmint.llm.hashing import HashTable
 NONE = np.int32(2**31 - 1)
 LONG = 512
 #: Cells of a matrix, characters and pieces handled at once, pieces remembered by a worker: all bound memory only.
-CELLS, BLOCK_CHARS, BLOCK_PIECES, REMEMBERED = 1 << 20, 1 << 20, 1 << 18, 400_000
+CELLS, BLOCK_CHARS, BLOCK_PIECES, REMEMBERED = 1 << 20, 1 << 20, 1 << 18, 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmint.llm._util import id_crc_mod, table
+from segmint.llm._util import bounded, id_crc_mod, table
 from segmint.llm.bpe import encode_documents
 from segmint.llm.curves import nearest
 from segmint.llm.exact_dedup import exact_dedup
@@ -99,7 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, rule="first")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (
     op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts)}
 
 
