@@ -301,8 +301,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.cast("binary").alias("text"))
 
     def whole(b: dict[str, list]) -> dict[str, list]:
-        words = [t.split() for t in b["text"]]
-        return {"doc_id": b["doc_id"], "tkey": b["tkey"], "n_words": list(map(len, words)), "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]}
+        out: dict[str, list] = {"doc_id": b["doc_id"], "tkey": b["tkey"], "n_words": [], "sha": []}
+        for t in b["text"]:
+            words = t.split()
+            out["n_words"].append(len(words))
+            out["sha"].append(hashlib.sha256(b" ".join(words)).hexdigest())
+        return out
 
     base = cut(map_arrow(rows, whole, "doc_id long, tkey long, n_words long, sha string"))
     first = base.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
