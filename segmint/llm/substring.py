@@ -144,9 +144,10 @@ def _recurring_anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
             v, k = v[once], k[once]
             first = _firsts(v)
             more = np.bincount(first, minlength=len(v))[first] > 1
-            yield batch(v[more], k[more], True)
             one = first == np.arange(len(v))  # others learn of the value from this row
-            yield batch(v[one], k[one], False)
+            for rows, known in ((more, True), (one, False)):
+                by_text = np.flatnonzero(rows)[np.argsort(k[rows], kind="stable")]  # equal keys in a row pack well
+                yield batch(v[by_text], k[by_text], known)
 
     def shared(v: np.ndarray, k: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = _firsts(v)
@@ -162,21 +163,23 @@ def _recurring_anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, recurring: DataFrame, span: int, gram: int) -> DataFrame:
-    """doc_id, tkey, text, starts, ends: the runs of windows (first and last start) whose anchor recurs."""
-    ddl = "doc_id long, tkey long, text binary, starts array<int>, ends array<int>"
+    """doc_id, tkey, starts, passages: the recurring passages of a document - runs of windows whose anchor recurs, as
+    words joined by a blank - and the word that each starts at."""
+    ddl = "doc_id long, tkey long, starts array<int>, passages array<binary>"
     schema = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                starts, ends = [], []
+                starts, passages = [], []
                 for t, vs in zip(b.column(2).to_pylist(), b.column(3)):
-                    hit = np.isin(anchors(_word_hashes(t.split()), span, gram), vs.values.to_numpy().view(np.uint64))
+                    words = t.split()
+                    hit = np.isin(anchors(_word_hashes(words), span, gram), vs.values.to_numpy().view(np.uint64))
                     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
                     starts.append(np.flatnonzero(edge == 1))
-                    ends.append(np.flatnonzero(edge == -1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(starts, schema.field(3).type), pa.array(ends, schema.field(4).type)], schema=schema)
+                    passages.append([b" ".join(words[s:e + span - 1]) for s, e in zip(starts[-1], np.flatnonzero(edge == -1))])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, schema.field(2).type), pa.array(passages, schema.field(3).type)], schema=schema)
 
     return docs.join(recurring, ["tkey", "doc_id"]).select("doc_id", "tkey", "text", "vs").mapInArrow(run, ddl)
 
@@ -188,9 +191,8 @@ def _followers(found: DataFrame, span: int) -> DataFrame:
 
     def values(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         hs, ds, ks = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for d, k, t, starts, ends in zip(*(c.to_pylist() for c in b.columns)):
-            h = _grams(_word_hashes(t.split()), span)
-            own = np.unique(np.concatenate([h[s:e] for s, e in zip(starts, ends)])) if starts else h[:0]
+        for d, k, passages in zip(*(c.to_pylist() for c in b.columns)):
+            own = np.unique(np.concatenate([hs[0], *(_grams(_word_hashes(p.split()), span) for p in passages)]))
             hs.append(own)
             ds.append(np.full(len(own), d, dtype=np.int64))
             ks.append(np.full(len(own), k, dtype=np.int64))
@@ -208,11 +210,12 @@ def _followers(found: DataFrame, span: int) -> DataFrame:
         h, d, k = h[order], d[order], k[order]
         if len(h):
             yield from pairs(h, d, k)
-            one = d == d[_firsts(h)]  # the earliest of the pack; a still earlier one elsewhere becomes its owner
-            none = pa.nulls(int(one.sum()), pa.int64())
+            one = np.flatnonzero(d == d[_firsts(h)])  # the earliest of the pack; a still earlier one elsewhere becomes its owner
+            one = one[np.lexsort((k[one], d[one]))]
+            none = pa.nulls(len(one), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(d[one]), pa.array(k[one]), none, none], schema=schema)
 
-    posted = found.select("doc_id", "tkey", "text", "starts", "ends").mapInArrow(lambda bs: _packs(bs, values, settle), ddl)
+    posted = found.select("doc_id", "tkey", "passages").mapInArrow(lambda bs: _packs(bs, values, settle), ddl)
     dealt = _dealt(posted, F.when(F.col("owner").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "owner")), "owner", "h", "doc_id", "tkey")
     return dealt.mapInArrow(lambda bs: _runs(bs, pairs, lambda b: pc.is_valid(b.column(3))), ddl).drop("h").distinct()
 
@@ -247,19 +250,15 @@ def _located(found: DataFrame, followers: DataFrame, span: int, shard: int, lot:
     """doc_id, tkey, starts, ends: places of words (end excluded) that an earlier document has, per shard."""
     ddl = "doc_id long, tkey long, starts array<int>, ends array<int>"
     schema = arrow_schema(found.sparkSession, ddl)
-    sizes = found.select(F.col("doc_id").alias("owner"), F.col("tkey").alias("okey"),
-                         F.ceil(F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0), lambda a, x: a + x) / shard).cast("int").alias("shards")).distinct()
+    blanks = F.aggregate("passages", F.lit(0), lambda n, p: n + F.regexp_count(p.cast("string"), F.lit(" ")) + (2 - span))  # windows: words less span, plus one
+    sizes = found.select(F.col("doc_id").alias("owner"), F.col("tkey").alias("okey"), F.ceil(blanks / shard).cast("int").alias("shards")).distinct()
     owners = followers.groupBy("owner", "okey").agg(F.ceil(F.count("*") / lot).cast("int").alias("lots")).join(sizes, ["owner", "okey"])
     shards = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
     compiled = owners.select(F.col("owner").alias("doc_id"), F.col("okey").alias("tkey"), "owner", "okey", shards, "lots").select(
         "doc_id", "tkey", "owner", "okey", "shard", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("kind"))
     streamed = followers.join(owners, ["owner", "okey"]).select(
         "doc_id", "tkey", "owner", "okey", shards, F.pmod(F.xxhash64("doc_id", "tkey"), F.col("lots")).cast("int").alias("lot"), F.lit(1).alias("kind"))
-    # Only the recurring passages travel: their words, joined by a blank, and where each starts.
-    passages = map_arrow(found, lambda b: {
-        "doc_id": b["doc_id"], "tkey": b["tkey"], "starts": b["starts"], "ends": b["ends"],
-        "passages": [[b" ".join(w[s:e + span - 1]) for s, e in zip(ss, es)] for w, ss, es in zip(map(bytes.split, b["text"]), b["starts"], b["ends"])]},
-        "doc_id long, tkey long, starts array<int>, ends array<int>, passages array<binary>").dropDuplicates(["doc_id", "tkey"])
+    passages = found.dropDuplicates(["doc_id", "tkey"])
     key = ["owner", "okey", "shard", "lot"]
     dealt = compiled.unionByName(streamed).join(passages, ["doc_id", "tkey"])
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -326,7 +325,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
                 out[c].append(v)
         return out
 
-    shortened = map_arrow(found.select("doc_id", "tkey", "text").join(located, ["doc_id", "tkey"]), keep,
+    shortened = map_arrow(rows.select("doc_id", "tkey", "text").join(located, ["doc_id", "tkey"]), keep,
                           "doc_id long, tkey long, kept binary, kept_sha string, n_removed long, starts array<int>, ends array<int>").dropDuplicates(["doc_id", "tkey"])
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= span)
     joined = base.join(first, "sha").join(shortened, ["doc_id", "tkey"], "left")
