@@ -1,43 +1,43 @@
 """Standardisation and k-means.
 
-Design notes for scale
-----------------------
+Design notes
+------------
 * Standardising needs one aggregate (mean and population std per column);
   the 2*v numbers come to the driver and re-enter the plan as literals, so
   the scaled columns are plain codegen'd arithmetic.
-* Fitting uses MLlib ``KMeans`` (k-means|| init, one broadcast of k centres
-  and one tree aggregate per iteration).  The input is laid out by customer
-  id (``stable_layout``, so the fit does not depend on upstream
-  partitioning) and written under the checkpoint folder first: iterations
-  re-read files, and a lost executor recomputes from them rather than from
-  the feature lineage.
-* Fitted models label rows with MLlib's own assignment (JVM, no generated
-  code, any k x v); inertia then needs v terms per row, the centre of each
-  row's label coming from one constant array per dimension.  Clusters are
-  numbered canonically (centres in ascending lexicographic order), so the
-  numbering does not depend on the seed's arbitrary order.
-* Given centres (``assign_nearest``) are tested by an unrolled, generated
-  expression when k x v is small, else by NumPy over Arrow batches: an
-  unrolled test of hundreds of terms exceeds what the code generator compiles.
-* The elbow sweep fits every k concurrently; the inertias of all k share
-  passes over the data (batched by term count).  No join, no cross join.
+* K-means does not depend on cores, partitions or row order.  Points are
+  standardised values in whole units of ``UNIT``; sums over rows are sums of
+  whole numbers and so exact in any order, and distances are computed row by
+  row in one order of the columns.  Starting centres follow from the rows
+  alone: step by step the row with the largest ``d^2 / -ln(u)``, where u comes
+  from an md5 of (seed, start, step, key) - the usual draw in proportion to the
+  squared distance, without a random generator that a partition would own.
+* Every pass works on all fits at once: all starts, and for the elbow all k.
+  A pass is one job: nearest centre of each fit, then sums by (fit, label).
+* Centres are one constant array; the test of the nearest one is one
+  expression over it (``transform`` and ``array_min``), whatever k is.
+* Clusters are numbered canonically (centres in ascending lexicographic
+  order), so the numbering does not depend on the starts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmint.session import cut_lineage
+from segmint.session import cut_lineage, release
+
+# One unit of a coordinate; how many starts every seed gives, and from how many passes over the rows.
+UNIT = 1e-6
+STARTS = 2
+ROUNDS = 3
 
 
 def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -50,33 +50,40 @@ def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[flo
     return {c: (row[f"{c}__m"], row[f"{c}__s"]) for c in columns}
 
 
+def steady(stats: dict[str, tuple[float | None, float | None]]) -> dict[str, tuple[float | None, float | None]]:
+    """The stats at 12 significant digits: what differs with the order of a sum is beyond them."""
+    return {c: tuple(None if x is None else float(f"{x:.12g}") for x in ms) for c, ms in stats.items()}
+
+
+def _scaled(column: str, stats: tuple[float | None, float | None]) -> Column:
+    m, s = stats
+    x = F.col(column).cast("double")
+    if m is None:
+        return x
+    return (x - F.lit(m)) / F.lit(s) if s else x - F.lit(m)
+
+
 def standardize(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
                 stats: dict | None = None) -> DataFrame:
     """``(x - mean) / std`` with the population std (M1; StandardScaler semantics).
 
     A constant column (std 0) scales to 0; null stays null.  ``keep`` lists
-    columns carried through unchanged (ids, reporting columns).
+    columns carried through unchanged (ids, reporting columns).  Without
+    ``stats`` the columns are written once (checkpoint folder), so a costly
+    ``df`` is not evaluated twice.
     """
-    stats = stats or standard_stats(df, columns)
-    out = [F.col(c) for c in keep]
-    for c in columns:
-        m, s = stats[c]
-        x = F.col(c).cast("double")
-        if m is None:
-            out.append(x.alias(c))
-        elif not s:
-            out.append((x - F.lit(m)).alias(c))
-        else:
-            out.append(((x - F.lit(m)) / F.lit(s)).alias(c))
-    return df.select(*out)
+    if stats is None:
+        df = cut_lineage(df.select(*keep, *[c for c in columns if c not in keep]))
+        stats = standard_stats(df, columns)
+    return df.select(*[F.col(c) for c in keep], *[_scaled(c, stats[c]).alias(c) for c in columns])
 
 
 def prepare_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Preparation before k-means (M2): select, fill nulls with 0, standardise."""
     from segmint.functions.prep import fill_selected
 
-    chosen = fill_selected(df.select(*keep, *columns), columns, 0, None)
-    return standardize(chosen, columns, keep=keep)
+    chosen = cut_lineage(fill_selected(df.select(*keep, *columns), columns, 0, None))
+    return standardize(chosen, columns, keep=keep, stats=steady(standard_stats(chosen, columns)))
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -84,89 +91,42 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
 
 
-def _sq_dist(columns: Sequence[str], centre: Sequence[float]) -> Column:
-    terms = [(F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
-# Largest k * v for which the nearest-centre test is unrolled into generated
-# code.  Larger problems (the reference allows k = 30 over 21 variables, 630
-# terms) exceed the 64 KB method limit or exhaust the code compiler.
-UNROLL_TERMS = 256
-
-
-def _nearest_vectorised(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
-    """Nearest centre for large k x v: NumPy over Arrow batches, one task per partition."""
-    table = np.asarray(centres, dtype="float64")
-
-    @F.pandas_udf("struct<d double, c int>")
-    def near(x: pd.DataFrame) -> pd.DataFrame:
-        pts = x.to_numpy(dtype="float64")
-        best_d = np.full(len(pts), np.inf)
-        best_c = np.zeros(len(pts), dtype="int32")
-        for i, ctr in enumerate(table):          # k passes of n x v: memory stays O(n x v)
-            dist = ((pts - ctr) ** 2).sum(axis=1)
-            better = dist < best_d               # strict: ties keep the lower index
-            best_d[better] = dist[better]
-            best_c[better] = i
-        return pd.DataFrame({"d": best_d, "c": best_c})
-
-    return near(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
-
+# ---------------------------------------------------------------------------
+# Given centres (M4, M5, M9)
+# ---------------------------------------------------------------------------
 
 def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
     """``struct(d, c)`` of the nearest centre: squared distance and index (M4).
 
-    Ties go to the lower index, the same rule as ``argmin``.  Up to
-    ``UNROLL_TERMS`` terms every distance is unrolled into the stage's
-    generated code; beyond it the distances are computed with NumPy over
-    Arrow batches (``_nearest_vectorised``), the case the built-in
-    expressions cannot compile.
+    Ties go to the lower index (``argmin``); a row with a null coordinate has
+    no nearest centre: the struct is null.
     """
-    if len(centres) * len(columns) <= UNROLL_TERMS:
-        cands = [F.struct(_sq_dist(columns, ctr).alias("d"), F.lit(i).alias("c"))
-                 for i, ctr in enumerate(centres)]
-        return F.array_min(F.array(*cands))
-    return _nearest_vectorised(columns, centres)
+    # One text for the whole expression: a call per literal would cost more than the pass itself.
+    table = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
+    xs = ["cast(`" + c.replace("`", "``") + "` AS double)" for c in columns]
+    dist = " + ".join(f"pow({x} - __ctr[{j}], 2D)" for j, x in enumerate(xs))  # exactly the product, fewer nodes
+    some_null = " OR ".join(f"{x} IS NULL" for x in xs)
+    return F.expr(f"if({some_null}, NULL, array_min(transform(array({table}), (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))))")
 
 
 def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]],
                    label: str = "Cluster", distance: str | None = None) -> DataFrame:
-    """Label every row with its nearest centre (M4); optionally keep the distance."""
-    n = nearest(columns, centres)
-    out = df.withColumn("__near", n).withColumn(label, F.col("__near.c"))
+    """Label every row with its nearest centre (M4); optionally keep the distance.
+
+    A row with a null coordinate gets a null label and a null distance.
+    """
+    out = df.withColumn("__near", nearest(columns, centres)).withColumn(label, F.col("__near.c"))
     if distance:
         out = out.withColumn(distance, F.col("__near.d"))
     return out.drop("__near")
 
 
-def label_distance(columns: Sequence[str], centres: Sequence[Sequence[float]], label: str) -> Column:
-    """Squared distance of a row to the centre of its label: v terms for any k.
-
-    The centre coordinates of each dimension are one constant array indexed by
-    the label, so the expression does not grow with k.
-    """
-    total = None
-    for j, c in enumerate(columns):
-        coord = F.element_at(F.array(*[F.lit(float(ctr[j])) for ctr in centres]), F.col(label) + 1)
-        t = (F.col(c) - coord) * (F.col(c) - coord)
-        total = t if total is None else total + t
-    return total
-
-
-MAX_CENTRES = 10_000
-
-
-def collect_centres(centres_df: DataFrame, columns: Sequence[str], label: str,
-                    limit: int = MAX_CENTRES) -> tuple[list, list[list[float]]]:
-    """Bring a centre table (one row per label) to the driver, after checking its size."""
-    n = centres_df.count()
-    if n > limit:
-        raise ValueError(f"{n} centres exceed the limit of {limit}")
-    rows = centres_df.select(label, *columns).orderBy(label).collect()
+def collect_centres(centres_df: DataFrame, columns: Sequence[str], label: str, k: int) -> tuple[list, list[list[float]]]:
+    """Bring a centre table of ``k`` rows at most (one per label) to the driver."""
+    rows = centres_df.select(label, *columns).limit(k + 1).collect()
+    if len(rows) > k:
+        raise ValueError(f"more than {k} centres")
+    rows.sort(key=lambda r: r[label])
     return [r[label] for r in rows], [[float(r[c]) for c in columns] for r in rows]
 
 
@@ -175,12 +135,11 @@ def inertia(df: DataFrame, columns: Sequence[str], label: str,
     """Total squared distance of every row to the centre of its label (M5).
 
     ``centres_df`` holds one row per label with the centre coordinates in the
-    same column names.  It is broadcast only after its row count is checked
-    against ``MAX_CENTRES``; above that the join is left to the planner.
+    same column names; it is an ordinary join side (broadcast where the planner
+    finds it small).
     """
     c = centres_df.select(F.col(label), *[F.col(x).alias(f"__c_{x}") for x in columns])
-    small = centres_df.count() <= MAX_CENTRES
-    joined = df.select(label, *columns).join(F.broadcast(c) if small else c, label)
+    joined = df.select(label, *columns).join(c, label)
     d = None
     for x in columns:
         t = (F.col(x) - F.col(f"__c_{x}")) * (F.col(x) - F.col(f"__c_{x}"))
@@ -194,168 +153,178 @@ def centroid_update(df: DataFrame, columns: Sequence[str], label: str = "Cluster
                                  F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------------------
+# K-means (M3, M6, M7)
+# ---------------------------------------------------------------------------
+
 @dataclass
 class KMeansFit:
     k: int
-    centres: list[list[float]]          # canonical order
+    centres: list[list[float]]          # canonical order, in the units of the fitted columns
     inertia: float
     seed: int
-    model: object = None                # the MLlib model
-    order: list[int] | None = None      # order[MLlib index] = canonical index
-
-
-def mean_variance(df: DataFrame, columns: Sequence[str]) -> float:
-    """Mean of the per-column population variances (one aggregate)."""
-    row = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    vals = [row[c] or 0.0 for c in columns]
-    return sum(vals) / len(vals) if vals else 0.0
-
 
-def mllib_epsilon(tol: float, mean_var: float, k: int) -> float:
-    """MLlib convergence distance equivalent to a relative k-means tolerance.
-
-    The reference's solver stops when the SUM over centres of the squared
-    centre shift is at most ``tol * mean feature variance``.  MLlib stops when
-    EVERY centre moved at most ``epsilon``.  With
-    ``epsilon = sqrt(tol * mean_var / k)`` all-centres-converged implies the
-    reference's condition, so the stop is never looser than the reference's.
-    """
-    scaled = tol * mean_var
-    return max((scaled / max(k, 1)) ** 0.5, 1e-12)
-
-
-def _fit_model(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float,
-               init_mode: str) -> KMeansFit:
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode=init_mode,
-                featuresCol="features", predictionCol="__pred")
-    model = km.fit(vectors)
-    raw = [list(map(float, c.tolist())) for c in model.clusterCenters()]
-    canon = sorted(range(len(raw)), key=lambda i: raw[i])
-    order = [0] * len(raw)
-    for new, old in enumerate(canon):
-        order[old] = new
-    return KMeansFit(k=len(raw), centres=[raw[i] for i in canon], inertia=float("nan"),
-                     seed=seed, model=model, order=order)
-
-
-def label(fit: KMeansFit, vectors: DataFrame, label_col: str = "Cluster") -> DataFrame:
-    """Cluster of every row of an assembled frame (``features`` column), canonical numbering.
-
-    MLlib's own assignment runs in the JVM (no generated code, any k x v); the
-    index is mapped to the canonical numbering with one constant array.
-    """
-    out = fit.model.transform(vectors)
-    remap = F.element_at(F.array(*[F.lit(o) for o in fit.order]), F.col("__pred") + 1)
-    return out.withColumn(label_col, remap).drop("__pred")
-
-
-def inertia_frame(fits: Sequence[tuple[int, KMeansFit]], vectors: DataFrame,
-                  columns: Sequence[str]) -> DataFrame:
-    """``(K, Inertia)`` of several fitted models, sharing passes over the data.
-
-    Every model of a batch labels the rows in one chain of ``transform``
-    calls (each into its own column) and one aggregate sums every model's
-    v-term distances, so a batch costs one pass.  Batches hold at most
-    ``UNROLL_TERMS`` distance terms, which keeps the generated code small.
-    """
-    per = max(1, UNROLL_TERMS // max(1, len(columns)))
-    parts = []
-    for start in range(0, len(fits), per):
-        batch = fits[start:start + per]
-        df = vectors
-        sums = []
-        for key, fit in batch:
-            pred, lab = f"__p{key}", f"__l{key}"
-            model = fit.model.copy().setPredictionCol(pred)
-            df = model.transform(df)
-            df = df.withColumn(lab, F.element_at(F.array(*[F.lit(o) for o in fit.order]), F.col(pred) + 1))
-            sums.append(F.sum(label_distance(columns, fit.centres, lab)).alias(f"__i{key}"))
-        rows = F.array(*[F.struct(F.lit(key).alias("K"), F.col(f"__i{key}").alias("Inertia"))
-                         for key, _ in batch])
-        parts.append(df.agg(*sums).select(F.inline(rows)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def stable_layout(df: DataFrame, key: str) -> DataFrame:
-    """Rows hash-partitioned by ``key`` into the default parallelism, sorted within.
-
-    k-means|| samples per partition, so a fit depends on how rows are laid
-    out (SURVEY trap T4).  With this layout, written once, the fit no longer
-    depends on upstream shuffle-partition counts or join order; the cost is
-    one shuffle of the model input, about one iteration's worth of work.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key).sortWithinPartitions(key)
 
-
-def prepare_vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
-                    checkpoint: bool = True, layout_key: str | None = None) -> DataFrame:
-    """Assemble ``features`` and persist the rows for the iterations.
-
-    With ``checkpoint`` the rows are first written under the checkpoint folder;
-    callers whose input is already written there (plus cheap, deterministic
-    arithmetic) pass ``False``.  ``keep`` carries extra columns (ids);
-    ``layout_key`` (one of them) fixes the row layout, see ``stable_layout``.
-    """
-    base = df.select(*keep, *[c for c in columns if c not in keep])
-    if layout_key is not None:
-        base = stable_layout(base, layout_key)
-    if checkpoint:
-        base = cut_lineage(base)
-    return assemble(base, columns, "features").persist(StorageLevel.MEMORY_AND_DISK)
+def in_units(column: Column) -> Column:
+    """A coordinate as a whole number of units (held as a double); null is an error."""
+    whole = F.floor(column.cast("double") / F.lit(UNIT) + F.lit(0.5)).cast("double")
+    return F.when(column.isNull(), F.raise_error(F.lit("k-means needs non-null coordinates")).cast("double")).otherwise(whole)
+
+
+def _points(df: DataFrame, columns: Sequence[str], key: str | None) -> tuple[DataFrame, list[str]]:
+    """The coordinates in units and the key as text, for the passes."""
+    qs = [f"__q{i}" for i in range(len(columns))]
+    coords = [in_units(F.col(c)).alias(q) for c, q in zip(columns, qs)]
+    out = df.select(*coords, *([F.col(key).cast("string").alias("__key")] if key else []))
+    if not key:  # equal points then draw the same number
+        out = out.withColumn("__key", F.concat_ws(",", *[F.col(q).cast("decimal(38,0)").cast("string") for q in qs]))
+    return out, qs
+
+
+def _draw(seed: int, part: str) -> Column:
+    """A number in (0, 1) from the key: 52 bits of an md5."""
+    text = F.concat(F.lit(f"{seed}|{part}|"), F.coalesce("__key", F.lit("")))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def _draw_here(seed: int, part: str, key: str) -> float:
+    """The same number for one key."""
+    bits = int(hashlib.md5(f"{seed}|{part}|{key}".encode()).hexdigest()[:13], 16)
+    return (float(bits) + 0.5) / float(1 << 52)
+
+
+def _candidates(points: DataFrame, qs: list[str], many: int, seed: int) -> list[tuple[str, list[float], float]]:
+    """(key, coordinates, weight) of points that the starts choose from: ``ROUNDS`` passes take the ``many`` points
+    that come first in a draw in proportion to the squared distance from those taken before; the weight is the
+    number of points nearest to it."""
+    taken: list = []
+    for r in range(ROUNDS):
+        weight = nearest(qs, [[row[q] for q in qs] for row in taken])["d"] if taken else F.lit(1.0)
+        score = (weight / -F.log(_draw(seed, f"r{r}"))).alias("score")
+        key = F.coalesce("__key", F.lit("")).alias("key")
+        taken += points.select(score, key, *qs).where("score > 0").orderBy(F.desc("score"), "key", *qs).limit(many).collect()
+    coords = [[row[q] for q in qs] for row in taken]
+    if not coords:
+        return []
+    counts = {r["c"]: r["n"] for r in points.groupBy(nearest(qs, coords)["c"].alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [(row["key"], c, float(counts.get(i, 0))) for i, (row, c) in enumerate(zip(taken, coords))]
+
+
+def _starting_centres(candidates: list[tuple[str, list[float], float]], k: int, seed: int, start: int) -> list[list[float]]:
+    """Up to k of the candidates, one after the other in proportion to weight times squared distance; the first of
+    them do not depend on k."""
+    found: list[list[float]] = []
+    near = [1.0] * len(candidates)
+    for step in range(k):
+        scores = [w * d / -math.log(_draw_here(seed, f"s{start}.{step}", key)) for (key, _, w), d in zip(candidates, near)]
+        best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
+        if best is None or scores[best] <= 0:
+            break
+        centre = candidates[best][1]
+        found.append(centre)
+        for i, (_, x, _) in enumerate(candidates):
+            d = 0.0
+            for u, v in zip(x, centre):
+                d = d + (u - v) * (u - v)
+            near[i] = min(near[i], d) if step else d
+    return found
+
+
+def _labels(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
+    """Rows ``(fit, d, c)`` of a point: its nearest centre in every fit."""
+    return F.array(*[F.struct(F.lit(f).alias("fit"), nearest(qs, c).alias("near")) for f, c in enumerate(fits)])
+
+
+def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_iter: int, stop: float) -> list[list[list[float]]]:
+    """Lloyd steps of all fits at once until each moved by ``stop`` (sum of squares, units) or less."""
+    going = set(range(len(fits)))
+    for _ in range(max_iter):
+        order = sorted(going)
+        sums = (points.select(*qs, F.inline(_labels(qs, [fits[f] for f in order]))).groupBy("fit", F.col("near.c").alias("c"))
+                .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect())
+        new = {f: [list(c) for c in fits[f]] for f in order}     # a centre without rows stays
+        for r in sums:
+            new[order[r["fit"]]][r["c"]] = [float(r[q]) / float(r["n"]) for q in qs]
+        for f in order:
+            moved = sum((a - b) ** 2 for old, now in zip(fits[f], new[f]) for a, b in zip(old, now))
+            fits[f] = new[f]
+            if moved <= stop:
+                going.discard(f)
+        if not going:
+            break
+    return fits
+
+
+def _inertias(points: DataFrame, qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """``(fit, inertia)``, summed exactly, in the units of the fitted columns."""
+    near = points.select(F.inline(_labels(qs, fits)))
+    return near.groupBy("fit").agg((F.sum(F.col("near.d").cast("decimal(38,3)")).cast("double") * F.lit(UNIT) * F.lit(UNIT)).alias("inertia"))
+
+
+def _spread(points: DataFrame, qs: list[str]) -> float:
+    """Mean of the columns' population variances, in units."""
+    row = points.agg(*[F.var_pop(q).alias(q) for q in qs]).first()
+    return sum(row[q] or 0.0 for q in qs) / max(1, len(qs))
 
 
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (42,),
-               max_iter: int = 300, tol: float = 1e-4, init_mode: str = "k-means||",
-               vectors: DataFrame | None = None, checkpoint: bool = True) -> KMeansFit:
-    """Fit k-means for every seed and keep the lowest inertia.
-
-    ``tol`` is relative, as in the reference's solver (see ``mllib_epsilon``).
-    Inertia is recomputed from the final assignment, not MLlib's training
-    cost, which lags one update behind (T2).
+               max_iter: int = 300, tol: float = 1e-4, starts: int = STARTS, key: str | None = None) -> KMeansFit:
+    """Fit k-means from ``starts`` starts of every seed and keep the lowest inertia.
+
+    ``columns`` are standardised (or on a like scale); ``key`` names a column
+    that tells rows apart in the draws.  ``tol`` is relative, as in the
+    reference's solver: steps stop when the centres' squared moves add up to
+    ``tol`` times the mean variance.  Inertia is that of the final labels (T2).
+    With fewer distinct points than k there are fewer clusters (T9).
     """
-    own = vectors is None
-    vecs = vectors if vectors is not None else prepare_vectors(df, columns, checkpoint=checkpoint)
+    fits, written = _fit_all(df, columns, [k], seeds, max_iter, tol, starts, key)
+    costs = {r["fit"]: float(r["inertia"]) for r in written.collect()}
+    release(written)
+    i = min(costs, key=lambda f: (costs[f], f))
+    centres = sorted([v * UNIT for v in c] for c in fits[i])
+    return KMeansFit(k=len(centres), centres=centres, inertia=costs[i], seed=seeds[i // starts])
+
+
+def _fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seeds: Sequence[int], max_iter: int, tol: float,
+             starts: int, key: str | None) -> tuple[list[list[list[float]]], DataFrame]:
+    """Centres (in units) of every fit - all starts of the first k, then of the next - and ``(fit, inertia)``, written."""
+    points, qs = _points(df, columns, key)
+    written = cut_lineage(points)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = written if written.rdd.getNumPartitions() >= cores else written.repartition(cores)  # speed only: any layout gives the same fit
+    points = spread.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        eps = mllib_epsilon(tol, mean_variance(vecs, columns), k)
-        fits = [_fit_model(vecs, k, s, max_iter, eps, init_mode) for s in seeds]
-        costs = {r["K"]: float(r["Inertia"] or 0.0)
-                 for r in inertia_frame(list(enumerate(fits)), vecs, columns).collect()}
-        for i, fit in enumerate(fits):
-            fit.inertia = costs[i]
-        best = min(fits, key=lambda f: f.inertia)
-        return best
+        first = []
+        for s in seeds:
+            candidates = _candidates(points, qs, 2 * max(ks), s)
+            if not candidates:
+                raise ValueError("k-means needs at least one row")
+            first += [_starting_centres(candidates, max(ks), s, n) for n in range(starts)]
+        fits = [own[:k] for k in ks for own in first]
+        stop = tol * _spread(points, qs) if tol else 0.0
+        fits = _lloyd(points, qs, fits, max_iter, stop)
+        return fits, cut_lineage(_inertias(points, qs, fits))
     finally:
-        if own:
-            vecs.unpersist()
+        points.unpersist()
+        release(written)
+
+
+def label(fit: KMeansFit, df: DataFrame, columns: Sequence[str], label_col: str = "Cluster") -> DataFrame:
+    """Cluster of every row by the fitted (standardised) columns, canonical numbering."""
+    qs = [f"__q{i}" for i in range(len(columns))]
+    out = df.withColumns({q: in_units(F.col(c)) for q, c in zip(qs, columns)})
+    return assign_nearest(out, qs, [[v / UNIT for v in c] for c in fit.centres], label_col).drop(*qs)
 
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int = 3,
                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                parallelism: int = 8, checkpoint: bool = True, key: str | None = None) -> DataFrame:
-    """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``.
-
-    Fits run concurrently (each is a chain of small Spark jobs); the inertias
-    of all k share passes over the data (``inertia_frame``), and the result is
-    written, so the curve is computed by Spark from the rows, not assembled
-    on the driver.
-    """
+                starts: int = STARTS, key: str | None = None) -> DataFrame:
+    """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``; all fits share every pass."""
     ks = list(range(k_min, k_max + 1))
-    vecs = prepare_vectors(df, columns, keep=[key] if key else (), checkpoint=checkpoint, layout_key=key)
-    try:
-        mv = mean_variance(vecs, columns)
-
-        def one(k):
-            return _fit_model(vecs, k, seed, max_iter, mllib_epsilon(tol, mv, k), "k-means||")
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
-            fits = list(pool.map(one, ks))
-        curve = inertia_frame(list(zip(ks, fits)), vecs, columns)
-        return cut_lineage(curve)
-    finally:
-        vecs.unpersist()
+    _, costs = _fit_all(df, columns, ks, (seed,), max_iter, tol, starts, key)
+    at = F.array(*[F.lit(k) for k in ks])[F.floor(F.col("fit") / F.lit(starts)).cast("int")]
+    return costs.groupBy(at.alias("K")).agg(F.min("inertia").alias("Inertia"))
 
 
 def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_cols: Sequence[str],
@@ -371,19 +340,11 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
     chosen = select_variables(df, id_col, model_cols, reporting_cols)
     model_cols = chosen.columns[1:1 + len(dict.fromkeys(model_cols))]
     reporting_cols = chosen.columns[1 + len(model_cols):]
-    chosen = fill_selected(chosen, model_cols + reporting_cols, 0, fill_text)
-    chosen = cut_lineage(stable_layout(chosen, id_col))
-    stats = standard_stats(chosen, model_cols)
-    scaled_cols = [f"__z_{c}" for c in model_cols]
-    zexpr = []
-    for c, zc in zip(model_cols, scaled_cols):
-        m, s = stats[c]
-        x = F.col(c).cast("double")
-        zexpr.append(((x - F.lit(m)) / F.lit(s)).alias(zc) if s else (x - F.lit(m)).alias(zc))
-    vecs = assemble(chosen.select("*", *zexpr), scaled_cols, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fit = fit_kmeans(vecs, scaled_cols, k, seeds, max_iter, tol, vectors=vecs)
-        labelled = label(fit, vecs, "Cluster").select(id_col, *model_cols, "Cluster", *reporting_cols)
-        return cut_lineage(labelled), fit
-    finally:
-        vecs.unpersist()
+    written = cut_lineage(fill_selected(chosen, model_cols + reporting_cols, 0, fill_text))
+    stats = steady(standard_stats(written, model_cols))
+    zs = [f"__z{i}" for i in range(len(model_cols))]
+    scaled = written.select("*", *[_scaled(c, stats[c]).alias(z) for c, z in zip(model_cols, zs)])
+    fit = fit_kmeans(scaled, zs, k, seeds, max_iter, tol, key=id_col)
+    clients = cut_lineage(label(fit, scaled, zs).select(id_col, *model_cols, "Cluster", *reporting_cols))
+    release(written)
+    return clients, fit

@@ -5,16 +5,15 @@ Design notes for scale
 ----------------------
 * Count, mean, std, min and max are ordinary aggregates: map-side partial
   aggregation, one shuffle, no group held in one task.
-* Exact quartiles are different: Spark's ``percentile`` keeps every distinct
-  value of a group in one hash map in one task.  ``exact_quantiles`` first
-  counts the rows per group.  If the largest group is under
-  ``max_group_rows`` the built-in is used (its memory is proven bounded);
-  otherwise a range-partitioned sort spreads every group - a hot cluster
-  with a third of all rows included - over many tasks, per-partition counts
-  give each row's global rank, and only the few rows at the wanted ranks are
-  picked out by a broadcast join whose size is checked.
-* Correlation of all pairs is one aggregate grouped by pair over rows
-  expanded per pair (pairwise-complete co-moments); at most v*(v+1)/2 groups.
+* Exact quantiles take two passes at every size.  The first gives, next to the
+  moments, approximate percentiles a little below and above each wanted rank;
+  their error bound says which pair must enclose the rank.  The second counts
+  what lies below the pair and the frequencies of the values inside it: ties
+  collapse on the map side, so a value that most rows share is one row per
+  task, and only a few thousandths of the values reach the ranking.
+* Correlation of all pairs is one pass: sums of products of the columns
+  (v(v+1)/2 of them, shifted by the columns' minima), grouped by which columns
+  are null; a pair adds up the groups in which both are present.
 * The profile is at most ``k * (2 + 6 * variables)`` cells: it is reshaped
   with Spark (unpivot + pivot), never collected.
 """
@@ -29,19 +28,12 @@ from pyspark.sql import functions as F
 from segmint.session import cut_lineage
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
-# Largest group for which the single-task built-in ``percentile`` is allowed
-# (session setting ``segmint.quantiles.maxGroupRows`` overrides).
-MAX_GROUP_ROWS = 2_000_000
-# Rows per range partition of the distributed quantile sort (a group larger
-# than this spans several partitions, i.e. several tasks).
-ROWS_PER_RANGE_PARTITION = 2_000_000
-# Largest lookup table we allow ourselves to broadcast (rows).
-MAX_BROADCAST_ROWS = 200_000
-
-
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    """An integer setting from the session (cluster operators may override)."""
-    return int(df.sparkSession.conf.get(key, str(default)))
+# Relative error of the approximate percentiles that bracket a rank, and the
+# distances (as shares of the rows) at which brackets are tried, nearest first.
+ACCURACY = 1000
+REACH = (0.002, 0.01, 0.05)
+# Sums of products in one aggregate: more makes the generated code too large.
+SUMS_AT_ONCE = 90
 
 
 def np_round(col: Column | str, digits: int) -> Column:
@@ -64,123 +56,109 @@ def to_long(df: DataFrame, ids: Sequence[str], variables: Sequence[str],
     return cast.unpivot(list(ids), list(variables), var_name, value_name)
 
 
+def _sketch(value: Column, probs: Sequence[float]) -> Column:
+    """Approximate percentiles around every probability: below and above at each distance of ``REACH``."""
+    ps = [min(1.0, max(0.0, p + side * r)) for p in probs for r in REACH for side in (-1, 1)]
+    return F.percentile_approx(value, ps, ACCURACY)
+
+
+def _bracket(sketch: Column, i: int, n: Column, least: Column, most: Column) -> Column:
+    """``struct(lo, hi)`` that encloses ranks floor(p(n-1)) and the next, for the i-th probability.
+
+    A sketch value misses its rank by n / ACCURACY at most; two ranks more
+    cover the rounding.  Small groups take all their values.
+    """
+    out = F.struct(least.alias("lo"), most.alias("hi"))
+    for j, r in reversed(list(enumerate(REACH))):
+        at = (i * len(REACH) + j) * 2
+        out = F.when(n * F.lit(r) >= n / F.lit(float(ACCURACY)) + F.lit(2.0),
+                     F.struct(sketch[at].alias("lo"), sketch[at + 1].alias("hi"))).otherwise(out)
+    return out
+
+
+def _ranked(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``(groups..., i, j, q)``: the j-th quantile of the i-th variable, from rows and ``brackets`` (groups, n0.., b0_0..)."""
+    left = df.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(variables)])
+    on = F.lit(True)
+    for k, g in enumerate(groups):  # a null group is a group
+        on = on & left[f"__g{k}"].eqNullSafe(brackets[g])
+    cells = []
+    for i in range(len(variables)):
+        v = F.col(f"__v{i}")
+        for j in range(len(probs)):
+            b = F.col(f"b{i}_{j}")
+            inside = v >= b["lo"]
+            cells.append(F.when(v <= b["hi"], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), inside.alias("inside"), F.when(inside, v).alias("v"))))
+    found = left.join(brackets, on).select(*groups, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    found = found.groupBy(*groups, "i", "j", "inside", "v").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy(*groups, "i", "j").orderBy("inside", "v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("upto", F.sum("m").over(order))
+    sizes = brackets.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(variables))])).alias("__i", "__n"))
+    on = F.col("i") == F.col("__i")
+    for k, g in enumerate(groups):
+        on = on & found[g].eqNullSafe(sizes[f"__g{k}"])
+    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1) * (F.col("__n") - 1)
+    found = found.join(sizes, on).withColumn("__h", wanted).withColumn("__lo", F.floor("__h"))
+    picked = found.groupBy(*groups, "i", "j").agg(
+        F.min(F.when(F.col("inside") & (F.col("upto") > F.col("__lo")), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("inside") & (F.col("upto") > F.least(F.col("__lo") + 1, F.col("__n") - 1)), F.col("v"))).alias("b"),
+        F.min(F.when(~F.col("inside"), F.col("upto"))).alias("below"), F.first("__lo").alias("lo"), F.first(F.col("__h") - F.col("__lo")).alias("frac"))
+    enclosed = (F.coalesce("below", F.lit(0)) <= F.col("lo")) & F.col("a").isNotNull() & F.col("b").isNotNull()
+    value = F.when(enclosed, F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).otherwise(F.raise_error(F.lit("a quantile's rank is outside its bracket")).cast("double"))
+    return picked.select(*groups, "i", "j", value.alias("q"))
+
+
+def _moments(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float]) -> DataFrame:
+    """First pass: per group and variable i the count ``n<i>``, moments, least, most and brackets ``b<i>_<j>``."""
+    aggs = []
+    for i, v in enumerate(variables):
+        x = F.col(v).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+                 _sketch(x, probs).alias(f"s{i}")]
+    out = df.groupBy(*groups).agg(*aggs)
+    for i in range(len(variables)):
+        for j in range(len(probs)):
+            out = out.withColumn(f"b{i}_{j}", _bracket(F.col(f"s{i}"), j, F.col(f"n{i}"), F.col(f"min{i}"), F.col(f"max{i}")))
+    return cut_lineage(out.drop(*[f"s{i}" for i in range(len(variables))]))
+
+
 def exact_quantiles(long_df: DataFrame, groups: Sequence[str], value: str = "value",
-                    probs: Sequence[float] = DEFAULT_PROBS, max_group_rows: int | None = None,
-                    partitions: int | None = None) -> DataFrame:
+                    probs: Sequence[float] = DEFAULT_PROBS) -> DataFrame:
     """Exact linear-interpolation quantiles per group (pandas ``describe``).
 
-    Returns ``(groups..., p, q)``.  Nulls are ignored; a group's quantile at
-    ``p`` is ``v[lo] + (v[lo+1] - v[lo]) * frac`` with ``h = p*(n-1)``.
+    Returns ``(groups..., p, q)``.  Nulls are ignored, a null group is a group
+    like any other; a group's quantile at ``p`` is ``v[lo] + (v[lo+1] - v[lo]) *
+    frac`` with ``h = p*(n-1)``.
     """
-    if max_group_rows is None:
-        max_group_rows = _conf_int(long_df, "segmint.quantiles.maxGroupRows", MAX_GROUP_ROWS)
     groups = list(groups)
-    data = long_df.select(*groups, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
-    sizes = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    stats = sizes.agg(F.max("__n").alias("mx"), F.count(F.lit(1)).alias("g"),
-                      F.sum("__n").alias("total")).first()
-    if stats["g"] == 0:
-        spark = long_df.sparkSession
-        schema = long_df.select(*groups).schema.add("p", "double").add("q", "double")
-        return spark.createDataFrame([], schema)
-    if stats["mx"] <= max_group_rows:
-        pct = F.percentile(F.col("__v"), F.array(*[F.lit(float(p)) for p in probs]))
-        return (data.groupBy(*groups).agg(pct.alias("__qs"))
-                .select(*groups, F.posexplode(F.col("__qs")).alias("__i", "q"))
-                .select(*groups, F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
-                                              F.col("__i") + 1).alias("p"), "q"))
-    if partitions is None:
-        cap = int(long_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        per = _conf_int(long_df, "segmint.quantiles.rowsPerRangePartition", ROWS_PER_RANGE_PARTITION)
-        partitions = max(1, min(cap, -(-int(stats["total"]) // per)))
-    return _ranked_quantiles(data, groups, probs, stats["g"], partitions)
-
-
-def _ranked_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float],
-                      n_groups: int, parts: int) -> DataFrame:
-    # 1. Range-partition on (group, value): a hot group spans many partitions.
-    #    Partition ids and local positions are fixed by writing the sorted
-    #    frame to the reliable checkpoint, so every later read agrees.
-    ordered = (data.repartitionByRange(parts, *groups, "__v")
-               .sortWithinPartitions(*groups, "__v")
-               .withColumn("__pid", F.spark_partition_id())
-               .withColumn("__pos", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered)
-    # 2. Runs of one group inside one partition: at most partitions + groups rows.
-    runs = ordered.groupBy("__pid", *groups).agg(F.count(F.lit(1)).alias("__cnt"),
-                                                  F.min("__pos").alias("__first"))
-    w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__start", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-    # group sizes from the runs: the source lineage is not evaluated again
-    sizes = runs.groupBy(*groups).agg(F.sum("__cnt").alias("__n"))
-    # 3. Wanted ranks: floor(h) and floor(h)+1 per group and p.
-    pa = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (sizes.select(*groups, "__n", F.explode(pa).alias("p"))
-               .withColumn("__h", F.col("p") * (F.col("__n") - 1))
-               .withColumn("__lo", F.floor("__h").cast("long"))
-               .withColumn("__frac", F.col("__h") - F.col("__lo"))
-               .select(*groups, "p", "__frac", "__n",
-                       F.explode(F.array(F.col("__lo"), F.least(F.col("__lo") + 1, F.col("__n") - 1))
-                                 ).alias("__rank")))
-    located = (targets.join(runs, groups)
-               .where((F.col("__rank") >= F.col("__start"))
-                      & (F.col("__rank") < F.col("__start") + F.col("__cnt")))
-               .select(*groups, "p", "__frac", "__rank", "__pid",
-                       (F.col("__first") + F.col("__rank") - F.col("__start")).alias("__pos")))
-    n_targets = n_groups * len(probs) * 2
-    pick = F.broadcast(located) if n_targets <= MAX_BROADCAST_ROWS else located
-    values = (ordered.select("__pid", "__pos", "__v")
-              .join(pick, ["__pid", "__pos"]))
-    lo_hi = values.groupBy(*groups, "p", "__frac").agg(
-        F.min_by("__v", "__rank").alias("__lo_v"), F.max_by("__v", "__rank").alias("__hi_v"))
-    return lo_hi.select(*groups, "p", (F.col("__lo_v") + (F.col("__hi_v") - F.col("__lo_v"))
-                                       * F.col("__frac")).alias("q"))
+    rows = long_df.where(F.col(value).isNotNull()).withColumn("__all", F.lit(0))
+    keys = groups or ["__all"]
+    brackets = _moments(rows, keys, [value], probs)
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("j") + 1)
+    return _ranked(rows, keys, [value], probs, brackets).select(*groups, p.alias("p"), "q")
 
 
 def describe_by(df: DataFrame, group: str, variables: Sequence[str],
-                probs: Sequence[float] = DEFAULT_PROBS,
-                max_group_rows: int | None = None) -> DataFrame:
+                probs: Sequence[float] = DEFAULT_PROBS) -> DataFrame:
     """``groupby(group).describe()`` in long form (A10).
 
     Columns: ``variable, <group>, count, mean, std, min, p25, p50, p75, max``
     (std is the sample std, ddof 1; quartiles are exact and linear; nulls are
-    ignored per variable).
-
-    Pass 1 bounds the largest group: the total row count (no columns read),
-    and only if that exceeds ``max_group_rows`` the non-null values per group
-    and variable.  Bounded: pass 2 is ONE aggregate
-    over the unpivoted ``(group, variable, value)`` rows that yields every
-    statistic, quartiles included.  Unbounded: pass 2 computes the moments and
-    ``exact_quantiles`` takes the distributed ranked path.
+    ignored per variable).  Every group has a row for every variable: one whose
+    values are all null has count 0 and null statistics.  Two passes over
+    ``df``, whatever its size.
     """
-    if max_group_rows is None:
-        max_group_rows = _conf_int(df, "segmint.quantiles.maxGroupRows", MAX_GROUP_ROWS)
     variables = list(variables)
-    names = {p: f"p{int(round(p * 100))}" for p in probs}
-    # The total row count bounds every group; it reads no columns.  Only
-    # when it exceeds the limit are the groups counted one by one.
-    biggest = df.count()
-    if biggest > max_group_rows:
-        counts = df.groupBy(group).agg(*[F.count(v).alias(f"__n{i}") for i, v in enumerate(variables)])
-        maxes = [F.max(f"__n{i}") for i in range(len(variables))]
-        top = maxes[0] if len(maxes) == 1 else F.greatest(*maxes)
-        biggest = counts.agg(top.alias("m")).first()["m"]
-    long = to_long(df, [group], variables).where(F.col("value").isNotNull())
-    moments = [F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-               F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-               F.max("value").alias("max")]
-    if biggest is not None and biggest <= max_group_rows:
-        pa = F.array(*[F.lit(float(p)) for p in probs])
-        out = long.groupBy("variable", group).agg(*moments, F.percentile("value", pa).alias("__qs"))
-        qcols = [F.col("__qs")[i].alias(names[p]) for i, p in enumerate(probs)]
-        return out.select("variable", group, "count", "mean", "std", "min", *qcols, "max")
-    mom = long.groupBy("variable", group).agg(*moments)
-    qs = exact_quantiles(long, [group, "variable"], probs=probs, max_group_rows=0)
-    qwide = qs.groupBy(group, "variable").agg(
-        *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(names[p]) for p in probs])
-    out = mom.join(qwide, [group, "variable"], "left")
-    return out.select("variable", group, "count", "mean", "std", "min",
-                      *[names[p] for p in probs], "max")
+    first = _moments(df, [group], variables, probs)
+    ranked = _ranked(df, [group], variables, probs, first)
+    names = [f"p{int(round(p * 100))}" for p in probs]
+    wide = ranked.groupBy(group, "i").agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(n) for j, n in enumerate(names)])
+    wide = wide.select(F.col(group).alias("__g"), F.col("i").alias("__i"), *names)
+    long = first.select(group, F.posexplode(F.array(*[F.struct(*[F.col(f"{c}{i}").alias(n) for c, n in (("n", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"))])
+                                                      for i in range(len(variables))])).alias("i", "x"))
+    out = long.join(wide, long[group].eqNullSafe(wide["__g"]) & (F.col("i") == F.col("__i")), "left")
+    variable = F.element_at(F.array(*[F.lit(v) for v in variables]), F.col("i") + 1)
+    return out.select(variable.alias("variable"), group, "x.count", "x.mean", "x.std", "x.min", *names, "x.max")
 
 
 def cluster_share(labelled: DataFrame, cluster: str = "Cluster", digits: int = 2) -> DataFrame:
@@ -205,53 +183,74 @@ def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool =
                      digits: int | None = 2) -> DataFrame:
     """Pairwise-complete Pearson correlation of all pairs, long form.
 
-    Every row is expanded into one ``(pair, x, y)`` row per variable pair
-    (``inline`` of a literal-shaped array, streamed, never materialised) and
-    grouped by pair: three aggregates per group, combined map-side, so a task
-    holds at most v*(v+1)/2 small buffers and the shuffle carries that many
-    rows per task.  One wide aggregate with 3*v*(v+1)/2 masked functions was
-    several times slower (its generated code is too large to compile well).
-
-    ``r = covar_pop / (stddev_pop(x) * stddev_pop(y))`` over the rows where
-    both are present; a constant column gives null instead of an ANSI
-    divide-by-zero error (trap T1).  ``lower_only`` keeps pairs on or below
-    the diagonal (the heat map's mask).  Output ``(var_x, var_y, r)``;
-    ``var_x`` is the row, ``var_y`` the column.
+    The columns are written once.  A first aggregate takes their minima; then one
+    pass sums, for each pattern of nulls, the rows and all products of two shifted
+    columns (``SUMS_AT_ONCE`` in one aggregate).  A pair's r comes from the sums of
+    the patterns that have both: no row is expanded.
+
+    A column that is constant over a pair's rows gives null instead of an ANSI
+    divide-by-zero error (trap T1).  ``lower_only`` keeps pairs on or below the
+    diagonal (the heat map's mask).  Output ``(var_x, var_y, r)``; ``var_x`` is the
+    row, ``var_y`` the column.  ``digits=None`` leaves r unrounded.
     """
-    variables = list(variables)
-    pairs = [(a, b) for i, a in enumerate(variables) for j, b in enumerate(variables) if i <= j]
-    arr = F.array(*[F.struct(F.lit(n).alias("__pair"), F.col(a).cast("double").alias("__x"),
-                             F.col(b).cast("double").alias("__y")) for n, (a, b) in enumerate(pairs)])
-    long = (df.select(F.inline(arr))
-            .where(F.col("__x").isNotNull() & F.col("__y").isNotNull()))
-    r = F.covar_pop("__x", "__y") / F.nullif(F.stddev_pop("__x") * F.stddev_pop("__y"), F.lit(0.0))
-    per_pair = long.groupBy("__pair").agg(r.alias("r"))
-    # pairs without any complete row still appear, with a null r; the per-pair
-    # result has at most v*(v+1)/2 rows by construction, so it is broadcast
+    variables = list(dict.fromkeys(variables))
+    n = len(variables)
+    data = cut_lineage(df.select(*[F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)]))
+    least = data.agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(n)]).first()
+    shifted = [F.coalesce(F.col(f"x{i}") - F.lit(least[f"x{i}"] if least[f"x{i}"] is not None else 0.0), F.lit(0.0)) for i in range(n)]
+    mask = F.lit(0).cast("long")
+    for i in range(n):
+        mask = mask + F.when(F.col(f"x{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    rows = data.select(mask.alias("mask"), *[x.alias(f"x{i}") for i, x in enumerate(shifted)])
+    one = F.lit(1.0)
+    products = [(i, j) for i in range(-1, n) for j in range(i, n)]     # -1: the constant one
+
+    def factor(i: int) -> Column:
+        return one if i < 0 else F.col(f"x{i}")
+
+    parts = []
+    for at in range(0, len(products), SUMS_AT_ONCE):
+        own = products[at:at + SUMS_AT_ONCE]
+        sums = rows.groupBy("mask").agg(*[F.sum(factor(i) * factor(j)).alias(f"p{i + 1}_{j + 1}") for i, j in own])
+        parts.append(sums.select("mask", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i + 1}_{j + 1}").alias("s")) for i, j in own]))))
+    sums = parts[0]
+    for p in parts[1:]:
+        sums = sums.unionByName(p)
+    # Six sums for each pair, over the patterns that have both columns: pairs x patterns rows, no more.
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    wanted = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(k).alias("k"),
+                                F.lit(1 << i | 1 << j).cast("long").alias("bits"))
+                       for i, j in pairs for k, (a, b) in enumerate([(-1, -1), (-1, i), (-1, j), (i, i), (j, j), (i, j)])])
     spark = df.sparkSession
-    all_pairs = spark.range(len(pairs)).select(F.col("id").cast("int").alias("__pair"))
-    per_pair = all_pairs.join(F.broadcast(per_pair), "__pair", "left")
-    first = F.array(*[F.lit(a) for a, _ in pairs])
-    second = F.array(*[F.lit(b) for _, b in pairs])
-    a = F.element_at(first, F.col("__pair") + 1)
-    b = F.element_at(second, F.col("__pair") + 1)
-    rr = np_round(F.col("r"), digits) if digits is not None else F.col("r")
-    below = F.struct(b.alias("var_x"), a.alias("var_y"), rr.alias("r"))
+    need = spark.range(1).select(F.inline(wanted))
+    met = need.join(sums, ["i", "j"], "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")))
+    six = met.groupBy("x", "y").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("s"))), F.lit(0.0)).alias(f"s{k}") for k in range(6)])
+    m, sx, sy, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
+    vx, vy = xx - sx * sx / F.nullif(m, F.lit(0.0)), yy - sy * sy / F.nullif(m, F.lit(0.0))
+    tiny = F.lit(1e-13)  # rounding of a constant column
+    r = F.when((vx > tiny * xx) & (vy > tiny * yy), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (xy - sx * sy / m) / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))))
+    every = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in pairs])))
+    per_pair = every.join(six.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r")), ["x", "y"], "left")
+    names = F.array(*[F.lit(v) for v in variables])
+    a, b = names[F.col("x")], names[F.col("y")]
+    below = F.struct(b.alias("var_x"), a.alias("var_y"), F.col("r"))
     if lower_only:
         return per_pair.select(F.inline(F.array(below)))
-    above = F.struct(a.alias("var_x"), b.alias("var_y"), rr.alias("r"))
-    both = F.when(a == b, F.array(below)).otherwise(F.array(below, above))
-    return per_pair.select(F.inline(both))
+    above = F.struct(a.alias("var_x"), b.alias("var_y"), F.col("r"))
+    return per_pair.select(F.inline(F.when(F.col("x") == F.col("y"), F.array(below)).otherwise(F.array(below, above))))
 
 
-def redundant_pairs(corr: DataFrame, threshold: float = 0.8) -> DataFrame:
+def redundant_pairs(corr: DataFrame, threshold: float = 0.8, digits: int | None = None) -> DataFrame:
     """Pairs whose correlation is above ``threshold`` or below its negative.
 
-    Each unordered pair appears once (``var_x`` after ``var_y`` in input order
-    when the input is a lower triangle).
+    Give it unrounded correlations (``correlation_long(..., digits=None)``); the
+    test is on r itself, ``digits`` rounds what is shown.  Each unordered pair
+    appears once (``var_x`` after ``var_y`` in input order when the input is a
+    lower triangle).
     """
-    return corr.where((F.col("var_x") != F.col("var_y"))
-                      & ((F.col("r") > threshold) | (F.col("r") < -threshold)))
+    out = corr.where((F.col("var_x") != F.col("var_y"))
+                     & ((F.col("r") > threshold) | (F.col("r") < -threshold)))
+    return out if digits is None else out.withColumn("r", np_round(F.col("r"), digits))
 
 
 PROFILE_STATS = ("mean", "min", "p25", "p50", "p75", "max")
@@ -259,8 +258,7 @@ PROFILE_LABELS = {"mean": "mean", "min": "min", "p25": "25%", "p50": "50%", "p75
 
 
 def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "Cluster",
-                 digits: int = 2, with_std: bool = False,
-                 max_group_rows: int | None = None) -> DataFrame:
+                 digits: int = 2, with_std: bool = False) -> DataFrame:
     """Cluster profile as ``(row_order, row_label, <cluster>, value)``.
 
     Rows: ``Count``, ``CountShare %``, then per variable ``<var>_mean``,
@@ -275,7 +273,7 @@ def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "
     if with_std:
         stats.insert(1, "std")
         labels["std"] = "std"
-    desc = describe_by(labelled, cluster, variables, max_group_rows=max_group_rows)
+    desc = cut_lineage(describe_by(labelled, cluster, variables))      # read twice below: k x variables rows
     order = F.create_map(*[x for i, v in enumerate(variables) for x in (F.lit(v), F.lit(i))])
     cells = desc.select(
         cluster, "variable",
@@ -287,7 +285,8 @@ def profile_long(labelled: DataFrame, variables: Sequence[str], cluster: str = "
         F.col(cluster).cast("int").alias(cluster),
         np_round(F.col("value"), digits).alias("value"))
     sizes = desc.where(F.col("variable") == F.lit(variables[0])).select(cluster, "count")
-    share = np_round(F.lit(100.0) * F.col("count") / F.sum("count").over(Window.partitionBy()), digits)
+    # One row per cluster: k of them.
+    share = np_round(F.lit(100.0) * F.col("count") / F.nullif(F.sum("count").over(Window.partitionBy()), F.lit(0)), digits)
     sizes = sizes.select(cluster, "count", share.alias("__share"))
     share = F.col("__share")
     head = sizes.select(F.col(cluster).cast("int").alias(cluster), F.inline(F.array(
@@ -302,7 +301,11 @@ def profile_wide(long: DataFrame, k: int, cluster: str = "Cluster") -> DataFrame
     """Transpose the long profile to one column per cluster ``"0"`` ... ``"k-1"``.
 
     Explicit pivot values: a cluster without rows (k above the number of
-    distinct points, trap T9) becomes a null column instead of vanishing.
+    distinct points, trap T9) becomes a null column instead of vanishing.  A
+    label outside 0..k-1 (or null) has no column to go to and is an error.
     """
-    cells = [F.max(F.when(F.col(cluster) == F.lit(i), F.col("value"))).alias(str(i)) for i in range(k)]
+    outside = ~F.coalesce(F.col(cluster).isin(list(range(k))), F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit(f"label outside 0..{k - 1}: "), F.coalesce(F.col(cluster).cast("string"), F.lit("null")))).cast("double")
+    value = F.when(outside, refuse).otherwise(F.col("value"))
+    cells = [F.max(F.when(outside | (F.col(cluster) == F.lit(i)), value)).alias(str(i)) for i in range(k)]
     return long.groupBy("row_order", "row_label").agg(*cells)

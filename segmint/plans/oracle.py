@@ -199,14 +199,14 @@ LI_PRICES = ("px AS (SELECT l_quantity, l_extendedprice, l_extendedprice * (1 -
              "l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem)")
 
 
-def _corr_pairs(lower_only: bool, variables=None, source: str = "wide") -> str:
+def _corr_pairs(lower_only: bool, variables=None, source: str = "wide", raw: bool = False) -> str:
     vs = variables or q.CORR_VARS
     rows = []
     for i, a in enumerate(vs):
         for j, b in enumerate(vs):
             if i > j:
                 continue
-            expr = (f"(SELECT CASE WHEN isnan(r) THEN NULL ELSE round_even(r, 2) END FROM "
+            expr = (f"(SELECT CASE WHEN isnan(r) THEN NULL ELSE {'r' if raw else 'round_even(r, 2)'} END FROM "
                     f"(SELECT corr({a}, {b}) AS r FROM {source}))")
             rows.append(f"SELECT {_lit(b)} AS var_x, {_lit(a)} AS var_y, {expr} AS r")
             if a != b and not lower_only:
@@ -247,6 +247,64 @@ def _std_sql(fill: bool) -> str:
             f"SELECT PERS_ID, {z} FROM x, st")
 
 
+def _kmeans_ctes(ks: list[int], steps: int, seed: int = 42, starts: int = 2) -> str:
+    """K-means step by step: standardised units ``p``, starting centres ``c<step>``, Lloyd steps ``l<step>``, best fits ``best``.
+
+    A fit is (k, start).  Every step is a materialised CTE over the one before it.
+    """
+    cols, qs = q.SEG_MODEL, [f"q{i}" for i in range(len(q.SEG_MODEL))]
+    src = ", ".join(f"coalesce({c}, 0)::DOUBLE AS x{i}" for i, c in enumerate(cols))
+    stats = ", ".join(f"printf('%.12g', avg(x{i}))::DOUBLE AS m{i}, printf('%.12g', stddev_pop(x{i}))::DOUBLE AS s{i}" for i in range(len(cols)))
+    units = ", ".join(f"floor((CASE WHEN s{i} = 0 THEN x{i} - m{i} ELSE (x{i} - m{i}) / s{i} END) / 1e-06::DOUBLE + 0.5) AS q{i}" for i in range(len(cols)))
+    dist = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in qs)
+    qlist = ", ".join(qs)
+    out = [f"x AS MATERIALIZED (SELECT PERS_ID, {src} FROM wide)", f"st AS MATERIALIZED (SELECT {stats} FROM x)",
+           f"p AS MATERIALIZED (SELECT PERS_ID, {units} FROM x, st)"]
+
+    def draw(part: str, key: str) -> str:
+        bits = f"('0x' || substr(md5('{seed}|' || {part} || '|' || {key}), 1, 13))::BIGINT::DOUBLE"
+        return f"-ln(({bits} + 0.5) / 4503599627370496.0)"
+
+    pcols, order = ", ".join(f"p.{c}" for c in qs), ", ".join(qs)
+    for r in range(3):  # candidates: three passes of twice the largest k
+        part = f"'r{r}'"
+        if r == 0:
+            scored = f"SELECT p.PERS_ID::VARCHAR AS key, {pcols}, 1.0 / {draw(part, 'p.PERS_ID')} AS score FROM p"
+        else:
+            scored = (f"SELECT p.PERS_ID::VARCHAR AS key, {pcols}, n.d / {draw(part, 'p.PERS_ID')} AS score FROM p "
+                      f"JOIN (SELECT p.PERS_ID, min({dist}) AS d FROM p, t{r - 1} c GROUP BY ALL) n ON n.PERS_ID = p.PERS_ID")
+        top = f"SELECT {r} AS r, * FROM ({scored}) WHERE score > 0 ORDER BY score DESC, key, {order} LIMIT {2 * max(ks)}"
+        out.append(f"t{r} AS MATERIALIZED (" + (f"SELECT * FROM t{r - 1} UNION ALL " if r else "") + f"SELECT * FROM ({top}))")
+    out.append(f"num AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY r, score DESC, key, {order}) - 1) AS n, key, {qlist} FROM t2)")
+    out.append(f"w AS (SELECT near.n AS n, count(*)::DOUBLE AS w FROM (SELECT min({{'d': {dist}, 'n': c.n}}) AS near FROM p, num c GROUP BY p.PERS_ID) GROUP BY near.n)")
+    out.append(f"cand AS MATERIALIZED (SELECT num.*, coalesce(w.w, 0.0) AS w FROM num LEFT JOIN w ON w.n = num.n)")
+    out.append(f"s AS (SELECT unnest(range(0, {starts})) AS start)")
+    pick = "QUALIFY row_number() OVER (PARTITION BY s.start ORDER BY score DESC, p.n) = 1"
+    part = lambda j: f"'s' || s.start || '.{j}'"
+    out.append(f"c0 AS MATERIALIZED (SELECT s.start, 0 AS i, {pcols}, p.w / {draw(part(0), 'p.key')} AS score FROM cand p, s {pick})")
+    for j in range(1, max(ks)):
+        near = f"(SELECT p.n, c.start, min({dist}) AS d FROM cand p, c{j - 1} c GROUP BY ALL)"
+        out.append(f"c{j} AS MATERIALIZED (SELECT start, i, {qlist}, score FROM c{j - 1} UNION ALL SELECT * FROM (SELECT s.start, {j} AS i, {pcols}, p.w * n.d / {draw(part(j), 'p.key')} AS score "
+                   f"FROM cand p JOIN {near} n ON n.n = p.n JOIN s ON s.start = n.start {pick}))")
+    fits = ", ".join(map(str, ks))
+    out.append(f"l0 AS MATERIALIZED (SELECT k, start, i, {qlist} FROM c{max(ks) - 1} c JOIN (SELECT unnest([{fits}]) AS k) f ON c.i < f.k)")
+    for t in range(steps + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT p.PERS_ID, c.k, c.start, min({{'d': {dist}, 'i': c.i}}) AS near, any_value({{{', '.join(f'{chr(39)}{c}{chr(39)}: p.{c}' for c in qs)}}}) AS pt "
+                   f"FROM p, l{t} c GROUP BY p.PERS_ID, c.k, c.start)")
+        if t < steps:
+            means = ", ".join(f"sum(pt.{c}::BIGINT)::DOUBLE / count(*)::DOUBLE AS {c}" for c in qs)
+            new = f"(SELECT k, start, near.i AS i, {means} FROM a{t} GROUP BY k, start, near.i)"
+            out.append(f"l{t + 1} AS MATERIALIZED (SELECT c.k, c.start, c.i, {', '.join(f'coalesce(n.{c}, c.{c}) AS {c}' for c in qs)} "
+                       f"FROM l{t} c LEFT JOIN {new} n ON n.k = c.k AND n.start = c.start AND n.i = c.i)")
+    out.append(f"cost AS (SELECT k, start, sum(near.d::DECIMAL(38, 3))::DOUBLE * 1e-06::DOUBLE * 1e-06::DOUBLE AS inertia FROM a{steps} GROUP BY k, start)")
+    out.append("best AS (SELECT k, min(inertia) AS inertia, arg_min(start, (inertia, start)) AS start FROM cost GROUP BY k)")
+    # canonical numbers: centres in ascending order
+    out.append(f"named AS (SELECT c.k, c.i, (row_number() OVER (PARTITION BY c.k ORDER BY {', '.join('c.' + c for c in qs)}) - 1)::INTEGER AS Cluster "
+               f"FROM l{steps} c JOIN best b ON b.k = c.k AND b.start = c.start)")
+    out.append(f"labelled AS (SELECT a.PERS_ID, n.Cluster FROM a{steps} a JOIN best b ON b.k = a.k AND b.start = a.start JOIN named n ON n.k = a.k AND n.i = a.near.i)")
+    return ",\n".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     fr, fm = q.SEGMENT_FORM["ranges"], q.SEGMENT_FORM["members"]
     strict = [_between(c, b) for c, b in q.STRICT_RANGES.items()] + \
@@ -325,8 +383,8 @@ def oracle_sql() -> dict[str, str]:
                          f"SELECT Cluster, Count, round_even(100.0 * Count / sum(Count) OVER (), 2) AS CountShare FROM sizes",
         "correlation_long": f"{SEG}\n{_corr_pairs(False)}",
         "correlation_lower": f"{SEG}\n{_corr_pairs(True)}",
-        "redundant_pairs": f"WITH {LI_PRICES}, c AS ({_corr_pairs(True, q.PRICE_VARS, 'px')})\n"
-                           f"SELECT * FROM c WHERE var_x <> var_y AND (r > 0.8 OR r < -0.8)",
+        "redundant_pairs": f"WITH {LI_PRICES}, c AS ({_corr_pairs(True, q.PRICE_VARS, 'px', raw=True)})\n"
+                           f"SELECT var_x, var_y, round_even(r, 2) AS r FROM c WHERE var_x <> var_y AND (r > 0.8 OR r < -0.8)",
         "profile_long": _profile_long_sql() + "SELECT row_order, row_label, Cluster, value FROM prof",
         "profile_wide": _profile_long_sql() + "SELECT row_order, row_label, "
                         + ", ".join(f'max(value) FILTER (WHERE Cluster = {i}) AS "{i}"' for i in range(q.LI_K))
@@ -344,6 +402,13 @@ def oracle_sql() -> dict[str, str]:
                        "FROM orders",
         "standardize": _std_sql(False),
         "prepare_features": _std_sql(True),
+        "kmeans_fit": f"{SEG}, {_kmeans_ctes([q.FINAL_K], q.KMEANS_STEPS)}\nSELECT PERS_ID, Cluster FROM labelled",
+        "elbow_curve": f"{SEG}, {_kmeans_ctes(list(range(3, q.ELBOW_K_MAX + 1)), q.KMEANS_STEPS)}\n"
+                       f"SELECT k::INTEGER AS K, round_even(inertia, {q.PREC}) AS Inertia FROM best",
+        "segment_customers": f"{SEG}, {_kmeans_ctes([q.FINAL_K], q.KMEANS_STEPS)}\nSELECT PERS_ID, "
+                             + ", ".join(f"coalesce({c}, 0) AS {c}" for c in q.SEG_MODEL) + ", Cluster, "
+                             + ", ".join(f"coalesce({c}, '0') AS {c}" for c in q.SEG_REPORT) + " FROM wide JOIN labelled USING (PERS_ID)",
+        "feature_vectors": f"{SEG} SELECT PERS_ID, [" + ", ".join(f"coalesce({c}, 0)::DOUBLE" for c in q.SEG_MODEL) + "] AS features FROM wide",
         "centroid_update": f"WITH {LI_LAB}, {_li_centres_cte()} SELECT * FROM cen",
         "assign_nearest": f"WITH {LI_LAB}, {_li_centres_cte()}\n{_nearest_sql()}",
         "inertia_given_labels": f"WITH {LI_LAB}, {_li_centres_cte()}\n"

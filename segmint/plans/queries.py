@@ -39,6 +39,7 @@ LI_MODEL = ["l_quantity", "l_discount", "l_tax"]
 LI_K = 7                      # clusters given by l_linenumber - 1
 ELBOW_K_MAX = 10              # elbow sweep k = 3..10
 FINAL_K = 17                  # the golden run's k
+KMEANS_STEPS = 15             # Lloyd steps of the registered fits (a fixed number, so that SQL can follow)
 PREC = 6                      # presentation precision of summed/averaged floats
 IMPUTE_TEXT = {"PREF_CITY": "Undefined", "REGION": "Undefined", "SOC_SEG": "Undefined"}
 IMPUTE_NUM = {"AVG_MB_IB_TRN_CNT": 0, "AVG_POS_TRN_CNT": 0, "AVG_ATM_TRN_CNT": 0, "MONTHLY_INCOME": 0}
@@ -298,7 +299,7 @@ def _lineitem_prices(spark, root):
 
 
 def q_redundant_pairs(spark, root):
-    return st.redundant_pairs(st.correlation_long(_lineitem_prices(spark, root), PRICE_VARS, lower_only=True))
+    return st.redundant_pairs(st.correlation_long(_lineitem_prices(spark, root), PRICE_VARS, lower_only=True, digits=None), digits=2)
 
 
 def q_profile_long(spark, root):
@@ -365,7 +366,7 @@ def q_centroid_update(spark, root):
 
 
 def q_assign_nearest(spark, root):
-    ids, centres = mdl.collect_centres(_li_centres(spark, root), LI_MODEL, "Cluster")
+    ids, centres = mdl.collect_centres(_li_centres(spark, root), LI_MODEL, "Cluster", LI_K)
     li = _lineitem_labelled(spark, root)
     out = mdl.assign_nearest(li, LI_MODEL, centres, "Nearest")
     mapped = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("Nearest") + 1)
@@ -382,19 +383,18 @@ def _model_input(spark, root):
 
 
 def q_kmeans_fit(spark, root):
-    vecs = mdl.prepare_vectors(_model_input(spark, root), SEG_MODEL, keep=[d.KEY], layout_key=d.KEY)
-    fit = mdl.fit_kmeans(vecs, SEG_MODEL, FINAL_K, vectors=vecs)
-    out = mdl.cut_lineage(mdl.label(fit, vecs, "Cluster").select(d.KEY, "Cluster"))
-    vecs.unpersist()
-    return out
+    points = _model_input(spark, root)
+    fit = mdl.fit_kmeans(points, SEG_MODEL, FINAL_K, max_iter=KMEANS_STEPS, tol=0.0, key=d.KEY)
+    return mdl.label(fit, points, SEG_MODEL, "Cluster").select(d.KEY, "Cluster")
 
 
 def q_elbow_curve(spark, root):
-    return mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX, key=d.KEY)
+    curve = mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX, max_iter=KMEANS_STEPS, tol=0.0, key=d.KEY)
+    return _round_cols(curve, ["Inertia"])
 
 
 def q_segment_customers(spark, root):
-    client, _ = mdl.segment(_seg(spark, root), d.KEY, SEG_MODEL, SEG_REPORT, FINAL_K)
+    client, _ = mdl.segment(_seg(spark, root), d.KEY, SEG_MODEL, SEG_REPORT, FINAL_K, max_iter=KMEANS_STEPS, tol=0.0)
     return client
 
 

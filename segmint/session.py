@@ -73,8 +73,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder for this session.
 
     On a cluster the operator sets ``spark.checkpoint.dir`` to a shared
-    filesystem path; we use it as is.  Only when it is unset (unit tests,
-    local runs) do we create a scratch folder.
+    filesystem path; we use it as is.  Only when it is unset and the master is
+    local (unit tests, local runs) do we create a scratch folder; on a cluster
+    a machine's own folder would be read back in part, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -82,6 +83,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="segmint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -92,7 +96,7 @@ def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
 
     Used before iterative work (k-means, several reads of one sorted frame)
     so that a lost executor re-reads written files instead of re-running a
-    long, possibly non-deterministic lineage.
+    long, possibly non-deterministic lineage.  ``release`` deletes the files.
 
     ``how="parquet"`` (default) writes a Parquet table under the checkpoint
     folder and reads it back: one job, compressed columns, and later reads
@@ -106,4 +110,15 @@ def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
         return df.checkpoint(eager=True)
     path = f"{root.rstrip('/')}/segmint-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written._segmint_path = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Delete the files behind a frame that ``cut_lineage`` returned, once nothing reads them any more."""
+    path = getattr(written, "_segmint_path", None)
+    if path:
+        spark = written.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

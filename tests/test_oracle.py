@@ -51,13 +51,3 @@ def test_entry_smoke(spark):
     assert len(rows) == 2 + 6 * 3
     assert len(df.columns) == 2 + 17
     assert df.columns[:2] == ["row_order", "row_label"]
-
-
-def test_ranked_quantile_path_matches_oracle(spark, con):
-    """cluster_describe with the distributed ranked path forced, on the whole lineitem table."""
-    from segmint.operators import stats as st
-    from segmint.plans import queries as q
-    desc = st.describe_by(q._lineitem_labelled(spark, SF001), "Cluster", q.LI_DESCRIBE, max_group_rows=0)
-    res = compare(q._round_cols(desc, ["mean", "std", "min", "p25", "p50", "p75", "max"]),
-                  con.sql(SQL["cluster_describe"]).df())
-    assert res["match"], res

@@ -59,13 +59,23 @@ def test_dedup_and_semi_join_on_hot_key(spark, skewed):
     assert got == sorted(k for k in (7, 8, 150) if k in set(pdf.k))
 
 
-def test_ranked_quantiles_split_the_hot_group(skewed):
+def test_quantiles_of_a_hot_group_full_of_ties(spark, skewed):
+    """Nine tenths zeros: what reaches the ranking is a row per value and map task, not a row per row."""
     pdf, df = skewed
-    grp = df.select(F.when(F.col("k") == 7, 0).otherwise(1).alias("g"), "x")
-    out = st.exact_quantiles(grp, ["g"], "x", max_group_rows=0, partitions=16)
-    got = {(r.g, r.p): r.q for r in out.collect()}
-    hot = pdf[pdf.k == 7].x.to_numpy()
-    cold = pdf[pdf.k != 7].x.to_numpy()
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random(40_000) < 0.9, 0.0, rng.normal(size=40_000))
+    rows = spark.createDataFrame(pd.DataFrame({"g": np.where(np.arange(40_000) % 3, 1, 0), "value": values})).repartition(16)
+    got = {(r.g, r.p): r.q for r in st.exact_quantiles(rows, ["g"], "value").collect()}
+    for g in (0, 1):
+        own = values[np.where(np.arange(40_000) % 3, 1, 0) == g]
+        for p in (0.25, 0.5, 0.75):
+            assert math.isclose(got[g, p], float(np.quantile(own, p)), abs_tol=1e-12)
+    found = st.exact_quantiles(rows, ["g"], "value")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    partial = plan.index("functions=[partial_count(1)]")
+    assert "hashpartitioning(g" in plan[:partial]                 # counted on the map side, then dealt by group
     for p in (0.25, 0.5, 0.75):
-        assert math.isclose(got[(0, p)], float(np.quantile(hot, p)), rel_tol=1e-12, abs_tol=1e-12)
-        assert math.isclose(got[(1, p)], float(np.quantile(cold, p)), rel_tol=1e-12, abs_tol=1e-12)
+        hot = pdf[pdf.k == 7].x.to_numpy()
+        q = {r.p: r.q for r in st.exact_quantiles(df.where("k = 7").select("k", "x"), ["k"], "x").collect()}
+        assert math.isclose(q[p], float(np.quantile(hot, p)), rel_tol=1e-12, abs_tol=1e-12)

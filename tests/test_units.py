@@ -223,14 +223,15 @@ def _np_quart(vals):
     return [float(np.quantile(vals, p)) for p in (0.25, 0.5, 0.75)] if vals else [None] * 3
 
 
-@pytest.mark.parametrize("max_group_rows", [10 ** 9, 0])
-def test_quartiles_match_numpy_both_paths(spark, max_group_rows):
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_quartiles_match_numpy(spark, partitions):
     rng = np.random.default_rng(7)
     groups = {0: [5.0], 1: [1.0, 2.0], 2: list(rng.integers(0, 5, 40).astype(float)),
-              3: list(rng.normal(size=301)), 4: [2.0, 2.0, 2.0, 3.0]}
+              3: list(rng.normal(size=301)), 4: [2.0, 2.0, 2.0, 3.0], None: [1.0, 2.0, 3.0, 5.0],
+              6: list(rng.normal(size=20_000)), 7: [0.0] * 9000 + list(rng.normal(size=1000)), 8: list(rng.integers(0, 9, 5000).astype(float))}
     data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(5, None)]
-    df = spark.createDataFrame(data, "g int, value double").repartition(5)
-    out = st.exact_quantiles(df, ["g"], "value", max_group_rows=max_group_rows, partitions=6)
+    df = spark.createDataFrame(data, "g int, value double").repartition(partitions)
+    out = st.exact_quantiles(df, ["g"], "value")
     got = {}
     for r in out.collect():
         got.setdefault(r.g, {})[r.p] = r.q
@@ -239,6 +240,8 @@ def test_quartiles_match_numpy_both_paths(spark, max_group_rows):
         for p, w in zip((0.25, 0.5, 0.75), want):
             assert math.isclose(got[g][p], w, rel_tol=1e-12, abs_tol=1e-12), (g, p, got[g][p], w)
     assert 5 not in got
+    everything = {r.p: r.q for r in st.exact_quantiles(df, [], "value").collect()}
+    assert np.allclose([everything[p] for p in (0.25, 0.5, 0.75)], _np_quart([v for _, v in data if v is not None]))
 
 
 def test_describe_one_row_std_null(spark):
@@ -268,18 +271,47 @@ def test_share_rounds_like_numpy(spark):
     assert got[1] == float(np.round(100 * 31 / 32, 2))
 
 
-def test_describe_ranked_path_equals_bounded_path(spark):
-    rng = np.random.default_rng(5)
-    data = [(int(g), float(x), None if i % 17 == 0 else float(y))
-            for i, (g, x, y) in enumerate(zip(rng.integers(0, 3, 900), rng.normal(size=900),
-                                              rng.integers(0, 20, 900)))]
-    df = spark.createDataFrame(data, "Cluster int, x double, y double").repartition(4)
-    a = {(r.variable, r.Cluster): r for r in st.describe_by(df, "Cluster", ["x", "y"]).collect()}
-    b = {(r.variable, r.Cluster): r for r in st.describe_by(df, "Cluster", ["x", "y"], max_group_rows=0).collect()}
-    assert a.keys() == b.keys()
-    for key in a:
-        for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max"):
-            assert math.isclose(a[key][c], b[key][c], rel_tol=1e-12, abs_tol=1e-12), (key, c)
+def test_describe_keeps_null_groups_and_empty_variables(spark):
+    df = spark.createDataFrame([(0, None, 1.0), (0, None, 2.0), (None, 1.0, 4.0), (None, 3.0, None), (1, 5.0, 6.0)], "Cluster int, x double, y double")
+    got = {(r.variable, r.Cluster): r for r in st.describe_by(df, "Cluster", ["x", "y"]).collect()}
+    assert set(got) == {(v, c) for v in ("x", "y") for c in (0, None, 1)}
+    assert got["x", 0]["count"] == 0 and got["x", 0]["mean"] is None and got["x", 0]["p50"] is None
+    assert [got["x", None][c] for c in ("count", "p25", "p50", "p75")] == [2, 1.5, 2.0, 2.5]
+    prof = {(r.row_label, r.Cluster): r.value for r in st.profile_long(df.where("Cluster is not null"), ["x", "y"]).collect()}
+    assert prof["Count", 0] == 0 and prof["CountShare %", 0] == 0 and prof["CountShare %", 1] == 100
+
+
+def test_profile_wide_refuses_labels_outside(spark):
+    df = spark.createDataFrame([(1, 1.0), (3, 2.0)], "Cluster int, x double")
+    long = st.profile_long(df, ["x"])
+    assert st.profile_wide(long, 4).count() == 8
+    for bad in (long.where("Cluster = 3"), long.withColumn("Cluster", F.lit(None).cast("int"))):
+        with pytest.raises(Exception, match="label outside"):
+            st.profile_wide(bad, 3).collect()
+
+
+def test_redundant_pairs_test_the_unrounded_r(spark):
+    x = np.arange(40.0)
+    rng = np.random.default_rng(0)
+    noise = rng.normal(size=40)
+    noise -= noise.mean() + (noise @ (x - x.mean())) / ((x - x.mean()) @ (x - x.mean())) * (x - x.mean())
+    target = 0.8013
+    y = (x - x.mean()) / x.std() * target + noise / noise.std() * math.sqrt(1 - target ** 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    found = st.redundant_pairs(st.correlation_long(df, ["x", "y"], lower_only=True, digits=None), digits=2).collect()
+    assert [(r.var_x, r.var_y, r.r) for r in found] == [("y", "x", 0.8)]
+
+
+def test_correlation_of_many_variables_and_null_patterns(spark):
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 21)) @ rng.normal(size=(21, 21)) + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    cols = [f"v{i}" for i in range(21)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(6)
+    want = pd.DataFrame(x, columns=cols).corr()
+    got = st.correlation_long(df, cols, digits=None).collect()
+    assert len(got) == 441 and all(math.isclose(r.r, want.loc[r.var_x, r.var_y], abs_tol=1e-8) for r in got)
 
 
 def test_select_variables_overlap_and_unknown(people):
@@ -314,24 +346,3 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * 1024 ** 4, 8000)
     assert conf["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (256 << 20))
     assert int(cluster_conf(1, 16)["spark.sql.shuffle.partitions"]) == 32
-
-
-def test_quantile_thresholds_from_session(spark):
-    import os
-    from segmint.session import checkpoint_dir
-    root = checkpoint_dir(spark).replace("file:", "")
-    before = len(os.listdir(root))
-    df = spark.createDataFrame([(0, float(i)) for i in range(11)], "g int, value double")
-    spark.conf.set("segmint.quantiles.maxGroupRows", "0")
-    try:
-        got = {r.p: r.q for r in st.exact_quantiles(df, ["g"], "value").collect()}
-    finally:
-        spark.conf.unset("segmint.quantiles.maxGroupRows")
-    assert got == {0.25: 2.5, 0.5: 5.0, 0.75: 7.5}
-    assert len(os.listdir(root)) == before + 1          # the ranked path wrote its sorted table
-
-
-def test_column_kinds_exact_at_the_cut(spark):
-    for n, kind in ((87, "categorical"), (88, "numeric"), (89, "numeric")):
-        df = spark.createDataFrame([(float(i % n),) for i in range(400)], "x double")
-        assert flt.column_kinds(df, ["x"]) == {"x": kind}, n
