@@ -14,7 +14,6 @@ Sub-packages
                statistics, modelling)
 ``plans``      composed plans: the customer-wide view, the view layer in SQL,
                the segmentation flow and the registered queries
-``streaming``  (no streaming in scope; see its docstring)
 """
 
 from segmint.session import checkpoint_dir, get_session

@@ -9,8 +9,10 @@ profile.  Every step is a Spark job; outputs are written by the executors.
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import os
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -19,9 +21,10 @@ from segmint.functions.prep import cap_value, flag_to_int, impute_defaults
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
 from segmint.operators import stats as st
+from segmint.operators.features import semi_join
 from segmint.plans import domain as d
 from segmint.plans import wide
-from segmint.session import checkpoint_dir, cut_lineage, get_session
+from segmint.session import checkpoint_dir, cut_lineage, get_session, release
 from segmint.sources import catalog, sinks
 from segmint.sources.readers import read_wide_csv
 from segmint.sources.snapshots import snapshot_or_build
@@ -53,14 +56,29 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--strict", action="store_true",
                    help="previous application's rules: every filter applies (empty list: no rows), "
                         "TENURE null -> 0 and capped at 30, text flags '1' -> 1 else 0")
+    p.add_argument("--as-of", default=None, help="YYYY-MM-DD or 'today': the month before it is the snapshot (default: the test tables' date)")
+    p.add_argument("--event-as-of", default=None, help="the same for the event channels (default: --as-of if given)")
     p.add_argument("--seeds", type=int, nargs="+", default=[42])
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
 
 
+def as_date(text: str | None, default: dt.date) -> dt.date:
+    if text is None:
+        return default
+    return dt.date.today() if text == "today" else dt.date.fromisoformat(text)
+
+
+def store_root(root: str, data: str) -> str:
+    """The part of a snapshot store that holds rows built from ``data``: runs over other tables never share months."""
+    return f"{root.rstrip('/')}/source={zlib.crc32(os.path.abspath(data).encode()):08x}"
+
+
 def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     spark = spark or get_session(args.master)
     checkpoint_dir(spark)
+    as_of = as_date(args.as_of, d.AS_OF)
+    event_as_of = as_date(args.event_as_of, as_of if args.as_of else d.EVENT_AS_OF)
     cat = catalog.load_catalog(spark, args.catalog)
     bad = [r.variable for r in catalog.unknown_selections(cat, args.model, "model").collect()]
     bad += [r.variable for r in catalog.unknown_selections(cat, args.reporting, "reporting").collect()]
@@ -74,11 +92,14 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     elif not args.data:
         raise SystemExit("give --data (source tables) or --wide-csv")
     elif args.snapshot_root:
+        # The store holds the row of every customer; the activity filter comes after it.
         source = snapshot_or_build(
-            spark, args.snapshot_root, d.AS_OF,
-            lambda snap: wide.customer_wide(spark, args.data, active_only=args.active_only)).drop("snap_date")
+            spark, store_root(args.snapshot_root, args.data), as_of,
+            lambda snap: wide.customer_wide(spark, args.data, snap + dt.timedelta(days=1), event_as_of, active_only=False)).drop("snap_date")
+        if args.active_only:
+            source = semi_join(source, d.active_keys(spark, args.data, as_of), d.KEY)
     else:
-        source = wide.customer_wide(spark, args.data, active_only=args.active_only)
+        source = wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=args.active_only)
     if args.strict:
         if "TENURE" in source.columns:
             source = source.withColumn("TENURE", cap_value("TENURE", 30.0))
@@ -96,12 +117,12 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         sinks.write_profile(df, path) if name != "clients" else sinks.write_client_table(df, path)
         out[name] = path
 
-    snap = month_end_of(d.AS_OF, 1)
+    snap = month_end_of(as_of, 1)
     write("population", st.population_metrics(population)
           .withColumn("data_as_of", F.date_format(F.lit(snap), "yyyy-MM-dd")))
-    corr = st.correlation_long(population, args.model, lower_only=True)
-    write("correlation", corr)
-    write("redundant", st.redundant_pairs(corr))
+    corr = cut_lineage(st.correlation_long(population, args.model, lower_only=True, digits=None))
+    write("correlation", corr.withColumn("r", st.np_round("r", 2)))
+    write("redundant", st.redundant_pairs(corr, digits=2))
     if args.elbow_max >= 3:
         prepared = mdl.prepare_features(population, args.model, keep=["PERS_ID"])
         write("elbow", mdl.elbow_curve(prepared, args.model, args.elbow_max, key="PERS_ID"))
@@ -110,6 +131,8 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     write("profile", st.profile_wide(st.profile_long(clients, args.model, "Cluster"), args.k)
           .orderBy("row_order").drop("row_order"))
     out["inertia"] = str(fit.inertia)
+    for written in (population, corr, clients):
+        release(written)
     return out
 
 

@@ -108,14 +108,18 @@ def semi_join(base: DataFrame, other: DataFrame, base_key: str, other_key: str |
     return base.join(keys, base_key, "left_semi")
 
 
-def attach(base: DataFrame, key: str, blocks: Iterable[DataFrame]) -> DataFrame:
+def attach(base: DataFrame, key: str, blocks: Iterable[DataFrame], check: bool = False) -> DataFrame:
     """Left-join every block to the base on ``key``.
 
     Blocks must be unique on ``key`` (they are aggregates or dimension rows);
-    a duplicate would multiply base rows, as in the reference (quirk Q12).
+    a duplicate would multiply base rows, as in the reference (quirk Q12).  With
+    ``check`` every block is tested first and a repeated key is an error: for
+    blocks that are read rather than aggregated here.
     """
     out = base
     for b in blocks:
+        if check and not (twice := key_duplicates(b, key).limit(3)).isEmpty():
+            raise ValueError(f"a block repeats keys, such as {[r[0] for r in twice.collect()]}")
         out = out.join(b, key, "left")
     return out
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmint.functions.prep import is_numeric
+from segmint.functions.prep import impute_defaults, is_numeric, parse_when_all_valid, strip_timezone
 
 OFF_SENTINEL = (0.0, 0.0)
 
@@ -130,31 +130,31 @@ def filter_segment(df: DataFrame, ranges: Mapping[str, tuple[float, float]] | No
 
 CATEGORICAL_CUT = 88
 
+# The columns the filter panel offers, the label for a missing city or
+# region, and the column that is always a range control.
+FILTER_COLUMNS = ["MONTHLY_INCOME", "AGE", "GENDER", "PREF_CITY", "RES_FLAG", "PAYROLL_TP", "SOC_SEG", "TENURE",
+                  "IS_INT_BNK_USER", "IS_MOB_BNK_USER", "AVG_MB_IB_TRN_CNT", "AVG_POS_TRN_CNT", "AVG_ATM_TRN_CNT"]
+CITY_FILL = {"REGION": "თბილისი", "PREF_CITY": "თბილისი"}
+ALWAYS_RANGE = ("AVG_ATM_TRN_CNT",)
+
 
 def column_kinds(df: DataFrame, columns: Sequence[str], cut: int = CATEGORICAL_CUT,
-                 always_range: Iterable[str] = ()) -> dict[str, str]:
+                 always_range: Iterable[str] = ALWAYS_RANGE) -> dict[str, str]:
     """Classify columns as ``categorical``, ``numeric``, ``datetime`` or ``text``.
 
-    Categorical: fewer than ``cut`` distinct values (unless listed in
-    ``always_range``).  One aggregate with ``approx_count_distinct`` (HLL++)
-    serves all columns; columns whose estimate lies within 10 % of the cut are
-    counted exactly, so the decision is the exact one.  No distinct values are
-    brought to the driver.
+    Categorical: fewer than ``cut`` distinct non-null values (unless listed in
+    ``always_range``).  All columns are counted exactly by one distinct aggregate
+    over ``(column, value as text)`` rows; no value is brought to the driver.
     """
     always_range = set(always_range)
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-    counts = {c: row[c] for c in columns}
-    # The cut is exact in the reference; re-count exactly only where the
-    # estimate is close enough to the cut to fall on either side of it.
-    near = [c for c in columns if abs(counts[c] - cut) <= max(2, cut // 10)]
-    if near:
-        exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first()
-        counts.update({c: exact[c] for c in near})
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(cells)).where("v IS NOT NULL").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    found = {columns[r["i"]]: r["n"] for r in counts.collect()}       # a row per column
     kinds = {}
     for c in columns:
         dtype = types[c]
-        if counts[c] < cut and c not in always_range:
+        if found.get(c, 0) < cut and c not in always_range:
             kinds[c] = "categorical"
         elif is_numeric(dtype):
             kinds[c] = "numeric"
@@ -165,8 +165,29 @@ def column_kinds(df: DataFrame, columns: Sequence[str], cut: int = CATEGORICAL_C
     return kinds
 
 
+def prepare_filters(df: DataFrame, columns: Sequence[str] = tuple(FILTER_COLUMNS), fills: Mapping[str, str] | None = None) -> DataFrame:
+    """What the filter panel does first: fill missing cities and regions, read text columns that hold only dates as
+    timestamps, and drop the zone of timestamps."""
+    df = impute_defaults(df, CITY_FILL if fills is None else fills)
+    for c in columns:
+        if c in df.columns:
+            df = parse_when_all_valid(df, c)
+            if isinstance(df.schema[c].dataType, T.TimestampType):
+                df = df.withColumn(c, strip_timezone(c))
+    return df
+
+
+def filter_panel(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGORICAL_CUT,
+                 always_range: Iterable[str] = ALWAYS_RANGE) -> DataFrame:
+    """The whole filter panel (F13): preparation, the allowed columns only, then ``filter_auto``."""
+    unknown = [c for c in criteria if c not in FILTER_COLUMNS]
+    if unknown:
+        raise ValueError(f"no filter is offered for {unknown}")
+    return filter_auto(prepare_filters(df, list(criteria)), criteria, cut, always_range)
+
+
 def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGORICAL_CUT,
-                always_range: Iterable[str] = (), kinds: Mapping[str, str] | None = None) -> DataFrame:
+                always_range: Iterable[str] = ALWAYS_RANGE, kinds: Mapping[str, str] | None = None) -> DataFrame:
     """Apply criteria column by column, narrowing in order.
 
     A chosen value carries its own meaning: a list is a membership test (an
@@ -178,8 +199,9 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
     ``None`` means the control was left untouched; then the column's kind,
     decided on the frame narrowed so far (fewer than ``cut`` distinct values:
     categorical), gives the reference's default: categorical -> empty
-    selection -> no rows; numeric -> ``(0, max)``; datetime -> ``(min, max)``
-    (both drop nulls); text -> no filter.
+    selection -> no rows; numeric -> ``(0, max)``; datetime -> the dates of the
+    least and the largest value, both at midnight, so what is later on the last
+    day drops out (both drop nulls); text -> no filter.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     out = df
@@ -195,7 +217,9 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
                 out = out.where(F.lit(False)) if hi is None else \
                     apply_filters(out, [RangeFilter(col, (0.0, float(hi)))])
             elif kind == "datetime":
-                out = out.where(F.col(col).isNotNull())
+                ends = out.agg(F.min(F.to_date(col)).alias("lo"), F.max(F.to_date(col)).alias("hi")).first()
+                out = out.where(F.lit(False)) if ends["lo"] is None else \
+                    apply_filters(out, [DateRangeFilter(col, (ends["lo"], ends["hi"]))])
             continue
         if isinstance(value, str):
             spec: Filter = RegexFilter(col, value)
@@ -230,3 +254,9 @@ def numeric_options(df: DataFrame, columns: Sequence[str], exact: bool = True) -
 def category_options(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of one column with their counts (the multiselect options)."""
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def date_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Control options of date columns: ``(column_name, min_date, max_date)``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.to_date(c).alias("v")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("column_name").agg(F.min("v").alias("min_date"), F.max("v").alias("max_date"))

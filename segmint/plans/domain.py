@@ -60,6 +60,46 @@ CHANNEL_NAMES = {
     "BRNCH": ("AVG_BRNCH_VISIT_CNT", "AVG_BRNCH_TRN_AMT"),
 }
 
+# Measures of the two snapshot facts at the last month end.  The customer fact is keyed by the
+# second key (the customer's name); it is an aggregate of orders: (function, SQL over one order,
+# months back to the first and the last month).
+SECOND_KEY = "UNI_PT_KEY"
+_SPEND_IN = ", ".join(f"'{v}'" for v in SPEND_CLASSES)
+_INCOME_IN = ", ".join(f"'{v}'" for v in INCOME_CLASSES)
+CUSTOMER_FACT = {
+    "T_ACCOUNTS_BAL": ("sum", "cast(o_totalprice AS decimal(18,2))", 1),
+    "T_SAVINGS_BAL": ("max", "cast(o_totalprice AS decimal(18,2))", 1),
+    "SIXMONTHS_TURNOVER": ("sum", "cast(o_totalprice AS decimal(18,2))", 6),
+    "LOAN_AMOUNT": ("sum", f"CASE WHEN o_orderpriority IN ({_SPEND_IN}) THEN cast(o_totalprice AS decimal(18,2)) END", 1),
+    "DEPO_AMOUNT": ("sum", f"CASE WHEN o_orderpriority IN ({_INCOME_IN}) THEN cast(o_totalprice AS decimal(18,2)) END", 1),
+}
+FACT_MONTHS = 6
+# The segment fact: 28 measures of the lines shipped in the last month, (function, SQL over one line).
+_PRICE, _QTY = "cast(l_extendedprice AS decimal(18,2))", "cast(l_quantity AS decimal(18,2))"
+
+
+def _if(cond: str, value: str = "1") -> str:
+    return f"CASE WHEN {cond} THEN {value} END"
+
+
+SEGMENT_FACT = {
+    "ACC_AVG_MIN_BAL": ("min", _PRICE), "ACC_AVG_MAX_BAL": ("max", _PRICE),
+    "DEPO_AVG_MIN_BAL": ("min", _if("l_returnflag = 'N'", _PRICE)), "DEPO_AVG_MAX_BAL": ("max", _if("l_returnflag = 'N'", _PRICE)),
+    "CARD_TRN_AMT_SUM_MIN_1": ("sum", _if("l_linenumber = 1", _PRICE)), "ACC_TRN_AMT_SUM_MIN_1": ("sum", _PRICE),
+    "ACC_REST_START_MIN_1": ("min", _QTY), "ACC_REST_END_MIN_1": ("max", _QTY),
+    "CARD_ATM_TRN_LAST_3": ("sum", _if("l_linenumber <= 3", _QTY)), "CARD_ATM_TRN_LAST_CNT_3": ("count", _if("l_linenumber <= 3")),
+    "DB_CARD_FIRST_BAL_MIN_1": ("min", "l_tax"), "DB_CARD_LAST_BAL_MIN_1": ("max", "l_tax"),
+    "LAST_LOAN_AMT": ("max", _if("l_returnflag = 'R'", _PRICE)), "LAST_LOAN_DPD": ("max", _if("l_returnflag = 'R'", "l_linenumber")),
+    "ACT_TOT_LOAN_CNT": ("count", _if("l_linestatus = 'O'")), "ACT_TOT_LOAN_AMT": ("sum", _if("l_linestatus = 'O'", _PRICE)),
+    "ACT_TOT_DPD": ("sum", _if("l_linestatus = 'O'", "l_linenumber")), "ACT_TOT_CNT_DPD": ("count", _if("l_linestatus = 'O' AND l_linenumber > 1")),
+    "CLO_TOT_LOAN_CNT": ("count", _if("l_linestatus = 'F'")), "CLO_TOT_LOAN_AMT": ("sum", _if("l_linestatus = 'F'", _PRICE)),
+    "CLO_TOT_DPD": ("sum", _if("l_linestatus = 'F'", "l_linenumber")), "CLO_TOT_CNT_DPD": ("count", _if("l_linestatus = 'F' AND l_linenumber > 1")),
+    "IS_INT_BNK_USER": ("max", "CASE WHEN l_discount > 0.05 THEN '1' ELSE '0' END"), "IS_MOB_BNK_USER": ("max", "CASE WHEN l_tax > 0.04 THEN '1' ELSE '0' END"),
+    "AVG_LOGIN_CNT_MOB_BNK": ("count", _if("l_tax > 0.04")), "AVG_LOGIN_CNT_INT_BNK": ("count", _if("l_discount > 0.05")),
+    "AVG_TRN_CNT_INT_BNK": ("count", _if("l_quantity > 25")), "AVG_TRN_CNT_MOB_BNK": ("count", _if("l_quantity <= 25")),
+}
+FLAG_MEASURES = ("IS_INT_BNK_USER", "IS_MOB_BNK_USER")
+
 KEY = "PERS_ID"
 MODEL_VARIABLES = ["MONTHLY_INCOME", "TENURE"] + [
     f"{a}_AVG_{m}" for a in list(SPEND_CLASSES.values()) + list(INCOME_CLASSES.values())
@@ -128,7 +168,7 @@ def customer_profile(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "region").select("r_regionkey", "r_name")
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
             .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .select(F.col("c_custkey").alias(KEY), F.col("r_name").alias("REGION"),
+            .select(F.col("c_custkey").alias(KEY), F.col("c_name").alias(SECOND_KEY), F.col("r_name").alias("REGION"),
                     F.col("n_name").alias("PREF_CITY"), F.col("c_mktsegment").alias("SOC_SEG"),
                     F.col("c_acctbal").alias("MONTHLY_INCOME")))
 
@@ -151,6 +191,49 @@ def segment_attrs(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
     return prof.join(tenure(spark, root, as_of), KEY, "left")
 
 
+def order_block(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTHS) -> DataFrame:
+    """``(UNI_PT_KEY, category averages..., M_ACT_FLAG, customer-fact measures...)`` from one scan of six months of orders.
+
+    The spend and income pivots, the activity of the last month and the customer
+    fact read the same orders, so they are one aggregate.  The fact has a row
+    only for customers with an order in the last month.
+    """
+    lo, last, w_lo, hi = (month_start_of(as_of, m) for m in (FACT_MONTHS, 1, months, 0))
+    o = table(spark, root, "orders")
+    o = o.where((F.col("o_orderdate") >= F.lit(lo)) & (F.col("o_orderdate") < F.lit(hi)))
+    day, aggs = F.col("o_orderdate"), []
+    for value, stem in {**SPEND_CLASSES, **INCOME_CLASSES}.items():
+        own = (day >= F.lit(w_lo)) & (F.col("o_orderpriority") == F.lit(value))
+        aggs += [F.sum(F.when(own, F.lit(1).cast("long"))).alias(f"{stem}_AVG_CNT"), F.sum(F.when(own, F.col("o_totalprice").cast("decimal(18,2)"))).alias(f"{stem}_AVG_AMT")]
+    aggs += [F.max(F.when(day >= F.lit(last), (F.col("o_orderstatus") == F.lit(ACTIVE_STATUS)).cast("int"))).alias("M_ACT_FLAG")]
+    for name, (fn, sql, back) in CUSTOMER_FACT.items():
+        aggs.append(getattr(F, fn)(F.when(day >= F.lit(month_start_of(as_of, back)), F.expr(sql))).alias(name))
+    per = o.groupBy("o_custkey").agg(*aggs)
+    names = table(spark, root, "customer").select("c_custkey", F.col("c_name").alias(SECOND_KEY))
+    stems = [f"{s}_AVG_{m}" for s in {**SPEND_CLASSES, **INCOME_CLASSES}.values() for m in ("CNT", "AMT")]
+    here = F.col("M_ACT_FLAG").isNotNull()
+    return per.join(names, per.o_custkey == names.c_custkey).select(
+        SECOND_KEY, *[(F.col(c).cast("double") / F.lit(float(months))).alias(c) for c in stems], "M_ACT_FLAG",
+        *[F.when(here, F.col(c).cast("double")).alias(c) for c in CUSTOMER_FACT])
+
+
+def line_block(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTHS) -> DataFrame:
+    """``(PERS_ID, N, AMT, segment-fact measures...)`` per order: branch rows and the 28 measures from one scan of lines.
+
+    Lines are aggregated per order before the join to orders, see ``branch_fact``.
+    """
+    w_lo, w_hi, last, hi = month_end_of(as_of, months), month_end_of(as_of, 1), month_start_of(as_of, 1), month_start_of(as_of, 0)
+    day = F.col("l_shipdate")
+    visit = day.between(F.lit(w_lo), F.lit(w_hi)) & (F.col("l_extendedprice") > 0) & (F.col("l_returnflag") != F.lit(BRANCH_EXCLUDED_RETURNFLAG))
+    month = (day >= F.lit(last)) & (day < F.lit(hi))
+    lines = table(spark, root, "lineitem").where((day >= F.lit(w_lo)) & (day < F.lit(hi)))
+    aggs = [F.count(F.when(visit, 1)).alias("N"), F.sum(F.when(visit, F.col("l_extendedprice").cast("decimal(18,2)"))).alias("AMT"), F.count(F.when(month, 1)).alias("__lines")]
+    aggs += [getattr(F, fn)(F.when(month, F.expr(sql))).alias(name) for name, (fn, sql) in SEGMENT_FACT.items()]
+    per_order = lines.groupBy("l_orderkey").agg(*aggs)
+    o = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    return per_order.join(o, per_order.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias(KEY), "N", "AMT", "__lines", *SEGMENT_FACT)
+
+
 def event_fact(spark: SparkSession, root: str) -> DataFrame:
     """``(PERS_ID, TRN_DATE, EVENT_TYPE, AMT)`` from the events table."""
     e = table(spark, root, "events")

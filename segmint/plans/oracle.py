@@ -11,9 +11,11 @@ cell:
 
 from __future__ import annotations
 
-from segmint.functions.dates import month_end_of, month_start_of
+import json
+
 from segmint.plans import domain as d
 from segmint.plans import queries as q
+from segmint.sources.catalog import DEFAULT_CATALOG
 
 
 def _lit(v) -> str:
@@ -24,11 +26,14 @@ def _in(values) -> str:
     return ", ".join(_lit(v) for v in values)
 
 
-LO, HI = month_start_of(d.AS_OF, d.MONTHS), month_start_of(d.AS_OF, 0)
-LAST_LO = month_start_of(d.AS_OF, 1)
-SNAP = month_end_of(d.AS_OF, 1)
-W_LO, W_HI = month_end_of(d.AS_OF, d.MONTHS), month_end_of(d.AS_OF, 1)
-E_LO, E_HI = month_end_of(d.EVENT_AS_OF, d.MONTHS), month_end_of(d.EVENT_AS_OF, 1)
+# The windows as dates, written out: as of 2001-08-15 (orders, lines) and 2024-02-15 (events).
+LO, HI = "2001-05-01", "2001-08-01"            # months -3 to -1
+HALF_LO = "2001-02-01"                         # months -6 to -1
+LAST_LO = "2001-07-01"                         # month -1
+SNAP, SNAP_2, SNAP_3 = "2001-07-31", "2001-06-30", "2001-05-31"
+SNAP_MONTHS = 2001 * 12 + 7
+W_LO, W_HI = "2001-05-31", "2001-07-31"        # branch window, closed, at midnight
+E_LO, E_HI = "2023-11-30", "2024-01-31"        # event window, closed, at midnight
 ALL_TYPES = [t for ts in d.CHANNEL_EVENT_TYPES.values() for t in ts]
 
 
@@ -76,7 +81,7 @@ SEGM = f"""segm AS (
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN region ON n_regionkey = r_regionkey
   LEFT JOIN (SELECT o_custkey,
-                    ({SNAP.year * 12 + SNAP.month} - (year(min(o_orderdate)) * 12 + month(min(o_orderdate)))) / 12.0 AS TENURE
+                    ({SNAP_MONTHS} - (year(min(o_orderdate)) * 12 + month(min(o_orderdate)))) / 12.0 AS TENURE
              FROM orders WHERE o_orderdate < DATE '{HI}' GROUP BY o_custkey) t ON t.o_custkey = c_custkey)"""
 
 
@@ -107,8 +112,30 @@ BRANCH = f"""br AS (
   GROUP BY o_custkey)"""
 
 
+def _fact_ctes() -> str:
+    """The customer fact (by the second key) and the segment fact, each at the last month end."""
+    def cast(name, expr, flags=()):
+        return f"{expr} AS {name}" if name in flags else f"CAST({expr} AS DOUBLE) AS {name}"
+
+    months = {1: LAST_LO, 6: HALF_LO}
+    cust = ",\n    ".join(cast(n, f"{fn}({sql}) FILTER (WHERE o_orderdate >= DATE '{months[back]}')") for n, (fn, sql, back) in d.CUSTOMER_FACT.items())
+    seg = ",\n    ".join(cast(n, f"{fn}({sql})", d.FLAG_MEASURES) for n, (fn, sql) in d.SEGMENT_FACT.items())
+    return f"""cfact AS (
+  SELECT c_name AS UNI_PT_KEY,
+    {cust}
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderdate >= DATE '{HALF_LO}' AND o_orderdate < DATE '{HI}'
+  GROUP BY c_name HAVING count(*) FILTER (WHERE o_orderdate >= DATE '{LAST_LO}') > 0),
+sfact AS (
+  SELECT o_custkey AS PERS_ID,
+    {seg}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_shipdate >= DATE '{LAST_LO}' AND l_shipdate < DATE '{HI}' GROUP BY o_custkey)"""
+
+
 def _wide_ctes(active_only: bool) -> str:
     where = "WHERE base.PERS_ID IN (SELECT PERS_ID FROM active)" if active_only else ""
+    facts = ", ".join([*(f"cfact.{c}" for c in d.CUSTOMER_FACT), *(f"sfact.{c}" for c in d.SEGMENT_FACT)])
     cats = ", ".join(f"cat.{a}_AVG_CNT, cat.{a}_AVG_AMT"
                      for a in list(d.SPEND_CLASSES.values()) + list(d.INCOME_CLASSES.values()))
     ev_cnt = ", ".join(f"ev.{d.CHANNEL_NAMES[c][0]}" for c in d.CHANNEL_EVENT_TYPES)
@@ -121,12 +148,16 @@ def _wide_ctes(active_only: bool) -> str:
 {SEGM},
 {_events_cte()},
 {BRANCH},
+{_fact_ctes()},
 wide AS (
   SELECT base.PERS_ID, segm.REGION, base.PREF_CITY, base.SOC_SEG, base.MONTHLY_INCOME, segm.TENURE,
     {cats},
     {ev_cnt}, br.{bc},
-    {ev_amt}, br.{ba}
+    {ev_amt}, br.{ba}, cust.c_name AS UNI_PT_KEY, {facts}
   FROM base
+  JOIN customer cust ON cust.c_custkey = base.PERS_ID
+  LEFT JOIN cfact ON cfact.UNI_PT_KEY = cust.c_name
+  LEFT JOIN sfact ON sfact.PERS_ID = base.PERS_ID
   LEFT JOIN segm ON base.PERS_ID = segm.PERS_ID
   LEFT JOIN cat ON base.PERS_ID = cat.PERS_ID
   LEFT JOIN ev ON base.PERS_ID = ev.PERS_ID
@@ -321,15 +352,51 @@ def oracle_sql() -> dict[str, str]:
     imp_sel = ", ".join([f"coalesce({c}, {_lit(v)}) AS {c}" for c, v in q.IMPUTE_TEXT.items()] +
                         [f"coalesce({c}, {float(v)!r}) AS {c}" for c, v in q.IMPUTE_NUM.items()])
     bc, ba = d.CHANNEL_NAMES["BRNCH"]
+    city = ("city AS (SELECT c_custkey AS PERS_ID, n_name AS PREF_CITY, c_acctbal AS MONTHLY_INCOME FROM customer "
+            "LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey)")
+    fill = "'თბილისი'"
+    with open(DEFAULT_CATALOG, encoding="utf-8") as f:
+        roles = json.load(f)
+    have = ["PERS_ID", *d.REPORTING_VARIABLES, *d.MODEL_VARIABLES, "UNI_PT_KEY", *d.CUSTOMER_FACT, *d.SEGMENT_FACT]
+    coverage = "\nUNION ALL\n".join(
+        f"SELECT {_lit(v)} AS variable, {_lit(role)} AS role, count({v})::BIGINT AS n_values FROM wide"
+        for role, names in (("model", roles["model_variables"]), ("reporting", roles["reporting_variables"])) for v in names if v in have)
+    exprs, centres = q.wide_points()
+    dists = ", ".join("[" + " + ".join(f"pow(v{i} - {c!r}::DOUBLE, 2)" for i, c in enumerate(ctr)) + f", {j}]" for j, ctr in enumerate(centres))
     sqls = {
+        "client_csv_roundtrip": "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer",
+        "wide_csv_roundtrip": f"WITH {BASE} SELECT PERS_ID, SOC_SEG, MONTHLY_INCOME FROM base",
+        "profile_csv_roundtrip": _profile_long_sql() + "SELECT row_order, row_label, "
+                                 + ", ".join(f'max(value) FILTER (WHERE Cluster = {i}) AS "{i}"' for i in range(q.LI_K))
+                                 + " FROM prof GROUP BY row_order, row_label",
+        "snapshot_roundtrip": f"WITH {TRN} SELECT PERS_ID, strftime(SNAP_DATE, '%Y-%m-%d') AS SNAP_DATE, TRN_CLASS_DESCR, CNT, CAST(AMT AS DOUBLE) AS AMT "
+                              f"FROM trn WHERE SNAP_DATE = DATE '{SNAP}'",
+        "catalog_coverage": f"{SEG}\n{coverage}",
+        "predicate_in_dimension": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN "
+                                  "(SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') AND p_size > 10)",
+        "filter_auto_dates": "SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT date_trunc('day', min(ts)) FROM events) "
+                             "AND (SELECT date_trunc('day', max(ts)) FROM events)",
+        "filter_null_choice": f"WITH {city} SELECT * FROM city WHERE PREF_CITY IN ('NATION_1', 'NATION_2') OR PREF_CITY IS NULL",
+        "filter_panel": f"{SEG}, {city}, f AS (SELECT PERS_ID, coalesce(city.PREF_CITY, {fill}) AS PREF_CITY, city.MONTHLY_INCOME, wide.AVG_ATM_TRN_CNT "
+                        f"FROM city JOIN wide USING (PERS_ID)), g AS (SELECT * FROM f WHERE PREF_CITY IN ('NATION_1', {fill}))\n"
+                        f"SELECT * FROM g WHERE AVG_ATM_TRN_CNT BETWEEN 0.0 AND (SELECT max(AVG_ATM_TRN_CNT) FROM g)",
+        "filter_options_text": "SELECT o_orderpriority AS value, count(*)::BIGINT AS n_rows FROM orders GROUP BY o_orderpriority",
+        "filter_options_dates": "SELECT 'o_orderdate' AS column_name, strftime(min(o_orderdate), '%Y-%m-%d') AS min_date, "
+                                "strftime(max(o_orderdate), '%Y-%m-%d') AS max_date FROM orders",
+        "city_fill": f"WITH {city} SELECT PERS_ID, coalesce(PREF_CITY, {fill}) AS PREF_CITY, MONTHLY_INCOME FROM city",
+        "parse_dates": "SELECT o_orderkey, strftime(date_trunc('day', o_orderdate) + INTERVAL 36 HOURS, '%Y-%m-%d %H:%M') AS later, "
+                       "o_orderpriority AS other FROM orders",
+        "strip_timezone": "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
+                          "ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END AS wall_clock FROM events",
+        "assign_nearest_wide": "SELECT l_orderkey, l_linenumber, list_min([" + dists + "])[2]::INTEGER AS Nearest FROM (SELECT l_orderkey, l_linenumber, "
+                               + ", ".join(f"({e})::DOUBLE AS v{i}" for i, e in enumerate(exprs)) + " FROM lineitem)",
         "scan_customer": f"WITH {BASE} SELECT * FROM base",
         "customer_wide": WIDE,
         "view_layer_sql": WIDE,
         "month_snapshot": f"WITH {TRN} SELECT PERS_ID, strftime(SNAP_DATE, '%Y-%m-%d') AS SNAP_DATE, TRN_CLASS_DESCR, CNT, CAST(AMT AS DOUBLE) AS AMT "
                           f"FROM trn WHERE SNAP_DATE = DATE '{SNAP}'",
         "union_months": f"WITH {TRN} SELECT PERS_ID, strftime(SNAP_DATE, '%Y-%m-%d') AS SNAP_DATE, TRN_CLASS_DESCR, CNT, CAST(AMT AS DOUBLE) AS AMT "
-                        f"FROM trn WHERE SNAP_DATE IN (DATE '{month_end_of(d.AS_OF, 1)}', "
-                        f"DATE '{month_end_of(d.AS_OF, 2)}', DATE '{month_end_of(d.AS_OF, 3)}')",
+                        f"FROM trn WHERE SNAP_DATE IN (DATE '{SNAP}', DATE '{SNAP_2}', DATE '{SNAP_3}')",
         "segment_attrs": f"WITH {SEGM} SELECT * FROM segm",
         "spend_avg": f"WITH {TRN}, {_cat_cte('cat', d.SPEND_CLASSES)}, {BASE}\n"
                      f"SELECT base.PERS_ID, cat.* EXCLUDE (PERS_ID) FROM base LEFT JOIN cat ON base.PERS_ID = cat.PERS_ID",
@@ -378,7 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "channel_branch": f"WITH {BRANCH} SELECT * FROM br",
         "cluster_describe": _describe_rounded(),
         "population_metrics": f"{SEG} SELECT count(*)::BIGINT AS n_rows, "
-                              f"{1 + len(d.REPORTING_VARIABLES) + len(d.MODEL_VARIABLES)}::BIGINT AS n_columns FROM wide",
+                              f"{2 + len(d.REPORTING_VARIABLES) + len(d.MODEL_VARIABLES) + 5 + 28}::BIGINT AS n_columns FROM wide",
         "cluster_share": f"WITH {LI_LAB}, sizes AS (SELECT Cluster, count(*) AS Count FROM li GROUP BY Cluster)\n"
                          f"SELECT Cluster, Count, round_even(100.0 * Count / sum(Count) OVER (), 2) AS CountShare FROM sizes",
         "correlation_long": f"{SEG}\n{_corr_pairs(False)}",

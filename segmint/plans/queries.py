@@ -3,11 +3,13 @@
 Each callable takes ``(spark, root)`` and returns a DataFrame over the whole
 test tables at ``root``.  Floating outputs that two engines sum in different
 orders are presented at a fixed precision (NumPy-style rounding) so results
-can be compared cell by cell; the library functions themselves do not round.
+can be compared cell by cell; of the library functions only the profile, the
+shares and the correlation (by default) round, as the reference shows them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -16,14 +18,16 @@ from pyspark.sql import functions as F
 
 from segmint.functions.dates import month_end, month_end_of, snapshot_label
 from segmint.functions.prep import (cap_value, dedup_first, fill_selected, flag_to_int, impute_defaults,
-                                   select_variables)
+                                   parse_when_all_valid, select_variables, strip_timezone)
 from segmint.operators import features as feat
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
 from segmint.operators import stats as st
 from segmint.plans import domain as d
 from segmint.plans import views, wide
-from segmint.sources.snapshots import month_snapshots, union_months
+from segmint.session import checkpoint_dir
+from segmint.sources import catalog, readers, sinks
+from segmint.sources.snapshots import month_snapshots, snapshot_or_build, union_months, write_snapshot
 
 # ---------------------------------------------------------------------------
 # Query parameters (fixed)
@@ -152,10 +156,72 @@ def q_active_customers(spark, root):
     return feat.semi_join(d.customers(spark, root), d.active_keys(spark, root), d.KEY)
 
 
+# ---------------------------------------------------------------------------
+# Sources and sinks: what is written and read again
+# ---------------------------------------------------------------------------
+
+def _scratch(spark) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/segmint-{uuid.uuid4().hex}"
+
+
+def q_client_csv_roundtrip(spark, root):
+    """S10 then S3: the client table as CSV files, read with an explicit schema."""
+    path = _scratch(spark)
+    c = d.table(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    sinks.write_client_table(c, path)
+    return readers.read_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double")
+
+
+def q_wide_csv_roundtrip(spark, root):
+    """The application's file input: names from the header line, numeric columns converted and checked."""
+    path = _scratch(spark)
+    c = d.customers(spark, root).select(d.KEY, F.col("SOC_SEG").alias('SEG, "main"'), "MONTHLY_INCOME")
+    sinks.write_client_table(c, path)
+    back = readers.read_wide_csv(spark, path, [d.KEY, "MONTHLY_INCOME"])
+    return back.select(F.col(d.KEY).cast("long").alias(d.KEY), F.col('`SEG, "main"`').alias("SOC_SEG"), "MONTHLY_INCOME")
+
+
+def q_profile_csv_roundtrip(spark, root):
+    """The profile file, read again."""
+    path = _scratch(spark)
+    sinks.write_profile(q_profile_wide(spark, root), path)
+    return readers.read_csv(spark, path, "row_order int, row_label string, " + ", ".join(f"`{i}` double" for i in range(LI_K)))
+
+
+def q_snapshot_roundtrip(spark, root):
+    """Three months written, one replaced, month -1 read through (never built again)."""
+    store = _scratch(spark)
+    trn = d.transactions(spark, root).withColumn("SNAP_DATE", F.col("SNAP_DATE").cast("date"))
+    write_snapshot(trn.withColumn("AMT", F.lit(0).cast("decimal(18,2)")), store, "SNAP_DATE")
+    write_snapshot(month_snapshots(trn, d.AS_OF, months=(1,), snap_col="SNAP_DATE"), store, "SNAP_DATE")
+
+    def never(snap):
+        raise AssertionError(f"{snap} is there already")
+
+    got = snapshot_or_build(spark, store, d.AS_OF, never, "SNAP_DATE")
+    return _present_trn(got.select(d.KEY, "SNAP_DATE", "TRN_CLASS_DESCR", "CNT", "AMT"))
+
+
+def q_catalog_coverage(spark, root):
+    """Every catalogued variable that the wide row has, with its role and how many customers have a value."""
+    seg = _seg(spark, root)
+    cat = catalog.load_catalog(spark)
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("v")) for c in seg.columns])
+    counts = seg.select(F.inline(cells)).groupBy("variable").agg(F.count("v").alias("n_values"))
+    return cat.join(counts, "variable").select("variable", "role", "n_values")
+
+
 # ---------------------------------------------------------------------------
 # Simple predicates
 # ---------------------------------------------------------------------------
 
+def q_predicate_in_dimension(spark, root):
+    """F5 with a long list: the members are rows of a dimension table (semi join)."""
+    li = d.table(spark, root, "lineitem")
+    parts = d.table(spark, root, "part").where(F.col("p_type").startswith("S") & (F.col("p_size") > 10))
+    return feat.semi_join(li, parts, "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 def q_predicate_ne(spark, root):
     li = d.table(spark, root, "lineitem")
     return li.where(F.col("l_returnflag") != "R").select("l_orderkey", "l_linenumber", "l_returnflag")
@@ -226,6 +292,39 @@ def q_filter_date_range(spark, root):
     return out.select("o_orderkey", "o_custkey", "o_orderdate")
 
 
+def q_filter_auto_dates(spark, root):
+    """F16, untouched: from the first to the last date, both at midnight."""
+    e = d.table(spark, root, "events").select("event_id", "ts")
+    return flt.filter_auto(e, {"ts": None})
+
+
+def _city_frame(spark, root):
+    """Customers whose city is known only for the first three regions (a left join that leaves nulls)."""
+    c = d.table(spark, root, "customer").select(F.col("c_custkey").alias(d.KEY), "c_nationkey", "c_acctbal")
+    n = d.table(spark, root, "nation").where(F.col("n_regionkey") < 3).select("n_nationkey", F.col("n_name").alias("PREF_CITY"))
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(d.KEY, "PREF_CITY", F.col("c_acctbal").alias("MONTHLY_INCOME"))
+
+
+def q_filter_null_choice(spark, root):
+    """null is one of the values that can be chosen."""
+    return flt.apply_filters(_city_frame(spark, root), [flt.MemberFilter("PREF_CITY", ["NATION_1", "NATION_2", None])])
+
+
+def q_filter_panel(spark, root):
+    """F13 with its first steps: cities filled, allowed columns, ATM counts always a range."""
+    seg = _city_frame(spark, root).join(_seg(spark, root).select(d.KEY, "AVG_ATM_TRN_CNT"), d.KEY)
+    return flt.filter_panel(seg, {"PREF_CITY": ["NATION_1", flt.CITY_FILL["PREF_CITY"]], "AVG_ATM_TRN_CNT": None})
+
+
+def q_filter_options_text(spark, root):
+    return flt.category_options(d.table(spark, root, "orders"), "o_orderpriority")
+
+
+def q_filter_options_dates(spark, root):
+    out = flt.date_options(d.table(spark, root, "orders"), ["o_orderdate"])
+    return out.select("column_name", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("min_date", "max_date")])
+
+
 def q_filter_regex(spark, root):
     c = d.table(spark, root, "customer")
     return flt.apply_filters(c, [flt.RegexFilter("c_name", REGEX)]).select("c_custkey", "c_name")
@@ -332,6 +431,22 @@ def q_impute_defaults(spark, root):
     return impute_defaults(seg, IMPUTE_TEXT, IMPUTE_NUM)
 
 
+def q_city_fill(spark, root):
+    return impute_defaults(_city_frame(spark, root), {"PREF_CITY": flt.CITY_FILL["PREF_CITY"]})
+
+
+def q_parse_dates(spark, root):
+    """A text column of dates becomes a timestamp, one with other text in it stays text."""
+    o = d.table(spark, root, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("other"))
+    out = parse_when_all_valid(parse_when_all_valid(o, "day"), "other")
+    return out.select("o_orderkey", F.date_format(F.col("day") + F.expr("INTERVAL 36 HOURS"), "yyyy-MM-dd HH:mm").alias("later"), "other")
+
+
+def q_strip_timezone(spark, root):
+    e = d.table(spark, root, "events")
+    return e.select("event_id", strip_timezone(F.col("ts").cast("timestamp")).cast("string").alias("wall_clock"))
+
+
 def q_cap_value(spark, root):
     seg = _seg(spark, root)
     return seg.select(d.KEY, cap_value("TENURE", 30.0).alias("TENURE_CAPPED"),
@@ -373,6 +488,20 @@ def q_assign_nearest(spark, root):
     return out.select("l_orderkey", "l_linenumber", mapped.alias("Nearest"))
 
 
+def wide_points() -> tuple[list[str], list[list[float]]]:
+    """21 expressions over a line and 30 centres, by rule."""
+    base = ["l_quantity", "l_extendedprice / 1000", "l_discount * 100"]
+    return [f"({base[i % 3]}) * {1 + i // 3}" for i in range(21)], [[float((j + 1) * (i % 5 + 1)) for i in range(21)] for j in range(30)]
+
+
+def q_assign_nearest_wide(spark, root):
+    """M4 at the largest size the application offers: 30 centres over 21 variables."""
+    exprs, centres = wide_points()
+    cols = [f"v{i}" for i in range(21)]
+    li = d.table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(c) for c, e in zip(cols, exprs)])
+    return mdl.assign_nearest(li, cols, centres, "Nearest").select("l_orderkey", "l_linenumber", "Nearest")
+
+
 def q_inertia_given_labels(spark, root):
     out = mdl.inertia(_lineitem_labelled(spark, root), LI_MODEL, "Cluster", _li_centres(spark, root))
     return _round_cols(out, ["inertia"], 4)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmint.operators.features import attach, category_averages, category_sums, channel_averages, semi_join
+from segmint.operators.features import attach, category_averages, category_sums, channel_averages
 from segmint.plans import domain as d
 
 
@@ -58,22 +58,32 @@ def channel_activity(spark: SparkSession, root: str, base: DataFrame | None = No
     return wide.select(d.KEY, *cnts, *amts)
 
 
+def line_facts(spark: SparkSession, root: str, as_of=d.AS_OF) -> DataFrame:
+    """``(PERS_ID, branch visits and amount, 28 segment-fact measures)``; the fact is null without a line in the last month."""
+    lines = d.line_block(spark, root, as_of)
+    count, amount = d.CHANNEL_NAMES["BRNCH"]
+    whole = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    per = lines.groupBy(d.KEY).agg(F.nullif(F.sum("N"), F.lit(0)).alias("n"), F.sum("AMT").alias("amt"), F.sum("__lines").alias("__lines"),
+                                   *[whole[fn](name).alias(name) for name, (fn, _) in d.SEGMENT_FACT.items()])
+    here = F.col("__lines") > 0
+    fact = [F.when(here, F.col(c) if c in d.FLAG_MEASURES else F.col(c).cast("double")).alias(c) for c in d.SEGMENT_FACT]
+    return per.select(d.KEY, (F.col("n") / F.lit(float(d.MONTHS))).alias(count), F.round(F.col("amt") / F.lit(d.MONTHS), 1).cast("double").alias(amount), *fact)
+
+
 def customer_wide(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.EVENT_AS_OF,
                   active_only: bool = True) -> DataFrame:
-    """The wide customer row.
+    """The wide customer row: attributes and six blocks.
 
-    ``active_only`` keeps the reference's base (customers active in the last
-    month, a semi join); ``False`` builds the row for every customer.
+    Pivots, activity and the customer fact come from one scan of orders, joined on
+    the second key; branch visits and the segment fact from one scan of lines.
+    ``active_only`` keeps the reference's base (customers active in the last month:
+    the fact's flag); ``False`` builds the row for every customer.
     """
-    base = d.customer_profile(spark, root)
+    wide = attach(d.customer_profile(spark, root), d.SECOND_KEY, [d.order_block(spark, root, as_of)])
     if active_only:
-        base = semi_join(base, d.active_keys(spark, root, as_of), d.KEY)
-    blocks = [d.tenure(spark, root, as_of),
-              spend_income_block(spark, root, as_of),
-              event_channel_block(spark, root, event_as_of),
-              branch_block(spark, root, as_of)]
-    wide = attach(base, d.KEY, blocks)
-    return wide.select(d.KEY, *d.REPORTING_VARIABLES, *d.MODEL_VARIABLES)
+        wide = wide.where(F.col("M_ACT_FLAG") == 1)
+    wide = attach(wide, d.KEY, [d.tenure(spark, root, as_of), event_channel_block(spark, root, event_as_of), line_facts(spark, root, as_of)])
+    return wide.select(d.KEY, *d.REPORTING_VARIABLES, *d.MODEL_VARIABLES, d.SECOND_KEY, *d.CUSTOMER_FACT, *d.SEGMENT_FACT)
 
 
 def segment_input(spark: SparkSession, root: str) -> DataFrame:

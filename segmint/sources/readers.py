@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmint.functions.prep import nan_to_null
@@ -57,27 +58,43 @@ def read_jdbc(spark: SparkSession, url: str, **kwargs) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             header: bool = True) -> DataFrame:
-    """CSV with header and explicit schema (S3); NaN becomes null."""
+             header: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """CSV with header and explicit schema (S3); NaN becomes null.
+
+    A cell that does not fit its type stops the read (``mode`` as in Spark's CSV source).
+    """
     df = (spark.read.schema(schema).option("header", header)
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", mode).csv(path))
     return nan_to_null(df)
 
 
-def read_wide_csv(spark: SparkSession, path: str, numeric: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def bad_numbers(df: DataFrame, columns: list[str] | tuple[str, ...]) -> dict[str, int]:
+    """How many non-empty cells of each text column are no numbers (one aggregate; only columns that have some)."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.count_if((F.trim(c) != "") & F.expr(f"try_cast(trim(`{c}`) AS double)").isNull()).alias(c) for c in columns]).first()
+    return {c: row[c] for c in columns if row[c]}
+
+
+def read_wide_csv(spark: SparkSession, path: str, numeric: list[str] | tuple[str, ...] = (), bad: str = "error") -> DataFrame:
     """A wide customer table exported as CSV (the application's file input).
 
-    The schema is built from the header line (one line read): columns named
-    in ``numeric`` are doubles, all others text - no inference pass over the
-    data.  An unnamed first column (a pandas row index written with the file)
-    is dropped.
+    The names come from the CSV reader's own header line (quotes and commas in
+    names included); columns named in ``numeric`` become doubles, all others stay
+    text.  An unnamed first column (a row index written with the file) is
+    dropped.  Cells of numeric columns that are no numbers are counted: with
+    ``bad="error"`` they stop the read and are reported, with ``bad="null"`` they
+    become null.  Empty cells are null.
     """
-    header = spark.read.text(path).first()
-    if header is None:
+    if bad not in ("error", "null"):
+        raise ValueError('bad must be "error" or "null"')
+    df = spark.read.option("header", True).csv(path)
+    if not df.columns:
         raise ValueError(f"{path} is empty")
-    names = [h.strip().strip('"') for h in header[0].split(",")]
-    wanted = set(numeric)
-    fields = [T.StructField(n or "__row_index", T.DoubleType() if n in wanted else T.StringType())
-              for n in names]
-    df = read_csv(spark, path, T.StructType(fields))
-    return df.drop("__row_index") if "__row_index" in df.columns else df
+    if df.columns[0] == "_c0":
+        df = df.drop("_c0")
+    chosen = [c for c in df.columns if c in set(numeric)]
+    if bad == "error" and (found := bad_numbers(df, chosen)):
+        raise ValueError(f"{path}: cells that are no numbers: {found}")
+    number = {c: F.expr(f"try_cast(nullif(trim(`{c}`), '') AS double)") for c in chosen}
+    return nan_to_null(df.withColumns(number) if number else df)

@@ -41,13 +41,7 @@ def union_months(trn: DataFrame, as_of=None, months: Iterable[int] = (1, 2, 3),
 
 def write_snapshot(df: DataFrame, root: str, snap_col: str = "snap_date") -> None:
     """Write (or replace) the months present in ``df`` under ``root``."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(snap_col).parquet(root)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(snap_col).parquet(root)
 
 
 def read_snapshot(spark: SparkSession, root: str, snap_date, snap_col: str = "snap_date") -> DataFrame:
@@ -58,14 +52,17 @@ def read_snapshot(spark: SparkSession, root: str, snap_date, snap_col: str = "sn
 def snapshot_exists(spark: SparkSession, root: str, snap_date, snap_col: str = "snap_date") -> bool:
     """Whether the month's partition folder holds data (any filesystem scheme).
 
-    Resolving the folder's schema lists its files and reads one footer; a
-    missing folder raises ``AnalysisException``.
+    Resolving the folder's schema lists its files and reads one footer.  Only a
+    missing folder counts as missing: a month that cannot be read is an error,
+    never rebuilt over.
     """
     try:
         spark.read.parquet(f"{root}/{snap_col}={snap_date}").schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def snapshot_or_build(spark: SparkSession, root: str, as_of,

@@ -34,11 +34,10 @@ def test_filters_match_pandas(spark, rows, lo, width, chosen):
 
 
 @pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
-@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").oracle_sql())
-                         + ["kmeans_fit", "segment_customers", "elbow_curve"])
+@pytest.mark.parametrize("name", sorted(__import__("segmint.plans.queries", fromlist=["QUERIES"]).QUERIES))
 def test_shuffle_partitions_do_not_change_results(spark, name):
-    import __spark_entry__ as entry_mod
-    fn = entry_mod.queries()[name]
+    from segmint.plans.queries import QUERIES
+    fn = QUERIES[name]
     outs = []
     for n in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)

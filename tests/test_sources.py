@@ -91,13 +91,65 @@ def test_command_line_run(spark, tmp_dir):
     assert spark.read.option("header", True).csv(ok["clients"]).count() == 150
     with pytest.raises(SystemExit):
         run(parse_args(["--data", SF0001, "--out", tmp_dir + "/x", "--model", "NOPE"]), spark)
-    # read-through monthly store: the second run reuses the written month
+    # read-through monthly store: the second run reuses the written month, another month goes beside it, and runs
+    # over active and over all customers read the same full row
+    from segmint.__main__ import store_root
     snap = os.path.join(tmp_dir, "store")
-    a = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/s1", "--k", "3", "--snapshot-root", snap]), spark)
-    assert os.path.isdir(os.path.join(snap, "snap_date=2001-07-31"))
-    b = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/s2", "--k", "3", "--snapshot-root", snap]), spark)
-    assert spark.read.option("header", True).csv(a["clients"]).count() == \
-        spark.read.option("header", True).csv(b["clients"]).count()
+
+    def clients(name, *more):
+        got = run(parse_args(["--data", SF0001, "--out", f"{tmp_dir}/{name}", "--k", "3", "--snapshot-root", snap, *more]), spark)
+        return spark.read.option("header", True).csv(got["clients"]).count()
+
+    months = lambda: sorted(p for p in os.listdir(store_root(snap, SF0001)) if p.startswith("snap_date="))
+    active = clients("s1", "--active-only")
+    assert months() == ["snap_date=2001-07-31"]
+    everyone = clients("s2")
+    assert everyone == 150 and 0 < active < everyone and clients("s3", "--active-only") == active
+    assert clients("s4", "--as-of", "2001-07-15", "--event-as-of", "2024-02-15") == 150
+    assert months() == ["snap_date=2001-06-30", "snap_date=2001-07-31"]
+    assert store_root(snap, SF0001) != store_root(snap, SF0001 + "x")
+
+
+def test_unreadable_month_is_an_error_not_a_rebuild(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/st/snap_date=2024-01-31")
+    with open(f"{tmp_dir}/st/snap_date=2024-01-31/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        snapshots.snapshot_exists(spark, f"{tmp_dir}/st", "2024-01-31")
+    assert not snapshots.snapshot_exists(spark, f"{tmp_dir}/st", "2024-02-29")
+
+
+def test_wide_csv_header_and_bad_numbers(spark, tmp_dir):
+    path = f"{tmp_dir}/w.csv"
+    with open(path, "w") as f:
+        f.write(',PERS_ID,"NOTE, X",MONTHLY_INCOME\n0,a,"p, q",1.5\n1,b,,oops\n2,c,r,\n')
+    with pytest.raises(ValueError, match="MONTHLY_INCOME.*1"):
+        readers.read_wide_csv(spark, path, ["MONTHLY_INCOME"])
+    df = readers.read_wide_csv(spark, path, ["MONTHLY_INCOME"], bad="null")
+    assert df.columns == ["PERS_ID", "NOTE, X", "MONTHLY_INCOME"]
+    assert [tuple(r) for r in df.orderBy("PERS_ID").collect()] == [("a", "p, q", 1.5), ("b", None, None), ("c", "r", None)]
+    with open(path, "w") as f:
+        f.write("id,x\n1,2.5\n2,oops\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, path, "id long, x double").collect()
+
+
+def test_views_of_two_roots_and_dates_stay_apart(spark):
+    import datetime as dt
+    from segmint.plans import views
+    a = views.final_view(spark, SF0001)
+    n = a.count()
+    b = views.final_view(spark, SF0001, as_of=dt.date(2001, 7, 15))
+    assert a.count() == n and b.count() > 0
+    assert b.select("PERS_ID").subtract(a.select("PERS_ID")).count() > 0
+
+
+def test_attach_checks_uniqueness(spark):
+    from segmint.operators.features import attach
+    base, twice = spark.range(3).toDF("k"), spark.createDataFrame([(1, 1), (1, 2)], "k long, v int")
+    assert attach(base, "k", [twice]).count() == 4
+    with pytest.raises(ValueError, match="repeats keys"):
+        attach(base, "k", [twice], check=True)
 
 
 def test_catalog_missing_columns(spark):

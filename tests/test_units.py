@@ -89,6 +89,24 @@ def test_filter_auto_dispatch(spark):
     assert flt.filter_auto(small, {"x": [1.0, 2.0, 99.0]}).count() == 2
 
 
+def test_untouched_date_control_ends_at_midnight(spark):
+    rows_ = [(1, dt.datetime(2024, 1, 1, 9)), (2, dt.datetime(2024, 1, 2)), (3, dt.datetime(2024, 1, 3)), (4, dt.datetime(2024, 1, 3, 0, 1)), (5, None)]
+    df = spark.createDataFrame(rows_, "id int, ts timestamp")
+    assert rows(flt.filter_auto(df, {"ts": None}, kinds={"ts": "datetime"}), "id") == [(1,), (2,), (3,)]
+
+
+def test_filter_panel(spark):
+    df = spark.createDataFrame([(1, None, 3.0, "2024-01-01"), (2, "A", 5.0, "2024-02-01"), (3, "B", None, "2024-03-01")],
+                               "id int, PREF_CITY string, AVG_ATM_TRN_CNT double, PAYROLL_TP string")
+    prepared = flt.prepare_filters(df)
+    assert dict(prepared.dtypes)["PAYROLL_TP"] == "timestamp_ntz" and prepared.where("PREF_CITY IS NULL").count() == 0
+    assert rows(flt.filter_panel(df, {"PREF_CITY": ["A", flt.CITY_FILL["PREF_CITY"]], "AVG_ATM_TRN_CNT": None}), "id") == [(1,), (2,)]
+    with pytest.raises(ValueError):
+        flt.filter_panel(df, {"id": [1]})
+    exact = spark.range(88).selectExpr("id", "id % 87 AS few")
+    assert flt.column_kinds(exact, ["id", "few"]) == {"id": "numeric", "few": "categorical"}
+
+
 def test_filter_auto_untouched_defaults(spark):
     d = [(1, -5.0, "a", dt.datetime(2020, 1, 1)), (2, 3.0, "b", None), (3, None, "a", dt.datetime(2020, 1, 2))]
     df = spark.createDataFrame(d, "id long, x double, cat string, ts timestamp")
