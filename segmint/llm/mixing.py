@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from segmint.llm._util import BLANKS, cut
 
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 EXACT = "decimal(38,0)"
 
 
