@@ -13,7 +13,8 @@ Design notes for scale
   task, and only a few thousandths of the values reach the ranking.
 * Correlation of all pairs is one pass: sums of products of the columns
   (v(v+1)/2 of them, shifted by the columns' minima), grouped by which columns
-  are null; a pair adds up the groups in which both are present.
+  are null; a pair adds up the groups in which both are present.  What is
+  expanded to pairs is a row per pattern of nulls, never a row of the data.
 * The profile is at most ``k * (2 + 6 * variables)`` cells: it is reshaped
   with Spark (unpivot + pivot), never collected.
 """
@@ -32,8 +33,6 @@ DEFAULT_PROBS = (0.25, 0.5, 0.75)
 # distances (as shares of the rows) at which brackets are tried, nearest first.
 ACCURACY = 1000
 REACH = (0.002, 0.01, 0.05)
-# Sums of products in one aggregate: more makes the generated code too large.
-SUMS_AT_ONCE = 90
 
 
 def np_round(col: Column | str, digits: int) -> Column:
@@ -185,8 +184,8 @@ def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool =
 
     The columns are written once.  A first aggregate takes their minima; then one
     pass sums, for each pattern of nulls, the rows and all products of two shifted
-    columns (``SUMS_AT_ONCE`` in one aggregate).  A pair's r comes from the sums of
-    the patterns that have both: no row is expanded.
+    columns.  A pair's r comes from the sums of the patterns that have both: no
+    row is expanded.
 
     A column that is constant over a pair's rows gives null instead of an ANSI
     divide-by-zero error (trap T1).  ``lower_only`` keeps pairs on or below the
@@ -197,40 +196,27 @@ def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool =
     n = len(variables)
     data = cut_lineage(df.select(*[F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)]))
     least = data.agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(n)]).first()
-    shifted = [F.coalesce(F.col(f"x{i}") - F.lit(least[f"x{i}"] if least[f"x{i}"] is not None else 0.0), F.lit(0.0)) for i in range(n)]
-    mask = F.lit(0).cast("long")
-    for i in range(n):
-        mask = mask + F.when(F.col(f"x{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    rows = data.select(mask.alias("mask"), *[x.alias(f"x{i}") for i, x in enumerate(shifted)])
-    one = F.lit(1.0)
+    # SQL texts: thousands of small expressions cost more as calls than as work.
+    low = [repr(float(least[f"x{i}"] or 0.0)) + "D" for i in range(n)]
+    mask = " + ".join(f"if(x{i} IS NOT NULL, {1 << i}L, 0L)" for i in range(n))
+    rows = data.selectExpr(f"{mask} AS mask", *[f"coalesce(x{i} - {low[i]}, 0D) AS x{i}" for i in range(n)])
     products = [(i, j) for i in range(-1, n) for j in range(i, n)]     # -1: the constant one
-
-    def factor(i: int) -> Column:
-        return one if i < 0 else F.col(f"x{i}")
-
-    parts = []
-    for at in range(0, len(products), SUMS_AT_ONCE):
-        own = products[at:at + SUMS_AT_ONCE]
-        sums = rows.groupBy("mask").agg(*[F.sum(factor(i) * factor(j)).alias(f"p{i + 1}_{j + 1}") for i, j in own])
-        parts.append(sums.select("mask", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i + 1}_{j + 1}").alias("s")) for i, j in own]))))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
-    # Six sums for each pair, over the patterns that have both columns: pairs x patterns rows, no more.
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    wanted = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(k).alias("k"),
-                                F.lit(1 << i | 1 << j).cast("long").alias("bits"))
-                       for i, j in pairs for k, (a, b) in enumerate([(-1, -1), (-1, i), (-1, j), (i, i), (j, j), (i, j)])])
-    spark = df.sparkSession
-    need = spark.range(1).select(F.inline(wanted))
-    met = need.join(sums, ["i", "j"], "left").where(F.col("mask").isNull() | (F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")))
-    six = met.groupBy("x", "y").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("s"))), F.lit(0.0)).alias(f"s{k}") for k in range(6)])
+    name = {own: f"p{i}" for i, own in enumerate(products)}
+    factor = lambda i: "1D" if i < 0 else f"x{i}"
+    sums = rows.groupBy("mask").agg(*[F.expr(f"sum({factor(i)} * {factor(j)})").alias(c) for (i, j), c in name.items()])
+    # A pattern without columns and with no rows, so that every pair appears.
+    none = df.sparkSession.range(1).selectExpr("0L AS mask", *[f"0D AS {c}" for c in name.values()])
+    cells = []
+    for i, j in [(i, j) for i in range(n) for j in range(i, n)]:
+        bits = 1 << i | 1 << j
+        six = [(-1, -1), (-1, i), (-1, j), (i, i), (j, j), (i, j)]
+        cells.append(f"named_struct('x', {i}, 'y', {j}, " + ", ".join(f"'s{k}', if(mask & {bits}L = {bits}L, {name[own]}, 0D)" for k, own in enumerate(six)) + ")")
+    six = sums.unionByName(none).selectExpr(f"inline(array({', '.join(cells)}))").groupBy("x", "y").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
     m, sx, sy, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
     vx, vy = xx - sx * sx / F.nullif(m, F.lit(0.0)), yy - sy * sy / F.nullif(m, F.lit(0.0))
     tiny = F.lit(1e-13)  # rounding of a constant column
     r = F.when((vx > tiny * xx) & (vy > tiny * yy), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (xy - sx * sy / m) / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))))
-    every = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in pairs])))
-    per_pair = every.join(six.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r")), ["x", "y"], "left")
+    per_pair = six.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r"))
     names = F.array(*[F.lit(v) for v in variables])
     a, b = names[F.col("x")], names[F.col("y")]
     below = F.struct(b.alias("var_x"), a.alias("var_y"), F.col("r"))
