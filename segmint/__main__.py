@@ -24,7 +24,7 @@ from segmint.operators import stats as st
 from segmint.operators.features import semi_join
 from segmint.plans import domain as d
 from segmint.plans import wide
-from segmint.session import checkpoint_dir, cut_lineage, get_session, release
+from segmint.session import checkpoint_dir, cluster_conf, cut_lineage, get_session, release
 from segmint.sources import catalog, sinks
 from segmint.sources.readers import read_wide_csv
 from segmint.sources.snapshots import snapshot_or_build
@@ -60,6 +60,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--event-as-of", default=None, help="the same for the event channels (default: --as-of if given)")
     p.add_argument("--seeds", type=int, nargs="+", default=[42])
     p.add_argument("--master", default=None)
+    p.add_argument("--input-gb", type=float, default=None, help="size of the source tables: with --cores, sizes splits, shuffles and skew limits")
+    p.add_argument("--cores", type=int, default=None, help="cores of all executors together")
     return p.parse_args(argv)
 
 
@@ -75,7 +77,8 @@ def store_root(root: str, data: str) -> str:
 
 
 def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
-    spark = spark or get_session(args.master)
+    sized = cluster_conf(int(args.input_gb * (1 << 30)), args.cores) if args.input_gb and args.cores else None
+    spark = spark or get_session(args.master, extra=sized)
     checkpoint_dir(spark)
     as_of = as_date(args.as_of, d.AS_OF)
     event_as_of = as_date(args.event_as_of, as_of if args.as_of else d.EVENT_AS_OF)

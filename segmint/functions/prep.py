@@ -34,18 +34,6 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     return df.select(*out)
 
 
-def empty_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Empty strings become null (source databases that equate '' with NULL)."""
-    cols = set(columns) if columns is not None else None
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType) and (cols is None or f.name in cols):
-            out.append(F.nullif(F.col(f.name), F.lit("")).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
-
-
 def impute_defaults(df: DataFrame, text: Mapping[str, str] | None = None,
                     numbers: Mapping[str, float] | None = None) -> DataFrame:
     """Fill text columns with a label and numeric columns with a number.

@@ -354,11 +354,6 @@ def test_category_options_and_approx_counts(spark):
     assert (r.n_distinct, r.min_value, r.max_value) == (3, 1.0, 4.0)
 
 
-def test_empty_to_null(spark):
-    df = spark.createDataFrame([("",), ("x",), (None,)], "s string")
-    assert [r.s for r in prep.empty_to_null(df).collect()] == [None, "x", None]
-
-
 def test_cluster_conf_sizes_partitions():
     from segmint.session import cluster_conf
     conf = cluster_conf(100 * 1024 ** 4, 8000)
