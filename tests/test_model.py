@@ -97,6 +97,32 @@ def test_golden_profile(spark):
             assert math.isclose(got[label][c], row[c], abs_tol=1e-9), (label, c, got[label][c], row[c])
 
 
+DATA = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
+
+
+def test_own_golden_pair(spark, tmp_dir):
+    """A small client file and its profile with numbers of our own, kept beside the tests."""
+    from segmint.__main__ import parse_args, run
+    from segmint.sources.readers import read_wide_csv
+    client = read_wide_csv(spark, f"{DATA}/client.csv", ["MONTHLY_INCOME", "DEPO_AMOUNT"]).withColumn("Cluster", F.col("Cluster").cast("int"))
+    assert client.columns == ["PERS_ID", "MONTHLY_INCOME", "DEPO_AMOUNT", "Cluster", "REGION"]
+    got = {r.row_label: r for r in st.profile_wide(st.profile_long(client, ["MONTHLY_INCOME", "DEPO_AMOUNT"], "Cluster"), 3).collect()}
+    want = pd.read_csv(f"{DATA}/profile.csv", index_col=0)
+    assert len(got) == len(want) == 14
+    for label, row in want.iterrows():
+        for c in want.columns:
+            assert math.isclose(got[label][c], row[c], abs_tol=1e-9), (label, c)
+    # the same file through the command line: the three obvious clusters come back
+    cat = f"{tmp_dir}/cat.json"
+    with open(cat, "w") as f:
+        json.dump({"model_variables": ["MONTHLY_INCOME", "DEPO_AMOUNT"], "reporting_variables": ["REGION"]}, f)
+    out = run(parse_args(["--wide-csv", f"{DATA}/client.csv", "--catalog", cat, "--out", f"{tmp_dir}/o", "--model", "MONTHLY_INCOME", "DEPO_AMOUNT",
+                          "--reporting", "REGION", "--k", "3"]), spark)
+    found = {r.PERS_ID: r.Cluster for r in spark.read.option("header", True).csv(out["clients"]).collect()}
+    truth = {r.PERS_ID: r.Cluster for r in client.collect()}
+    assert len({(found[k], truth[k]) for k in truth}) == 3
+
+
 def test_partition_invariance(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"Cluster": rng.integers(0, 4, 500).astype("int32"),
