@@ -65,12 +65,13 @@ def test_edge_cases(tiny):
 def test_copies_are_no_evidence(spark):
     """A word that only copies and near copies of one toxic text hold is not learnt, one that many texts hold is."""
     rows, labels = [], []
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
     for i in range(400):
         toxic = i % 4 == 0
-        rows.append((i, f"w{i} alpha w{i + 1} " + (f"w{i * 7} slur w{i * 3}" if toxic else f"w{i * 5} beta")))
+        rows.append((i, f"{word(i)} alpha {word(i + 1)} " + (f"{word(i * 7)} slur {word(i * 3)}" if toxic else f"{word(i * 5)} beta")))
         labels.append((i, int(toxic)))
     for i in range(400, 480):
-        rows.append((i, f"some copied text with oddword inside x{i}"))
+        rows.append((i, f"some copied text with oddword inside {word(i)}"))
         labels.append((i, 1))
     model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert "slur" in model.insults and "oddword" not in model.insults and "alpha" not in model.insults
