@@ -88,7 +88,7 @@ def _ranked(df: DataFrame, groups: list[str], variables: list[str], probs: Seque
             b = F.col(f"b{i}_{j}")
             inside = v >= b["lo"]
             cells.append(F.when(v <= b["hi"], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), inside.alias("inside"), F.when(inside, v).alias("v"))))
-    found = left.join(brackets, on).select(*groups, F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    found = left.join(brackets, on).select(*groups, F.inline(F.array(*cells))).where("i IS NOT NULL")
     found = found.groupBy(*groups, "i", "j", "inside", "v").agg(F.count(F.lit(1)).alias("m"))
     order = Window.partitionBy(*groups, "i", "j").orderBy("inside", "v").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("upto", F.sum("m").over(order))
