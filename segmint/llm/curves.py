@@ -1,10 +1,11 @@
 """Approximate nearest neighbours (largest inner product) along shifted Hilbert curves.
 
-Vectors get one more coordinate that makes all lengths equal, so that the
-largest inner product is the nearest point.  Each of ``orderings`` projects
-them on a few random directions, shifts them and numbers them along a Hilbert
-curve; Spark range-partitions an ordering by that number.  A query looks at the
-rows within ``window`` ranks of its own place in every ordering; what the
+Vectors get one more coordinate that makes all lengths equal; a query gets
+length one and a zero there, so that the largest inner product is the nearest
+point.  Each of ``orderings`` projects them on a few random directions, shifts
+them and numbers them along a Hilbert curve; Spark range-partitions an ordering
+by that number, queries among the rows.  A query looks at the rows within
+``window`` ranks of its place (not of its own row's) in every ordering; what the
 windows find is merged and reranked by the inner product of the original
 vectors in double precision.
 
@@ -63,8 +64,8 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def keys(vectors: np.ndarray, largest: float, ordering: int, seed: int) -> np.ndarray:
-    """Places (ordered as signed longs) of vectors in one ordering."""
+def keys(vectors: np.ndarray, largest: float | np.ndarray, ordering: int, seed: int) -> np.ndarray:
+    """Places (ordered as signed longs) of vectors in one ordering; ``largest`` is the rows' largest length, for a query its own."""
     rng = np.random.default_rng([seed, ordering, vectors.shape[1]])
     x = vectors / largest
     x = np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]])
@@ -92,43 +93,47 @@ def _index(vectors: DataFrame, k: int) -> DataFrame:
     return groups.select(F.col("ids")[0].alias("rep"), F.size("v").alias("dim"), "v", "ids")
 
 
-def _ranked(index: DataFrame, orderings: int, seed: int) -> DataFrame:
-    """dim, t, rep, rank, n: the place of every vector in every ordering."""
-    ddl = "dim int, n long, t int, key long, rep long"
+def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> DataFrame:
+    """dim, t, query, rep, rank, n: the place of every vector in every ordering, and how many vectors lie before every query."""
+    ddl = "dim int, n long, t int, key long, query boolean, rep long"
     schema = arrow_schema(index.sparkSession, ddl)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, n, largest = (b.column(i).to_numpy() for i in (1, 2, 3))
+            query, dims, n, largest = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                x = _matrix(b.column(4).take(pa.array(own)))
+                x = _matrix(b.column(5).take(pa.array(own)))
+                scale = np.where(query[own], np.sqrt((x * x).sum(axis=1)), largest[own])[:, None]
                 for t in range(orderings):
-                    cols = [dims[own], n[own], np.full(len(own), t, dtype=np.int32), keys(x, float(largest[own[0]]), t, seed), b.column(0).to_numpy()[own]]
+                    cols = [dims[own], n[own], np.full(len(own), t, dtype=np.int32), keys(x, scale, t, seed), query[own], b.column(0).to_numpy()[own]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     sizes = index.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("largest"))
-    placed = index.join(sizes, "dim").select("rep", "dim", "n", "largest", "v").mapInArrow(place, ddl)
+    entries = index.select("rep", F.lit(False).alias("query"), "dim", "v")
+    entries = entries.unionByName(index.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", F.lit(True).alias("query"), "dim", "v"))
+    placed = entries.join(sizes, "dim").select("rep", "query", "dim", "n", "largest", "v").mapInArrow(place, ddl)
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["dim", "t", "key", "rep"]
-    ddl2 = "dim int, n long, t int, rep long, part int, no long"
+    order = ["dim", "t", "key", F.desc("query"), "rep"]
+    ddl2 = "dim int, n long, t int, query boolean, rep long, part int, no long"
     schema2 = arrow_schema(index.sparkSession, ddl2)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
-            dims, ts = b.column(0).to_numpy(), b.column(2).to_numpy()
+            dims, ts, query = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
             no = np.zeros(b.num_rows, dtype=np.int64)
             for d, t in sorted(set(zip(dims.tolist(), ts.tolist()))):
                 own = np.flatnonzero((dims == d) & (ts == t))
-                no[own] = seen.get((d, t), 0) + np.arange(len(own))
-                seen[d, t] = seen.get((d, t), 0) + len(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
+                rows = (~query[own]).astype(np.int64)
+                no[own] = seen.get((d, t), 0) + rows.cumsum() - rows
+                seen[d, t] = seen.get((d, t), 0) + int(rows.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), b.column(5), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
 
     rows = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, ddl2))
-    counts = rows.groupBy("dim", "t", "part").agg(F.count("*").alias("rows"))
+    counts = rows.groupBy("dim", "t", "part").agg(F.count_if(~F.col("query")).alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("dim", "t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select("dim", "t", "part", before.alias("before")), ["dim", "t", "part"]).select("dim", "t", "rep", (F.col("before") + F.col("no")).alias("rank"), "n")
+    return rows.join(counts.select("dim", "t", "part", before.alias("before")), ["dim", "t", "part"]).select("dim", "t", "query", "rep", (F.col("before") + F.col("no")).alias("rank"), "n")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = 16, share: float = SHARE, window_rows: int | None = None, seed: int = 11,
@@ -137,11 +142,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     index = cut(_index(vectors, k))
     asked = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).where("query_id IS NOT NULL").distinct()
     asked = cut(asked.join(index.select("v", "rep"), "v").select("query_id", "rep"))
-    ranked = _ranked(index, orderings, seed).withColumn("w", F.lit(window_rows).cast("long") if window_rows else F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share)).cast("long"))
+    ranked = _ranked(index, asked, orderings, seed).withColumn("w", F.lit(window_rows).cast("long") if window_rows else F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share)).cast("long"))
     placed = cut(ranked)
-    rows = placed.select("dim", "t", F.expr(f"rank div {block}").alias("block"), "rank", "rep").join(index.select("rep", "v"), "rep")
+    rows = placed.where("NOT query").select("dim", "t", F.expr(f"rank div {block}").alias("block"), "rank", "rep").join(index.select("rep", "v"), "rep")
     places = F.sequence(F.expr(f"greatest(rank - w, 0) div {block}"), F.expr(f"least(rank + w, n - 1) div {block}"))
-    queries = placed.join(asked.select("rep").distinct(), "rep", "left_semi").join(index.select("rep", "v"), "rep").select(
+    queries = placed.where("query").join(index.select("rep", "v"), "rep").select(
         F.col("dim").alias("d"), F.col("t").alias("o"), F.explode(places).alias("b"), F.col("rank").alias("place"), "w", F.col("rep").alias("query"), F.col("v").alias("qv"))
     ddl = "q long, c long, score double"
     schema = arrow_schema(vectors.sparkSession, ddl)

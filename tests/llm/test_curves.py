@@ -77,3 +77,28 @@ def test_query_recall(spark):
         assert len(own) == 20 and np.allclose([-v for v, _ in own], [s[np.flatnonzero(ids == j)[0]] for _, j in own])
         hit, total = hit + sum(-v >= kth - 1e-12 for v, _ in own), total + 20
     assert hit / total >= 0.9
+
+
+def recall(spark, x, asked):
+    """Mean share of the true 20 nearest that the search finds for the rows ``asked`` (ids are places), and the least one."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = lists(nearest(df, F.col("vec_id").isin([int(i) for i in asked])))
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    kth = -np.sort(-s, axis=1)[:, 19]
+    each = [sum(-v >= k - 1e-12 * abs(k) for v, _ in got[int(i)]) / 20 for i, k in zip(asked, kth)]
+    return np.mean(each), min(each)
+
+
+def unit(rng, n, dims=64):
+    x = rng.normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("sigma", [0.3, 0.6, 1.0])
+def test_recall_where_lengths_differ(spark, sigma):
+    rng = np.random.default_rng(6)
+    x = unit(rng, 10_000) * rng.lognormal(0, sigma, size=(10_000, 1))
+    found = recall(spark, x, np.arange(0, 10_000, 50))
+    print("recall", sigma, found)
+    assert found[0] >= 0.9
