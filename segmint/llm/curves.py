@@ -9,8 +9,10 @@ by that number, queries among the rows.  A query looks at the rows within
 windows find is merged and reranked by the inner product of the original
 vectors in double precision.
 
-Every row is indexed, none is sampled.  The window is a share of the rows (and
-``LEAST`` rows at least): vectors without structure, as random ones of 64
+Rows are indexed in bands of length (a factor of two each); a band is scaled by
+its own longest row and searched by every query, so no single row sets the scale
+of the others.  Every row is indexed, none is sampled.  The window is a share of
+a band's rows (and ``LEAST`` rows at least): vectors without structure, as random ones of 64
 dimensions, need a fixed share for a fixed recall, and the work then grows with
 queries times rows.  ``window_rows`` sets a fixed number of rows instead, for
 vectors that cluster.  Equal vectors are one entry of the index with their
@@ -64,10 +66,9 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def keys(vectors: np.ndarray, largest: float | np.ndarray, ordering: int, seed: int) -> np.ndarray:
-    """Places (ordered as signed longs) of vectors in one ordering; ``largest`` is the rows' largest length, for a query its own."""
-    rng = np.random.default_rng([seed, ordering, vectors.shape[1]])
-    x = vectors / largest
+def keys(x: np.ndarray, ordering: int, seed: int) -> np.ndarray:
+    """Places (ordered as signed longs) in one ordering of vectors of length one at most (queries: one)."""
+    rng = np.random.default_rng([seed, ordering, x.shape[1]])
     x = np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]])
     axes = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0][:, :min(AXES, x.shape[1])]
     even = 1 / (1 + np.exp(-1.702 * np.sqrt(x.shape[1]) * (x @ axes)))  # projections, spread about evenly over (0, 1)
@@ -82,7 +83,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _index(vectors: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors: rep (their smallest id), dim, v, ids (the k + 1 smallest)."""
+    """Distinct vectors: rep (their smallest id), dim, band and log (to base 2) of the length, v, ids (the k + 1 smallest)."""
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -90,50 +91,54 @@ def _index(vectors: DataFrame, k: int) -> DataFrame:
     dealt = rows.withColumn("part", F.pmod("vec_id", F.lit(SALT)))
     first = dealt.withColumn("no", F.row_number().over(Window.partitionBy("v", "part").orderBy("vec_id"))).where(F.col("no") <= k + 1)
     groups = first.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))  # SALT * (k + 1) ids at most
-    return groups.select(F.col("ids")[0].alias("rep"), F.size("v").alias("dim"), "v", "ids")
+    # The logarithm of the length, which holds for any finite vector; length 1 is in the middle of a band.
+    most = groups.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    log = F.log2("most") + F.log2(F.aggregate(F.transform("v", lambda x: x / F.col("most")), F.lit(0.0), lambda a, x: a + x * x)) / 2
+    return most.select(F.col("ids")[0].alias("rep"), F.size("v").alias("dim"), F.floor(log + 0.5).cast("int").alias("band"), log.alias("log"), "v", "ids")
 
 
 def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> DataFrame:
-    """dim, t, query, rep, rank, n: the place of every vector in every ordering, and how many vectors lie before every query."""
-    ddl = "dim int, n long, t int, key long, query boolean, rep long"
+    """dim, band, t, query, rep, rank, n: the place of every vector in every ordering of its band, and how many lie before every query in every band."""
+    ddl = "dim int, band int, n long, t int, key long, query boolean, rep long"
     schema = arrow_schema(index.sparkSession, ddl)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            query, dims, n, largest = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            query, dims, bands, n, scale = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                x = _matrix(b.column(5).take(pa.array(own)))
-                scale = np.where(query[own], np.sqrt((x * x).sum(axis=1)), largest[own])[:, None]
+                x = _matrix(b.column(6).take(pa.array(own)))
+                x = x / np.abs(x).max(axis=1)[:, None]
+                x = x / np.sqrt((x * x).sum(axis=1))[:, None] * scale[own, None]
                 for t in range(orderings):
-                    cols = [dims[own], n[own], np.full(len(own), t, dtype=np.int32), keys(x, scale, t, seed), query[own], b.column(0).to_numpy()[own]]
+                    cols = [dims[own], bands[own], n[own], np.full(len(own), t, dtype=np.int32), keys(x, t, seed), query[own], b.column(0).to_numpy()[own]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    sizes = index.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("largest"))
-    entries = index.select("rep", F.lit(False).alias("query"), "dim", "v")
-    entries = entries.unionByName(index.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", F.lit(True).alias("query"), "dim", "v"))
-    placed = entries.join(sizes, "dim").select("rep", "query", "dim", "n", "largest", "v").mapInArrow(place, ddl)
+    sizes = index.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("log").alias("longest"))  # a row per band
+    own = index.join(sizes, ["dim", "band"]).select("rep", F.lit(False).alias("query"), "dim", "band", "n", F.least(F.lit(1.0), F.pow(F.lit(2.0), F.col("log") - F.col("longest"))).alias("scale"), "v")
+    queries = index.drop("band").join(asked.select("rep").distinct(), "rep", "left_semi").join(sizes, "dim")
+    placed = own.unionByName(queries.select("rep", F.lit(True).alias("query"), "dim", "band", "n", F.lit(1.0).alias("scale"), "v")).mapInArrow(place, ddl)
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["dim", "t", "key", F.desc("query"), "rep"]
-    ddl2 = "dim int, n long, t int, query boolean, rep long, part int, no long"
+    order = ["dim", "band", "t", "key", F.desc("query"), "rep"]
+    ddl2 = "dim int, band int, n long, t int, query boolean, rep long, part int, no long"
     schema2 = arrow_schema(index.sparkSession, ddl2)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
-            dims, ts, query = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+            dims, bands, ts, query = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 5))
             no = np.zeros(b.num_rows, dtype=np.int64)
-            for d, t in sorted(set(zip(dims.tolist(), ts.tolist()))):
-                own = np.flatnonzero((dims == d) & (ts == t))
+            for d, band, t in sorted(set(zip(dims.tolist(), bands.tolist(), ts.tolist()))):
+                own = np.flatnonzero((dims == d) & (bands == band) & (ts == t))
                 rows = (~query[own]).astype(np.int64)
-                no[own] = seen.get((d, t), 0) + rows.cumsum() - rows
-                seen[d, t] = seen.get((d, t), 0) + int(rows.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), b.column(5), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
+                no[own] = seen.get((d, band, t), 0) + rows.cumsum() - rows
+                seen[d, band, t] = seen.get((d, band, t), 0) + int(rows.sum())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
 
     rows = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, ddl2))
-    counts = rows.groupBy("dim", "t", "part").agg(F.count_if(~F.col("query")).alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy("dim", "t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select("dim", "t", "part", before.alias("before")), ["dim", "t", "part"]).select("dim", "t", "query", "rep", (F.col("before") + F.col("no")).alias("rank"), "n")
+    counts = rows.groupBy("dim", "band", "t", "part").agg(F.count_if(~F.col("query")).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("dim", "band", "t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select("dim", "band", "t", "part", before.alias("before")), ["dim", "band", "t", "part"]).select("dim", "band", "t", "query", "rep", (F.col("before") + F.col("no")).alias("rank"), "n")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = 16, share: float = SHARE, window_rows: int | None = None, seed: int = 11,
@@ -144,10 +149,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     asked = cut(asked.join(index.select("v", "rep"), "v").select("query_id", "rep"))
     ranked = _ranked(index, asked, orderings, seed).withColumn("w", F.lit(window_rows).cast("long") if window_rows else F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share)).cast("long"))
     placed = cut(ranked)
-    rows = placed.where("NOT query").select("dim", "t", F.expr(f"rank div {block}").alias("block"), "rank", "rep").join(index.select("rep", "v"), "rep")
+    rows = placed.where("NOT query").select("dim", "band", "t", F.expr(f"rank div {block}").alias("block"), "rank", "rep").join(index.select("rep", "v"), "rep")
     places = F.sequence(F.expr(f"greatest(rank - w, 0) div {block}"), F.expr(f"least(rank + w, n - 1) div {block}"))
     queries = placed.where("query").join(index.select("rep", "v"), "rep").select(
-        F.col("dim").alias("d"), F.col("t").alias("o"), F.explode(places).alias("b"), F.col("rank").alias("place"), "w", F.col("rep").alias("query"), F.col("v").alias("qv"))
+        F.col("dim").alias("d"), F.col("band").alias("of"), F.col("t").alias("o"), F.explode(places).alias("b"), F.col("rank").alias("place"), "w", F.col("rep").alias("query"), F.col("v").alias("qv"))
     ddl = "q long, c long, score double"
     schema = arrow_schema(vectors.sparkSession, ddl)
 
@@ -174,7 +179,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
                         c.append(v)
         return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, schema)], schema=schema)
 
-    pairs = rows.groupBy("dim", "t", "block").cogroup(queries.groupBy("d", "o", "b")).applyInArrow(search, ddl)
+    pairs = rows.groupBy("dim", "band", "t", "block").cogroup(queries.groupBy("d", "of", "o", "b")).applyInArrow(search, ddl)
     pairs = pairs.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = pairs.withColumn("no", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("no") <= k + 1)
     # The smallest ids of equal vectors, then k + 1 of all: a list for each query vector, without the query's own id.

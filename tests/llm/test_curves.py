@@ -102,3 +102,19 @@ def test_recall_where_lengths_differ(spark, sigma):
     found = recall(spark, x, np.arange(0, 10_000, 50))
     print("recall", sigma, found)
     assert found[0] >= 0.9
+
+
+def test_recall_with_one_very_long_row(spark):
+    rng = np.random.default_rng(7)
+    x = unit(rng, 10_000)
+    x[77] *= 1000.0
+    found = recall(spark, x, np.arange(0, 10_000, 50))
+    print("recall outlier", found)
+    assert found[0] >= 0.9 and found[1] >= 0.5
+
+
+def test_lengths_at_the_ends_of_what_a_double_holds(spark):
+    rows = [(i, [float(1 + i % 3), float(i % 7), 1.0], e) for i, e in enumerate([1e-300, 1.0, 1e150] * 20)]
+    rows = [(i, [c * e for c in v]) for i, v, e in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert lists(nearest(df, F.col("vec_id") % 20 == 0)) == plain(rows)
