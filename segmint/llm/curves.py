@@ -5,8 +5,8 @@ length one and a zero there, so that the largest inner product is the nearest
 point.  Each of ``orderings`` projects them on a few random directions, shifts
 them and numbers them along a Hilbert curve; Spark range-partitions an ordering
 by that number, queries among the rows.  A query looks at the rows within
-``window`` ranks of its place (not of its own row's) in every ordering; what the
-windows find is merged and reranked by the inner product of the original
+``window`` ranks of its place in every ordering, and of its own row's place if
+that is another; what the windows find is merged and reranked by the inner product of the original
 vectors in double precision.
 
 Rows are indexed in bands of length (a factor of two each); a band is scaled by
@@ -27,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,17 @@ from pyspark.sql import functions as F
 
 from segmint.llm._util import arrow_schema, cut
 
-AXES, BITS = 8, 8
+#: An axis has nearly all bits of a double, so that rows in one coarse cell still have an order of their own in every ordering.
+AXES, BITS = 8, 48
+WORDS = AXES * BITS // 64
 SHARE, LEAST = 0.05, 256
 #: Rows of an ordering in a block, which one task holds; parts into which the ids of equal vectors are dealt.
 BLOCK, SALT = 32_768, 64
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
-    """Place along the Hilbert curve of points with integer coordinates below 2^bits (n x axes), by the transpose method."""
+    """Place along the Hilbert curve of points with integer coordinates below 2^bits (n x axes), by the transpose method;
+    of more than 64 bits, a row of words of 64 (the last one may have fewer)."""
     x = points.astype(np.uint64).T.copy()
     for b in range(bits - 1, 0, -1):
         q, low = np.uint64(1 << b), np.uint64((1 << b) - 1)
@@ -59,21 +63,21 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     for b in range(bits - 1, 0, -1):
         flip ^= np.where((x[-1] >> np.uint64(b)) & np.uint64(1) != 0, np.uint64((1 << b) - 1), np.uint64(0))
     x ^= flip
-    key = np.zeros(x.shape[1], dtype=np.uint64)
-    for b in range(bits - 1, -1, -1):
-        for row in x:
-            key = key << np.uint64(1) | (row >> np.uint64(b)) & np.uint64(1)
-    return key
+    words = np.zeros((x.shape[1], -(-bits * len(x) // 64)), dtype=np.uint64)
+    for at, (b, row) in enumerate(itertools.product(range(bits - 1, -1, -1), x)):
+        words[:, at // 64] = words[:, at // 64] << np.uint64(1) | (row >> np.uint64(b)) & np.uint64(1)
+    return words if words.shape[1] > 1 else words[:, 0]
 
 
 def keys(x: np.ndarray, ordering: int, seed: int) -> np.ndarray:
-    """Places (ordered as signed longs) in one ordering of vectors of length one at most (queries: one)."""
+    """Places (WORDS signed longs each) in one ordering of vectors of length one at most (queries: one)."""
     rng = np.random.default_rng([seed, ordering, x.shape[1]])
     x = np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]])
     axes = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0][:, :min(AXES, x.shape[1])]
     even = 1 / (1 + np.exp(-1.702 * np.sqrt(x.shape[1]) * (x @ axes)))  # projections, spread about evenly over (0, 1)
     shifted = (even + rng.random(axes.shape[1])) / 2
-    place = hilbert((shifted * (1 << BITS)).astype(np.uint64), BITS)
+    place = hilbert((shifted * (1 << BITS)).astype(np.uint64), BITS).reshape(len(x), -1)
+    place = np.hstack([place, np.zeros((len(x), WORDS - place.shape[1]), dtype=np.uint64)])  # fewer axes, fewer words
     return (place ^ np.uint64(1 << 63)).view(np.int64)
 
 
@@ -99,11 +103,13 @@ def _index(vectors: DataFrame, k: int) -> DataFrame:
 
 def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> DataFrame:
     """dim, band, t, query, rep, rank, n: the place of every vector in every ordering of its band, and how many lie before every query in every band."""
-    ddl = "dim int, band int, n long, t int, key long, query boolean, rep long"
+    words = [f"key{i}" for i in range(WORDS)]
+    ddl = f"dim int, band int, n long, t int, query boolean, rep long, tie long, {', '.join(f'{w} long' for w in words)}"
     schema = arrow_schema(index.sparkSession, ddl)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            reps = b.column(0).to_numpy()
             query, dims, bands, n, scale = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
@@ -111,7 +117,9 @@ def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> Da
                 x = x / np.abs(x).max(axis=1)[:, None]
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None] * scale[own, None]
                 for t in range(orderings):
-                    cols = [dims[own], bands[own], n[own], np.full(len(own), t, dtype=np.int32), keys(x, t, seed), query[own], b.column(0).to_numpy()[own]]
+                    # Equal places: by id, in another order for each ordering.
+                    tie = (reps[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 * (2 * t + 1) % (1 << 64))).view(np.int64)
+                    cols = [dims[own], bands[own], n[own], np.full(len(own), t, dtype=np.int32), query[own], reps[own], tie, *keys(x, t, seed).T]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     sizes = index.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("log").alias("longest"))  # a row per band
@@ -119,21 +127,21 @@ def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> Da
     queries = index.drop("band").join(asked.select("rep").distinct(), "rep", "left_semi").join(sizes, "dim")
     placed = own.unionByName(queries.select("rep", F.lit(True).alias("query"), "dim", "band", "n", F.lit(1.0).alias("scale"), "v")).mapInArrow(place, ddl)
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["dim", "band", "t", "key", F.desc("query"), "rep"]
+    order = ["dim", "band", "t", *words, F.desc("query"), "tie"]
     ddl2 = "dim int, band int, n long, t int, query boolean, rep long, part int, no long"
     schema2 = arrow_schema(index.sparkSession, ddl2)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
-            dims, bands, ts, query = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 5))
+            dims, bands, ts, query = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
             no = np.zeros(b.num_rows, dtype=np.int64)
             for d, band, t in sorted(set(zip(dims.tolist(), bands.tolist(), ts.tolist()))):
                 own = np.flatnonzero((dims == d) & (bands == band) & (ts == t))
                 rows = (~query[own]).astype(np.int64)
                 no[own] = seen.get((d, band, t), 0) + rows.cumsum() - rows
                 seen[d, band, t] = seen.get((d, band, t), 0) + int(rows.sum())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(no)], schema=schema2)
 
     rows = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, ddl2))
     counts = rows.groupBy("dim", "band", "t", "part").agg(F.count_if(~F.col("query")).alias("rows"))
@@ -150,9 +158,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     ranked = _ranked(index, asked, orderings, seed).withColumn("w", F.lit(window_rows).cast("long") if window_rows else F.greatest(F.lit(LEAST), F.ceil(F.col("n") * share)).cast("long"))
     placed = cut(ranked)
     rows = placed.where("NOT query").select("dim", "band", "t", F.expr(f"rank div {block}").alias("block"), "rank", "rep").join(index.select("rep", "v"), "rep")
-    places = F.sequence(F.expr(f"greatest(rank - w, 0) div {block}"), F.expr(f"least(rank + w, n - 1) div {block}"))
-    queries = placed.where("query").join(index.select("rep", "v"), "rep").select(
-        F.col("dim").alias("d"), F.col("band").alias("of"), F.col("t").alias("o"), F.explode(places).alias("b"), F.col("rank").alias("place"), "w", F.col("rep").alias("query"), F.col("v").alias("qv"))
+    places = F.sequence(F.expr(f"greatest(start, 0) div {block}"), F.expr(f"least(stop, n - 1) div {block}"))
+    # The window of a query's place and, in its own band, the one of its row's place, which is among its near copies; one window where they meet.
+    windows = placed.join(asked.select("rep").distinct(), "rep", "left_semi").groupBy("dim", "band", "t", "rep", "n", "w").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    windows = windows.selectExpr("dim", "band", "t", "rep", "n", "inline(if(high - low <= 2 * w, array(struct(low - w AS start, high + w AS stop)), array(struct(low - w AS start, low + w AS stop), struct(high - w AS start, high + w AS stop))))")
+    queries = windows.join(index.select("rep", "v"), "rep").select(
+        F.col("dim").alias("d"), F.col("band").alias("of"), F.col("t").alias("o"), F.explode(places).alias("b"), "start", "stop", F.col("rep").alias("query"), F.col("v").alias("qv"))
     ddl = "q long, c long, score double"
     schema = arrow_schema(vectors.sparkSession, ddl)
 
@@ -161,11 +172,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
         if found.num_rows and asked.num_rows:
             order = np.argsort(found.column("rank").to_numpy())
             ranks, reps, x = found.column("rank").to_numpy()[order], found.column("rep").to_numpy()[order], _matrix(found.column("v"))[order]
-            q_order = np.argsort(asked.column("place").to_numpy())
-            q_rank, q_rep, q, w = asked.column("place").to_numpy()[q_order], asked.column("query").to_numpy()[q_order], _matrix(asked.column("qv"))[q_order], int(asked.column("w")[0].as_py())
-            lo, hi = np.searchsorted(ranks, q_rank - w), np.searchsorted(ranks, q_rank + w, side="right")
+            q_order = np.argsort(asked.column("start").to_numpy())
+            start, stop, q_rep = (asked.column(c).to_numpy()[q_order] for c in ("start", "stop", "query"))
+            q = _matrix(asked.column("qv"))[q_order]
+            lo, hi = np.searchsorted(ranks, start), np.searchsorted(ranks, stop, side="right")
             for s in range(0, len(q), 64):
-                scores = q[s:s + 64] @ x[lo[s]:hi[min(s + 64, len(q)) - 1]].T
+                scores = q[s:s + 64] @ x[lo[s]:hi[s:s + 64].max()].T
                 for i in range(s, min(s + 64, len(q))):
                     own = scores[i - s, lo[i] - lo[s]:hi[i] - lo[s]]
                     if not len(own):

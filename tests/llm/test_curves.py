@@ -118,3 +118,24 @@ def test_lengths_at_the_ends_of_what_a_double_holds(spark):
     rows = [(i, [c * e for c in v]) for i, v, e in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert lists(nearest(df, F.col("vec_id") % 20 == 0)) == plain(rows)
+
+
+@pytest.mark.parametrize("spread", [1e-3, 1e-4, 1e-5])
+def test_recall_within_a_tight_group(spark, spread):
+    """A third of all rows is one vector with jitter; queries from the group."""
+    rng = np.random.default_rng(8)
+    x = unit(rng, 9_000)
+    group = x[1] + spread * unit(rng, 3_000)
+    x[:9_000:3] = group / np.linalg.norm(group, axis=1)[:, None]
+    found = recall(spark, x, np.arange(0, 9_000, 45))
+    print("recall group", spread, found)
+    assert found[0] >= 0.9
+
+
+def test_recall_within_a_tight_group_of_other_lengths(spark):
+    rng = np.random.default_rng(9)
+    x = unit(rng, 9_000) * rng.uniform(0.8, 1.25, size=(9_000, 1))
+    x[:9_000:3] = 0.9 * x[1] / np.linalg.norm(x[1]) + 1e-4 * unit(rng, 3_000)
+    found = recall(spark, x, np.arange(0, 9_000, 45))
+    print("recall group lengths", found)
+    assert found[0] >= 0.9
