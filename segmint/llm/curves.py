@@ -42,8 +42,8 @@ from segmint.llm._util import arrow_schema, cut
 AXES, BITS = 8, 48
 WORDS = AXES * BITS // 64
 SHARE, LEAST = 0.05, 256
-#: Rows of an ordering in a block, which one task holds; parts into which the ids of equal vectors are dealt.
-BLOCK, SALT = 32_768, 64
+#: Rows of an ordering in a block and about the queries of a lot, which one task holds together; parts into which the ids of equal vectors are dealt.
+BLOCK, LOT, SALT = 32_768, 16_384, 64
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -149,8 +149,16 @@ def _ranked(index: DataFrame, asked: DataFrame, orderings: int, seed: int) -> Da
     return rows.join(counts.select("dim", "band", "t", "part", before.alias("before")), ["dim", "band", "t", "part"]).select("dim", "band", "t", "query", "rep", (F.col("before") + F.col("no")).alias("rank"), "n")
 
 
+def _dealt(rows: DataFrame, queries: DataFrame, lot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries of every block with a lot number: queries dealt into lots of about ``lot``, rows in every lot; blocks without queries go."""
+    lots = cut(queries.groupBy("d", "of", "o", "b").agg(F.ceil(F.count("*") / lot).cast("int").alias("lots")))  # a row per block
+    own = lots.select(F.col("d").alias("dim"), F.col("of").alias("band"), F.col("o").alias("t"), F.col("b").alias("block"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    dealt = queries.join(lots, ["d", "of", "o", "b"]).withColumn("l", F.pmod(F.xxhash64("query"), F.col("lots")).cast("int")).drop("lots")
+    return rows.join(own, ["dim", "band", "t", "block"]), dealt
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = 16, share: float = SHARE, window_rows: int | None = None, seed: int = 11,
-            block: int = BLOCK) -> DataFrame:
+            block: int = BLOCK, lot: int = LOT) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: up to ``k`` rows for each row of ``vectors`` (vec_id, embedding) where ``is_query`` holds."""
     index = cut(_index(vectors, k))
     asked = vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).where("query_id IS NOT NULL").distinct()
@@ -191,7 +199,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
                         c.append(v)
         return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, schema)], schema=schema)
 
-    pairs = rows.groupBy("dim", "band", "t", "block").cogroup(queries.groupBy("d", "of", "o", "b")).applyInArrow(search, ddl)
+    rows, queries = _dealt(rows, queries, lot)
+    pairs = rows.groupBy("dim", "band", "t", "block", "lot").cogroup(queries.groupBy("d", "of", "o", "b", "l")).applyInArrow(search, ddl)
     pairs = pairs.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = pairs.withColumn("no", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("no") <= k + 1)
     # The smallest ids of equal vectors, then k + 1 of all: a list for each query vector, without the query's own id.

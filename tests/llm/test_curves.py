@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmint.llm.curves import hilbert, nearest
+from segmint.llm.curves import _dealt, hilbert, nearest
 from segmint.llm.queries import op5_nearest
 
 
@@ -139,3 +139,18 @@ def test_recall_within_a_tight_group_of_other_lengths(spark):
     found = recall(spark, x, np.arange(0, 9_000, 45))
     print("recall group lengths", found)
     assert found[0] >= 0.9
+
+
+def test_queries_of_a_block_come_in_bounded_lots(spark):
+    rows = spark.range(100).selectExpr("1 AS dim", "0 AS band", "0 AS t", "id div 50 AS block", "id AS rank", "id AS rep")
+    queries = spark.range(4_000).selectExpr("1 AS d", "0 AS of", "0 AS o", "0L AS b", "id AS query")
+    own, asked = _dealt(rows, queries, 250)
+    sizes = {r["l"]: r["count"] for r in asked.groupBy("l").count().collect()}
+    assert len(sizes) == 16 and sum(sizes.values()) == 4_000 and max(sizes.values()) <= 2 * 250
+    assert {(r["block"], r["lot"]): r["count"] for r in own.groupBy("block", "lot").count().collect()} == {(0, k): 50 for k in range(16)}
+
+
+def test_lots_change_nothing(spark):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(np.random.default_rng(10), 1_000, 8))], "vec_id long, embedding array<double>")
+    asked = F.col("vec_id") % 4 == 0
+    assert lists(nearest(df, asked, window_rows=60, block=100, lot=9)) == lists(nearest(df, asked, window_rows=60, block=100))
