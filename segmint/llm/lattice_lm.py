@@ -44,8 +44,8 @@ from segmint.llm.hashing import HashTable
 
 BLOCK_TOKENS = 4_000_000
 CLASS_SHARE, ROUNDS, PRIOR = 0.01, 2, 1000.0
-#: Words that a task handles at once, and longest piece in bytes.
-WORDS_AT_ONCE, LONGEST = 1 << 16, 24
+#: Words that a task handles at once.
+WORDS_AT_ONCE = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 LOG10 = math.log(10)
 
@@ -54,7 +54,7 @@ class Vocabulary:
     """The pieces (bytes) with a hash table from a piece's polynomial hash to its id."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = [t for t in tokens if 0 < len(t) <= LONGEST and b" " not in t[1:]]
+        self.tokens = [t for t in tokens if t and b" " not in t[1:]]
         self.starts = np.array([t[:1] == b" " for t in self.tokens])
         with np.errstate(over="ignore"):
             keys = np.zeros(len(self.tokens), dtype=np.uint64)
@@ -115,13 +115,13 @@ def expected(ids: list[np.ndarray], logp: np.ndarray) -> np.ndarray:
     return out[:-1]
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Places and texts (a blank before each) of the words of each length, in bounded lots."""
+def by_length(words: list[bytes], longest: int = 24) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Places and texts (a blank before each) of the words of each length, in lots bounded for pieces of at most ``longest`` bytes."""
     lots: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         lots.setdefault(len(w), []).append(i)
     for m, at in sorted(lots.items()):
-        step = max(1, min(20_000, (1 << 22) // ((m + 1) * min(m + 1, LONGEST))))
+        step = max(1, min(20_000, (1 << 22) // ((m + 1) * min(m + 1, longest))))
         for k in range(0, len(at), step):
             yield at[k:k + step], [b" " + words[i] for i in at[k:k + step]]
 
@@ -145,7 +145,7 @@ class LatticeModel:
     def word_scores(self, vocabulary: Vocabulary, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Log probability of each word (rows) in each class; ``counts``: words x classes."""
         out = np.empty((len(words), len(self.priors)))
-        for at, own in by_length(words):
+        for at, own in by_length(words, vocabulary.longest):
             ids = vocabulary.spans(own)
             for c in range(len(self.priors)):
                 spelt = forward(ids, self.logp[c])[-1] + self.spelt[c]
@@ -239,7 +239,7 @@ def _reestimate(words: DataFrame, tokens: list[bytes], logp: np.ndarray) -> np.n
         total = np.zeros((classes, len(v.tokens)))
         for own, counts in _lots(batches, classes):
             for c in range(classes):
-                for _, texts in by_length([own[i] for i in np.flatnonzero(counts[:, c] > 0)]):
+                for _, texts in by_length([own[i] for i in np.flatnonzero(counts[:, c] > 0)], v.longest):
                     total[c] += expected(v.spans(texts), logp[c])
         c, p = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(p, pa.int32()), pa.array(total[c, p])], schema=schema)

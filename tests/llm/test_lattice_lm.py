@@ -49,6 +49,16 @@ def test_recursions_sum_over_all_segmentations():
         assert abs(n.sum() - sum(each.values())) < 1e-6 and all(abs(n[i] - q) < 1e-9 for i, q in each.items())
 
 
+def test_no_piece_is_too_long():
+    v = Vocabulary(read_ranks(PIECES))
+    long = [t for t in read_ranks(PIECES) if len(t) > 24 and b" " not in t[1:]]
+    assert long and set(long) <= set(v.tokens) and v.longest == max(map(len, v.tokens))
+    v = Vocabulary([b" ", b"a", b" " + b"a" * 40])
+    logp = np.append(np.log([0.5, 0.25, 0.125]), -np.inf)
+    got = forward(v.spans([b" " + b"a" * 40]), logp)[-1][0]
+    assert abs(got - math.log(0.125 + 0.5 * 0.25**40)) < 1e-9
+
+
 def test_words_by_length():
     words = [b"a", b"bb", b"c", b"x" * 3000]
     seen = {i: t for at, texts in by_length(words) for i, t in zip(at, texts)}
