@@ -195,27 +195,39 @@ def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool =
     variables = list(dict.fromkeys(variables))
     n = len(variables)
     data = cut_lineage(df.select(*[F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)]))
-    least = data.agg(*[F.min(f"x{i}").alias(f"x{i}") for i in range(n)]).first()
     # SQL texts: thousands of small expressions cost more as calls than as work.
-    low = [repr(float(least[f"x{i}"] or 0.0)) + "D" for i in range(n)]
     mask = " + ".join(f"if(x{i} IS NOT NULL, {1 << i}L, 0L)" for i in range(n))
-    rows = data.selectExpr(f"{mask} AS mask", *[f"coalesce(x{i} - {low[i]}, 0D) AS x{i}" for i in range(n)])
+    data = data.selectExpr(f"{mask} AS mask", *[f"x{i}" for i in range(n)])
+    # Every pattern of nulls is summed about its own means, every pair about the means of its own rows.
+    means = cut_lineage(data.groupBy("mask").agg(F.count("*").alias("rows"), *[F.expr(f"{f}(x{i})").alias(f"{c}{i}") for i in range(n) for f, c in (("avg", "a"), ("min", "lo"), ("max", "hi"))]))
+    shifts = means.select("mask", *[f"a{i}" for i in range(n)])
+    rows = data.join(shifts, "mask").selectExpr("mask", *[f"coalesce(x{i} - a{i}, 0D) AS x{i}" for i in range(n)])
     products = [(i, j) for i in range(-1, n) for j in range(i, n)]     # -1: the constant one
     name = {own: f"p{i}" for i, own in enumerate(products)}
     factor = lambda i: "1D" if i < 0 else f"x{i}"
-    sums = rows.groupBy("mask").agg(*[F.expr(f"sum({factor(i)} * {factor(j)})").alias(c) for (i, j), c in name.items()])
-    # A pattern without columns and with no rows, so that every pair appears.
-    none = df.sparkSession.range(1).selectExpr("0L AS mask", *[f"0D AS {c}" for c in name.values()])
-    cells = []
+    sums = cut_lineage(rows.groupBy("mask").agg(*[F.expr(f"sum({factor(i)} * {factor(j)})").alias(c) for (i, j), c in name.items()])).join(shifts, "mask")
+    at = {own: k for k, own in enumerate(products)}
+    pairs = []
     for i, j in [(i, j) for i in range(n) for j in range(i, n)]:
-        bits = 1 << i | 1 << j
         six = [(-1, -1), (-1, i), (-1, j), (i, i), (j, j), (i, j)]
-        cells.append(f"named_struct('x', {i}, 'y', {j}, " + ", ".join(f"'s{k}', if(mask & {bits}L = {bits}L, {name[own]}, 0D)" for k, own in enumerate(six)) + ")")
-    six = sums.unionByName(none).selectExpr(f"inline(array({', '.join(cells)}))").groupBy("x", "y").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+        pairs.append(f"named_struct('x', {i}, 'y', {j}, 'bits', {1 << i | 1 << j}L, " + ", ".join(f"'k{k}', {at[own]}" for k, own in enumerate(six)) + ")")
+    pairs = f"inline(array({', '.join(pairs)}))"  # constants
+    columns = lambda c, k: f"array({', '.join(f'{c}{i}' for i in range(k))}) AS {c}"
+    # A pattern without columns and with no rows, so that every pair appears.
+    none = df.sparkSession.range(1).selectExpr("0L AS mask", "0L AS rows", *[f"CAST(NULL AS double) AS {c}{i}" for i in range(n) for c in ("a", "lo", "hi")])
+    of = means.unionByName(none).selectExpr("mask", "rows", *[columns(c, n) for c in ("a", "lo", "hi")]).selectExpr("*", pairs)
+    of = of.selectExpr("x", "y", "if(mask & bits = bits, rows, 0L) AS m", *[f"if(mask & bits = bits, {c}[{k}], NULL) AS {c}{k}" for k in "xy" for c in ("a", "lo", "hi")])
+    centres = of.groupBy("x", "y").agg(
+        *[F.expr(e) for e in ("sum(m * ax) / nullif(sum(m), 0) AS cx", "sum(m * ay) / nullif(sum(m), 0) AS cy", "min(lox) < max(hix) AND min(loy) < max(hiy) AS varies")])  # a row per pair
+    parts = sums.selectExpr("mask", columns("a", n), columns("p", len(products))).selectExpr("*", pairs).where("mask & bits = bits")
+    parts = parts.selectExpr("x", "y", "a[x] AS ax", "a[y] AS ay", *[f"p[k{k}] AS t{k}" for k in range(6)])
+    moved = centres.join(parts, ["x", "y"], "left").withColumn("dx", F.col("ax") - F.col("cx")).withColumn("dy", F.col("ay") - F.col("cy"))
+    about = ("t0", "t1 + t0 * dx", "t2 + t0 * dy", "t3 + 2 * dx * t1 + t0 * dx * dx", "t4 + 2 * dy * t2 + t0 * dy * dy", "t5 + dx * t2 + dy * t1 + t0 * dx * dy")
+    six = moved.groupBy("x", "y", "varies").agg(*[F.expr(f"sum({e})").alias(f"s{k}") for k, e in enumerate(about)])
     m, sx, sy, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
     vx, vy = xx - sx * sx / F.nullif(m, F.lit(0.0)), yy - sy * sy / F.nullif(m, F.lit(0.0))
-    tiny = F.lit(1e-13)  # rounding of a constant column
-    r = F.when((vx > tiny * xx) & (vy > tiny * yy), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (xy - sx * sy / m) / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))))
+    r = (xy - sx * sy / m) / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))
+    r = F.when(F.col("varies") & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     per_pair = six.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r"))
     names = F.array(*[F.lit(v) for v in variables])
     a, b = names[F.col("x")], names[F.col("y")]

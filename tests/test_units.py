@@ -320,6 +320,20 @@ def test_redundant_pairs_test_the_unrounded_r(spark):
     assert [(r.var_x, r.var_y, r.r) for r in found] == [("y", "x", 0.8)]
 
 
+def test_correlation_with_a_far_value_where_the_other_is_null(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400)
+    b = a + 0.3 * rng.normal(size=400)
+    rows = [(float(x), float(y), 5.1, float(x) + 1e9) for x, y in zip(a, b)] + [(-1e8, None, 5.1, None), (None, 1e12, 5.1, None), (None, None, None, -1e15)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r.var_x, r.var_y): r.r for r in st.correlation_long(df, ["a", "b", "c", "d"], lower_only=True, digits=None).collect()}
+    want = np.corrcoef(a, b)[0, 1]
+    assert math.isclose(got["b", "a"], want, rel_tol=1e-12)
+    assert math.isclose(got["d", "b"], want, rel_tol=1e-6) and math.isclose(got["d", "a"], 1.0, rel_tol=1e-6)
+    assert got["c", "a"] is None and got["c", "c"] is None and len(got) == 10
+    assert ("b", "a") in {(r.var_x, r.var_y) for r in st.redundant_pairs(st.correlation_long(df, ["a", "b"], lower_only=True, digits=None)).collect()}
+
+
 def test_correlation_of_many_variables_and_null_patterns(spark):
     import pandas as pd
     rng = np.random.default_rng(2)
