@@ -6,7 +6,8 @@ and read again as the next one's docs.  All but the last return the columns of
 modules define.
 
 1. language ID: documents without a language (null text, or no letter in it) go;
-   the language found replaces ``lang``;
+   the language found replaces ``lang``, which stays where there is no language to
+   learn;
 2. exact dedup: of equal texts (blanks deleted) one stays;
 3. SimHash near-dedup: of documents linked within 4 bits the smallest doc_id stays;
 4. mixing: documents are taken, up to twice, toward the target weights;
@@ -27,8 +28,8 @@ from segmint.llm._util import bounded, cut, id_crc_mod, table
 @bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where((id_crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull()))
-    found = langid.predict(docs, model).where(F.col("__lang") != langid.UNKNOWN)
-    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    found = langid.marked(docs, model).where("__letter")
+    return found.withColumn("lang", F.col("__lang") if model.families else F.col("lang")).select(*docs.columns)
 
 
 @bounded

@@ -135,16 +135,21 @@ def fit(docs: DataFrame, per_language: int = 1000, seed: int = 7) -> LanguageMod
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``__lang`` and ``__score`` after them; only the text goes through Python."""
+def marked(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` with ``__lang``, ``__score`` and ``__letter`` (whether the text has one) after them; only the text goes through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, score: double>")
+    @F.pandas_udf("struct<lang: string, score: double, letter: boolean>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(shared.value.predict, texts), columns=["lang", "score"])
+        return pd.DataFrame(((*shared.value.predict(t), bool(t and _LETTER.search(t))) for t in texts), columns=["lang", "score", "letter"])
+
+    own = docs.withColumn("__found", found.asNondeterministic()(F.col("text").cast("string")))  # not evaluated again by a filter on it
+    return own.select(*[own[c] for c in docs.columns], F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"), F.col("__found.letter").alias("__letter"))
 
-    marked = docs.withColumn("__found", found.asNondeterministic()(F.col("text").cast("string")))  # not evaluated again by a filter on it
-    return marked.select(*[marked[c] for c in docs.columns], F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` with ``__lang`` and ``__score`` after them."""
+    return marked(docs, model).drop("__letter")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 1000) -> DataFrame:

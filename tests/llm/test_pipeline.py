@@ -114,3 +114,9 @@ def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
     assert set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_language_stage_keeps_documents_where_no_language_is_known(spark):
+    rows = [(i, f"a clean text {i}", None, "web", 12) for i in range(20)] + [(30, None, None, "web", 0), (31, "12 34", None, "web", 5), (32, "", None, "web", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.language_id(spark, docs, SF).collect())) == rows[:20]
