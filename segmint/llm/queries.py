@@ -14,6 +14,7 @@ from segmint.llm.curves import nearest
 from segmint.llm.exact_dedup import exact_dedup
 from segmint.llm.langid import identify
 from segmint.llm.lattice_lm import score_documents
+from segmint.llm.licenses import license_digest, license_sql, scan_licenses
 from segmint.llm.mixing import mix
 from segmint.llm.simhash import hex_fingerprint, near_duplicates
 from segmint.llm.substring import remove_repeats
@@ -99,8 +100,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN, rule="first")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places of licence phrases and the labels of the notices that it holds."""
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (
-    op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts)}
+    op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts,
+    op11_licenses)}
 
 
 def _mixing_sql() -> str:
@@ -141,4 +148,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
     "op8_mixing": _mixing_sql(),
+    "op11_licenses": license_sql(),
 }
