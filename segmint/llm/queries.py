@@ -16,6 +16,7 @@ from segmint.llm.langid import identify
 from segmint.llm.lattice_lm import score_documents
 from segmint.llm.licenses import license_digest, license_sql, scan_licenses
 from segmint.llm.mixing import mix
+from segmint.llm.runs import periodic_runs, planted, runs_digest
 from segmint.llm.simhash import hex_fingerprint, near_duplicates
 from segmint.llm.substring import remove_repeats
 from segmint.llm.token_counts import count_tokens
@@ -105,9 +106,15 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, with the repetitions that the ids' checksums plant."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs_digest(periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (
     op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts,
-    op11_licenses)}
+    op11_licenses, op12_runs)}
 
 
 def _mixing_sql() -> str:
