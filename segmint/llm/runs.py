@@ -246,7 +246,9 @@ def planted(doc_id: Column, text: Column) -> Column:
         p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
         return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
 
-    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), changed(words)).otherwise(text)
+    # The words are bound to a variable, so that they are not cut out of the text again for every place.
+    once = F.get(F.transform(F.array(words), changed), 0)
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), once).otherwise(text)
 
 
 def runs_digest(found: DataFrame) -> DataFrame:
