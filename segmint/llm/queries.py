@@ -22,6 +22,7 @@ from segmint.llm.substring import remove_repeats
 from segmint.llm.token_counts import count_tokens
 from segmint.llm.toxicity import fit as fit_toxicity
 from segmint.llm.toxicity import score as score_toxicity
+from segmint.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,9 +113,14 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_digest(periodic_runs(docs))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's whitened value along the eight components of most variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: bounded(f) for f in (
     op1_simhash, op2_substring, op3_exact_dedup, op4_toxicity, op5_nearest, op6_lattice_lm, op7_language_id, op8_mixing, op9_byte_bpe, op10_token_counts,
-    op11_licenses, op12_runs)}
+    op11_licenses, op12_runs, op13_whitening)}
 
 
 def _mixing_sql() -> str:
