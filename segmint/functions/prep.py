@@ -2,7 +2,7 @@
 
 All helpers return Columns or DataFrames built from built-in functions, so they
 stay inside whole-stage codegen.  None of them collects data, except
-``parse_when_all_valid`` which needs one aggregate to decide.
+``parse_all_valid`` which needs one aggregate to decide.
 """
 
 from __future__ import annotations
@@ -93,18 +93,23 @@ def flag_to_int(col: Column | str, true_value: str = "1") -> Column:
 
 
 def parse_when_all_valid(df: DataFrame, column: str, fmt: str | None = None) -> DataFrame:
-    """Convert a text column to timestamp only if every non-null value parses.
+    """Convert a text column to timestamp only if every non-null value parses."""
+    return parse_all_valid(df, [column], fmt)
 
-    One aggregate counts the values that fail; if any fails the frame is
-    returned unchanged, as a pandas ``to_datetime`` that raises would leave it.
+
+def parse_all_valid(df: DataFrame, columns: Iterable[str], fmt: str | None = None) -> DataFrame:
+    """Convert those of the text columns to timestamps whose every non-null value parses.
+
+    One aggregate holds a state for every column, the number of values that fail; a column where
+    any fails stays as it is, as a pandas ``to_datetime`` that raises would leave it.
     """
-    if not isinstance(df.schema[column].dataType, T.StringType):
-        return df
-    parsed = F.try_to_timestamp(F.col(column), F.lit(fmt)) if fmt else F.try_to_timestamp(F.col(column))
-    bad = df.agg(F.count_if(F.col(column).isNotNull() & parsed.isNull()).alias("bad")).first()["bad"]
-    if bad:
+    texts = [c for c in dict.fromkeys(columns) if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
         return df
-    return df.withColumn(column, parsed)
+    parsed = {c: F.try_to_timestamp(F.col(c), F.lit(fmt)) if fmt else F.try_to_timestamp(F.col(c)) for c in texts}
+    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & parsed[c].isNull()).alias(f"bad{i}") for i, c in enumerate(texts)]).first()
+    sound = {c: parsed[c] for i, c in enumerate(texts) if not bad[f"bad{i}"]}
+    return df.withColumns(sound) if sound else df
 
 
 def strip_timezone(col: Column | str) -> Column:

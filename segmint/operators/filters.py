@@ -19,6 +19,8 @@ Semantics kept from the reference:
 from __future__ import annotations
 
 import datetime as dt
+import math
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmint.functions.prep import impute_defaults, is_numeric, parse_when_all_valid, strip_timezone
+from segmint.functions.prep import impute_defaults, is_numeric, parse_all_valid, strip_timezone
+from segmint.session import cut_lineage, release
 
 OFF_SENTINEL = (0.0, 0.0)
 
@@ -80,7 +83,33 @@ class RegexFilter:
     def condition(self, mandatory: bool = False) -> Column | None:
         if not self.pattern:
             return None
-        return F.coalesce(F.col(self.column).rlike(self.pattern), F.lit(False))
+        return F.coalesce(F.col(self.column).rlike(java_pattern(self.pattern)), F.lit(False))
+
+
+def java_pattern(pattern: str) -> str:
+    """A Python regular expression in Java's dialect: named groups and the end of the text are written differently;
+    what Java has no form for (a condition on a group, a group name with an underscore) is refused."""
+    re.compile(pattern)  # not a pattern: the error says where
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            pair = pattern[i:i + 2]
+            out.append("\\z" if pair == "\\Z" else pair)
+            i += 2
+            continue
+        named = re.match(r"\(\?P(?:<(\w+)>|=(\w+)\))", pattern[i:])
+        if named:
+            name = named[1] or named[2]
+            if not re.fullmatch("[A-Za-z][A-Za-z0-9]*", name):
+                raise ValueError(f"group name {name!r}: use letters and digits only")
+            out.append(f"(?<{name}>" if named[1] else f"\\k<{name}>")
+            i += named.end()
+            continue
+        if pattern.startswith("(?(", i):
+            raise ValueError("a condition on a group is not supported in a text filter")
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
 
 
 Filter = RangeFilter | MemberFilter | DateRangeFilter | RegexFilter
@@ -138,43 +167,105 @@ CITY_FILL = {"REGION": "თბილისი", "PREF_CITY": "თბილის
 ALWAYS_RANGE = ("AVG_ATM_TRN_CNT",)
 
 
+def sketch_limit(cut: int) -> float:
+    """What the sketch can say at most about fewer than ``cut`` values.
+
+    That many values fill ``cut - 1`` of its 2^14 registers at most, and the estimate for so few is a function of
+    the number of empty ones.  An estimate above it therefore proves ``cut`` values or more.
+    """
+    m = 1 << 14
+    return math.ceil(m * math.log(m / (m - (cut - 1)))) if cut < m // 4 else math.inf
+
+
+SKETCH_ERROR = 0.01  # gives the 2^14 registers
+
+
+@dataclass(frozen=True)
+class Control:
+    """A control of the form as the choices before it leave it."""
+    column: str
+    kind: str              # categorical, numeric, datetime or text
+    rows: int              # rows that pass the choices before it
+    low: object = None     # numeric and datetime: least and largest value among them
+    high: object = None
+
+
+def _is_time(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _kind(dtype: T.DataType) -> str:
+    """The kind of a column with too many values for a list."""
+    return "numeric" if is_numeric(dtype) else "datetime" if _is_time(dtype) else "text"
+
+
+def _depth(conditions: Sequence[Column]) -> Column:
+    """How many of the conditions hold in a row, from the first on, before one fails."""
+    out = F.lit(len(conditions))
+    for j, c in reversed(list(enumerate(conditions))):
+        out = F.when(~F.coalesce(c, F.lit(False)), F.lit(j)).otherwise(out)
+    return out
+
+
+def _survey(cells: DataFrame, columns: Sequence[str], conditions: Sequence[Column], cut: int, known: Mapping[str, str],
+            ends_at: Sequence[bool]) -> tuple[list[Control], DataFrame]:
+    """Every control over the rows that pass the conditions before its own, and ``(control, value, n_rows)`` of the
+    categorical ones (written).
+
+    A row carries the number of leading conditions that it passes, so one aggregate serves all controls.  It
+    holds a sketch of distinct values for each; a column whose sketch proves too many values is no list, and
+    its values are never exchanged.  The rest is counted exactly, but for columns whose kind is ``known``.
+    ``ends_at[j]``: a categorical control j leaves no rows.
+    """
+    types = {f.name: f.dataType for f in cells.schema.fields}
+    rows = cells.select(_depth(conditions).alias("__depth"), *[F.col(c) for c in dict.fromkeys(columns)])
+    aggs = []
+    for j, c in enumerate(columns):
+        seen = F.when(F.col("__depth") >= j, F.col(c))
+        ordered = F.to_date(seen) if _is_time(types[c]) else seen if is_numeric(types[c]) else F.lit(None).cast("string")
+        aggs += [F.count_if(F.col("__depth") >= j).alias(f"n{j}"), F.approx_count_distinct(seen, SKETCH_ERROR).alias(f"d{j}"),
+                 F.min(ordered).alias(f"lo{j}"), F.max(ordered).alias(f"hi{j}")]
+    found = rows.agg(*aggs).first()
+    few = [j for j, c in enumerate(columns) if known.get(c, "categorical") == "categorical" and found[f"d{j}"] <= sketch_limit(cut)]
+    listed = F.array(*[F.when(F.col("__depth") >= j, F.struct(F.lit(j).alias("control"), F.col(columns[j]).cast("string").alias("value"))) for j in few])
+    counts = rows.select(F.inline(F.array_compact(listed))) if few else cells.sparkSession.createDataFrame([], "control int, value string")
+    counts = cut_lineage(counts.groupBy("control", "value").agg(F.count(F.lit(1)).alias("n_rows")))
+    exact = {r["control"]: r["n"] for r in counts.groupBy("control").agg(F.count("value").alias("n")).collect()}  # a row per control
+    out, open_ = [], True
+    for j, c in enumerate(columns):
+        listed_ = known.get(c) == "categorical" or c not in known and (j in few and exact.get(j, 0) < cut or not open_)
+        kind = "categorical" if listed_ else known.get(c) or _kind(types[c])
+        ends = (found[f"lo{j}"], found[f"hi{j}"]) if open_ and kind in ("numeric", "datetime") else (None, None)
+        out.append(Control(c, kind, found[f"n{j}"] if open_ else 0, *ends))
+        open_ = open_ and not (listed_ and ends_at[j])
+    return out, counts
+
+
 def column_kinds(df: DataFrame, columns: Sequence[str], cut: int = CATEGORICAL_CUT,
                  always_range: Iterable[str] = ALWAYS_RANGE) -> dict[str, str]:
     """Classify columns as ``categorical``, ``numeric``, ``datetime`` or ``text``.
 
     Categorical: fewer than ``cut`` distinct non-null values (unless listed in
-    ``always_range``).  All columns are counted exactly by one distinct aggregate
-    over ``(column, value as text)`` rows; no value is brought to the driver.
+    ``always_range``).  A sketch rules out the columns that have more, the others
+    are counted exactly; all columns share both passes.
     """
-    always_range = set(always_range)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
-    counts = df.select(F.inline(cells)).where("v IS NOT NULL").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    found = {columns[r["i"]]: r["n"] for r in counts.collect()}       # a row per column
-    kinds = {}
-    for c in columns:
-        dtype = types[c]
-        if found.get(c, 0) < cut and c not in always_range:
-            kinds[c] = "categorical"
-        elif is_numeric(dtype):
-            kinds[c] = "numeric"
-        elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            kinds[c] = "datetime"
-        else:
-            kinds[c] = "text"
-    return kinds
+    columns = list(columns)
+    cells = cut_lineage(df.select(*columns))
+    known = {c: _kind(cells.schema[c].dataType) for c in always_range if c in columns}
+    controls, counts = _survey(cells, columns, [F.lit(True)] * len(columns), cut, known, [False] * len(columns))
+    release(cells)
+    release(counts)
+    return {c.column: c.kind for c in controls}
 
 
 def prepare_filters(df: DataFrame, columns: Sequence[str] = tuple(FILTER_COLUMNS), fills: Mapping[str, str] | None = None) -> DataFrame:
     """What the filter panel does first: fill missing cities and regions, read text columns that hold only dates as
     timestamps, and drop the zone of timestamps."""
     df = impute_defaults(df, CITY_FILL if fills is None else fills)
-    for c in columns:
-        if c in df.columns:
-            df = parse_when_all_valid(df, c)
-            if isinstance(df.schema[c].dataType, T.TimestampType):
-                df = df.withColumn(c, strip_timezone(c))
-    return df
+    present = [c for c in columns if c in df.columns]
+    df = parse_all_valid(df, present)
+    zoned = [c for c in present if isinstance(df.schema[c].dataType, T.TimestampType)]
+    return df.withColumns({c: strip_timezone(c) for c in zoned}) if zoned else df
 
 
 def filter_panel(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGORICAL_CUT,
@@ -204,33 +295,111 @@ def filter_auto(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGO
     day drops out (both drop nulls); text -> no filter.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = df
-    for col, value in criteria.items():
-        dtype = types[col]
-        is_time = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        if value is None:
-            kind = (kinds or {}).get(col) or column_kinds(out, [col], cut, always_range)[col]
-            if kind == "categorical":
-                out = out.where(F.lit(False))
-            elif kind == "numeric":
-                hi = out.agg(F.max(col).alias("m")).first()["m"]
-                out = out.where(F.lit(False)) if hi is None else \
-                    apply_filters(out, [RangeFilter(col, (0.0, float(hi)))])
-            elif kind == "datetime":
-                ends = out.agg(F.min(F.to_date(col)).alias("lo"), F.max(F.to_date(col)).alias("hi")).first()
-                out = out.where(F.lit(False)) if ends["lo"] is None else \
-                    apply_filters(out, [DateRangeFilter(col, (ends["lo"], ends["hi"]))])
-            continue
-        if isinstance(value, str):
-            spec: Filter = RegexFilter(col, value)
-        elif isinstance(value, tuple):
-            if len(value) != 2:
-                raise ValueError(f"{col}: a range needs (low, high), got {value!r}")
-            spec = DateRangeFilter(col, value) if is_time else RangeFilter(col, value)
+    known = dict(kinds or {})
+    if any(v is None and known.get(c) not in ("categorical", "text") for c, v in criteria.items()):
+        controls, counts, cells = _form(df, criteria, cut, always_range, known)
+        release(counts)
+        release(cells)
+        by = {c.column: c for c in controls}
+    else:
+        by = {c: Control(c, known.get(c, ""), 0) for c in criteria}
+    conditions = [_condition(types[c], v, by[c]) for c, v in criteria.items()]
+    conditions = [c for c in conditions if c is not None]
+    return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
+
+
+def _condition(dtype: T.DataType, value: object, control: Control) -> Column | None:
+    """The condition of a chosen value, or of an untouched control by its kind (None: no filter)."""
+    col = control.column
+    if value is None:
+        if control.kind == "text":
+            return None
+        if control.kind == "categorical" or control.high is None:
+            return F.lit(False)
+        if control.kind == "numeric":
+            return RangeFilter(col, (0.0, float(control.high))).condition()
+        return DateRangeFilter(col, (_day(control.low), _day(control.high))).condition()
+    if isinstance(value, str):
+        spec: Filter = RegexFilter(col, value)
+    elif isinstance(value, tuple):
+        if len(value) != 2:
+            raise ValueError(f"{col}: a range needs (low, high), got {value!r}")
+        spec = DateRangeFilter(col, value) if _is_time(dtype) else RangeFilter(col, value)
+    else:
+        spec = MemberFilter(col, list(value))
+    return spec.condition(mandatory=True)
+
+
+def _day(at: dt.date) -> dt.date:
+    return at.date() if isinstance(at, dt.datetime) else at
+
+
+def _form(df: DataFrame, criteria: Mapping[str, object], cut: int, always_range: Iterable[str],
+          kinds: Mapping[str, str] | None = None) -> tuple[list[Control], DataFrame, DataFrame]:
+    """The controls of ``criteria`` in order, the counts of their values and the written columns they were read from.
+
+    The columns are written once, so that a costly ``df`` is evaluated once.  An untouched numeric control passes
+    what is not negative (its upper end is the largest value there is), an untouched text control everything.  Where
+    an untouched control of times stands before others, its last midnight has to be known first: one more aggregate for each.
+    """
+    columns = list(criteria)
+    cells = cut_lineage(df.select(*columns))
+    types = {f.name: f.dataType for f in cells.schema.fields}
+    known = {c: _kind(types[c]) for c in always_range if c in criteria} | dict(kinds or {})
+    conditions: list[Column] = []
+    for j, (c, v) in enumerate(criteria.items()):
+        if v is not None:
+            own = _condition(types[c], v, Control(c, "", 0))
+        elif known.get(c) == "categorical":
+            own = F.lit(False)
+        elif is_numeric(types[c]):
+            own = F.col(c) >= 0
+        elif _is_time(types[c]) and j + 1 < len(columns):
+            at = reduce(lambda a, b: a & b, conditions, F.lit(True))
+            row = cells.where(at).agg(F.min(F.to_date(c)).alias("lo"), F.max(F.to_date(c)).alias("hi")).first()
+            own = _condition(types[c], None, Control(c, "datetime", 0, row["lo"], row["hi"]))
         else:
-            spec = MemberFilter(col, list(value))
-        out = apply_filters(out, [spec], mandatory=True)
-    return out
+            own = None
+        conditions.append(F.lit(True) if own is None else own)
+    controls, counts = _survey(cells, columns, conditions, cut, known, [v is None for v in criteria.values()])
+    return controls, counts, cells
+
+
+def filter_options_cascade(df: DataFrame, criteria: Mapping[str, object], cut: int = CATEGORICAL_CUT,
+                           always_range: Iterable[str] = ALWAYS_RANGE) -> DataFrame:
+    """What every control of the form offers under the choices made before it.
+
+    ``criteria`` as in :func:`filter_auto`, in the order of the form; the choice of a control narrows those after
+    it, never itself.  Rows ``(position, column_name, kind, value, n_rows, low, high, first_day, last_day)``:
+
+    * categorical: a row for every value, null among them, with its number of rows (no row where nothing is left);
+    * numeric: the slider from ``low`` (0) to ``high`` (the largest value; null without one);
+    * datetime: ``first_day`` and ``last_day``;
+    * text: a search, with the number of rows it looks at.
+
+    Four jobs whatever the number of controls and rows; the plan of the result reads one written table of values.
+    """
+    if not criteria:
+        raise ValueError("the form has no controls")
+    controls, counts, cells = _form(df, criteria, cut, always_range)
+    release(cells)
+    ddl = "position int, column_name string, kind string, value string, n_rows long, low double, high double, first_day string, last_day string"
+    ranges = []
+    for j, c in enumerate(controls):
+        if c.kind == "numeric":
+            ranges.append((j, c.column, c.kind, None, c.rows, 0.0, None if c.high is None else float(c.high), None, None))
+        elif c.kind == "datetime":
+            days = [None if x is None else str(_day(x)) for x in (c.low, c.high)]
+            ranges.append((j, c.column, c.kind, None, c.rows, None, None, *days))
+        elif c.kind == "text":
+            ranges.append((j, c.column, c.kind, None, c.rows, None, None, None, None))
+    lists = [j for j, c in enumerate(controls) if c.kind == "categorical" and c.rows]
+    names = F.array(*[F.lit(c.column) for c in controls])
+    nothing = F.lit(None)
+    values = counts.where(F.col("control").isin(lists)).select(
+        F.col("control").alias("position"), names[F.col("control")].alias("column_name"), F.lit("categorical").alias("kind"), "value", "n_rows",
+        *[nothing.cast("double").alias(c) for c in ("low", "high")], *[nothing.cast("string").alias(c) for c in ("first_day", "last_day")])
+    return values.unionByName(df.sparkSession.createDataFrame(ranges, ddl))
 
 
 def numeric_options(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:

@@ -336,6 +336,26 @@ def _kmeans_ctes(ks: list[int], steps: int, seed: int = 42, starts: int = 2) ->
     return ",\n".join(out)
 
 
+def _cascade_sql() -> str:
+    """Control by control: the rows left by the choices before it, its kind, then its values or ends."""
+    parts, conds, numeric = [], [], ("MONTHLY_INCOME", "AVG_ATM_TRN_CNT", "AVG_POS_TRN_CNT")
+    for j, (c, v) in enumerate(q.CASCADE.items()):
+        left = f"(SELECT * FROM wide {_where(conds)})"
+        few = "FALSE" if c == "AVG_ATM_TRN_CNT" else f"(SELECT count(DISTINCT {c}) FROM {left}) < 88"
+        other = "numeric" if c in numeric else "text"
+        ends = ("0.0::DOUBLE", f"max({c})::DOUBLE") if c in numeric else ("NULL::DOUBLE", "NULL::DOUBLE")
+        parts.append(f"SELECT {j} AS position, {_lit(c)} AS column_name, 'categorical' AS kind, {c}::VARCHAR AS value, count(*)::BIGINT AS n_rows, "
+                     f"NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::VARCHAR AS first_day, NULL::VARCHAR AS last_day FROM {left} WHERE {few} GROUP BY {c}")
+        parts.append(f"SELECT {j}, {_lit(c)}, '{other}', NULL, count(*)::BIGINT, {ends[0]}, {ends[1]}, NULL, NULL FROM {left} HAVING NOT ({few})")
+        if isinstance(v, list):
+            conds.append(f"{c} IN ({_in(v)})")
+        elif isinstance(v, tuple):
+            conds.append(_between(c, v))
+        else:  # untouched: a list leaves nothing, a slider what is not negative
+            conds.append(f"NOT ({few}) AND {c} >= 0" if c in numeric else f"NOT ({few})")
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     fr, fm = q.SEGMENT_FORM["ranges"], q.SEGMENT_FORM["members"]
     strict = [_between(c, b) for c, b in q.STRICT_RANGES.items()] + \
@@ -381,6 +401,7 @@ def oracle_sql() -> dict[str, str]:
                         f"FROM city JOIN wide USING (PERS_ID)), g AS (SELECT * FROM f WHERE PREF_CITY IN ('NATION_1', {fill}))\n"
                         f"SELECT * FROM g WHERE AVG_ATM_TRN_CNT BETWEEN 0.0 AND (SELECT max(AVG_ATM_TRN_CNT) FROM g)",
         "filter_options_text": "SELECT o_orderpriority AS value, count(*)::BIGINT AS n_rows FROM orders GROUP BY o_orderpriority",
+        "filter_options_cascade": f"{SEG}\n{_cascade_sql()}",
         "filter_options_dates": "SELECT 'o_orderdate' AS column_name, strftime(min(o_orderdate), '%Y-%m-%d') AS min_date, "
                                 "strftime(max(o_orderdate), '%Y-%m-%d') AS max_date FROM orders",
         "city_fill": f"WITH {city} SELECT PERS_ID, coalesce(PREF_CITY, {fill}) AS PREF_CITY, MONTHLY_INCOME FROM city",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from segmint.functions.dates import month_end, month_end_of, snapshot_label
 from segmint.functions.prep import (cap_value, dedup_first, fill_selected, flag_to_int, impute_defaults,
-                                   parse_when_all_valid, select_variables, strip_timezone)
+                                   parse_all_valid, select_variables, strip_timezone)
 from segmint.operators import features as feat
 from segmint.operators import filters as flt
 from segmint.operators import model as mdl
@@ -65,6 +65,9 @@ SEGMENT_FORM = {
 AUTO_CRITERIA = {"MONTHLY_INCOME": None, "SOC_SEG": ["BUILDING", "MACHINERY"],
                  "PREF_CITY": ["NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8",
                                "NATION_13", "NATION_21"]}
+# The form of the cascade: choices in order, the last controls untouched.
+CASCADE = {"SOC_SEG": ["BUILDING", "MACHINERY", "FURNITURE"], "MONTHLY_INCOME": (500.0, 9000.0), "REGION": ["ASIA", "EUROPE", "AFRICA"],
+           "AVG_ATM_TRN_CNT": None, "PREF_CITY": None, "AVG_POS_TRN_CNT": None}
 DATE_RANGE = ("1996-01-01", "1996-03-31")
 REGEX = "^Customer#0+1[0-9]*7$"
 
@@ -316,6 +319,11 @@ def q_filter_panel(spark, root):
     return flt.filter_panel(seg, {"PREF_CITY": ["NATION_1", flt.CITY_FILL["PREF_CITY"]], "AVG_ATM_TRN_CNT": None})
 
 
+def q_filter_options_cascade(spark, root):
+    """what each control offers under the choices before it."""
+    return flt.filter_options_cascade(_seg(spark, root), CASCADE)
+
+
 def q_filter_options_text(spark, root):
     return flt.category_options(d.table(spark, root, "orders"), "o_orderpriority")
 
@@ -438,7 +446,7 @@ def q_city_fill(spark, root):
 def q_parse_dates(spark, root):
     """A text column of dates becomes a timestamp, one with other text in it stays text."""
     o = d.table(spark, root, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("other"))
-    out = parse_when_all_valid(parse_when_all_valid(o, "day"), "other")
+    out = parse_all_valid(o, ["day", "other"])
     return out.select("o_orderkey", F.date_format(F.col("day") + F.expr("INTERVAL 36 HOURS"), "yyyy-MM-dd HH:mm").alias("later"), "other")
 
 
