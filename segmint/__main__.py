@@ -12,7 +12,6 @@ import argparse
 import datetime as dt
 import json
 import os
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from segmint.plans import wide
 from segmint.session import checkpoint_dir, cluster_conf, cut_lineage, get_session, release
 from segmint.sources import catalog, sinks
 from segmint.sources.readers import read_wide_csv
-from segmint.sources.snapshots import snapshot_or_build
+from segmint.sources.store import MonthStore
 
 # The application's defaults for missing values in its input file.
 APP_TEXT_FILL = {"PREF_CITY": "Undefined", "PAYROLL_TP": "Undefined", "SOC_SEG": "Undefined"}
@@ -44,11 +43,12 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--k", type=int, default=17, help="final number of clusters (>= 2)")
     p.add_argument("--elbow-max", type=int, default=0, help="also sweep k = 3..N (0: skip)")
     p.add_argument("--filters", default="{}",
-                   help='JSON {"ranges": {col: [lo, hi]}, "members": {col: [...]}}; [0, 0] and [] are off')
+                   help='JSON {"ranges": {col: [lo, hi]}, "members": {col: [...]}, "panel": {col: control}}; [0, 0] and [] are off; '
+                        'a control of the panel is null (untouched), [...], {"range": [lo, hi]} or a search text')
     p.add_argument("--active-only", action="store_true", help="only customers active in the last month")
     p.add_argument("--snapshot-root", default=None,
-                   help="read-through store of monthly wide rows (partitioned by snap_date); "
-                        "reused when the month exists, built and written otherwise")
+                   help="read-through store of monthly wide rows; a month is reused when it was completed "
+                        "for the same source, dates and columns, built and written otherwise")
     p.add_argument("--wide-csv", default=None,
                    help="start from a wide customer table exported as CSV instead of the source tables")
     p.add_argument("--catalog", default=catalog.DEFAULT_CATALOG,
@@ -71,9 +71,16 @@ def as_date(text: str | None, default: dt.date) -> dt.date:
     return dt.date.today() if text == "today" else dt.date.fromisoformat(text)
 
 
-def store_root(root: str, data: str) -> str:
-    """The part of a snapshot store that holds rows built from ``data``: runs over other tables never share months."""
-    return f"{root.rstrip('/')}/source={zlib.crc32(os.path.abspath(data).encode()):08x}"
+def store_params(data: str, as_of: dt.date, event_as_of: dt.date) -> dict:
+    """All that a stored month depends on: source tables, both dates and the columns of the row."""
+    columns = [d.KEY, *d.REPORTING_VARIABLES, *d.MODEL_VARIABLES, d.SECOND_KEY, *d.CUSTOMER_FACT, *d.SEGMENT_FACT]
+    source = data if "://" in data else os.path.abspath(data)
+    return {"source": source, "snapshot": str(month_end_of(as_of, 1)), "events": str(month_end_of(event_as_of, 1)), "columns": columns}
+
+
+def panel_criteria(panel: dict) -> dict:
+    """The form's controls from JSON: null (untouched), a list of values, {"range": [low, high]}, or a search text."""
+    return {c: tuple(v["range"]) if isinstance(v, dict) else v for c, v in panel.items()}
 
 
 def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
@@ -96,9 +103,9 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         raise SystemExit("give --data (source tables) or --wide-csv")
     elif args.snapshot_root:
         # The store holds the row of every customer; the activity filter comes after it.
-        source = snapshot_or_build(
-            spark, store_root(args.snapshot_root, args.data), as_of,
-            lambda snap: wide.customer_wide(spark, args.data, snap + dt.timedelta(days=1), event_as_of, active_only=False)).drop("snap_date")
+        source = MonthStore(spark, args.snapshot_root).read_or_build(
+            month_end_of(as_of, 1), store_params(args.data, as_of, event_as_of),
+            lambda: wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=False))
         if args.active_only:
             source = semi_join(source, d.active_keys(spark, args.data, as_of), d.KEY)
     else:
@@ -110,6 +117,8 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
             if flag in source.columns:
                 source = source.withColumn(flag, flag_to_int(flag))
     population = flt.filter_segment(source, ranges, spec.get("members", {}), mandatory=args.strict)
+    if spec.get("panel"):
+        population = flt.filter_panel(population, panel_criteria(spec["panel"]))
     population = cut_lineage(population)
     if population.isEmpty():
         raise SystemExit("no customer passes the filters")

@@ -85,7 +85,7 @@ SEGM = f"""segm AS (
              FROM orders WHERE o_orderdate < DATE '{HI}' GROUP BY o_custkey) t ON t.o_custkey = c_custkey)"""
 
 
-def _events_cte(channels=None) -> str:
+def _events_cte(channels=None, lo=E_LO, hi=E_HI, name="ev") -> str:
     chans = channels or list(d.CHANNEL_EVENT_TYPES)
     types = [t for c in chans for t in d.CHANNEL_EVENT_TYPES[c]]
     cols = []
@@ -94,12 +94,12 @@ def _events_cte(channels=None) -> str:
         f = f"FILTER (WHERE EVENT_TYPE IN ({_in(d.CHANNEL_EVENT_TYPES[c])}))"
         cols.append(f"nullif(count(*) {f}, 0) / 3.0 AS {cnt}")
         cols.append(f"{_cents_round(f'sum(cents) {f}')} AS {amt}")
-    return f"""ev AS (
+    return f"""{name} AS (
   SELECT PERS_ID,
     {(','+chr(10)+'    ').join(cols)}
   FROM (SELECT user_id AS PERS_ID, event_type AS EVENT_TYPE, CAST(round(value * 100) AS BIGINT) AS cents
         FROM events
-        WHERE ts BETWEEN DATE '{E_LO}' AND DATE '{E_HI}' AND value > 0 AND event_type IN ({_in(types)}))
+        WHERE ts BETWEEN DATE '{lo}' AND DATE '{hi}' AND value > 0 AND event_type IN ({_in(types)}))
   GROUP BY PERS_ID)"""
 
 
@@ -391,6 +391,8 @@ def oracle_sql() -> dict[str, str]:
                                  + " FROM prof GROUP BY row_order, row_label",
         "snapshot_roundtrip": f"WITH {TRN} SELECT PERS_ID, strftime(SNAP_DATE, '%Y-%m-%d') AS SNAP_DATE, TRN_CLASS_DESCR, CNT, CAST(AMT AS DOUBLE) AS AMT "
                               f"FROM trn WHERE SNAP_DATE = DATE '{SNAP}'",
+        "snapshot_store": f"WITH {_events_cte()}, {_events_cte(lo='2023-10-31', hi='2023-12-31', name='before')}\n"
+                          f"SELECT *, '{E_HI}' AS EVENT_MONTH FROM ev UNION ALL SELECT *, '2023-12-31' FROM before",
         "catalog_coverage": f"{SEG}\n{coverage}",
         "predicate_in_dimension": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN "
                                   "(SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') AND p_size > 10)",

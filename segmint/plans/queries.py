@@ -9,6 +9,7 @@ shares and the correlation (by default) round, as the reference shows them.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ from segmint.plans import domain as d
 from segmint.plans import views, wide
 from segmint.session import checkpoint_dir
 from segmint.sources import catalog, readers, sinks
+from segmint.sources.store import MonthStore
 from segmint.sources.snapshots import month_snapshots, snapshot_or_build, union_months, write_snapshot
 
 # ---------------------------------------------------------------------------
@@ -68,6 +70,7 @@ AUTO_CRITERIA = {"MONTHLY_INCOME": None, "SOC_SEG": ["BUILDING", "MACHINERY"],
 # The form of the cascade: choices in order, the last controls untouched.
 CASCADE = {"SOC_SEG": ["BUILDING", "MACHINERY", "FURNITURE"], "MONTHLY_INCOME": (500.0, 9000.0), "REGION": ["ASIA", "EUROPE", "AFRICA"],
            "AVG_ATM_TRN_CNT": None, "PREF_CITY": None, "AVG_POS_TRN_CNT": None}
+STORE_EVENT_DATES = (d.EVENT_AS_OF, dt.date(2024, 1, 15))
 DATE_RANGE = ("1996-01-01", "1996-03-31")
 REGEX = "^Customer#0+1[0-9]*7$"
 
@@ -205,6 +208,16 @@ def q_snapshot_roundtrip(spark, root):
     return _present_trn(got.select(d.KEY, "SNAP_DATE", "TRN_CLASS_DESCR", "CNT", "AMT"))
 
 
+def q_snapshot_store(spark, root):
+    """S6 with all parameters: the channels of two event dates in one month's store, read back after both are there."""
+    store, month = MonthStore(spark, _scratch(spark)), month_end_of(d.AS_OF, 1)
+    params = [{"source": root, "events": str(month_end_of(at, 1))} for at in STORE_EVENT_DATES]
+    for own, at in zip(params, STORE_EVENT_DATES):
+        store.read_or_build(month, own, lambda at=at: wide.event_channel_block(spark, root, at))
+    parts = [store.read(month, own).withColumn("EVENT_MONTH", F.lit(own["events"])) for own in params]
+    return parts[0].unionByName(parts[1])
+
+
 def q_catalog_coverage(spark, root):
     """Every catalogued variable that the wide row has, with its role and how many customers have a value."""
     seg = _seg(spark, root)

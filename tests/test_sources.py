@@ -91,23 +91,61 @@ def test_command_line_run(spark, tmp_dir):
     assert spark.read.option("header", True).csv(ok["clients"]).count() == 150
     with pytest.raises(SystemExit):
         run(parse_args(["--data", SF0001, "--out", tmp_dir + "/x", "--model", "NOPE"]), spark)
+    # the form's panel: an untouched slider and a list
+    panel = run(parse_args(["--data", SF0001, "--out", tmp_dir + "/panel", "--k", "3", "--filters",
+                            '{"panel": {"SOC_SEG": ["BUILDING", "MACHINERY"], "MONTHLY_INCOME": {"range": [0, 9000]}, "AVG_ATM_TRN_CNT": null}}']), spark)
+    assert 0 < spark.read.option("header", True).csv(panel["clients"]).count() < 150
     # read-through monthly store: the second run reuses the written month, another month goes beside it, and runs
     # over active and over all customers read the same full row
-    from segmint.__main__ import store_root
+    from segmint.sources.store import MonthStore
     snap = os.path.join(tmp_dir, "store")
 
     def clients(name, *more):
         got = run(parse_args(["--data", SF0001, "--out", f"{tmp_dir}/{name}", "--k", "3", "--snapshot-root", snap, *more]), spark)
-        return spark.read.option("header", True).csv(got["clients"]).count()
+        return spark.read.option("header", True).csv(got["clients"])
 
-    months = lambda: sorted(p for p in os.listdir(store_root(snap, SF0001)) if p.startswith("snap_date="))
-    active = clients("s1", "--active-only")
-    assert months() == ["snap_date=2001-07-31"]
+    months = lambda: [(r["month"], r["params"]["events"]) for r in MonthStore(spark, snap).months()]
+    active = clients("s1", "--active-only").count()
+    assert months() == [("2001-07-31", "2024-01-31")]
     everyone = clients("s2")
-    assert everyone == 150 and 0 < active < everyone and clients("s3", "--active-only") == active
-    assert clients("s4", "--as-of", "2001-07-15", "--event-as-of", "2024-02-15") == 150
-    assert months() == ["snap_date=2001-06-30", "snap_date=2001-07-31"]
-    assert store_root(snap, SF0001) != store_root(snap, SF0001 + "x")
+    total = lambda df: round(df.selectExpr("sum(AVG_MB_IB_TRN_AMT)").first()[0], 6)
+    assert everyone.count() == 150 and 0 < active < 150 and clients("s3", "--active-only").count() == active
+    # another event date is another month in the store, never the rows of the first
+    later = ["--as-of", "2001-08-15", "--event-as-of", "2030-01-15"]
+    assert total(clients("s4", *later)) == 0.0 < total(everyone) and total(clients("s5")) == total(everyone)
+    assert clients("s6", "--as-of", "2001-07-15", "--event-as-of", "2024-02-15").count() == 150
+    assert months() == [("2001-06-30", "2024-01-31"), ("2001-07-31", "2024-01-31"), ("2001-07-31", "2029-12-31")]
+
+
+def test_month_store(spark, tmp_dir):
+    """Committed months only, one commit a month, other parameters apart, leftovers swept."""
+    from segmint.sources.store import MonthStore
+    store = MonthStore(spark, f"{tmp_dir}/store")
+    month, params = dt.date(2024, 1, 31), {"source": "a", "events": dt.date(2024, 1, 31), "columns": ["id"]}
+    built = []
+
+    def builder(n):
+        built.append(n)
+        return spark.range(n)
+
+    assert store.read(month, params) is None and store.months() == []
+    # a run that died before its commit: files without a record are not a month
+    spark.range(99).write.parquet(f"{store.folder(month, params)}/attempt-dead")
+    assert store.read(month, params) is None
+    assert store.read_or_build(month, params, lambda: builder(3)).count() == 3
+    assert store.read_or_build(month, dict(reversed(params.items())), lambda: builder(4)).count() == 3 and built == [3]
+    assert store.read_or_build(month, params | {"events": "2024-02-29"}, lambda: builder(5)).count() == 5
+    assert store.read_or_build(dt.date(2024, 2, 29), params, lambda: builder(6)).count() == 6
+    record = store.record(month, params)
+    assert record["rows"] == 3 and record["params"] == {"source": "a", "events": "2024-01-31", "columns": ["id"]} and len(store.months()) == 3
+    # a second run that built at the same time: the first commit stays, its own files go
+    assert store.build(month, params, spark.range(7)).count() == 3
+    attempts = lambda: sorted(p for p in os.listdir(store.folder(month, params)) if p.startswith("attempt"))
+    assert attempts() == sorted(["attempt-dead", record["attempt"]])
+    assert store.sweep() == 0 and store.sweep(older_than_hours=-1) == 1 and attempts() == [record["attempt"]]
+    assert store.read(month, params).count() == 3
+    # an empty month is a month
+    assert store.build(month, {"x": 1}, spark.range(0)).count() == 0 and store.record(month, {"x": 1})["rows"] == 0
 
 
 def test_unreadable_month_is_an_error_not_a_rebuild(spark, tmp_dir):
