@@ -14,6 +14,12 @@ Design notes
   squared distance, without a random generator that a partition would own.
 * Every pass works on all fits at once: all starts, and for the elbow all k.
   A pass is one job: nearest centre of each fit, then sums by (fit, label).
+* Once the centres move little, the rows are written with their label and the
+  slack of it: how much nearer its centre is than the second nearest.  A label holds
+  while the moves of the centres since then add up to less, so later passes
+  compute distances only for rows whose slack is used up (the file is sorted by
+  slack, so most of it is skipped), and correct the sums by the rows that changed.
+  Sums are whole numbers, so the centres are the same as without this.
 * Centres are one constant array; the test of the nearest one is one
   expression over it (``transform`` and ``array_min``), whatever k is.
 * Clusters are numbered canonically (centres in ascending lexicographic
@@ -38,6 +44,10 @@ from segmint.session import cut_lineage, release
 UNIT = 1e-6
 STARTS = 2
 ROUNDS = 3
+# Rows are written with their slack once no centre moves more than this share of the mean distance between neighbouring
+# centres, and again once more than this share of them has to be compared.  Both change the work only, never a result.
+SETTLED = 0.05
+WORN = 0.3
 
 
 def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -83,7 +93,13 @@ def prepare_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str]
     from segmint.functions.prep import fill_selected
 
     chosen = cut_lineage(fill_selected(df.select(*keep, *columns), columns, 0, None))
-    return standardize(chosen, columns, keep=keep, stats=steady(standard_stats(chosen, columns)))
+    return _from_files(standardize(chosen, columns, keep=keep, stats=steady(standard_stats(chosen, columns))))
+
+
+def _from_files(df: DataFrame) -> DataFrame:
+    """Mark a frame that only reads and projects a written table: the fits then need not write it again."""
+    df._segmint_from_files = True
+    return df
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -163,6 +179,7 @@ class KMeansFit:
     centres: list[list[float]]          # canonical order, in the units of the fitted columns
     inertia: float
     seed: int
+    compared: tuple[int, ...] = ()      # per pass: rows times fits whose distances were computed
 
 
 def in_units(column: Column) -> Column:
@@ -236,30 +253,116 @@ def _labels(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
     return F.array(*[F.struct(F.lit(f).alias("fit"), nearest(qs, c).alias("near")) for f, c in enumerate(fits)])
 
 
-def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_iter: int, stop: float) -> list[list[list[float]]]:
-    """Lloyd steps of all fits at once until each moved by ``stop`` (sum of squares, units) or less."""
+def _centres_moved(old: list[list[float]], now: list[list[float]]) -> list[float]:
+    return [math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y))) for x, y in zip(old, now)]
+
+
+def _spacing(centres: list[list[float]]) -> float:
+    """Mean distance of a centre to the nearest other one."""
+    near = [min((math.dist(c, o) for j, o in enumerate(centres) if j != i), default=math.inf) for i, c in enumerate(centres)]
+    return sum(near) / len(near)
+
+
+class _Slack:
+    """The rows with label and slack in every going fit, as written at ``centres``, and the labels' sums then."""
+
+    def __init__(self, points: DataFrame, qs: list[str], fits: dict[int, list[list[float]]]):
+        self.qs, self.order = qs, sorted(fits)
+        self.centres = {f: [list(c) for c in fits[f]] for f in self.order}
+        labelled = points.select(*qs, F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), _two_nearest(qs, fits[f]).alias("near")) for i, f in enumerate(self.order)])))
+        one, two = F.sqrt("near.d"), F.sqrt("near.second")
+        # Less what rounding could add to a distance.
+        slack = two - one - (two + one) * F.lit(1e-9) - F.lit(1e-3)
+        rows = labelled.select("slot", F.col("near.c").alias("label"), slack.alias("slack"), *qs)
+        self.rows = cut_lineage(rows.sortWithinPartitions("slot", "slack"))
+        found = self.rows.groupBy("slot", "label").agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect()
+        self.sums = {(self.order[r["slot"]], r["label"]): ([r[q] for q in qs], r["n"]) for r in found}
+        self.size = sum(r["n"] for r in found)
+
+    def step(self, fits: dict[int, list[list[float]]]) -> tuple[dict[tuple[int, int], tuple[list[int], int]], int]:
+        """Sums by (fit, label) at the centres of ``fits`` and the number of rows compared."""
+        allowed = []
+        for f in self.order:
+            moved = [0.0] * len(self.centres[f]) if f not in fits else _centres_moved(self.centres[f], fits[f])
+            most = sorted(moved)[-2:]
+            allowed.append([(m + (most[0] if m == most[-1] else most[-1]) if len(moved) > 1 else 0.0) * (1 + 1e-9) if f in fits else -math.inf for m in moved])
+        limit = max(x for own in allowed for x in own)
+        table = "array(" + ", ".join("array(" + ", ".join("-1e300D" if x == -math.inf else f"{x!r}D" for x in own) + ")" for own in allowed) + ")"
+        worn = self.rows.where(F.col("slack") <= F.lit(limit)).where(F.expr(f"slack <= {table}[slot][label]"))
+        near = _nearest_in_slot(self.qs, [fits.get(f, [[0.0] * len(self.qs)]) for f in self.order])
+        found = (worn.select("slot", "label", near.alias("c"), *self.qs).groupBy("slot", "label", "c")
+                 .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in self.qs], F.count(F.lit(1)).alias("n")).collect())
+        sums = {own: (list(total), n) for own, (total, n) in self.sums.items() if own[0] in fits}
+        for r in found:
+            if r["c"] != r["label"]:
+                f = self.order[r["slot"]]
+                for at, sign in (((f, r["label"]), -1), ((f, r["c"]), 1)):
+                    total, n = sums.get(at, ([0] * len(self.qs), 0))
+                    sums[at] = ([t + sign * r[q] for t, q in zip(total, self.qs)], n + sign * r["n"])
+        return sums, sum(r["n"] for r in found)
+
+
+def _two_nearest(qs: list[str], centres: Sequence[Sequence[float]]) -> Column:
+    """``struct(d, c, second)``: nearest centre as in :func:`nearest` and the squared distance of the next one."""
+    near = nearest(qs, centres)
+    dist = " + ".join(f"pow(`{q}` - __ctr[{j}], 2D)" for j, q in enumerate(qs))
+    table = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
+    others = F.expr(f"coalesce(array_sort(transform(array({table}), __ctr -> {dist}))[1], CAST('Infinity' AS double))") if len(centres) > 1 else F.lit(math.inf)
+    return F.struct(near["d"].alias("d"), near["c"].alias("c"), others.alias("second"))
+
+
+def _nearest_in_slot(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
+    """Index of the nearest centre in the fit that the row's ``slot`` names (ties: the lower index)."""
+    tables = ", ".join("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres) + ")" for centres in fits)
+    dist = " + ".join(f"pow(`{q}` - __ctr[{j}], 2D)" for j, q in enumerate(qs))
+    return F.expr(f"array_min(transform(array({tables})[slot], (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))).c")
+
+
+def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_iter: int, stop: float,
+           settled: float = SETTLED) -> tuple[list[list[list[float]]], list[int]]:
+    """Lloyd steps of all fits at once until each moved by ``stop`` (sum of squares, units) or less; also the rows compared in every pass."""
     going = set(range(len(fits)))
+    kept: _Slack | None = None
+    settle, compared, n = False, [], 0
     for _ in range(max_iter):
         order = sorted(going)
-        sums = (points.select(*qs, F.inline(_labels(qs, [fits[f] for f in order]))).groupBy("fit", F.col("near.c").alias("c"))
-                .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect())
-        new = {f: [list(c) for c in fits[f]] for f in order}     # a centre without rows stays
-        for r in sums:
-            new[order[r["fit"]]][r["c"]] = [float(r[q]) / float(r["n"]) for q in qs]
+        now = {f: fits[f] for f in order}
+        if kept is None and settle:
+            kept = _Slack(points, qs, now)
+            sums, touched = kept.sums, kept.size
+        elif kept is not None:
+            sums, touched = kept.step(now)
+            if touched > WORN * n * len(order):
+                release(kept.rows)
+                kept = None
+        else:
+            rows = (points.select(*qs, F.inline(_labels(qs, [fits[f] for f in order]))).groupBy("fit", F.col("near.c").alias("c"))
+                    .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect())
+            sums = {(order[r["fit"]], r["c"]): ([r[q] for q in qs], r["n"]) for r in rows}
+            touched = sum(r["n"] for r in rows)
+            n = touched // len(order)
+        compared.append(touched)
+        settle = True
         for f in order:
-            moved = sum((a - b) ** 2 for old, now in zip(fits[f], new[f]) for a, b in zip(old, now))
-            fits[f] = new[f]
+            new = [[float(t) / float(m) for t in total] if m else list(old)     # a centre without rows stays
+                   for old, (total, m) in ((c, sums.get((f, i), ([], 0))) for i, c in enumerate(fits[f]))]
+            settle = settle and max(_centres_moved(fits[f], new)) <= settled * _spacing(new)
+            moved = sum((a - b) ** 2 for old, at in zip(fits[f], new) for a, b in zip(old, at))
+            fits[f] = new
             if moved <= stop:
                 going.discard(f)
         if not going:
             break
-    return fits
+    if kept is not None:
+        release(kept.rows)
+    return fits, compared
 
 
-def _inertias(points: DataFrame, qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
-    """``(fit, inertia)``, summed exactly, in the units of the fitted columns."""
+def _inertias(points: DataFrame, qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> dict[int, float]:
+    """Inertia of every fit, summed exactly, in the units of the fitted columns."""
     near = points.select(F.inline(_labels(qs, fits)))
-    return near.groupBy("fit").agg((F.sum(F.col("near.d").cast("decimal(38,3)")).cast("double") * F.lit(UNIT) * F.lit(UNIT)).alias("inertia"))
+    total = F.sum(F.col("near.d").cast("decimal(38,3)")).cast("double") * F.lit(UNIT) * F.lit(UNIT)
+    return {r["fit"]: r["inertia"] for r in near.groupBy("fit").agg(total.alias("inertia")).collect()}
 
 
 def _spread(points: DataFrame, qs: list[str]) -> float:
@@ -278,19 +381,18 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[in
     ``tol`` times the mean variance.  Inertia is that of the final labels (T2).
     With fewer distinct points than k there are fewer clusters (T9).
     """
-    fits, written = _fit_all(df, columns, [k], seeds, max_iter, tol, starts, key)
-    costs = {r["fit"]: float(r["inertia"]) for r in written.collect()}
-    release(written)
+    fits, costs, compared = _fit_all(df, columns, [k], seeds, max_iter, tol, starts, key)
     i = min(costs, key=lambda f: (costs[f], f))
     centres = sorted([v * UNIT for v in c] for c in fits[i])
-    return KMeansFit(k=len(centres), centres=centres, inertia=costs[i], seed=seeds[i // starts])
+    return KMeansFit(k=len(centres), centres=centres, inertia=costs[i], seed=seeds[i // starts], compared=tuple(compared))
 
 
 def _fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seeds: Sequence[int], max_iter: int, tol: float,
-             starts: int, key: str | None) -> tuple[list[list[list[float]]], DataFrame]:
-    """Centres (in units) of every fit - all starts of the first k, then of the next - and ``(fit, inertia)``, written."""
+             starts: int, key: str | None) -> tuple[list[list[list[float]]], dict[int, float], list[int]]:
+    """Centres (in units) of every fit - all starts of the first k, then of the next -, their inertias, and the rows compared in every pass."""
     points, qs = _points(df, columns, key)
-    written = cut_lineage(points)
+    own = not getattr(df, "_segmint_from_files", False)
+    written = cut_lineage(points) if own else points
     cores = df.sparkSession.sparkContext.defaultParallelism
     spread = written if written.rdd.getNumPartitions() >= cores else written.repartition(cores)  # speed only: any layout gives the same fit
     points = spread.persist(StorageLevel.MEMORY_AND_DISK)
@@ -303,11 +405,12 @@ def _fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seeds: Se
             first += [_starting_centres(candidates, max(ks), s, n) for n in range(starts)]
         fits = [own[:k] for k in ks for own in first]
         stop = tol * _spread(points, qs) if tol else 0.0
-        fits = _lloyd(points, qs, fits, max_iter, stop)
-        return fits, cut_lineage(_inertias(points, qs, fits))
+        fits, compared = _lloyd(points, qs, fits, max_iter, stop)
+        return fits, _inertias(points, qs, fits), compared
     finally:
         points.unpersist()
-        release(written)
+        if own:
+            release(written)
 
 
 def label(fit: KMeansFit, df: DataFrame, columns: Sequence[str], label_col: str = "Cluster") -> DataFrame:
@@ -322,9 +425,9 @@ def elbow_curve(df: DataFrame, columns: Sequence[str], k_max: int, k_min: int =
                 starts: int = STARTS, key: str | None = None) -> DataFrame:
     """Inertia for every k in ``k_min..k_max`` (M6) as a DataFrame ``(K, Inertia)``; all fits share every pass."""
     ks = list(range(k_min, k_max + 1))
-    _, costs = _fit_all(df, columns, ks, (seed,), max_iter, tol, starts, key)
-    at = F.array(*[F.lit(k) for k in ks])[F.floor(F.col("fit") / F.lit(starts)).cast("int")]
-    return costs.groupBy(at.alias("K")).agg(F.min("inertia").alias("Inertia"))
+    _, costs, _ = _fit_all(df, columns, ks, (seed,), max_iter, tol, starts, key)
+    best = [(k, min(costs[i * starts + n] for n in range(starts))) for i, k in enumerate(ks)]
+    return df.sparkSession.createDataFrame(best, "K int, Inertia double")
 
 
 def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_cols: Sequence[str],
@@ -343,7 +446,7 @@ def segment(df: DataFrame, id_col: str, model_cols: Sequence[str], reporting_col
     written = cut_lineage(fill_selected(chosen, model_cols + reporting_cols, 0, fill_text))
     stats = steady(standard_stats(written, model_cols))
     zs = [f"__z{i}" for i in range(len(model_cols))]
-    scaled = written.select("*", *[_scaled(c, stats[c]).alias(z) for c, z in zip(model_cols, zs)])
+    scaled = _from_files(written.select("*", *[_scaled(c, stats[c]).alias(z) for c, z in zip(model_cols, zs)]))
     fit = fit_kmeans(scaled, zs, k, seeds, max_iter, tol, key=id_col)
     clients = cut_lineage(label(fit, scaled, zs).select(id_col, *model_cols, "Cluster", *reporting_cols))
     release(written)

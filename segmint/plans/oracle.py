@@ -167,6 +167,7 @@ wide AS (
 
 WIDE = f"WITH {_wide_ctes(True)}\nSELECT * FROM wide"
 SEG = f"WITH {_wide_ctes(False)}"          # + a final SELECT over ``wide``
+SEG_STEPS = f"WITH RECURSIVE {_wide_ctes(False)}"
 
 FILTER_VIEW = ("PERS_ID, SOC_SEG, REGION, PREF_CITY, MONTHLY_INCOME, TENURE, "
                "AVG_MB_IB_TRN_CNT, AVG_POS_TRN_CNT, AVG_ATM_TRN_CNT")
@@ -278,10 +279,10 @@ def _std_sql(fill: bool) -> str:
             f"SELECT PERS_ID, {z} FROM x, st")
 
 
-def _kmeans_ctes(ks: list[int], steps: int, seed: int = 42, starts: int = 2) -> str:
-    """K-means step by step: standardised units ``p``, starting centres ``c<step>``, Lloyd steps ``l<step>``, best fits ``best``.
+def _kmeans_ctes(ks: list[int], seed: int = 42, starts: int = 2, tol: float = 1e-4, most: int = 300) -> str:
+    """K-means step by step: standardised units ``p``, starting centres ``c<step>``, Lloyd steps ``lloyd``, best fits ``best``.
 
-    A fit is (k, start).  Every step is a materialised CTE over the one before it.
+    A fit is (k, start).  The Lloyd steps are a recursion that a fit leaves once its centres' squared moves add up to ``stop``.
     """
     cols, qs = q.SEG_MODEL, [f"q{i}" for i in range(len(q.SEG_MODEL))]
     src = ", ".join(f"coalesce({c}, 0)::DOUBLE AS x{i}" for i, c in enumerate(cols))
@@ -319,20 +320,25 @@ def _kmeans_ctes(ks: list[int], steps: int, seed: int = 42, starts: int = 2) ->
                    f"FROM cand p JOIN {near} n ON n.n = p.n JOIN s ON s.start = n.start {pick}))")
     fits = ", ".join(map(str, ks))
     out.append(f"l0 AS MATERIALIZED (SELECT k, start, i, {qlist} FROM c{max(ks) - 1} c JOIN (SELECT unnest([{fits}]) AS k) f ON c.i < f.k)")
-    for t in range(steps + 1):
-        out.append(f"a{t} AS MATERIALIZED (SELECT p.PERS_ID, c.k, c.start, min({{'d': {dist}, 'i': c.i}}) AS near, any_value({{{', '.join(f'{chr(39)}{c}{chr(39)}: p.{c}' for c in qs)}}}) AS pt "
-                   f"FROM p, l{t} c GROUP BY p.PERS_ID, c.k, c.start)")
-        if t < steps:
-            means = ", ".join(f"sum(pt.{c}::BIGINT)::DOUBLE / count(*)::DOUBLE AS {c}" for c in qs)
-            new = f"(SELECT k, start, near.i AS i, {means} FROM a{t} GROUP BY k, start, near.i)"
-            out.append(f"l{t + 1} AS MATERIALIZED (SELECT c.k, c.start, c.i, {', '.join(f'coalesce(n.{c}, c.{c}) AS {c}' for c in qs)} "
-                       f"FROM l{t} c LEFT JOIN {new} n ON n.k = c.k AND n.start = c.start AND n.i = c.i)")
-    out.append(f"cost AS (SELECT k, start, sum(near.d::DECIMAL(38, 3))::DOUBLE * 1e-06::DOUBLE * 1e-06::DOUBLE AS inertia FROM a{steps} GROUP BY k, start)")
+    near = f"min({{'d': {dist}, 'i': c.i}}) AS near"
+    point = "any_value({" + ", ".join(f"'{c}': p.{c}" for c in qs) + "}) AS pt"
+    means = ", ".join(f"sum(pt.{c}::BIGINT)::DOUBLE / count(*)::DOUBLE AS {c}" for c in qs)
+    moved = " + ".join(f"(c.{c} - coalesce(n.{c}, c.{c})) * (c.{c} - coalesce(n.{c}, c.{c}))" for c in qs)
+    out.append(f"stop AS MATERIALIZED (SELECT {tol}::DOUBLE * ({' + '.join(f'var_pop({c})' for c in qs)}) / {len(qs)} AS least FROM p)")
+    out.append(f"lloyd AS (SELECT 0 AS t, k, start, i, {qlist}, 1e300::DOUBLE AS moved FROM l0 UNION ALL ("
+               f"WITH c AS (SELECT * FROM lloyd WHERE t < {most} AND moved > (SELECT least FROM stop)), "
+               f"a AS (SELECT p.PERS_ID, c.k, c.start, {near}, {point} FROM p, c GROUP BY p.PERS_ID, c.k, c.start), "
+               f"n AS (SELECT k, start, near.i AS i, {means} FROM a GROUP BY k, start, near.i) "
+               f"SELECT c.t + 1, c.k, c.start, c.i, {', '.join(f'coalesce(n.{c}, c.{c})' for c in qs)}, sum({moved}) OVER (PARTITION BY c.k, c.start) "
+               f"FROM c LEFT JOIN n ON n.k = c.k AND n.start = c.start AND n.i = c.i))")
+    out.append(f"last AS MATERIALIZED (SELECT k, start, i, {qlist} FROM lloyd QUALIFY t = max(t) OVER (PARTITION BY k, start))")
+    out.append(f"fin AS MATERIALIZED (SELECT p.PERS_ID, c.k, c.start, {near} FROM p, last c GROUP BY p.PERS_ID, c.k, c.start)")
+    out.append("cost AS (SELECT k, start, sum(near.d::DECIMAL(38, 3))::DOUBLE * 1e-06::DOUBLE * 1e-06::DOUBLE AS inertia FROM fin GROUP BY k, start)")
     out.append("best AS (SELECT k, min(inertia) AS inertia, arg_min(start, (inertia, start)) AS start FROM cost GROUP BY k)")
     # canonical numbers: centres in ascending order
     out.append(f"named AS (SELECT c.k, c.i, (row_number() OVER (PARTITION BY c.k ORDER BY {', '.join('c.' + c for c in qs)}) - 1)::INTEGER AS Cluster "
-               f"FROM l{steps} c JOIN best b ON b.k = c.k AND b.start = c.start)")
-    out.append(f"labelled AS (SELECT a.PERS_ID, n.Cluster FROM a{steps} a JOIN best b ON b.k = a.k AND b.start = a.start JOIN named n ON n.k = a.k AND n.i = a.near.i)")
+               f"FROM last c JOIN best b ON b.k = c.k AND b.start = c.start)")
+    out.append(f"labelled AS (SELECT a.PERS_ID, n.Cluster FROM fin a JOIN best b ON b.k = a.k AND b.start = a.start JOIN named n ON n.k = a.k AND n.i = a.near.i)")
     return ",\n".join(out)
 
 
@@ -492,10 +498,10 @@ def oracle_sql() -> dict[str, str]:
                        "FROM orders",
         "standardize": _std_sql(False),
         "prepare_features": _std_sql(True),
-        "kmeans_fit": f"{SEG}, {_kmeans_ctes([q.FINAL_K], q.KMEANS_STEPS)}\nSELECT PERS_ID, Cluster FROM labelled",
-        "elbow_curve": f"{SEG}, {_kmeans_ctes(list(range(3, q.ELBOW_K_MAX + 1)), q.KMEANS_STEPS)}\n"
+        "kmeans_fit": f"{SEG_STEPS}, {_kmeans_ctes([q.FINAL_K])}\nSELECT PERS_ID, Cluster FROM labelled",
+        "elbow_curve": f"{SEG_STEPS}, {_kmeans_ctes(list(range(3, q.ELBOW_K_MAX + 1)))}\n"
                        f"SELECT k::INTEGER AS K, round_even(inertia, {q.PREC}) AS Inertia FROM best",
-        "segment_customers": f"{SEG}, {_kmeans_ctes([q.FINAL_K], q.KMEANS_STEPS)}\nSELECT PERS_ID, "
+        "segment_customers": f"{SEG_STEPS}, {_kmeans_ctes([q.FINAL_K])}\nSELECT PERS_ID, "
                              + ", ".join(f"coalesce({c}, 0) AS {c}" for c in q.SEG_MODEL) + ", Cluster, "
                              + ", ".join(f"coalesce({c}, '0') AS {c}" for c in q.SEG_REPORT) + " FROM wide JOIN labelled USING (PERS_ID)",
         "feature_vectors": f"{SEG} SELECT PERS_ID, [" + ", ".join(f"coalesce({c}, 0)::DOUBLE" for c in q.SEG_MODEL) + "] AS features FROM wide",

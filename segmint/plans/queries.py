@@ -45,7 +45,6 @@ LI_MODEL = ["l_quantity", "l_discount", "l_tax"]
 LI_K = 7                      # clusters given by l_linenumber - 1
 ELBOW_K_MAX = 10              # elbow sweep k = 3..10
 FINAL_K = 17                  # the golden run's k
-KMEANS_STEPS = 15             # Lloyd steps of the registered fits (a fixed number, so that SQL can follow)
 PREC = 6                      # presentation precision of summed/averaged floats
 IMPUTE_TEXT = {"PREF_CITY": "Undefined", "REGION": "Undefined", "SOC_SEG": "Undefined"}
 IMPUTE_NUM = {"AVG_MB_IB_TRN_CNT": 0, "AVG_POS_TRN_CNT": 0, "AVG_ATM_TRN_CNT": 0, "MONTHLY_INCOME": 0}
@@ -534,17 +533,17 @@ def _model_input(spark, root):
 
 def q_kmeans_fit(spark, root):
     points = _model_input(spark, root)
-    fit = mdl.fit_kmeans(points, SEG_MODEL, FINAL_K, max_iter=KMEANS_STEPS, tol=0.0, key=d.KEY)
+    fit = mdl.fit_kmeans(points, SEG_MODEL, FINAL_K, key=d.KEY)
     return mdl.label(fit, points, SEG_MODEL, "Cluster").select(d.KEY, "Cluster")
 
 
 def q_elbow_curve(spark, root):
-    curve = mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX, max_iter=KMEANS_STEPS, tol=0.0, key=d.KEY)
+    curve = mdl.elbow_curve(_model_input(spark, root), SEG_MODEL, ELBOW_K_MAX, key=d.KEY)
     return _round_cols(curve, ["Inertia"])
 
 
 def q_segment_customers(spark, root):
-    client, _ = mdl.segment(_seg(spark, root), d.KEY, SEG_MODEL, SEG_REPORT, FINAL_K, max_iter=KMEANS_STEPS, tol=0.0)
+    client, _ = mdl.segment(_seg(spark, root), d.KEY, SEG_MODEL, SEG_REPORT, FINAL_K)
     return client
 
 

@@ -1,13 +1,14 @@
 """Variable catalogue.
 
 The catalogue is a JSON object with two string lists, ``model_variables`` and
-``reporting_variables``.  It is read with the JSON source and exploded into a
-``(variable, role)`` frame, so checks against a frame's columns are joins,
-not driver loops.
+``reporting_variables``: names, so a few dozen short texts.  A file of the driver's
+machine (such as the package's own) is read there; an address of a shared store
+by Spark.  Either way it becomes a ``(variable, role)`` frame for joins.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,17 @@ from pyspark.sql import functions as F
 DEFAULT_CATALOG = os.path.join(os.path.dirname(__file__), "variables.json")
 
 
+ROLES = {"model_variables": "model", "reporting_variables": "reporting"}
+
+
 def load_catalog(spark: SparkSession, path: str = DEFAULT_CATALOG) -> DataFrame:
-    raw = spark.read.option("multiLine", True).json(path)
-    model = raw.select(F.explode("model_variables").alias("variable"), F.lit("model").alias("role"))
-    report = raw.select(F.explode("reporting_variables").alias("variable"), F.lit("reporting").alias("role"))
-    return model.unionByName(report)
+    if "://" in path:
+        raw = spark.read.option("multiLine", True).json(path)
+        return raw.select(F.inline(F.concat(*[F.transform(key, lambda v, role=role: F.struct(v.alias("variable"), F.lit(role).alias("role")))
+                                              for key, role in ROLES.items()])))
+    with open(path, encoding="utf-8") as f:
+        lists = json.load(f)
+    return spark.createDataFrame([(v, role) for key, role in ROLES.items() for v in lists[key]], "variable string, role string")
 
 
 def unknown_selections(catalog: DataFrame, selected: list[str], role: str) -> DataFrame:
