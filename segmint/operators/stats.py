@@ -11,18 +11,21 @@ Design notes for scale
   what lies below the pair and the frequencies of the values inside it: ties
   collapse on the map side, so a value that most rows share is one row per
   task, and only a few thousandths of the values reach the ranking.
-* Correlation of all pairs is one pass: sums of products of the columns
-  (v(v+1)/2 of them, shifted by the columns' minima), grouped by which columns
-  are null; a pair adds up the groups in which both are present.  What is
-  expanded to pairs is a row per pattern of nulls, never a row of the data.
+* Correlation of all pairs takes two passes over the written columns, whatever
+  their number and their nulls.  Presence is a 0/1 factor: a task adds up its
+  batches as matrices (NumPy over Arrow) and gives one row for each pair, which
+  Spark sums.  The first pass gives every pair's own means and ends, the second
+  the products about those means, so nothing cancels.  No row is expanded.
 * The profile is at most ``k * (2 + 6 * variables)`` cells: it is reshaped
   with Spark (unpivot + pivot), never collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,59 +181,97 @@ def population_metrics(df: DataFrame) -> DataFrame:
         "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values (0 where null) and presence of the columns, up to 2,048 rows at a time."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2048):
+            b = whole.slice(k, 2048)
+            here = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            yield np.where(here, x, 0.0), here
+
+
+def _per_pair(data: DataFrame, names: Sequence[str], task, whole: str) -> DataFrame:
+    """Rows ``(x, y, names...)`` of every task: ``task`` turns its blocks into a matrix for each name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = task(_blocks(batches))
+        n = len(found[0])
+        x, y = np.divmod(np.arange(n * n, dtype=np.int32), np.int32(n))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.array(m.ravel().astype(float)) for m in found]], names=["x", "y", *names])
+
+    return data.mapInArrow(run, f"x int, y int, {', '.join(f'{c} double' for c in names)}").where(whole)
+
+
+def _pair_means(data: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``mean[i, j]`` of column i over the rows that have both, and whether i varies in them: n x n numbers on the driver."""
+    def task(blocks):
+        rows, sums = np.zeros((n, n)), np.zeros((n, n))
+        least, most = np.full((n, n), np.inf), np.full((n, n), -np.inf)
+        for x, here in blocks:
+            rows += here.T.astype(float) @ here
+            sums += x.T @ here
+            low, high = np.where(here, x, np.inf), np.where(here, x, -np.inf)
+            for j in range(n):
+                own = here[:, j]
+                if own.any():
+                    least[:, j] = np.minimum(least[:, j], low[own].min(axis=0))
+                    most[:, j] = np.maximum(most[:, j], high[own].max(axis=0))
+        return rows, sums, least, most
+
+    found = _per_pair(data, ["n", "s", "lo", "hi"], task, "n > 0").groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    mean, varies = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
+    for r in found:
+        mean[r["x"], r["y"]], varies[r["x"], r["y"]] = r["s"] / r["n"], r["lo"] < r["hi"]
+    return mean, varies
+
+
 def correlation_long(df: DataFrame, variables: Sequence[str], lower_only: bool = False,
                      digits: int | None = 2) -> DataFrame:
-    """Pairwise-complete Pearson correlation of all pairs, long form.
+    """Pairwise-complete Pearson correlation of all pairs, long form (A13, A14), for any number of columns.
 
-    The columns are written once.  A first aggregate takes their minima; then one
-    pass sums, for each pattern of nulls, the rows and all products of two shifted
-    columns.  A pair's r comes from the sums of the patterns that have both: no
-    row is expanded.
+    The columns are written once.  The first pass takes every pair's own means (over the rows that have both
+    columns), the second the squares and products about them; a last correction removes what rounding left of the
+    sums.  Neither depends on how many patterns of nulls there are.
 
     A column that is constant over a pair's rows gives null instead of an ANSI
-    divide-by-zero error (trap T1).  ``lower_only`` keeps pairs on or below the
+    divide-by-zero error (trap T1); so does a pair with a NaN or an infinite value.  ``lower_only`` keeps pairs on or below the
     diagonal (the heat map's mask).  Output ``(var_x, var_y, r)``; ``var_x`` is the
     row, ``var_y`` the column.  ``digits=None`` leaves r unrounded.
     """
     variables = list(dict.fromkeys(variables))
     n = len(variables)
+    spark = df.sparkSession
     data = cut_lineage(df.select(*[F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)]))
-    # SQL texts: thousands of small expressions cost more as calls than as work.
-    mask = " + ".join(f"if(x{i} IS NOT NULL, {1 << i}L, 0L)" for i in range(n))
-    data = data.selectExpr(f"{mask} AS mask", *[f"x{i}" for i in range(n)])
-    # Every pattern of nulls is summed about its own means, every pair about the means of its own rows.
-    means = cut_lineage(data.groupBy("mask").agg(F.count("*").alias("rows"), *[F.expr(f"{f}(x{i})").alias(f"{c}{i}") for i in range(n) for f, c in (("avg", "a"), ("min", "lo"), ("max", "hi"))]))
-    shifts = means.select("mask", *[f"a{i}" for i in range(n)])
-    rows = data.join(shifts, "mask").selectExpr("mask", *[f"coalesce(x{i} - a{i}, 0D) AS x{i}" for i in range(n)])
-    products = [(i, j) for i in range(-1, n) for j in range(i, n)]     # -1: the constant one
-    name = {own: f"p{i}" for i, own in enumerate(products)}
-    factor = lambda i: "1D" if i < 0 else f"x{i}"
-    sums = cut_lineage(rows.groupBy("mask").agg(*[F.expr(f"sum({factor(i)} * {factor(j)})").alias(c) for (i, j), c in name.items()])).join(shifts, "mask")
-    at = {own: k for k, own in enumerate(products)}
-    pairs = []
-    for i, j in [(i, j) for i in range(n) for j in range(i, n)]:
-        six = [(-1, -1), (-1, i), (-1, j), (i, i), (j, j), (i, j)]
-        pairs.append(f"named_struct('x', {i}, 'y', {j}, 'bits', {1 << i | 1 << j}L, " + ", ".join(f"'k{k}', {at[own]}" for k, own in enumerate(six)) + ")")
-    pairs = f"inline(array({', '.join(pairs)}))"  # constants
-    columns = lambda c, k: f"array({', '.join(f'{c}{i}' for i in range(k))}) AS {c}"
-    # A pattern without columns and with no rows, so that every pair appears.
-    none = df.sparkSession.range(1).selectExpr("0L AS mask", "0L AS rows", *[f"CAST(NULL AS double) AS {c}{i}" for i in range(n) for c in ("a", "lo", "hi")])
-    of = means.unionByName(none).selectExpr("mask", "rows", *[columns(c, n) for c in ("a", "lo", "hi")]).selectExpr("*", pairs)
-    of = of.selectExpr("x", "y", "if(mask & bits = bits, rows, 0L) AS m", *[f"if(mask & bits = bits, {c}[{k}], NULL) AS {c}{k}" for k in "xy" for c in ("a", "lo", "hi")])
-    centres = of.groupBy("x", "y").agg(
-        *[F.expr(e) for e in ("sum(m * ax) / nullif(sum(m), 0) AS cx", "sum(m * ay) / nullif(sum(m), 0) AS cy", "min(lox) < max(hix) AND min(loy) < max(hiy) AS varies")])  # a row per pair
-    parts = sums.selectExpr("mask", columns("a", n), columns("p", len(products))).selectExpr("*", pairs).where("mask & bits = bits")
-    parts = parts.selectExpr("x", "y", "a[x] AS ax", "a[y] AS ay", *[f"p[k{k}] AS t{k}" for k in range(6)])
-    moved = centres.join(parts, ["x", "y"], "left").withColumn("dx", F.col("ax") - F.col("cx")).withColumn("dy", F.col("ay") - F.col("cy"))
-    about = ("t0", "t1 + t0 * dx", "t2 + t0 * dy", "t3 + 2 * dx * t1 + t0 * dx * dx", "t4 + 2 * dy * t2 + t0 * dy * dy", "t5 + dx * t2 + dy * t1 + t0 * dx * dy")
-    six = moved.groupBy("x", "y", "varies").agg(*[F.expr(f"sum({e})").alias(f"s{k}") for k, e in enumerate(about)])
-    m, sx, sy, xx, yy, xy = (F.col(f"s{k}") for k in range(6))
-    vx, vy = xx - sx * sx / F.nullif(m, F.lit(0.0)), yy - sy * sy / F.nullif(m, F.lit(0.0))
-    r = (xy - sx * sy / m) / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))
-    r = F.when(F.col("varies") & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    per_pair = six.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r"))
-    names = F.array(*[F.lit(v) for v in variables])
-    a, b = names[F.col("x")], names[F.col("y")]
+    mean, varies = _pair_means(data, n)
+
+    def task(blocks):
+        out = [np.zeros((n, n)) for _ in range(6)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            for x, here in blocks:
+                for j in range(n):
+                    own = here[:, j]
+                    if not own.any():
+                        continue
+                    both = here[own]
+                    dx = np.where(both, x[own] - mean[:, j], 0.0)                    # of every column about its mean beside j
+                    dy = np.where(both, x[own, j][:, None] - mean[j, :], 0.0)         # of j about its mean beside every column
+                    for m, v in zip(out, (both, dx, dy, dx * dx, dy * dy, dx * dy)):
+                        m[:, j] += v.sum(axis=0)
+        return out
+
+    names = ["m", "sx", "sy", "xx", "yy", "xy"]
+    none = spark.range(n * n).select(F.expr(f"CAST(id DIV {n} AS int)").alias("x"), F.expr(f"CAST(id % {n} AS int)").alias("y"), *[F.lit(0.0).alias(c) for c in names])
+    pairs = _per_pair(data, names, task, "m > 0 AND x <= y").unionByName(none.where("x <= y")).groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in names])
+    m, sx, sy, xx, yy, xy = map(F.col, names)
+    count = F.nullif(m, F.lit(0.0))
+    vx, vy = xx - sx * sx / count, yy - sy * sy / count
+    r = (xy - sx * sy / count) / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))
+    flags = varies & varies.T
+    changing = F.array(*[F.lit("".join("1" if v else "0" for v in row)) for row in flags])  # a text for each column
+    r = F.when((F.substring(changing[F.col("x")], F.col("y") + 1, F.lit(1)) == "1") & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    per_pair = pairs.select("x", "y", (np_round(r, digits) if digits is not None else r).alias("r"))
+    labels = F.array(*[F.lit(v) for v in variables])
+    a, b = labels[F.col("x")], labels[F.col("y")]
     below = F.struct(b.alias("var_x"), a.alias("var_y"), F.col("r"))
     if lower_only:
         return per_pair.select(F.inline(F.array(below)))

@@ -246,6 +246,16 @@ def _corr_pairs(lower_only: bool, variables=None, source: str = "wide", raw: boo
     return "\nUNION ALL\n".join(rows)
 
 
+def _corr_wide_sql() -> str:
+    """All pairs of the unpivoted columns, joined by customer."""
+    exprs = q.wide_numbers()
+    cells = ", ".join(f"{{'n': 'v{i:03d}', 'v': ({e})::DOUBLE}}" for i, e in enumerate(exprs))
+    names = ", ".join(f"('v{i:03d}')" for i in range(len(exprs)))
+    return (f"{SEG}, cells AS (SELECT PERS_ID, unnest([{cells}]) AS c FROM wide), l AS (SELECT PERS_ID, c.n AS n, c.v AS v FROM cells WHERE c.v IS NOT NULL), "
+            f"names(n) AS (VALUES {names}), r AS (SELECT a.n AS var_x, b.n AS var_y, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.PERS_ID = b.PERS_ID AND a.n >= b.n GROUP BY a.n, b.n) "
+            f"SELECT a.n AS var_x, b.n AS var_y, CASE WHEN isnan(r) THEN NULL ELSE round_even(r, 2) END AS r FROM names a JOIN names b ON a.n >= b.n LEFT JOIN r ON r.var_x = a.n AND r.var_y = b.n")
+
+
 def _li_centres_cte() -> str:
     avgs = ", ".join(f"round_even(avg({c}), {q.PREC}) AS {c}" for c in q.LI_MODEL)
     return f"cen AS (SELECT Cluster, {avgs}, count(*) AS n FROM li GROUP BY Cluster)"
@@ -479,6 +489,7 @@ def oracle_sql() -> dict[str, str]:
                          f"SELECT Cluster, Count, round_even(100.0 * Count / sum(Count) OVER (), 2) AS CountShare FROM sizes",
         "correlation_long": f"{SEG}\n{_corr_pairs(False)}",
         "correlation_lower": f"{SEG}\n{_corr_pairs(True)}",
+        "correlation_wide": _corr_wide_sql(),
         "redundant_pairs": f"WITH {LI_PRICES}, c AS ({_corr_pairs(True, q.PRICE_VARS, 'px', raw=True)})\n"
                            f"SELECT var_x, var_y, round_even(r, 2) AS r FROM c WHERE var_x <> var_y AND (r > 0.8 OR r < -0.8)",
         "profile_long": _profile_long_sql() + "SELECT row_order, row_label, Cluster, value FROM prof",

@@ -410,6 +410,19 @@ def q_correlation_lower(spark, root):
     return st.correlation_long(_seg(spark, root), CORR_VARS, lower_only=True)
 
 
+def wide_numbers() -> list[str]:
+    """More than 64 numeric columns: those of the wide row, and each model variable times the next."""
+    names = [*d.MODEL_VARIABLES, *d.CUSTOMER_FACT, *d.SEGMENT_FACT]
+    return names + [f"{a} * {b}" for a, b in zip(d.MODEL_VARIABLES, d.MODEL_VARIABLES[1:])]
+
+
+def q_correlation_wide(spark, root):
+    """A13 over all numeric columns of the wide row and products of them."""
+    exprs = wide_numbers()
+    seg = _seg(spark, root).select(*[F.expr(f"CAST({e} AS double)").alias(e) for e in exprs])
+    return st.correlation_long(seg.toDF(*[f"v{i:03d}" for i in range(len(exprs))]), [f"v{i:03d}" for i in range(len(exprs))], lower_only=True)
+
+
 def _lineitem_prices(spark, root):
     li = d.table(spark, root, "lineitem")
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
