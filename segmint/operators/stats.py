@@ -10,7 +10,9 @@ Design notes for scale
   their error bound says which pair must enclose the rank.  The second counts
   what lies below the pair and the frequencies of the values inside it: ties
   collapse on the map side, so a value that most rows share is one row per
-  task, and only a few thousandths of the values reach the ranking.
+  task, and only a few thousandths of the values reach the ranking.  Where even
+  these are more than ``RANKED`` values of one group, passes of plain counts by
+  value range narrow the pair first, so no task ranks more than that.
 * Correlation of all pairs takes two passes over the written columns, whatever
   their number and their nulls.  Presence is a 0/1 factor: a task adds up its
   batches as matrices (NumPy over Arrow) and gives one row for each pair, which
@@ -32,10 +34,13 @@ from pyspark.sql import functions as F
 from segmint.session import cut_lineage
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
-# Relative error of the approximate percentiles that bracket a rank, and the
-# distances (as shares of the rows) at which brackets are tried, nearest first.
+# Relative error of the approximate percentiles that bracket a rank, and the distance
+# (as a share of the rows) at which the bracket is taken.
 ACCURACY = 1000
-REACH = (0.002, 0.01, 0.05)
+REACH = 0.002
+# Values of one bracket that one task may rank, and into how many ranges a pass cuts a larger bracket.
+RANKED = 1 << 20
+RANGES = 256
 
 
 def np_round(col: Column | str, digits: int) -> Column:
@@ -59,8 +64,8 @@ def to_long(df: DataFrame, ids: Sequence[str], variables: Sequence[str],
 
 
 def _sketch(value: Column, probs: Sequence[float]) -> Column:
-    """Approximate percentiles around every probability: below and above at each distance of ``REACH``."""
-    ps = [min(1.0, max(0.0, p + side * r)) for p in probs for r in REACH for side in (-1, 1)]
+    """Approximate percentiles a little below and above every probability."""
+    ps = [min(1.0, max(0.0, p + side * REACH)) for p in probs for side in (-1, 1)]
     return F.percentile_approx(value, ps, ACCURACY)
 
 
@@ -70,16 +75,12 @@ def _bracket(sketch: Column, i: int, n: Column, least: Column, most: Column) ->
     A sketch value misses its rank by n / ACCURACY at most; two ranks more
     cover the rounding.  Small groups take all their values.
     """
-    out = F.struct(least.alias("lo"), most.alias("hi"))
-    for j, r in reversed(list(enumerate(REACH))):
-        at = (i * len(REACH) + j) * 2
-        out = F.when(n * F.lit(r) >= n / F.lit(float(ACCURACY)) + F.lit(2.0),
-                     F.struct(sketch[at].alias("lo"), sketch[at + 1].alias("hi"))).otherwise(out)
-    return out
+    return F.when(n * F.lit(REACH) >= n / F.lit(float(ACCURACY)) + F.lit(2.0), F.struct(sketch[2 * i].alias("lo"), sketch[2 * i + 1].alias("hi"))
+                  ).otherwise(F.struct(least.alias("lo"), most.alias("hi")))
 
 
-def _ranked(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
-    """``(groups..., i, j, q)``: the j-th quantile of the i-th variable, from rows and ``brackets`` (groups, n0.., b0_0..)."""
+def _cells(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``(groups..., i, j, lo, hi, v)`` of every row up to the bracket's upper end."""
     left = df.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(variables)])
     on = F.lit(True)
     for k, g in enumerate(groups):  # a null group is a group
@@ -89,21 +90,66 @@ def _ranked(df: DataFrame, groups: list[str], variables: list[str], probs: Seque
         v = F.col(f"__v{i}")
         for j in range(len(probs)):
             b = F.col(f"b{i}_{j}")
-            inside = v >= b["lo"]
-            cells.append(F.when(v <= b["hi"], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), inside.alias("inside"), F.when(inside, v).alias("v"))))
-    found = left.join(brackets, on).select(*groups, F.inline(F.array(*cells))).where("i IS NOT NULL")
-    found = found.groupBy(*groups, "i", "j", "inside", "v").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.partitionBy(*groups, "i", "j").orderBy("inside", "v").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("upto", F.sum("m").over(order))
+            cells.append(F.when(v <= b["hi"], F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), b["lo"].alias("lo"), b["hi"].alias("hi"), v.alias("v"))))
+    return left.join(brackets, on).select(*groups, F.inline(F.array(*cells))).where("i IS NOT NULL")
+
+
+def _with_ranks(found: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``found`` (groups, i, j, ...) with ``__n``, ``__h = p (n - 1)``, the rank ``__lo`` below it and the next one ``__hi``."""
     sizes = brackets.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(variables))])).alias("__i", "__n"))
     on = F.col("i") == F.col("__i")
     for k, g in enumerate(groups):
         on = on & found[g].eqNullSafe(sizes[f"__g{k}"])
     wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1) * (F.col("__n") - 1)
-    found = found.join(sizes, on).withColumn("__h", wanted).withColumn("__lo", F.floor("__h"))
+    out = found.join(sizes, on).withColumn("__h", wanted).withColumn("__lo", F.floor("__h"))
+    return out.withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1))
+
+
+def _narrow(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``brackets`` so narrow that each holds ``RANKED`` rows at most, or one value, or the two values next to each other that are wanted.
+
+    A pass counts the rows of every bracket in ``RANGES`` equal ranges of values (partial counts: as many rows a task
+    as there are ranges) and takes the range that holds both ranks.  Where they lie in two ranges, they are the last
+    value of the one and the first of the other.  The ends of a bracket fall into different ranges, so every pass narrows it.
+    """
+    most = brackets.agg(F.max(F.greatest(*[F.col(f"n{i}") for i in range(len(variables))], F.lit(0)))).first()[0] or 0
+    inside = min(most, most * (2 * REACH + 2 / ACCURACY) + 4) if most * REACH >= most / ACCURACY + 2 else most
+    while inside > RANKED:
+        cells = _cells(df, groups, variables, probs, brackets)
+        at = F.when(F.col("v") < F.col("lo"), -1).when(F.col("hi") > F.col("lo"), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * RANGES)).otherwise(0)
+        counts = cells.withColumn("at", at.cast("int")).groupBy(*groups, "i", "j", "at").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counts = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(*groups, "i", "j").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = _with_ranks(counts, groups, variables, probs, brackets).where("at >= 0")
+        part = F.struct("at", "least", "most", "m")
+        picked = ranked.groupBy(*groups, "i", "j").agg(F.min(F.when(F.col("upto") > F.col("__lo"), part)).alias("a"), F.min(F.when(F.col("upto") > F.col("__hi"), part)).alias("b"))
+        same = F.col("a.at") == F.col("b.at")
+        picked = picked.select(*groups, "i", "j", F.struct(F.when(same, F.col("a.least")).otherwise(F.col("a.most")).alias("lo"),
+                                                           F.when(same, F.col("a.most")).otherwise(F.col("b.least")).alias("hi")).alias("b"),
+                               F.when(same & (F.col("a.least") < F.col("a.most")), F.col("a.m")).otherwise(0).alias("m"))
+        wide = picked.groupBy(*groups).agg(F.max("m").alias("__most"), *[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("b"))).alias(f"__b{i}_{j}")
+                                                                         for i in range(len(variables)) for j in range(len(probs))])
+        wide = wide.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], *[c for c in wide.columns if c not in groups])
+        on = F.lit(True)
+        for k, g in enumerate(groups):
+            on = on & brackets[g].eqNullSafe(wide[f"__g{k}"])
+        joined = cut_lineage(brackets.join(wide, on, "left"))
+        inside = joined.agg(F.max("__most")).first()[0] or 0
+        names = [f"b{i}_{j}" for i in range(len(variables)) for j in range(len(probs))]
+        brackets = joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in brackets.columns])
+    return brackets
+
+
+def _ranked(df: DataFrame, groups: list[str], variables: list[str], probs: Sequence[float], brackets: DataFrame) -> DataFrame:
+    """``(groups..., i, j, q)``: the j-th quantile of the i-th variable, from rows and ``brackets`` (groups, n0.., b0_0..)."""
+    brackets = _narrow(df, groups, variables, probs, brackets)
+    inside = F.col("v") >= F.col("lo")
+    found = _cells(df, groups, variables, probs, brackets).select(*groups, "i", "j", inside.alias("inside"), F.when(inside, F.col("v")).alias("v"))
+    found = found.groupBy(*groups, "i", "j", "inside", "v").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy(*groups, "i", "j").orderBy("inside", "v").rowsBetween(Window.unboundedPreceding, 0)
+    found = _with_ranks(found.withColumn("upto", F.sum("m").over(order)), groups, variables, probs, brackets)
     picked = found.groupBy(*groups, "i", "j").agg(
         F.min(F.when(F.col("inside") & (F.col("upto") > F.col("__lo")), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("inside") & (F.col("upto") > F.least(F.col("__lo") + 1, F.col("__n") - 1)), F.col("v"))).alias("b"),
+        F.min(F.when(F.col("inside") & (F.col("upto") > F.col("__hi")), F.col("v"))).alias("b"),
         F.min(F.when(~F.col("inside"), F.col("upto"))).alias("below"), F.first("__lo").alias("lo"), F.first(F.col("__h") - F.col("__lo")).alias("frac"))
     enclosed = (F.coalesce("below", F.lit(0)) <= F.col("lo")) & F.col("a").isNotNull() & F.col("b").isNotNull()
     value = F.when(enclosed, F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).otherwise(F.raise_error(F.lit("a quantile's rank is outside its bracket")).cast("double"))
