@@ -103,13 +103,17 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
         raise SystemExit("give --data (source tables) or --wide-csv")
     elif args.snapshot_root:
         # The store holds the row of every customer; the activity filter comes after it.
-        source = MonthStore(spark, args.snapshot_root).read_or_build(
-            month_end_of(as_of, 1), store_params(args.data, as_of, event_as_of),
-            lambda: wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=False))
+        store, params = MonthStore(spark, args.snapshot_root), store_params(args.data, as_of, event_as_of)
+
+        def build():
+            tenure = wide.tenure_from_store(spark, args.data, store, params["source"], as_of)
+            return wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=False, check=True, tenure=tenure)
+
+        source = store.read_or_build(month_end_of(as_of, 1), params, build)
         if args.active_only:
             source = semi_join(source, d.active_keys(spark, args.data, as_of), d.KEY)
     else:
-        source = wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=args.active_only)
+        source = wide.customer_wide(spark, args.data, as_of, event_as_of, active_only=args.active_only, check=True)
     if args.strict:
         if "TENURE" in source.columns:
             source = source.withColumn("TENURE", cap_value("TENURE", 30.0))

@@ -113,17 +113,30 @@ def attach(base: DataFrame, key: str, blocks: Iterable[DataFrame], check: bool =
 
     Blocks must be unique on ``key`` (they are aggregates or dimension rows);
     a duplicate would multiply base rows, as in the reference (quirk Q12).  With
-    ``check`` every block is tested first and a repeated key is an error: for
-    blocks that are read rather than aggregated here.
+    ``check`` a repeated key in a block is an error when the result is evaluated:
+    for blocks that are read rather than aggregated here.
     """
     out = base
     for b in blocks:
-        if check and not (twice := key_duplicates(b, key).limit(3)).isEmpty():
-            raise ValueError(f"a block repeats keys, such as {[r[0] for r in twice.collect()]}")
-        out = out.join(b, key, "left")
+        out = out.join(unique(b, key) if check else b, key, "left")
     return out
 
 
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """``df``, with an error in the plan where ``key`` repeats (Q12); null keys never match and may repeat.
+
+    One aggregate by the key: the join that follows reuses its partitioning, nothing is read twice and no job runs
+    before.  The check is part of the row's columns, so it cannot be optimised away while any of them is used.
+    """
+    rest = [c for c in df.columns if c != key]
+    packed = F.struct(*[F.col(f"`{c}`") for c in rest])
+    keys = [F.col(key), F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("__null")]
+    found = df.select("*", keys[1]).groupBy(key, "__null").agg(F.count(F.lit(1)).alias("__n"), F.min(packed).alias("__row"))
+    said = F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))
+    row = F.when(F.col("__n") > 1, F.raise_error(said).cast(found.schema["__row"].dataType)).otherwise(F.col("__row"))
+    return found.select(key, row.alias("__row")).select(*[F.col(key) if c == key else F.col("__row")[c].alias(c) for c in df.columns])
+
+
 def key_duplicates(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once (uniqueness check before ``attach``)."""
+    """Keys that occur more than once."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

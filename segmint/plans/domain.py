@@ -181,8 +181,12 @@ def tenure(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
     first = (o.where(F.col("o_orderdate") < F.lit(month_start_of(as_of, 0)))
              .groupBy(F.col("o_custkey").alias(KEY))
              .agg(F.min("o_orderdate").alias("__first")))
-    return first.select(KEY, ((F.lit(snap.year * 12 + snap.month) - months_index("__first"))
-                              / F.lit(12.0)).alias("TENURE"))
+    return first.select(KEY, years_since("__first", snap).alias("TENURE"))
+
+
+def years_since(first: str, snap: dt.date) -> Column:
+    """Whole months from a day to the snapshot's month, in years."""
+    return (F.lit(snap.year * 12 + snap.month) - months_index(first)) / F.lit(12.0)
 
 
 def segment_attrs(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
@@ -192,11 +196,12 @@ def segment_attrs(spark: SparkSession, root: str, as_of=AS_OF) -> DataFrame:
 
 
 def order_block(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTHS) -> DataFrame:
-    """``(UNI_PT_KEY, category averages..., M_ACT_FLAG, customer-fact measures...)`` from one scan of six months of orders.
+    """``(PERS_ID, category averages..., M_ACT_FLAG, customer-fact measures...)`` from one scan of six months of orders.
 
     The spend and income pivots, the activity of the last month and the customer
     fact read the same orders, so they are one aggregate.  The fact has a row
-    only for customers with an order in the last month.
+    only for customers with an order in the last month.  Orders name the customer, and
+    the second key belongs to one customer, so the block joins on ``PERS_ID`` like all others.
     """
     lo, last, w_lo, hi = (month_start_of(as_of, m) for m in (FACT_MONTHS, 1, months, 0))
     o = table(spark, root, "orders")
@@ -208,12 +213,11 @@ def order_block(spark: SparkSession, root: str, as_of=AS_OF, months: int = MONTH
     aggs += [F.max(F.when(day >= F.lit(last), (F.col("o_orderstatus") == F.lit(ACTIVE_STATUS)).cast("int"))).alias("M_ACT_FLAG")]
     for name, (fn, sql, back) in CUSTOMER_FACT.items():
         aggs.append(getattr(F, fn)(F.when(day >= F.lit(month_start_of(as_of, back)), F.expr(sql))).alias(name))
-    per = o.groupBy("o_custkey").agg(*aggs)
-    names = table(spark, root, "customer").select("c_custkey", F.col("c_name").alias(SECOND_KEY))
+    per = o.groupBy(F.col("o_custkey").alias(KEY)).agg(*aggs)
     stems = [f"{s}_AVG_{m}" for s in {**SPEND_CLASSES, **INCOME_CLASSES}.values() for m in ("CNT", "AMT")]
     here = F.col("M_ACT_FLAG").isNotNull()
-    return per.join(names, per.o_custkey == names.c_custkey).select(
-        SECOND_KEY, *[(F.col(c).cast("double") / F.lit(float(months))).alias(c) for c in stems], "M_ACT_FLAG",
+    return per.select(
+        KEY, *[(F.col(c).cast("double") / F.lit(float(months))).alias(c) for c in stems], "M_ACT_FLAG",
         *[F.when(here, F.col(c).cast("double")).alias(c) for c in CUSTOMER_FACT])
 
 

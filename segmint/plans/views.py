@@ -69,7 +69,7 @@ FROM {p}src_customer c
 LEFT JOIN {p}src_nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN {p}src_region r ON n.n_regionkey = r.r_regionkey"""),
         (f"{p}order_sums", f"""
-SELECT o_custkey,
+SELECT o_custkey AS PERS_ID,
   {pivots},
   MAX(CASE WHEN o_orderstatus = {_text(d.ACTIVE_STATUS)} THEN 1 ELSE 0 END) FILTER (WHERE o_orderdate >= DATE'{last}') AS M_ACT_FLAG,
   {fact}
@@ -77,8 +77,8 @@ FROM {p}src_orders
 WHERE o_orderdate >= DATE'{half}' AND o_orderdate < DATE'{hi}'
 GROUP BY o_custkey"""),
         (f"{p}orders", f"""
-SELECT c.c_name AS UNI_PT_KEY, {stems}, M_ACT_FLAG, {here}
-FROM {p}order_sums s JOIN {p}src_customer c ON c.c_custkey = s.o_custkey"""),
+SELECT PERS_ID, {stems}, M_ACT_FLAG, {here}
+FROM {p}order_sums"""),
         (f"{p}tenure", f"""
 SELECT o_custkey AS PERS_ID,
        ({snap.year * 12 + snap.month} - (year(min(o_orderdate)) * 12 + month(min(o_orderdate)))) / 12D AS TENURE
@@ -105,17 +105,20 @@ GROUP BY o.o_custkey"""),
 SELECT PERS_ID, {', '.join(d.REPORTING_VARIABLES)}, MONTHLY_INCOME, TENURE, {stems}, {cnts}, {amts},
   UNI_PT_KEY, {', '.join(d.CUSTOMER_FACT)}, {', '.join(d.SEGMENT_FACT)}
 FROM {p}base
-JOIN (SELECT * FROM {p}orders WHERE M_ACT_FLAG = 1) USING (UNI_PT_KEY)
+JOIN (SELECT * FROM {p}orders WHERE M_ACT_FLAG = 1) USING (PERS_ID)
 LEFT JOIN {p}tenure USING (PERS_ID)
 LEFT JOIN {p}events USING (PERS_ID)
 LEFT JOIN {p}lines USING (PERS_ID)"""),
     ]
 
 
+TABLES = ("orders", "customer", "nation", "region", "events", "lineitem")
+
+
 def register_views(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.EVENT_AS_OF, prefix: str | None = None) -> list[str]:
     """Register the source tables and every view; return the view names in order."""
     prefix = prefix or f"seg{next(_calls)}_"
-    for t in ("orders", "customer", "nation", "region", "events", "lineitem"):
+    for t in TABLES:
         d.table(spark, root, t).createOrReplaceTempView(f"{prefix}src_{t}")
     names = []
     for name, sql in view_statements(as_of, event_as_of, prefix):
@@ -125,5 +128,10 @@ def register_views(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.
 
 
 def final_view(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.EVENT_AS_OF) -> DataFrame:
-    names = register_views(spark, root, as_of, event_as_of)
-    return spark.table(names[-1])
+    """The last view as a frame; the views' names, which only its text needed, are dropped again."""
+    prefix = f"seg{next(_calls)}_"
+    names = register_views(spark, root, as_of, event_as_of, prefix)
+    found = spark.table(names[-1])
+    for name in [*reversed(names), *[f"{prefix}src_{t}" for t in TABLES]]:  # what reads before what is read
+        spark.catalog.dropTempView(name)
+    return found

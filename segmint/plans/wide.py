@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmint.operators.features import attach, category_averages, category_sums, channel_averages
+from segmint.functions.dates import month_end_of, month_start_of
+from segmint.operators.features import attach, category_averages, category_sums, channel_averages, unique
 from segmint.plans import domain as d
+from segmint.sources.store import MonthStore
 
 
 def spend_income_block(spark: SparkSession, root: str, as_of=d.AS_OF,
@@ -71,21 +73,48 @@ def line_facts(spark: SparkSession, root: str, as_of=d.AS_OF) -> DataFrame:
 
 
 def customer_wide(spark: SparkSession, root: str, as_of=d.AS_OF, event_as_of=d.EVENT_AS_OF,
-                  active_only: bool = True) -> DataFrame:
-    """The wide customer row: attributes and six blocks.
+                  active_only: bool = True, check: bool = False, tenure: DataFrame | None = None) -> DataFrame:
+    """The wide customer row: attributes and six blocks, all by ``PERS_ID``.
 
-    Pivots, activity and the customer fact come from one scan of orders, joined on
-    the second key; branch visits and the segment fact from one scan of lines.
+    Pivots, activity and the customer fact come from one scan of orders; branch visits
+    and the segment fact from one scan of lines.
     ``active_only`` keeps the reference's base (customers active in the last month:
-    the fact's flag); ``False`` builds the row for every customer.
+    the fact's flag); ``False`` builds the row for every customer.  With ``check`` a
+    customer that stands twice in the base (a repeated customer or nation row) is an error
+    when the row is evaluated.  ``tenure`` may be given, see :func:`tenure_from_store`.
     """
-    wide = attach(d.customer_profile(spark, root), d.SECOND_KEY, [d.order_block(spark, root, as_of)])
+    base = d.customer_profile(spark, root)
+    wide = attach(unique(base, d.KEY) if check else base, d.KEY, [d.order_block(spark, root, as_of)])
     if active_only:
         wide = wide.where(F.col("M_ACT_FLAG") == 1)
-    wide = attach(wide, d.KEY, [d.tenure(spark, root, as_of), event_channel_block(spark, root, event_as_of), line_facts(spark, root, as_of)])
+    tenure = tenure if tenure is not None else d.tenure(spark, root, as_of)
+    wide = attach(wide, d.KEY, [tenure, event_channel_block(spark, root, event_as_of), line_facts(spark, root, as_of)])
     return wide.select(d.KEY, *d.REPORTING_VARIABLES, *d.MODEL_VARIABLES, d.SECOND_KEY, *d.CUSTOMER_FACT, *d.SEGMENT_FACT)
 
 
+def tenure_from_store(spark: SparkSession, root: str, store: MonthStore, source: str, as_of=d.AS_OF) -> DataFrame:
+    """``(PERS_ID, TENURE)`` as :func:`segmint.plans.domain.tenure`, from the stored first orders of the month before.
+
+    The store holds each customer's first order up to a month end.  A month's state is that of the month before and
+    the orders of the one new month; only where that is not there is the whole history read.
+    """
+    snap, before = month_end_of(as_of, 1), month_end_of(as_of, 2)
+    params = {"source": source, "state": "first order"}
+
+    def first_orders(since=None) -> DataFrame:
+        o = d.table(spark, root, "orders").where(F.col("o_orderdate") < F.lit(month_start_of(as_of, 0)))
+        o = o if since is None else o.where(F.col("o_orderdate") >= F.lit(since))
+        return o.groupBy(F.col("o_custkey").alias(d.KEY)).agg(F.min("o_orderdate").alias("first_order"))
+
+    def state() -> DataFrame:
+        known = store.read(before, params)
+        if known is None:
+            return first_orders()
+        return known.unionByName(first_orders(month_start_of(as_of, 1))).groupBy(d.KEY).agg(F.min("first_order").alias("first_order"))
+
+    return store.read_or_build(snap, params, state).select(d.KEY, d.years_since("first_order", snap).alias("TENURE"))
+
+
 def segment_input(spark: SparkSession, root: str) -> DataFrame:
     """Application input for filters and models: the wide row of every customer."""
     return customer_wide(spark, root, active_only=False)

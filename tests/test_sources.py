@@ -104,7 +104,7 @@ def test_command_line_run(spark, tmp_dir):
         got = run(parse_args(["--data", SF0001, "--out", f"{tmp_dir}/{name}", "--k", "3", "--snapshot-root", snap, *more]), spark)
         return spark.read.option("header", True).csv(got["clients"])
 
-    months = lambda: [(r["month"], r["params"]["events"]) for r in MonthStore(spark, snap).months()]
+    months = lambda: [(r["month"], r["params"]["events"]) for r in MonthStore(spark, snap).months() if "events" in r["params"]]
     active = clients("s1", "--active-only").count()
     assert months() == [("2001-07-31", "2024-01-31")]
     everyone = clients("s2")
@@ -183,11 +183,51 @@ def test_views_of_two_roots_and_dates_stay_apart(spark):
 
 
 def test_attach_checks_uniqueness(spark):
-    from segmint.operators.features import attach
+    from segmint.operators.features import attach, unique
     base, twice = spark.range(3).toDF("k"), spark.createDataFrame([(1, 1), (1, 2)], "k long, v int")
     assert attach(base, "k", [twice]).count() == 4
-    with pytest.raises(ValueError, match="repeats keys"):
-        attach(base, "k", [twice], check=True)
+    with pytest.raises(Exception, match="k repeats: 1"):
+        attach(base, "k", [twice], check=True).collect()
+    some = spark.createDataFrame([(1, "a", None), (None, "b", 1), (None, "b", 1), (2, None, 2)], "k long, `v.w` string, z int")
+    assert sorted(map(tuple, unique(some, "k").collect()), key=str) == sorted(map(tuple, some.collect()), key=str)
+    assert unique(some.limit(0), "k").collect() == []
+
+
+@pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
+def test_repeated_customer_stops_the_wide_row(spark, tmp_dir):
+    """The check is in the plan: no more scans than without it."""
+    from segmint.__main__ import parse_args, run
+    from segmint.plans import wide
+    for name in ("nation", "region", "orders", "lineitem", "events"):
+        os.symlink(f"{SF0001}/{name}.parquet", f"{tmp_dir}/{name}.parquet")
+    customers = spark.read.parquet(f"{SF0001}/customer.parquet")
+    customers.unionByName(customers.where("c_custkey = 7")).write.parquet(f"{tmp_dir}/customer.parquet")
+    with pytest.raises(Exception, match="PERS_ID repeats: 7"):
+        wide.customer_wide(spark, tmp_dir, active_only=False, check=True).collect()
+    with pytest.raises(Exception, match="PERS_ID repeats: 7"):
+        run(parse_args(["--data", tmp_dir, "--out", f"{tmp_dir}/out", "--k", "3"]), spark)
+    plans = [wide.customer_wide(spark, SF0001, check=c)._jdf.queryExecution().executedPlan().toString() for c in (False, True)]
+    assert plans[0].count("FileScan") == plans[1].count("FileScan")
+    assert sorted(map(tuple, wide.customer_wide(spark, SF0001, check=True).collect()), key=str) == sorted(map(tuple, wide.customer_wide(spark, SF0001).collect()), key=str)
+
+
+@pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
+def test_tenure_takes_in_new_months_only(spark, tmp_dir):
+    from segmint.plans import domain as d
+    from segmint.plans import wide
+    from segmint.sources.store import MonthStore
+    store = MonthStore(spark, f"{tmp_dir}/store")
+    for as_of in (dt.date(2001, 5, 15), dt.date(2001, 6, 15), dt.date(2001, 7, 15), dt.date(2001, 8, 15)):
+        got = wide.tenure_from_store(spark, SF0001, store, SF0001, as_of)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, d.tenure(spark, SF0001, as_of).collect()))
+    assert [r["month"] for r in store.months()] == ["2001-04-30", "2001-05-31", "2001-06-30", "2001-07-31"]
+    seen = []
+    store.read_or_build = lambda month, params, builder: seen.append(builder()) or seen[-1]
+    wide.tenure_from_store(spark, SF0001, store, SF0001, dt.date(2001, 9, 15))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(o_orderdate,2001-08-01" in plan and "LessThan(o_orderdate,2001-09-01" in plan
 
 
 def test_catalog_missing_columns(spark):
