@@ -105,16 +105,16 @@ def _chunks(docs: DataFrame, primes) -> DataFrame:
 
     def rows(b: dict[str, list]) -> dict[str, list]:
         hasher = made.get("hasher") or made.setdefault("hasher", Hasher(primes))
-        out = {"doc_id": [], "fp": [], "n_bytes": [], "chunk_no": [], "chunk": []}
-        for i, t in zip(b["doc_id"], b["text"]):
+        out = {"text_sha256": [], "fp": [], "n_bytes": [], "chunk_no": [], "chunk": []}
+        for t in b["text"]:
             t = normalised(t)
-            k = hasher.of(t).key()
+            k, sha = hasher.of(t).key(), hashlib.sha256(t).hexdigest()
             for no, at in enumerate(range(0, max(1, len(t)), COMPARE)):
-                for c, v in zip(out.values(), (i, k, len(t), no, t[at:at + COMPARE])):
+                for c, v in zip(out.values(), (sha, k, len(t), no, t[at:at + COMPARE])):
                     c.append(v)
         return out
 
-    return map_arrow(docs.select("doc_id", text_bytes()), rows, "doc_id long, fp long, n_bytes long, chunk_no int, chunk binary")
+    return map_arrow(docs.select(text_bytes()), rows, "text_sha256 string, fp long, n_bytes long, chunk_no int, chunk binary")
 
 
 def exact_dedup(docs: DataFrame, primes=PRIMES) -> DataFrame:
@@ -126,17 +126,16 @@ def exact_dedup(docs: DataFrame, primes=PRIMES) -> DataFrame:
     ids = rows.join(shared, key, "left_semi").select(F.col("doc_id").alias("cand")).distinct()
     chunks = _chunks(docs.join(ids, docs["doc_id"].eqNullSafe(ids["cand"]), "left_semi"), primes)
     # Equal chunks of a group collapse before the shuffle; two contents at one place show a collision.
-    contents = chunks.groupBy(*key, "chunk_no", "chunk").agg(F.min("doc_id").alias("first_id"))
+    contents = chunks.select(*key, "chunk_no", "chunk").distinct()
     clashes = cut(contents.groupBy(*key, "chunk_no").count().where("count > 1").select(*key).distinct())
     rows = rows.withColumn("part", F.lit(""))
     if not clashes.isEmpty():
-        of = chunks.join(clashes, key, "left_semi")
-        named = of.groupBy(*key, "chunk_no", "chunk").agg(F.min("doc_id").alias("first_id"))
-        parts = (of.join(named, [*key, "chunk_no", "chunk"]).groupBy("doc_id", *key)
-                 .agg(F.to_json(F.array_sort(F.collect_list(F.struct("chunk_no", "first_id")))).alias("found")))
-        rows = (rows.alias("r").join(parts.alias("p"), F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("r.fp") == F.col("p.fp"))
-                                     & (F.col("r.n_bytes") == F.col("p.n_bytes")), "left")
-                .select("r.doc_id", "r.n_chars", "r.fp", "r.n_bytes", "r.text_sha256", F.coalesce("p.found", F.lit("")).alias("part")))
+        # A text has one content at each place, so the least digest of its texts names a content; ids name neither.
+        of = chunks.join(clashes, key, "left_semi").distinct()
+        named = of.groupBy(*key, "chunk_no", "chunk").agg(F.min("text_sha256").alias("name"))
+        parts = (of.join(named, [*key, "chunk_no", "chunk"]).groupBy("text_sha256", *key)
+                 .agg(F.to_json(F.array_sort(F.collect_list(F.struct("chunk_no", "name")))).alias("found")))
+        rows = rows.drop("part").join(parts, ["text_sha256", *key], "left").withColumn("part", F.coalesce("found", F.lit(""))).drop("found")
     key = [*key, "part"]
     last = F.lit((1 << 63) - 1)
     best = (rows.groupBy(*key).agg(F.max(F.struct("n_chars", (-F.coalesce("doc_id", last)).alias("rank"))).alias("best"), F.count("*").alias("group_size"))

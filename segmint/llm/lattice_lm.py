@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -155,11 +156,11 @@ class LatticeModel:
         return out
 
 
-_made: dict[int, Vocabulary] = {}
+_made: dict[bytes, Vocabulary] = {}
 
 
 def _vocabulary(tokens: list[bytes]) -> Vocabulary:
-    key = hash((len(tokens), *tokens[-100:], *tokens[:1000:7]))
+    key = hashlib.sha256(repr(tokens).encode()).digest()
     if key not in _made:
         _made.clear()
         _made[key] = Vocabulary(tokens)

@@ -46,6 +46,20 @@ def test_against_plain_version(docs, primes):
     assert all(sum(r.kept for r in g) == 1 and all(r.doc_id == r.keep_id for r in g if r.kept) for g in by_text.values())
 
 
+def test_rows_without_an_own_id_and_different_texts(spark):
+    """Different texts of one fingerprint under null and repeated ids (the primes are weak, so that all share one)."""
+    rows = [(None, "ab"), (None, "cd"), (5, "ab"), (5, "cd"), (1, "ab"), (2, "cd"), (None, "ef"), (5, "ef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = exact_dedup(docs, ((2, 1),))
+    got = sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found.collect()], key=str)
+    want = []
+    for i, t in rows:
+        ids = [j for j, u in rows if u == t and j is not None]
+        want.append((i, min(ids), sum(u == t for _, u in rows), hashlib.sha256(t.encode()).hexdigest()))
+    assert got == sorted(want, key=str) and len({r.text_sha256 for r in found.collect()}) == 3
+    assert sorted(r.text for r in keep_one(docs, found).collect()) == ["ab", "cd", "ef"]
+
+
 def test_keep_one_keeps_all_columns_and_each_text_once(docs):
     kept = keep_one(docs, exact_dedup(docs))
     got = kept.collect()

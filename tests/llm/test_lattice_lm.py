@@ -94,3 +94,10 @@ def test_edge_cases(spark):
     none = score_documents(docs, F.lit(True), PIECES).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and math.isfinite(r.score) for r in none)
     assert score_documents(docs.limit(0), F.lit(False), PIECES).collect() == []
+
+
+def test_vocabularies_that_differ_anywhere_stay_apart():
+    from segmint.llm.lattice_lm import _vocabulary
+    one = [b"%d" % i for i in range(5000)]
+    other = one[:1503] + [b"x"] + one[1504:]
+    assert _vocabulary(one) is _vocabulary(list(one)) and _vocabulary(one) is not _vocabulary(other)
