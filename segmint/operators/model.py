@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -117,12 +119,16 @@ def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Colum
     Ties go to the lower index (``argmin``); a row with a null coordinate has
     no nearest centre: the struct is null.
     """
+    return F.expr(_nearest_text(columns, centres))
+
+
+def _nearest_text(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> str:
     # One text for the whole expression: a call per literal would cost more than the pass itself.
     table = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
     xs = ["cast(`" + c.replace("`", "``") + "` AS double)" for c in columns]
     dist = " + ".join(f"pow({x} - __ctr[{j}], 2D)" for j, x in enumerate(xs))  # exactly the product, fewer nodes
     some_null = " OR ".join(f"{x} IS NULL" for x in xs)
-    return F.expr(f"if({some_null}, NULL, array_min(transform(array({table}), (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))))")
+    return f"if({some_null}, NULL, array_min(transform(array({table}), (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))))"
 
 
 def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]],
@@ -248,6 +254,21 @@ def _starting_centres(candidates: list[tuple[str, list[float], float]], k: int,
     return found
 
 
+def _sums_text(qs: list[str]) -> str:
+    return ", ".join(f"sum(CAST(`{q}` AS BIGINT)) AS `{q}`" for q in qs) + ", count(*) AS n"
+
+
+@contextmanager
+def _named(df: DataFrame) -> Iterator[str]:
+    """A temporary view: a pass is then one SQL text, which costs a third of the calls that would build it."""
+    name = f"segmint_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        yield name
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+
+
 def _labels(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
     """Rows ``(fit, d, c)`` of a point: its nearest centre in every fit."""
     return F.array(*[F.struct(F.lit(f).alias("fit"), nearest(qs, c).alias("near")) for f, c in enumerate(fits)])
@@ -288,10 +309,11 @@ class _Slack:
             allowed.append([(m + (most[0] if m == most[-1] else most[-1]) if len(moved) > 1 else 0.0) * (1 + 1e-9) if f in fits else -math.inf for m in moved])
         limit = max(x for own in allowed for x in own)
         table = "array(" + ", ".join("array(" + ", ".join("-1e300D" if x == -math.inf else f"{x!r}D" for x in own) + ")" for own in allowed) + ")"
-        worn = self.rows.where(F.col("slack") <= F.lit(limit)).where(F.expr(f"slack <= {table}[slot][label]"))
         near = _nearest_in_slot(self.qs, [fits.get(f, [[0.0] * len(self.qs)]) for f in self.order])
-        found = (worn.select("slot", "label", near.alias("c"), *self.qs).groupBy("slot", "label", "c")
-                 .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in self.qs], F.count(F.lit(1)).alias("n")).collect())
+        with _named(self.rows) as view:
+            limit = f"slack <= {limit!r}D AND " if math.isfinite(limit) else ""
+            worn = f"SELECT *, {near} AS c FROM {view} WHERE {limit}slack <= {table}[slot][label]"
+            found = self.rows.sparkSession.sql(f"SELECT slot, label, c, {_sums_text(self.qs)} FROM ({worn}) GROUP BY slot, label, c").collect()
         sums = {own: (list(total), n) for own, (total, n) in self.sums.items() if own[0] in fits}
         for r in found:
             if r["c"] != r["label"]:
@@ -311,11 +333,11 @@ def _two_nearest(qs: list[str], centres: Sequence[Sequence[float]]) -> Column:
     return F.struct(near["d"].alias("d"), near["c"].alias("c"), others.alias("second"))
 
 
-def _nearest_in_slot(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
-    """Index of the nearest centre in the fit that the row's ``slot`` names (ties: the lower index)."""
+def _nearest_in_slot(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> str:
+    """SQL text: the index of the nearest centre in the fit that the row's ``slot`` names (ties: the lower index)."""
     tables = ", ".join("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres) + ")" for centres in fits)
     dist = " + ".join(f"pow(`{q}` - __ctr[{j}], 2D)" for j, q in enumerate(qs))
-    return F.expr(f"array_min(transform(array({tables})[slot], (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))).c")
+    return f"array_min(transform(array({tables})[slot], (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))).c"
 
 
 def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_iter: int, stop: float,
@@ -336,8 +358,10 @@ def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_
                 release(kept.rows)
                 kept = None
         else:
-            rows = (points.select(*qs, F.inline(_labels(qs, [fits[f] for f in order]))).groupBy("fit", F.col("near.c").alias("c"))
-                    .agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect())
+            labels = ", ".join(f"named_struct('fit', {i}, 'c', ({_nearest_text(qs, fits[f])}).c)" for i, f in enumerate(order))
+            with _named(points) as view:
+                own = f"SELECT {', '.join(qs)}, inline(array({labels})) FROM {view}"
+                rows = points.sparkSession.sql(f"SELECT fit, c, {_sums_text(qs)} FROM ({own}) GROUP BY fit, c").collect()
             sums = {(order[r["fit"]], r["c"]): ([r[q] for q in qs], r["n"]) for r in rows}
             touched = sum(r["n"] for r in rows)
             n = touched // len(order)

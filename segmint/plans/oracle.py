@@ -430,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "assign_nearest_wide": "SELECT l_orderkey, l_linenumber, list_min([" + dists + "])[2]::INTEGER AS Nearest FROM (SELECT l_orderkey, l_linenumber, "
                                + ", ".join(f"({e})::DOUBLE AS v{i}" for i, e in enumerate(exprs)) + " FROM lineitem)",
         "scan_customer": f"WITH {BASE} SELECT * FROM base",
+        "scan_ranges": "SELECT o_orderkey, 1 AS n_ranges FROM orders",
         "customer_wide": WIDE,
         "view_layer_sql": WIDE,
         "month_snapshot": f"WITH {TRN} SELECT PERS_ID, strftime(SNAP_DATE, '%Y-%m-%d') AS SNAP_DATE, TRN_CLASS_DESCR, CNT, CAST(AMT AS DOUBLE) AS AMT "

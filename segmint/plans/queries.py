@@ -98,6 +98,14 @@ def q_scan_customer(spark, root):
     return d.customers(spark, root)
 
 
+def q_scan_ranges(spark, root):
+    """The ranges that a parallel database scan of orders would use; every row is in one."""
+    o = d.table(spark, root, "orders")
+    ranges = readers.key_ranges(o.select("o_custkey", "o_orderkey"), "o_custkey", 16, hot_by="o_orderkey")
+    hits = " + ".join(f"CASE WHEN {p} THEN 1 ELSE 0 END" for p in ranges)
+    return o.select("o_orderkey", F.expr(hits).alias("n_ranges"))
+
+
 def q_customer_wide(spark, root):
     return wide.customer_wide(spark, root)
 

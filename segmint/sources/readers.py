@@ -2,14 +2,15 @@
 
 * Parquet is the default: filters and projections written after the read are
   pushed into the scan by Catalyst.
-* JDBC reads are split into parallel range reads on a numeric column instead
-  of one cursor feeding one client.
+* JDBC reads are split into parallel range reads instead of one cursor feeding one
+  client: even ranges between given bounds, or equally deep ranges found in the data.
 * CSV always takes an explicit schema: inference costs a full extra pass and
   can guess differently per file.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,48 @@ def read_jdbc(spark: SparkSession, url: str, **kwargs) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(url, **kwargs)).load()
 
 
+def _sql_value(v) -> str:
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v:%Y-%m-%d %H:%M:%S.%f}'"
+    return f"DATE '{v}'" if isinstance(v, dt.date) else repr(v) if isinstance(v, float) else str(v)
+
+
+def _cuts(df: DataFrame, column: str, parts: int) -> list:
+    """The values at 1/parts, 2/parts, ... of the rows, with repetitions."""
+    found = df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    return list(found or [])
+
+
+def key_ranges(df: DataFrame, column: str, parts: int, hot_by: str | None = None) -> list[str]:
+    """Predicates that cut the rows of ``df`` into about ``parts`` equally deep ranges of ``column``.
+
+    Every row satisfies exactly one of them, rows without a key the last.  The bounds are approximate percentiles of the
+    data, so gaps and skew of the keys do not matter.  A value that fills a range and more has a range of its own;
+    with ``hot_by`` that one is cut by equally deep ranges of the second column.  Numbers, dates and times; ``df`` needs
+    the key columns only (a narrow scan of the table, or of a copy of its keys).
+    """
+    cuts = _cuts(df, column, parts)
+    times = {v: cuts.count(v) for v in cuts}
+    out, below = [], ""
+    for v in sorted(times):
+        at = _sql_value(v)
+        if times[v] == 1:
+            out.append(f"{below}{column} < {at}")
+            below = f"{column} >= {at} AND "
+            continue
+        out.append(f"{below}{column} < {at}")
+        own = key_ranges(df.where(F.col(column) == F.lit(v)), hot_by, times[v]) if hot_by else [""]
+        out += [f"{column} = {at}" + (f" AND {p}" if p else "") for p in own]
+        below = f"{column} > {at} AND "
+    last = below.removesuffix(" AND ") or f"{column} IS NOT NULL"
+    return [*out, last, f"{column} IS NULL"]
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, predicates: list[str], fetch_size: int = 10_000, **extra: str) -> DataFrame:
+    """Database scan with one task for each predicate of :func:`key_ranges`."""
+    return spark.read.jdbc(url, table, predicates=predicates, properties={"fetchsize": str(fetch_size), **{k: str(v) for k, v in extra.items()}})
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
              header: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """CSV with header and explicit schema (S3); NaN becomes null.

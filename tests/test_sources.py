@@ -182,6 +182,31 @@ def test_views_of_two_roots_and_dates_stay_apart(spark):
     assert b.select("PERS_ID").subtract(a.select("PERS_ID")).count() > 0
 
 
+def _covered(df, ranges):
+    """Rows of every range, after checking that each row is in exactly one."""
+    from pyspark.sql import functions as F
+    hits = " + ".join(f"CASE WHEN {p} THEN 1 ELSE 0 END" for p in ranges)
+    assert df.where(F.expr(hits) != 1).count() == 0
+    return [df.where(p).count() for p in ranges]
+
+
+def test_key_ranges_are_equally_deep(spark):
+    from pyspark.sql import functions as F
+    n = 6000
+    # keys with gaps and a long tail, a third of the rows with one key, some without
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("i")).select("i", F.when(F.col("i") < n / 3, 5).when(F.col("i") < n / 2, F.pow("i", 3)).when(F.col("i") < n - 100, -F.col("i")).cast("long").alias("k"),
+                                                                          F.expr("date_add(DATE'2024-01-01', CAST(i AS int))").alias("day"))
+    plain = _covered(df, readers.key_ranges(df, "k", 12))
+    assert max(plain) >= n / 3 and sum(plain) == n
+    split = _covered(df, readers.key_ranges(df, "k", 12, hot_by="i"))
+    assert sum(split) == n and max(split) <= 2 * n / 12 and split[-1] == 100
+    days = _covered(df, readers.key_ranges(df, "day", 8))
+    assert len(days) == 9 and max(days) <= 1.1 * n / 8
+    stamps = _covered(df, readers.key_ranges(df.withColumn("day", F.col("day").cast("timestamp_ntz")), "day", 4))
+    assert sum(stamps) == n
+    assert readers.key_ranges(df.limit(0), "k", 4) == ["k IS NOT NULL", "k IS NULL"] == readers.key_ranges(df, "k", 1)
+
+
 def test_attach_checks_uniqueness(spark):
     from segmint.operators.features import attach, unique
     base, twice = spark.range(3).toDF("k"), spark.createDataFrame([(1, 1), (1, 2)], "k long, v int")
