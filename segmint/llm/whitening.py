@@ -54,41 +54,49 @@ LONGEST = 2**63 - 1
 
 
 def secular_roots(poles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Roots of 1 + sum(weights / (poles - r)) = 0 for rising poles and positive weights.
+    """Roots of f(r) = 1 + sum(weights / (poles - r)) for rising poles and positive weights.
 
-    Returns each root and the matrix of poles - roots (pole by row).  A root is searched as the distance from the
-    nearer pole, so that differences to the poles keep full relative precision: Newton steps on the function
-    times that distance, which has no pole at 0, and halving where a step leaves the bracket.
+    Returns each root and the matrix of poles - roots (pole by row).  A root is held as the distance from the
+    nearer pole, so that differences to the poles keep full relative precision.  A step matches value and slope of the
+    terms left and right of the root with one term each at the two poles beside it (beyond the last pole: with one
+    term) and goes to that function's root; where it leaves the bracket, the bracket is halved.
     """
     k = len(poles)
+    each = np.arange(k)
     ends = np.append(poles[1:], poles[-1] + weights.sum())
     middle = (poles + ends) / 2
     left = 1 + (weights[:, None] / (poles[:, None] - middle)).sum(axis=0) >= 0
     left[-1] = True
-    near = np.arange(k) + ~left
+    near = each + ~left
     origin = poles[near]
     low = np.where(left, 0.0, middle - origin)
     high = np.where(left, middle - origin, 0.0)
     high[-1] = weights.sum()
     delta = poles[:, None] - origin
-    own = weights[near]
-    others = np.repeat(weights[:, None], k, axis=1)
-    others[near, np.arange(k)] = 0.0
+    below = np.triu(np.ones((k, k)))  # pole i at or left of root j
+    following = np.minimum(each + 1, k - 1)
+    column = weights[:, None]
     at = (low + high) / 2
     for _ in range(100):
         gap = delta - at
-        gap[near, np.arange(k)] = 1.0
-        part = others / gap
-        rest = 1 + part.sum(axis=0)
-        value = at * rest - own
-        above = (value > 0) == (at > 0)  # the sign of the function itself
-        low, high = np.where(above, low, at), np.where(above, at, high)
-        slope = rest + at * (part / gap).sum(axis=0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            new = at - value / slope
+        part = column / gap
+        slopes = part / gap
+        total, psi = part.sum(axis=0), np.einsum("ij,ij->j", part, below)
+        rise, rise_left = slopes.sum(axis=0), np.einsum("ij,ij->j", slopes, below)
+        f = 1 + total
+        low, high = np.where(f > 0, low, at), np.where(f > 0, at, high)
+        one, two = gap[each, each], gap[following, each]
+        c = f - one * rise_left - two * (rise - rise_left)
+        a, b = (one + two) * f - one * two * rise, one * two * f
+        with np.errstate(all="ignore"):
+            root = np.sqrt(np.maximum(a * a - 4 * b * c, 0.0))
+            step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
+            step[-1] = one[-1] + rise[-1] * one[-1] ** 2 / (f[-1] - rise[-1] * one[-1])
+            new = at + step
         new = np.where((new > low) & (new < high), new, (low + high) / 2)
-        done = np.abs(new - at) <= 2 * EPS * np.abs(new)
-        at = new
+        # f is as small as rounding of its terms allows, or the step is below the last digit
+        done = (np.abs(f) <= 2 * EPS * (1 + total - 2 * psi)) | (np.abs(new - at) <= 2 * EPS * np.abs(at)) | (high - low <= 2 * EPS * np.abs(at))
+        at = np.where(done, at, new)
         if done.all():
             break
     return origin + at, delta - at
