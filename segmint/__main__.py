@@ -23,7 +23,7 @@ from segmint.operators import stats as st
 from segmint.operators.features import semi_join
 from segmint.plans import domain as d
 from segmint.plans import wide
-from segmint.session import checkpoint_dir, cluster_conf, cut_lineage, get_session, release
+from segmint.session import checkpoint_dir, cluster_conf, cut_lineage, get_session, scratch
 from segmint.sources import catalog, sinks
 from segmint.sources.readers import read_wide_csv
 from segmint.sources.store import MonthStore
@@ -84,6 +84,12 @@ def panel_criteria(panel: dict) -> dict:
 
 
 def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
+    """The whole flow; its outputs are files, so everything else it wrote on the way is deleted at the end."""
+    with scratch():
+        return _run(args, spark)
+
+
+def _run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     sized = cluster_conf(int(args.input_gb * (1 << 30)), args.cores) if args.input_gb and args.cores else None
     spark = spark or get_session(args.master, extra=sized)
     checkpoint_dir(spark)
@@ -147,8 +153,6 @@ def run(args: argparse.Namespace, spark=None) -> dict[str, str]:
     write("profile", st.profile_wide(st.profile_long(clients, args.model, "Cluster"), args.k)
           .orderBy("row_order").drop("row_order"))
     out["inertia"] = str(fit.inertia)
-    for written in (population, corr, clients):
-        release(written)
     return out
 
 

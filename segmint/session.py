@@ -12,6 +12,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,9 +115,32 @@ def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     written = spark.read.parquet(path)
     written._segmint_path = path
+    inside = _scratch.get()
+    if inside is not None:
+        inside.append(written)
     return written
 
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("segmint_scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete, at the end, the files of every cut made inside: for callers that have written their results by then.
+
+    Frames that read such a cut cannot be evaluated afterwards.  The list it gives holds the cuts so far; take one out
+    to keep its files.  Scopes may be nested; an error deletes as well.
+    """
+    cuts: list[DataFrame] = []
+    outer = _scratch.set(cuts)
+    try:
+        yield cuts
+    finally:
+        _scratch.reset(outer)
+        for written in cuts:
+            release(written)
+
+
 def release(written: DataFrame) -> None:
     """Delete the files behind a frame that ``cut_lineage`` returned, once nothing reads them any more."""
     path = getattr(written, "_segmint_path", None)

@@ -66,6 +66,38 @@ def test_view_layer_equals_dataframe_builder(spark):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
+def _cuts(spark):
+    from segmint.session import checkpoint_dir
+    return set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+
+
+def test_scratch_deletes_what_was_cut_inside(spark):
+    from segmint.operators import stats as st
+    from segmint.session import cut_lineage, scratch
+    before = _cuts(spark)
+    df = spark.range(50).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
+    with scratch() as cuts:
+        assert st.profile_long(df, ["v"], "g").count() == 24 and len(cuts) == 2
+        with scratch():
+            st.correlation_long(df, ["v"]).collect()
+        assert len(_cuts(spark) - before) == 2
+        kept = cut_lineage(df)
+        cuts.remove(kept)
+    assert len(_cuts(spark) - before) == 1 and kept.count() == 50
+    with pytest.raises(ZeroDivisionError), scratch():
+        cut_lineage(df)
+        1 / 0
+    assert len(_cuts(spark) - before) == 1
+
+
+@pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
+def test_command_line_leaves_its_outputs_only(spark, tmp_dir):
+    from segmint.__main__ import parse_args, run
+    before = _cuts(spark)
+    run(parse_args(["--data", SF0001, "--out", tmp_dir, "--k", "3", "--elbow-max", "3"]), spark)
+    assert _cuts(spark) == before
+
+
 @pytest.mark.skipif(not os.path.exists(SF0001), reason="test data missing")
 def test_command_line_run(spark, tmp_dir):
     from segmint.__main__ import parse_args, run
