@@ -157,14 +157,18 @@ class LatticeModel:
 
 
 _made: dict[bytes, Vocabulary] = {}
+_last: list = [None, None]  # the list asked for last, and its vocabulary
 
 
 def _vocabulary(tokens: list[bytes]) -> Vocabulary:
-    key = hashlib.sha256(repr(tokens).encode()).digest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = Vocabulary(tokens)
-    return _made[key]
+    """The worker's vocabulary of these very tokens, kept by a digest of all of them."""
+    if _last[0] is not tokens:
+        key = hashlib.sha256(repr(tokens).encode()).digest()
+        if key not in _made:
+            _made.clear()
+            _made[key] = Vocabulary(tokens)
+        _last[:] = tokens, _made[key]
+    return _last[1]
 
 
 def _weights(counts: np.ndarray, starts: np.ndarray, initial: np.ndarray) -> np.ndarray:
