@@ -48,8 +48,8 @@ STARTS = 2
 ROUNDS = 3
 # Rows are written with their slack once no centre moves more than this share of the mean distance between neighbouring
 # centres, and again once more than this share of them has to be compared.  Both change the work only, never a result.
-SETTLED = 0.05
-WORN = 0.3
+SETTLED = 0.02
+WORN = 0.5
 
 
 def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
