@@ -31,10 +31,12 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -50,6 +52,8 @@ ROUNDS = 3
 # centres, and again once more than this share of them has to be compared.  Both change the work only, never a result.
 SETTLED = 0.02
 WORN = 0.5
+# Distances that a task holds at once.
+HELD = 1 << 15
 
 
 def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -119,7 +123,49 @@ def nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Colum
     Ties go to the lower index (``argmin``); a row with a null coordinate has
     no nearest centre: the struct is null.
     """
-    return F.expr(_nearest_text(columns, centres))
+    compare = _comparer([centres])
+
+    @F.arrow_udf("struct<d: double, c: int>")
+    def near(*xs: pa.Array) -> pa.Array:
+        d, c, _ = compare(0, [x.to_numpy(zero_copy_only=False) for x in xs])
+        return pa.StructArray.from_arrays([pa.array(d), pa.array(c)], names=["d", "c"])
+
+    xs = [F.col("`" + c.replace("`", "``") + "`").cast("double") for c in columns]
+    here = xs[0].isNotNull()
+    for x in xs[1:]:
+        here = here & x.isNotNull()
+    return F.when(here, near(*xs))
+
+
+def _comparer(fits: Sequence[Sequence[Sequence[float]]]) -> Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """``compare(fit, xs)`` for the tasks: squared distance and index of the nearest centre of points given as one array
+    per coordinate, and with ``second`` the squared distance of the next one (infinite where there is none).
+
+    The squares are added in the order of the coordinates; ties go to the lower index, and NaN is farther than any number.
+    """
+    tables = [np.array(centres, dtype=np.float64) for centres in fits]
+    held = HELD
+
+    def compare(fit: int, xs: Sequence[np.ndarray], second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        centres, rows = tables[fit], len(xs[0])
+        d, c = np.empty(rows), np.empty(rows, dtype=np.int32)
+        after = np.empty(rows) if second else None
+        size = max(64, held // len(centres))
+        with np.errstate(all="ignore"):
+            for at in range(0, rows, size):
+                here, far = slice(at, at + size), None
+                for x, v in zip(xs, centres.T):
+                    step = x[here] - v[:, None]
+                    step *= step
+                    far = step if far is None else np.add(far, step, out=far)
+                d[here] = least = np.fmin.reduce(far, axis=0)
+                c[here] = own = (far == least).argmax(axis=0)
+                if second:
+                    far[own, np.arange(far.shape[1])] = np.inf
+                    after[here] = far.min(axis=0)
+        return d, c, after
+
+    return compare
 
 
 def _nearest_text(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> str:
