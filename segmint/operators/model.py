@@ -20,8 +20,10 @@ Design notes
   compute distances only for rows whose slack is used up (the file is sorted by
   slack, so most of it is skipped), and correct the sums by the rows that changed.
   Sums are whole numbers, so the centres are the same as without this.
-* Centres are one constant array; the test of the nearest one is one
-  expression over it (``transform`` and ``array_min``), whatever k is.
+* Distances are taken in the tasks, a batch of rows (Arrow) against all centres
+  of a fit at a time (NumPy), whatever k is; each is the sum of the same products
+  in the same order as row by row.  A task gives one partial sum per batch, fit
+  and label, which Spark adds up, so a pass expands no row.
 * Clusters are numbered canonically (centres in ascending lexicographic
   order), so the numbering does not depend on the starts.
 """
@@ -30,9 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,9 @@ ROUNDS = 3
 # centres, and again once more than this share of them has to be compared.  Both change the work only, never a result.
 SETTLED = 0.02
 WORN = 0.5
-# Distances that a task holds at once.
+# Distances that a task holds at once, and the size below which sums of whole numbers are exact as doubles.
 HELD = 1 << 15
+EXACT = float(1 << 53)
 
 
 def standard_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -168,15 +169,6 @@ def _comparer(fits: Sequence[Sequence[Sequence[float]]]) -> Callable[..., tuple[
     return compare
 
 
-def _nearest_text(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> str:
-    # One text for the whole expression: a call per literal would cost more than the pass itself.
-    table = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
-    xs = ["cast(`" + c.replace("`", "``") + "` AS double)" for c in columns]
-    dist = " + ".join(f"pow({x} - __ctr[{j}], 2D)" for j, x in enumerate(xs))  # exactly the product, fewer nodes
-    some_null = " OR ".join(f"{x} IS NULL" for x in xs)
-    return f"if({some_null}, NULL, array_min(transform(array({table}), (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))))"
-
-
 def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]],
                    label: str = "Cluster", distance: str | None = None) -> DataFrame:
     """Label every row with its nearest centre (M4); optionally keep the distance.
@@ -272,11 +264,12 @@ def _candidates(points: DataFrame, qs: list[str], many: int, seed: int) -> list[
         weight = nearest(qs, [[row[q] for q in qs] for row in taken])["d"] if taken else F.lit(1.0)
         score = (weight / -F.log(_draw(seed, f"r{r}"))).alias("score")
         key = F.coalesce("__key", F.lit("")).alias("key")
-        taken += points.select(score, key, *qs).where("score > 0").orderBy(F.desc("score"), "key", *qs).limit(many).collect()
+        first = points.select(score, key, *qs).orderBy(F.desc("score"), "key", *qs).limit(many).collect()
+        taken += [row for row in first if row["score"] is not None and not row["score"] <= 0]  # here, so that no plan takes the distances twice
     coords = [[row[q] for q in qs] for row in taken]
     if not coords:
         return []
-    counts = {r["c"]: r["n"] for r in points.groupBy(nearest(qs, coords)["c"].alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["c"]: r["n"] for r in points.select(nearest(qs, coords)["c"].alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     return [(row["key"], c, float(counts.get(i, 0))) for i, (row, c) in enumerate(zip(taken, coords))]
 
 
@@ -300,24 +293,49 @@ def _starting_centres(candidates: list[tuple[str, list[float], float]], k: int,
     return found
 
 
-def _sums_text(qs: list[str]) -> str:
-    return ", ".join(f"sum(CAST(`{q}` AS BIGINT)) AS `{q}`" for q in qs) + ", count(*) AS n"
+def _adder(names: Sequence[str], qs: Sequence[str]) -> Callable[..., pa.RecordBatch]:
+    """``add(groups, at, xs)`` for the tasks: a batch of sums (whole numbers) and row counts; row i of the points belongs to
+    the group ``groups[at[i]]``, a value for each of ``names``."""
+    names, exact = [*names, *qs, "n"], EXACT
 
+    def total(x: np.ndarray, at: np.ndarray, groups: int) -> pa.Array:
+        if len(x) * np.abs(x).max(initial=0.0) < exact:
+            return pa.array(np.bincount(at, weights=x, minlength=groups).astype(np.int64))
+        sums = [0] * groups
+        for i, v in zip(at.tolist(), x.tolist()):
+            sums[i] += min(int(v), (1 << 63) - 1)
+        return pa.array(sums, pa.int64())  # an error where a sum is beyond a long, as in Spark
 
-@contextmanager
-def _named(df: DataFrame) -> Iterator[str]:
-    """A temporary view: a pass is then one SQL text, which costs a third of the calls that would build it."""
-    name = f"segmint_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    try:
-        yield name
-    finally:
-        df.sparkSession.catalog.dropTempView(name)
+    def add(groups: Sequence[tuple[int, ...]], at: np.ndarray, xs: Sequence[np.ndarray]) -> pa.RecordBatch:
+        n = np.bincount(at, minlength=len(groups))
+        keys = [pa.array(list(k), pa.int32()) for k in zip(*groups)]
+        columns = [*keys, *[total(x, at, len(groups)) for x in xs], pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(n > 0))
+
+    return add
+
+
+def _added(partial: DataFrame, names: Sequence[str], qs: Sequence[str]) -> list:
+    return partial.groupBy(*names).agg(*[F.sum(x).alias(x) for x in (*qs, "n")]).collect()
+
+
+def _sums_ddl(names: Sequence[str], qs: Sequence[str]) -> str:
+    return ", ".join([f"{n} int" for n in names] + [f"`{q}` long" for q in (*qs, "n")])
 
 
-def _labels(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> Column:
-    """Rows ``(fit, d, c)`` of a point: its nearest centre in every fit."""
-    return F.array(*[F.struct(F.lit(f).alias("fit"), nearest(qs, c).alias("near")) for f, c in enumerate(fits)])
+def _label_sums(points: DataFrame, qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> list:
+    """Rows ``(fit, c, sums, n)``: the points nearest to each centre, by fit."""
+    names = ["fit", "c"]
+    compare, add = _comparer(fits), _adder(names, qs)
+    groups = [[(f, i) for i in range(len(centres))] for f, centres in enumerate(fits)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            parts = [add(own, compare(f, xs)[1], xs) for f, own in enumerate(groups)]
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    return _added(points.select(*qs).mapInArrow(run, _sums_ddl(names, qs)), names, qs)
 
 
 def _centres_moved(old: list[list[float]], now: list[list[float]]) -> list[float]:
@@ -336,11 +354,20 @@ class _Slack:
     def __init__(self, points: DataFrame, qs: list[str], fits: dict[int, list[list[float]]]):
         self.qs, self.order = qs, sorted(fits)
         self.centres = {f: [list(c) for c in fits[f]] for f in self.order}
-        labelled = points.select(*qs, F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), _two_nearest(qs, fits[f]).alias("near")) for i, f in enumerate(self.order)])))
-        one, two = F.sqrt("near.d"), F.sqrt("near.second")
-        # Less what rounding could add to a distance.
-        slack = two - one - (two + one) * F.lit(1e-9) - F.lit(1e-3)
-        rows = labelled.select("slot", F.col("near.c").alias("label"), slack.alias("slack"), *qs)
+        compare, slots = _comparer([fits[f] for f in self.order]), range(len(self.order))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                xs = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+                for slot in slots:
+                    d, label, second = compare(slot, xs, second=True)
+                    one, two = np.sqrt(d), np.sqrt(second)
+                    with np.errstate(invalid="ignore"):
+                        slack = two - one - (two + one) * 1e-9 - 1e-3  # less what rounding could add to a distance
+                    columns = [pa.array(np.full(len(d), slot, dtype=np.int32)), pa.array(label), pa.array(slack), *b.columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=["slot", "label", "slack", *qs])
+
+        rows = points.select(*qs).mapInArrow(run, "slot int, label int, slack double, " + ", ".join(f"`{q}` double" for q in qs))
         self.rows = cut_lineage(rows.sortWithinPartitions("slot", "slack"))
         found = self.rows.groupBy("slot", "label").agg(*[F.sum(F.col(q).cast("long")).alias(q) for q in qs], F.count(F.lit(1)).alias("n")).collect()
         self.sums = {(self.order[r["slot"]], r["label"]): ([r[q] for q in qs], r["n"]) for r in found}
@@ -355,11 +382,22 @@ class _Slack:
             allowed.append([(m + (most[0] if m == most[-1] else most[-1]) if len(moved) > 1 else 0.0) * (1 + 1e-9) if f in fits else -math.inf for m in moved])
         limit = max(x for own in allowed for x in own)
         table = "array(" + ", ".join("array(" + ", ".join("-1e300D" if x == -math.inf else f"{x!r}D" for x in own) + ")" for own in allowed) + ")"
-        near = _nearest_in_slot(self.qs, [fits.get(f, [[0.0] * len(self.qs)]) for f in self.order])
-        with _named(self.rows) as view:
-            limit = f"slack <= {limit!r}D AND " if math.isfinite(limit) else ""
-            worn = f"SELECT *, {near} AS c FROM {view} WHERE {limit}slack <= {table}[slot][label]"
-            found = self.rows.sparkSession.sql(f"SELECT slot, label, c, {_sums_text(self.qs)} FROM ({worn}) GROUP BY slot, label, c").collect()
+        limit = f"slack <= {limit!r}D AND " if math.isfinite(limit) else ""
+        worn = self.rows.where(f"{limit}slack <= {table}[slot][label]").select("slot", "label", *self.qs)
+        names, centres = ["slot", "label", "c"], [fits.get(f, [[0.0] * len(self.qs)]) for f in self.order]
+        compare, add = _comparer(centres), _adder(names, self.qs)
+        sizes = [len(own) for own in centres]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                slots, labels, *xs = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+                for slot in np.unique(slots).tolist():
+                    here, k = slots == slot, sizes[slot]
+                    own = [x[here] for x in xs]
+                    groups = [(slot, old, c) for old in range(k) for c in range(k)]
+                    yield add(groups, labels[here] * k + compare(slot, own)[1], own)
+
+        found = _added(worn.mapInArrow(run, _sums_ddl(names, self.qs)), names, self.qs)
         sums = {own: (list(total), n) for own, (total, n) in self.sums.items() if own[0] in fits}
         for r in found:
             if r["c"] != r["label"]:
@@ -370,22 +408,6 @@ class _Slack:
         return sums, sum(r["n"] for r in found)
 
 
-def _two_nearest(qs: list[str], centres: Sequence[Sequence[float]]) -> Column:
-    """``struct(d, c, second)``: nearest centre as in :func:`nearest` and the squared distance of the next one."""
-    near = nearest(qs, centres)
-    dist = " + ".join(f"pow(`{q}` - __ctr[{j}], 2D)" for j, q in enumerate(qs))
-    table = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres)
-    others = F.expr(f"coalesce(array_sort(transform(array({table}), __ctr -> {dist}))[1], CAST('Infinity' AS double))") if len(centres) > 1 else F.lit(math.inf)
-    return F.struct(near["d"].alias("d"), near["c"].alias("c"), others.alias("second"))
-
-
-def _nearest_in_slot(qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> str:
-    """SQL text: the index of the nearest centre in the fit that the row's ``slot`` names (ties: the lower index)."""
-    tables = ", ".join("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centres) + ")" for centres in fits)
-    dist = " + ".join(f"pow(`{q}` - __ctr[{j}], 2D)" for j, q in enumerate(qs))
-    return f"array_min(transform(array({tables})[slot], (__ctr, __idx) -> named_struct('d', {dist}, 'c', __idx))).c"
-
-
 def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_iter: int, stop: float,
            settled: float = SETTLED) -> tuple[list[list[list[float]]], list[int]]:
     """Lloyd steps of all fits at once until each moved by ``stop`` (sum of squares, units) or less; also the rows compared in every pass."""
@@ -404,10 +426,7 @@ def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_
                 release(kept.rows)
                 kept = None
         else:
-            labels = ", ".join(f"named_struct('fit', {i}, 'c', ({_nearest_text(qs, fits[f])}).c)" for i, f in enumerate(order))
-            with _named(points) as view:
-                own = f"SELECT {', '.join(qs)}, inline(array({labels})) FROM {view}"
-                rows = points.sparkSession.sql(f"SELECT fit, c, {_sums_text(qs)} FROM ({own}) GROUP BY fit, c").collect()
+            rows = _label_sums(points, qs, [fits[f] for f in order])
             sums = {(order[r["fit"]], r["c"]): ([r[q] for q in qs], r["n"]) for r in rows}
             touched = sum(r["n"] for r in rows)
             n = touched // len(order)
@@ -430,8 +449,17 @@ def _lloyd(points: DataFrame, qs: list[str], fits: list[list[list[float]]], max_
 
 def _inertias(points: DataFrame, qs: list[str], fits: Sequence[Sequence[Sequence[float]]]) -> dict[int, float]:
     """Inertia of every fit, summed exactly, in the units of the fitted columns."""
-    near = points.select(F.inline(_labels(qs, fits)))
-    total = F.sum(F.col("near.d").cast("decimal(38,3)")).cast("double") * F.lit(UNIT) * F.lit(UNIT)
+    compare, order = _comparer(fits), range(len(fits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            for f in order:
+                d = compare(f, xs)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), f, dtype=np.int32)), pa.array(d)], names=["fit", "d"])
+
+    near = points.select(*qs).mapInArrow(run, "fit int, d double")
+    total = F.sum(F.col("d").cast("decimal(38,3)")).cast("double") * F.lit(UNIT) * F.lit(UNIT)
     return {r["fit"]: r["inertia"] for r in near.groupBy("fit").agg(total.alias("inertia")).collect()}
 
 

@@ -1,8 +1,10 @@
-"""Nearest centres: taken a batch at a time in the tasks, with the results of a row by row loop."""
+"""Nearest centres and the sums of a pass: taken a batch at a time in the tasks, with the results of a row by row loop."""
 
 import math
 import random
 
+import pytest
+
 from segmint.operators import model as mdl
 
 NAN, INF = float("nan"), float("inf")
@@ -45,6 +47,25 @@ def test_every_distance_is_taken_in_batches(spark):
         assert got == want or (math.isnan(want[0]) and math.isnan(got[0]) and got[1] == want[1])
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e10])  # sums within and beyond what a double holds exactly
+def test_a_pass_expands_no_row_and_sums_exactly(spark, monkeypatch, scale):
+    rng = random.Random(6)
+    rows = [(float(round(rng.gauss(0, 1e5) * scale)), float(round(rng.gauss(0, 1e5)))) for _ in range(5000)]
+    fits = [[list(map(float, rows[i])) for i in range(k)] for k in (1, 3, 10)]
+    plans, added = [], mdl._added
+    monkeypatch.setattr(mdl, "_added", lambda partial, *own: plans.append(plan(partial)) or added(partial, *own))
+    points = spark.createDataFrame(rows, "__q0 double, __q1 double").repartition(3)
+    got = {(r["fit"], r["c"]): (r["__q0"], r["__q1"], r["n"]) for r in mdl._label_sums(points, ["__q0", "__q1"], fits)}
+    want: dict = {}
+    for f, centres in enumerate(fits):
+        for x in rows:
+            at = (f, row_by_row(x, centres)[1])
+            a, b, n = want.get(at, (0, 0, 0))
+            want[at] = (a + int(x[0]), b + int(x[1]), n + 1)
+    assert got == want
+    assert plans and "Generate" not in plans[0] and "lambda" not in plans[0]
+
+
 def test_the_second_nearest(spark):
     compare = mdl._comparer([[[0.0], [10.0], [10.0]], [[5.0]]])
     import numpy as np
