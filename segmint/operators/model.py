@@ -41,6 +41,7 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmint.session import cut_lineage, release
 
@@ -175,10 +176,25 @@ def assign_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequ
 
     A row with a null coordinate gets a null label and a null distance.
     """
-    out = df.withColumn("__near", nearest(columns, centres)).withColumn(label, F.col("__near.c"))
+    compare, types = _comparer([centres]), dict(df.dtypes)
+    others = [c for c in dict.fromkeys(columns) if types.get(c) != "double"]
+    xs = [f"__x{others.index(c)}" if c in others else c for c in columns]
+    rows = df.select("*", *[F.col("`" + c.replace("`", "``") + "`").cast("double").alias(f"__x{i}") for i, c in enumerate(others)])
+    at, names = [rows.columns.index(x) for x in xs], [*df.columns, "__c", "__d"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = [b.column(i) for i in at]
+            d, c, _ = compare(0, [x.to_numpy(zero_copy_only=False) for x in points])
+            null = np.any([x.is_null().to_numpy(zero_copy_only=False) for x in points], axis=0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names) - 2], pa.array(c, mask=null), pa.array(d, mask=null)], names=names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__c", T.IntegerType()), T.StructField("__d", T.DoubleType())])
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])  # mapInArrow looks its columns up by name
+    out = plain.mapInArrow(run, schema).withColumn(label, F.col("__c"))
     if distance:
-        out = out.withColumn(distance, F.col("__near.d"))
-    return out.drop("__near")
+        out = out.withColumn(distance, F.col("__d"))
+    return out.drop("__c", "__d")
 
 
 def collect_centres(centres_df: DataFrame, columns: Sequence[str], label: str, k: int) -> tuple[list, list[list[float]]]:

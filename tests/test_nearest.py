@@ -36,7 +36,7 @@ def test_every_distance_is_taken_in_batches(spark):
     centres.append(list(centres[7]))  # a tie
     df = spark.createDataFrame(rows).toDF(*cols).repartition(2)
     out = mdl.assign_nearest(df, cols, centres, "Cluster", distance="d")
-    assert "ArrowEvalPython" in plan(out) and "lambda" not in plan(out)
+    assert "MapInArrow" in plan(out) and "lambda" not in plan(out)
     assert dict(out.dtypes)["Cluster"] == "int" and dict(out.dtypes)["d"] == "double"
     seen = out.collect()
     assert len(seen) == len(rows)
